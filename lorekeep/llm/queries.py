@@ -11,6 +11,12 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), budget=2, width=3)
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import fingerprint_documents
+
+    return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, sketches=64, tuple_size=2)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
