@@ -106,7 +106,7 @@ def test_edit_distance_is_felt(spark):
     near[50] = "other"
     rows = om.with_signature(docs(spark, [" ".join(x) for x in (base, near, turned, shuffled)]), "text", "sig", k=1).collect()
     s = [set(r.sig) for r in sorted(rows, key=lambda r: r.doc_id)]
-    assert alike(s[0], s[1]) > 0.9 > alike(s[0], s[2]) > alike(s[0], s[3])  # the same words throughout the last three
+    assert alike(s[0], s[1]) > 0.9 and max(alike(s[0], s[2]), alike(s[0], s[3])) < 0.8  # these two have exactly the words of the first
 
 
 def test_query(spark, sf):
