@@ -17,7 +17,7 @@ from .common import shuffle_partitions
 
 #: Low bits of a packed long that hold a position: texts of up to 16 million words.
 _POS = 24
-_WS = "' \\t\\n\\u000b\\f\\r'"
+_WS = "' \\t\\n\\u000b\\u000c\\r'"
 
 
 def with_signature(df: DataFrame, text: str, out: str, k: int = 2, sketches: int = 64, tuple_size: int = 2) -> DataFrame:
