@@ -11,6 +11,15 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), budget=2, width=3)
 
 
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import mixed
+
+    rows = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import fingerprint_documents
 
