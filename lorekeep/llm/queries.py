@@ -26,6 +26,14 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, sketches=64, tuple_size=2)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
