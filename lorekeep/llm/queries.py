@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived_pages
+
+    rows = archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100
+             THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS first FROM pages)
+"""
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -39,4 +55,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_salvage": OP2_SQL}
