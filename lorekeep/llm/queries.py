@@ -21,6 +21,12 @@ FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >
 """
 
 
+def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_index import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
