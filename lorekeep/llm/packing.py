@@ -10,6 +10,7 @@ with the plan, whose size is bounded by the capacity as well. Nothing else meets
 from __future__ import annotations
 
 import bisect
+import itertools
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -23,16 +24,17 @@ from .common import written
 
 CAPACITY, END = 4096, 1
 #: Cells that split the pieces of one length for ranking, and words that a worker remembers at most.
-_CELLS, _WORDS = 64, 400_000
-_PLAIN = 0x180  # below it, case and normal forms of characters don't depend on their neighbours
+_CELLS, _WORDS = 64, 600_000
+_PLAIN = 0x130  # below it, the case of a character doesn't depend on its neighbours
 _workers: dict = {}
 
 
 class WordTokenizer:
-    """Ids of a ``tokenizers`` file that lowers, splits into words and merges within them, with a memory of words.
+    """Ids of a ``tokenizers`` file that lowers, drops white space and merges within words, with a memory of words.
 
-    Texts in the first code blocks are split here and each new word is encoded once by the library; texts with any other
-    character, or not in normal form, or naming a special token, go to the library whole.
+    What stands between white space is encoded on its own, so each new such word of a text goes to the library once and is
+    then known by its ids. Texts with a character past the first code blocks, not in normal form or naming a special token
+    go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -41,28 +43,21 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        kinds = defaultdict(list)
-        for c in map(chr, range(_PLAIN)):
-            kinds["s" if c.isspace() else unicodedata.category(c)[0]].append(re.escape(c))
-        letters, digits, spaces = ("".join(kinds[k]) for k in "LNs")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
-        self.other = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]|İ|[\\x1c-\\x1f]|<\\|").search
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> list[int]:
+        self.other = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]|[\\x1c-\\x1f]|<\\|").search
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
         if self.other(text) or not unicodedata.is_normalized("NFC", text):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        words, known = self.split(text.lower()), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > _WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        words = text.lower().split()
+        new = list(set(words).difference(self.known))
+        if new:
+            if len(self.known) + len(new) > _WORDS:  # the words met first are mostly the common ones
+                self.known = dict(itertools.islice(self.known.items(), _WORDS // 2))
+                new = list(set(words).difference(self.known))
+            for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -86,7 +81,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 part = batch.slice(lo, 256)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    a = np.array([*tok.ids(text or ""), END], dtype="<u4")
+                    a = np.append(tok.ids(text or ""), np.array([END], "<u4"))
                     for n, s in enumerate(range(0, len(a), capacity)):
                         p = a[s : s + capacity]
                         row.append(i)
