@@ -12,16 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Symbols handled at a time; the arrays of a chunk hold this many rows.
-CHUNK = 300_000
+CHUNK = 500_000
 
 
-def chunks(lengths: np.ndarray, most: int = CHUNK) -> Iterator[np.ndarray]:
-    """Numbers of sequences, longest first, in chunks of about ``most`` symbols."""
+def chunks(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of sequences, longest first, in chunks of about ``CHUNK`` symbols."""
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     if len(order):
         ends = np.cumsum(lengths[order])
-        cut = np.searchsorted(ends, np.arange(most, ends[-1], most))
+        cut = np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK))
         yield from (c for c in np.split(order, np.unique(cut)) if len(c))
 
 

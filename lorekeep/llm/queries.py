@@ -48,6 +48,12 @@ def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import language_scores
+
+    return language_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import found
 
