@@ -26,8 +26,9 @@ from .common import fold, written
 
 #: Labelled rows used at most for words and the logistic fit, and for the field's weights; steps of the ascent; ridge.
 SAMPLE, FIELD_SAMPLE, STEPS, RIDGE = 12_000, 2_000, 15, 1e-3
-#: Lengths of prefixes that may be signs, the shortest first; words that a worker remembers at most.
-PREFIXES, _MEMORY = (4, 5, 6, 7), 400_000
+#: Toxic and clear rows of the sample of which contexts are counted at most; lengths of prefixes that may be signs, the
+#: shortest first; words that a worker remembers at most.
+CONTEXTS, PREFIXES, _MEMORY = (1_500, 3_000), (4, 5, 6), 400_000
 _words = re.compile(r"\w+").findall
 _spans = re.compile(r"\w+").finditer
 
@@ -158,14 +159,17 @@ def toxic_signs(sample: DataFrame) -> list[str]:
     """Words (with a $) and prefixes whose share of contexts in toxic documents is, at the lower end of its interval, over
     halfway between the overall share and 1, in three toxic documents at least. Of a sign and its own beginnings the longer
     stays only where it tells clearly more."""
-    toxic = {r.sign: r.contexts for r in _contexts(sample.where("toxic = 1"), None).where("docs >= 3 AND contexts >= 5").collect()}
+    some = lambda y: written(sample.where(F.col("toxic") == y).orderBy(F.xxhash64("key", F.lit(2)), "key").limit(CONTEXTS[1 - y]).repartition(8, "key"), "some")
+    bad, good = some(1), some(0)
+    toxic = {r.sign: r.contexts for r in _contexts(bad, None).where("docs >= 3 AND contexts >= 5").collect()}
     if not toxic:
         return []
-    clear = {r.sign: r.contexts for r in _contexts(sample.where("toxic = 0"), set(toxic)).collect()}
+    clear = {r.sign: r.contexts for r in _contexts(good, set(toxic)).collect()}
     signs = sorted(toxic, key=lambda x: (len(x), x))
     k = np.array([toxic[x] for x in signs], float)
     n = k + np.array([clear.get(x, 0) for x in signs], float)
-    share = sample.agg(F.sum(F.when(F.col("toxic") == 1, F.length("text"))) / F.sum(F.length("text"))).first()[0] or 0.0
+    size = [x.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] for x in (bad, good)]
+    share = size[0] / max(sum(size), 1)
     out: dict[str, float] = {}
     for x, low in zip(signs, _lower_bound(k, n).tolist(), strict=True):
         word = x.removesuffix("$")
