@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import deduplicated
+
+    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived_pages
 
