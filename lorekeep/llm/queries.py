@@ -36,7 +36,7 @@ def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), budget=2, width=3)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), budget=2, width=3).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -43,16 +43,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lowered, shingles of ``width`` words count
+    """(doc_id, own, fp), own being a hash of doc_id and text: words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lowered, shingles of ``width`` words count
     as often as they occur, fewer words give one shingle, none gives 0. A null text counts as empty. fp is signed."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], names=["doc_id", "own", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), _own().alias("own")).mapInArrow(run, f"doc_id {kind}, own bigint, fp bigint")
+
+
+def _own() -> Column:
+    return F.xxhash64("text", "doc_id")
 
 
 def _prefix(fp: str, depth: int):
@@ -202,8 +206,21 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def representatives(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their group's component_id, one a group.
+
+    Of rows that repeat a doc_id in a group one stays, by hash; of a group without any id one of each fingerprint. Texts are
+    shuffled once, to meet the hashes of the rows that stay.
+    """
+    rows = near_duplicates(docs, budget, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = rows.groupBy(F.coalesce(F.col("component_id").cast("string"), "fingerprint")).agg(F.min("own").alias("_own")).select("_own")
+    met = docs.withColumn("_own", _own()).join(stay, "_own", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_own").orderBy("doc_id"))  # equal rows
+    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, fingerprint, component_id, own) for every row of ``docs`` (doc_id, text).
 
     Fingerprints link at ``budget`` or fewer differing bits; component_id is the smallest doc_id reachable, the row's own
     included. Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part; their
@@ -217,4 +234,4 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFra
     of_comp = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(of_comp, "component").select("fp", "component_id")
     every = by_fp.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "own")

@@ -273,6 +273,20 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, toxic_spans string")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                x, _ = model.features([model.observed(t) for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(model.scores(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, toxic_spans) of every row of ``docs``.
 
