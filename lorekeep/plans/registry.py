@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import daily, graph, hive, importing, jobs, retrieval, scans  # noqa: F401  they register themselves
+from .catalog import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
