@@ -1 +1,162 @@
-"""hive queries."""
+"""Signal bus queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import signals as S
+from ..operators import tables as T
+from ..session import table
+from ..sources import bridge as B
+from .catalog import query
+from .daily import r6
+from .oracle import AS_OF, sql
+from .retrieval import as_of
+
+_EMITS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, signal ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n = 1 ORDER BY ts DESC, event_id LIMIT 10"
+_NOW = f"round(intensity * exp(-0.693 * datediff('microsecond', ts, {AS_OF}) / 1e6 / 3600 / 24), 4)"
+_WAGGLES = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quorum ORDER BY last DESC, key) AS n FROM (SELECT key, count(*) AS dances, max(intensity) AS intensity, arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS rationale, max(ts) AS last, count(*) >= 3 AS quorum
+    FROM hive WHERE kind = 'waggle' GROUP BY 1)) WHERE quorum OR n <= 20"""
+_STOPS = "SELECT key, count(*) AS stops, coalesce(string_agg(note, ' | ' ORDER BY ts, event_id), '') AS reasons, max(ts) AS last, count(*) >= 2 AS suppressed FROM hive WHERE kind = 'stop' GROUP BY 1"
+_NECTAR = "SELECT *, n >= 3 AND confidence >= 0.7 AS ready FROM (SELECT key, count(*) AS n, CASE WHEN count(*) = 1 THEN 0.3 ELSE least(1.0, 0.3 + 0.15 * count(*)) END::DOUBLE AS confidence FROM hive WHERE kind = 'nectar' GROUP BY 1)"
+
+
+@query("h1_active_emits", sql("hive", "SELECT key, signal, event_id, note FROM emits", emits=_EMITS))
+def h1(spark, sf_dir):
+    return S.active_emits(B.hive_events(spark, sf_dir)).select("key", "signal", "event_id", "note")
+
+
+@query("h2_read_emits", sql("hive", f"SELECT event_id, {_NOW} AS now FROM emits WHERE (expires_at IS NULL OR expires_at > {AS_OF}) AND {_NOW} >= 0.05", emits=_EMITS))
+def h2(spark, sf_dir):
+    """Decayed and filtered."""
+    return S.read_emits(S.active_emits(B.hive_events(spark, sf_dir)), as_of()).select("event_id", "now")
+
+
+@query("h3_waggles", sql("hive", "SELECT key, dances, round(intensity, 6) AS intensity, rationale, quorum FROM waggles", waggles=_WAGGLES))
+def h3(spark, sf_dir):
+    return S.waggles(B.hive_events(spark, sf_dir)).select("key", "dances", r6("intensity"), "rationale", "quorum")
+
+
+@query("h4_stops", sql("hive", "SELECT key, stops, reasons, suppressed FROM stops", stops=_STOPS))
+def h4(spark, sf_dir):
+    return S.stops(B.hive_events(spark, sf_dir)).select("key", "stops", "reasons", "suppressed")
+
+
+@query("h4b_stop_weights", sql("hive memories", "SELECT id, hits, round(greatest(0.1, retrieval_weight - 0.3 * hits), 6) AS weight FROM memories JOIN (SELECT target_memory_id AS id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM hive WHERE kind = 'stop') WHERE n >= 2 GROUP BY 1) USING (id)"))
+def h4b(spark, sf_dir):
+    return S.stop_weights(B.hive_events(spark, sf_dir), B.memories(spark, sf_dir)).select("id", "hits", r6("weight"))
+
+
+@query("h5_nectar", sql("hive", "SELECT key, n, round(confidence, 6) AS confidence, ready FROM nectar", nectar=_NECTAR))
+def h5(spark, sf_dir):
+    return S.nectar(B.hive_events(spark, sf_dir)).select("key", "n", r6("confidence"), "ready")
+
+
+@query("h6_crystallise", sql("hive", """SELECT key, signal, CASE signal WHEN 's0' THEN 'teaching' WHEN 's1' THEN 'promise' ELSE 'insight' END AS memory_type, CASE WHEN signal = 's0' THEN 'durable' ELSE 'provisional' END AS status FROM
+    (SELECT key, arg_max(signal, (ts, event_id)) AS signal FROM hive WHERE kind = 'nectar' GROUP BY 1) JOIN nectar USING (key) WHERE ready""", nectar=_NECTAR))
+def h6(spark, sf_dir):
+    e = B.hive_events(spark, sf_dir)
+    last = e.where("kind = 'nectar'").groupBy("key").agg(F.max_by("signal", F.struct("ts", "event_id")).alias("signal"))
+    return S.crystallised(S.nectar(e).where("ready").join(last, "key"), {"s0": "teaching", "s1": "promise"}).select("key", "signal", "memory_type", "status")
+
+
+@query("h7_strongest_reads", sql("hive", "(SELECT 'waggle' AS kind, key, round(intensity, 6) AS value FROM waggles ORDER BY intensity DESC, key LIMIT 5) UNION ALL (SELECT 'stop', key, stops FROM stops ORDER BY stops DESC, key LIMIT 5) UNION ALL (SELECT 'honey', key, n FROM nectar ORDER BY n DESC, key LIMIT 5)", waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR))
+def h7(spark, sf_dir):
+    e = B.hive_events(spark, sf_dir)
+    one = lambda kind, df, v: df.orderBy(F.col(v).desc(), "key").limit(5).select(F.lit(kind).alias("kind"), "key", F.round(F.col(v).cast("double"), 6).alias("value"))
+    return one("waggle", S.waggles(e), "intensity").union(one("stop", S.stops(e), "stops")).union(one("honey", S.nectar(e), "n"))
+
+
+@query("h8_boot_enrichment", sql("hive", f"""SELECT 'emit' AS kind, key, now AS value FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY now DESC, key DESC) AS n FROM (SELECT *, {_NOW} AS now FROM (SELECT * EXCLUDE (n) FROM emits) WHERE expires_at IS NULL OR expires_at > {AS_OF}) WHERE now > 0.1) WHERE n = 1
+    UNION ALL SELECT 'quorum', key, dances FROM waggles WHERE quorum UNION ALL SELECT 'suppressed', key, stops FROM stops WHERE suppressed UNION ALL SELECT 'ready', key, n FROM nectar WHERE ready""", emits=_EMITS, waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR))
+def h8(spark, sf_dir):
+    e = B.hive_events(spark, sf_dir)
+    one = lambda kind, df, v: df.select(F.lit(kind).alias("kind"), "key", F.col(v).cast("double").alias("value"))
+    emits = S.strongest_per_signal(S.read_emits(S.active_emits(e), as_of()))
+    return one("emit", emits, "now").union(one("quorum", S.waggles(e).where("quorum"), "dances")).union(one("suppressed", S.stops(e).where("suppressed"), "stops")).union(one("ready", S.nectar(e).where("ready"), "n"))
+
+
+@query("h9_hygiene", sql("hive", f"SELECT 'waggle' AS kind, key FROM waggles WHERE last < {AS_OF} + INTERVAL 300 HOUR - INTERVAL 7 DAY AND NOT quorum UNION ALL SELECT 'stop', key FROM stops WHERE last < {AS_OF} + INTERVAL 300 HOUR - INTERVAL 14 DAY", waggles=_WAGGLES, stops=_STOPS))
+def h9(spark, sf_dir):
+    e = B.hive_events(spark, sf_dir)
+    return S.hygiene(S.waggles(e), S.stops(e), F.lit("2024-02-12 12:00:00").cast("timestamp_ntz"))
+
+
+_STATE = """SELECT dances, quorums, strongest, stops, suppressed, round(ratio, 6) AS ratio, round(1 - 2 * abs(ratio - 0.5), 6) AS criticality, CASE WHEN dances + stops = 0 THEN 'cold' WHEN dances + stops < 10 THEN 'cool' WHEN dances + stops < 100 THEN 'warm' ELSE 'hot' END AS temperature FROM
+    (SELECT *, CASE WHEN dances + stops > 0 THEN dances / (dances + stops) ELSE 0.5 END AS ratio FROM (SELECT coalesce(sum(dances), 0)::BIGINT AS dances, count(*) FILTER (quorum) AS quorums, arg_max(key, (dances, key)) AS strongest FROM waggles),
+    (SELECT coalesce(sum(stops), 0)::BIGINT AS stops, count(*) FILTER (suppressed) AS suppressed FROM stops))"""
+
+
+@query("a22_hive_state", sql("hive", _STATE, waggles=_WAGGLES, stops=_STOPS))
+def a22(spark, sf_dir):
+    """The snapshot that is appended to the state log."""
+    e = B.hive_events(spark, sf_dir)
+    s = S.hive_state(S.waggles(e), S.stops(e))
+    return s.select("dances", "quorums", "strongest", "stops", "suppressed", r6("ratio"), r6("criticality"), "temperature")
+
+
+@query("h11_rate_limit")
+def h11(spark, sf_dir):
+    """Two limits of the last day and hour, scaled to this log; tests compare it with a plain replay."""
+    return S.rate_limited(B.audit_log(spark, sf_dir).select("identity", "ts", "event_id"), ((3600, 3), (600, 2)))
+
+
+@query("h11b_raw_demand", sql("audit", "SELECT identity, event_id, count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM audit"))
+def h11b(spark, sf_dir):
+    """Requests of the last hour, admitted or not."""
+    w = Window.partitionBy("identity").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
+    return B.audit_log(spark, sf_dir).select("identity", "event_id", F.count(F.lit(1)).over(w).alias("recent"))
+
+
+@query("h12_cooldown", sql("audit", "SELECT identity, event_id, recent, ts + INTERVAL 300 SECOND AS until FROM (SELECT *, count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW) AS recent FROM audit WHERE response_code >= 400) WHERE recent >= 10"))
+def h12(spark, sf_dir):
+    """Ten refusals within a day."""
+    return S.cooldowns(B.audit_log(spark, sf_dir), 10, 86400, 300)
+
+
+@query("h13_since_watermark", sql("hive", "SELECT event_id, kind FROM hive WHERE event_id > 9000"))
+def h13(spark, sf_dir):
+    """What came after an id: the filter reaches the scan."""
+    return B.hive_events(spark, sf_dir).where("event_id > 9000").select("event_id", "kind")
+
+
+@query("h14_ring_history", """SELECT memory_id, round(least(1.0, 0.5 + 0.1 * (pushes - 1)), 6) AS activation FROM (SELECT event_id * 7 % 50 AS memory_id, count(*) AS pushes, max(ts) AS last FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY last DESC, memory_id LIMIT 30)""")
+def h14(spark, sf_dir):
+    return S.ring_after(pushes(spark, sf_dir)).select("memory_id", r6("activation"))
+
+
+def pushes(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") * 7 % 50).alias("memory_id"), "ts", (F.col("user_id") % 4).alias("ring"))
+
+
+@query("h14b_ring_replay")
+def h14b(spark, sf_dir):
+    """Four rings, replayed push by push; tests compare it with a plain replay."""
+    return S.ring_replayed(pushes(spark, sf_dir))
+
+
+@query("h15_session_counters", sql("sessions", "SELECT user_id, day, boot_ran, exchanges_stored, heartbeats_sent, tool_calls_total, started_at FROM sessions"))
+def h15(spark, sf_dir):
+    return B.sessions(spark, sf_dir).select("user_id", "day", "boot_ran", "exchanges_stored", "heartbeats_sent", "tool_calls_total", "started_at")
+
+
+@query("w9_oldest_retired", sql("hive", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n > 10"))
+def w9(spark, sf_dir):
+    """Emits past the newest ten of each key."""
+    w = Window.partitionBy("key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return B.hive_events(spark, sf_dir).where("kind = 'emit'").withColumn("n", F.row_number().over(w)).where("n > 10").select("event_id")
+
+
+@query("w10_recorded_calls", """SELECT user_id, bucket, count(*) AS calls, string_agg(event_type, ',' ORDER BY ts, event_id) AS tools FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS bucket FROM events) GROUP BY 1, 2 HAVING count(*) = 4""")
+def w10(spark, sf_dir):
+    """A record for every four calls of a user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 4))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ",")
+    return e.groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("calls"), names.alias("tools")).where("calls = 4")
+
+
+@query("s7_pending_signals", sql("hive", "SELECT kind, count(*) AS n FROM hive WHERE event_id > 9000 GROUP BY 1"))
+def s7(spark, sf_dir):
+    return T.counts(B.hive_events(spark, sf_dir).where("event_id > 9000"), "kind")
