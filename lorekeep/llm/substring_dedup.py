@@ -5,8 +5,8 @@ that has ``MIN_WORDS`` words; a single sentence of ``LONG`` words is a span too.
 every sentence covered by a span that isn't the first of its hash (by doc_id, then position) is removed.
 
 Only hashes and positions are shuffled until it is known what goes; texts meet the removals of their own row once. Counts per
-hash are combined on the map side, and repeated hashes meet their first place over salted keys, so a passage that a third of
-all documents share gathers nowhere.
+hash are combined on the map side. Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet
+their first place by a broadcast and are not shuffled, so a passage that a third of all documents share gathers nowhere.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sentences and words of a span at least; words of a sentence that is a span by itself; salts of a repeated hash.
-MIN_SENTENCES, MIN_WORDS, LONG, SALTS = 2, 12, 20, 16
+#: Sentences and words of a span at least; words of a sentence that is a span by itself; see above.
+MIN_SENTENCES, MIN_WORDS, LONG, HOT = 2, 12, 20, 2_000
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
@@ -75,21 +75,26 @@ def span_hashes(rows: DataFrame) -> DataFrame:
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "own", "at", "n", "hash"])
 
-    return rows.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own bigint, at int, n int, hash bigint")
+    return rows.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own int, at int, n int, hash bigint")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(own, cut): numbers of the sentences of each row that repeated spans cover, where there are any."""
+    """(doc_id, own, cut): numbers of the sentences of each row that repeated spans cover, where there are any."""
     every = written(span_hashes(rows), "spans")
     first = every.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = first.select("hash", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    repeated = every.withColumn("salt", F.pmod(F.xxhash64("own", "at"), F.lit(SALTS)).cast("int")).join(first, ["hash", "salt"])
+    first = written(first, "repeated")
+    hot = F.col("k") > F.lit(max(every.count() // HOT, 1))
+    by_hot = every.join(F.broadcast(first.where(hot).select("hash", "first", F.lit(True).alias("hot"))), "hash", "left")  # fewer than HOT rows
+    columns = ["doc_id", "own", "at", "n", "hash", "first"]
+    cold = by_hot.where("hot IS NULL").drop("first").join(first.where(~hot).select("hash", "first"), "hash")
+    repeated = by_hot.where("hot").select(columns).union(cold.select(columns))
     home = F.col("doc_id").eqNullSafe(F.col("first"))
     # within the first document, its earliest place stays; a group here is one document's places
     nth = F.rank().over(Window.partitionBy("hash").orderBy("own", "at"))
-    again = repeated.where(~home).select("own", "at", "n").union(repeated.where(home).withColumn("_nth", nth).where("_nth > 1").select("own", "at", "n"))
-    covered = again.select("own", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("s"))
-    return covered.groupBy("own").agg(F.sort_array(F.collect_set("s")).alias("cut"))
+    some = ["doc_id", "own", "at", "n"]
+    again = repeated.where(~home).select(some).union(repeated.where(home).withColumn("_nth", nth).where("_nth > 1").select(some))
+    covered = again.select("doc_id", "own", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("s"))
+    return covered.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("s")).alias("cut"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -101,8 +106,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("own", F.xxhash64("text", "doc_id"))
-    joined = rows.join(removals(rows), "own", "left").select("doc_id", "text", "cut")
+    rows = rows.withColumn("own", F.hash("text", "doc_id"))
+    cuts = removals(rows).select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), "cut")
+    joined = rows.join(cuts, (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "text", "cut")
 
     def run(batches):
         names = ["doc_id", "n_sentences", "n_removed", "removed", "text"]
