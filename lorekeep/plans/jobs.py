@@ -1 +1,238 @@
-"""jobs queries."""
+"""Batch jobs, changes of tables, audits, snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import maintenance as M
+from ..operators import retrieval as R
+from ..operators import rollups as D
+from ..operators import tables as T
+from ..session import table
+from ..sources import bridge as B
+from . import daily as Y
+from .catalog import query
+from .daily import r6
+from .oracle import AS_OF, sql
+from .retrieval import as_of
+
+
+@query("k4_expire_by_ttl", sql("memories", f"SELECT id, CASE WHEN status = 'provisional' AND coalesce(review_after, created_at + INTERVAL 14 DAY) < {AS_OF} THEN 'expired' ELSE status END AS status FROM memories"))
+def k4(spark, sf_dir):
+    return M.expired_by_ttl(B.memories(spark, sf_dir), as_of()).select("id", "status")
+
+
+@query("k4b_expire_by_age", sql("memories", f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'provisional' AND created_at < {AS_OF} - INTERVAL 14 DAY THEN 'expired' ELSE status END AS status FROM memories) GROUP BY 1"))
+def k4b(spark, sf_dir):
+    return T.counts(M.expired_by_age(B.memories(spark, sf_dir), as_of()), "status")
+
+
+@query("w7_prefix_duplicates", "SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY p) AS first FROM (SELECT doc_id, lower(trim(left(text, 100), ' ')) AS p FROM documents) WHERE length(p) >= 10) WHERE doc_id > first")
+def w7(spark, sf_dir):
+    """By distinct rows, so that no row is its own duplicate."""
+    return M.prefix_duplicates(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("w8_keep_earliest", sql("journal", "SELECT id FROM journal WHERE id NOT IN (SELECT min(id) FROM journal GROUP BY title)"))
+def w8(spark, sf_dir):
+    """Journal rows that a title's first row makes superfluous."""
+    j = B.journal(spark, sf_dir)
+    first = j.groupBy("title").agg(F.min("id").alias("first"))
+    return j.select("id", "title").join(first, "title").where("id <> first").select("id")
+
+
+_PATTERNS = """SELECT 'bigram' AS pattern_type, first || ' then ' || second AS description, confidence FROM bigram UNION ALL SELECT 'run', CASE WHEN rising THEN 'rising' ELSE 'falling' END || ' from ' || start, confidence FROM runs
+    UNION ALL SELECT 'hub', 'hub ' || hub, least(0.85, 0.4 + 0.03 * neighbours) FROM top_hubs"""
+_MINED = dict(affected=Y._ROWS, daily=Y._DAILY, sums=Y._SUMS, dominant=Y._DOMINANT, bigram=Y._BIGRAMS, runs=Y._RUNS.format(v="arousal_mean", n=2),
+              both_ways="SELECT from_id AS hub, to_id AS id FROM edges WHERE from_id <> to_id UNION SELECT to_id, from_id FROM edges WHERE from_id <> to_id", top_hubs="SELECT hub, count(*) AS neighbours FROM both_ways GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 20",
+              patterns=_PATTERNS, ten="SELECT * FROM patterns ORDER BY round(confidence, 6) DESC, pattern_type, description LIMIT 10")
+
+
+def mined(spark, sf_dir):
+    """The ten surest patterns of three miners."""
+    from ..operators import graph as G
+
+    big = D.bigrams(Y.dominants(spark, sf_dir)).select(F.lit("bigram").alias("pattern_type"), F.concat("first", F.lit(" then "), "second").alias("description"), "confidence")
+    run = D.monotone_runs(Y.daily(spark, sf_dir), "arousal_mean", 2).select(F.lit("run").alias("pattern_type"), F.concat(F.when(F.col("rising"), "rising").otherwise("falling"), F.lit(" from "), F.col("start").cast("string")).alias("description"), "confidence")
+    hub = G.hubs(B.edges(spark, sf_dir)).select(F.lit("hub").alias("pattern_type"), F.concat(F.lit("hub "), F.col("hub").cast("string")).alias("description"), F.least(F.lit(0.85), 0.4 + 0.03 * F.col("neighbours")).alias("confidence"))
+    return M.capped_patterns(big, run, hub)
+
+
+@query("k6_insight_cycle", sql("memories latest_chords latest edges", "SELECT pattern_type, description, round(confidence, 6) AS confidence FROM ten", **_MINED))
+def k6(spark, sf_dir):
+    return mined(spark, sf_dir).select("pattern_type", "description", r6("confidence"))
+
+
+_KNOWN = "SELECT * FROM (VALUES ('hub', 'hub ' || ((SELECT count(*) FROM events) - 13), 0.2::DOUBLE, 4, 'active'), ('run', 'an old one', 0.9, 2, 'active'), ('bigram', 'gone', 0.7, 1, 'rejected')) t(pattern_type, description, confidence, occurrences, status)"
+
+
+@query("k8_insight_upsert", sql("memories latest_chords latest edges", """SELECT coalesce(k.pattern_type, n.pattern_type) AS pattern_type, coalesce(k.description, n.description) AS description, round(coalesce(greatest(k.confidence, n.confidence), k.confidence, n.confidence), 6) AS confidence,
+    coalesce(k.occurrences, 0) + (n.description IS NOT NULL)::INT AS occurrences FROM (SELECT * FROM known WHERE status <> 'rejected') k FULL JOIN ten n ON k.pattern_type = n.pattern_type AND k.description = n.description WHERE k.description IS NOT NULL OR n.confidence >= 0.5""", **_MINED, known=_KNOWN))
+def k8(spark, sf_dir):
+    """The cycle's patterns into a table that knows one of them already."""
+    n = table(spark, sf_dir, "events").count()
+    t = "2024-01-01 00:00:00"
+    known = spark.createDataFrame([("hub", f"hub {n - 13}", 0.2, 4, "active", t), ("run", "an old one", 0.9, 2, "active", t), ("bigram", "gone", 0.7, 1, "rejected", t)], "pattern_type string, description string, confidence double, occurrences bigint, status string, t string")
+    known = known.withColumn("first_seen", F.col("t").cast("timestamp_ntz")).withColumn("last_seen", F.col("first_seen"))
+    return M.merged_insights(known, mined(spark, sf_dir), as_of()).select("pattern_type", "description", r6("confidence"), "occurrences")
+
+
+_RULES = "SELECT 'emotional_drift' AS trigger, 0.8::DOUBLE AS priority FROM drifted WHERE alert AND drift < 0 UNION ALL SELECT 'arousal_alert', 0.7 FROM arousal WHERE share > 0.4 UNION ALL SELECT 'reflection_needed', 0.6 FROM journals WHERE n < 100000 UNION ALL SELECT 'care_alert', 0.9 FROM care WHERE valence < -0.15"
+
+
+@query("k9_self_model_items", sql("memories latest", "SELECT trigger, priority FROM rules WHERE trigger <> 'care_alert'", affected=Y._ROWS, daily=Y._DAILY,
+    drifted=f"SELECT round(round(avg(valence_mean) FILTER (age <= 7), 3) - round(avg(valence_mean) FILTER (age <= 90), 3), 3) AS drift, abs(round(round(avg(valence_mean) FILTER (age <= 7), 3) - round(avg(valence_mean) FILTER (age <= 90), 3), 3)) > 0.15 AS alert FROM (SELECT *, datediff('day', date, DATE '{Y.TODAY}') AS age FROM daily) WHERE age >= 0",
+    arousal="SELECT avg((arousal > 0.6)::INT) AS share FROM affected WHERE source_type = 'exchange'", journals="SELECT count(*) AS n FROM memories WHERE source_type = 'journal'", care=f"SELECT avg(valence) AS valence FROM affected WHERE source_type = 'exchange' AND created_at >= {AS_OF} - INTERVAL 3 DAY", rules=_RULES))
+def k9(spark, sf_dir):
+    """Rules over drift, tendencies, journals and care give queue items; those pending are left out."""
+    rows = Y.rows(spark, sf_dir)
+    some = rows.where("source_type = 'exchange'")
+    item = lambda df, cond, name, p: df.where(cond).select(F.lit(name).alias("trigger"), F.lit(p).alias("priority"))
+    items = item(D.drift(Y.daily(spark, sf_dir), "valence_mean", Y.TODAY), "alert AND drift < 0", "emotional_drift", 0.8)
+    items = items.union(item(some.agg(F.avg((F.col("arousal") > 0.6).cast("int")).alias("share")), "share > 0.4", "arousal_alert", 0.7))
+    items = items.union(item(rows.where("source_type = 'journal'").agg(F.count(F.lit(1)).alias("n")), "n < 100000", "reflection_needed", 0.6))
+    items = items.union(item(some.where("created_at >= TIMESTAMP_NTZ '2024-01-28 00:00:00'").agg(F.avg("valence").alias("valence")), "valence < -0.15", "care_alert", 0.9))
+    return M.new_items(items, spark.createDataFrame([("care_alert",)], "trigger string"))
+
+
+@query("k11_backfill_candidates", sql("memories vectors", "SELECT id FROM memories WHERE status = 'durable' AND id NOT IN (SELECT memory_id FROM vectors) ORDER BY created_at DESC, id LIMIT 50"))
+def k11(spark, sf_dir):
+    """What an embedding backfill takes next (J6 with a limit); ``lorekeep.functions.embed`` makes the vectors."""
+    m = B.memories(spark, sf_dir).where("status = 'durable'").select("id", "created_at").join(B.embeddings(spark, sf_dir).select(F.col("memory_id").alias("id")), "id", "left_anti")
+    return T.newest(m, 50, "created_at", "id").select("id")
+
+
+@query("k14_schedule", "SELECT c::BIGINT AS cycle, CASE WHEN c % 8 = 0 THEN 'sleep,insight,self' WHEN c % 4 = 0 THEN 'sleep,insight' ELSE 'sleep' END AS jobs FROM range(1, 17) t(c)")
+def k14(spark, sf_dir):
+    """Sixteen cycles of the orchestrator."""
+    return spark.createDataFrame([(c, ",".join(j)) for c, j in M.schedule(16, {"sleep": 1, "insight": 4, "self": 8})], "cycle bigint, jobs string")
+
+
+def updates(spark, sf_dir):
+    """Rows to write over a status table: known keys and new ones, some without a note."""
+    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 1_000_000).alias("key"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("new "), F.col("c_mktsegment"))).alias("note"), F.col("c_acctbal").alias("value"))
+
+
+def base(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("note"), (F.col("c_acctbal") + 1).alias("value"))
+
+
+_BASE = "SELECT c_custkey AS key, c_mktsegment AS note, c_acctbal + 1 AS value FROM customer"
+_UPD = "SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000 END AS key, CASE WHEN c_custkey % 4 <> 0 THEN 'new ' || c_mktsegment END AS note, c_acctbal AS value FROM customer WHERE c_custkey % 3 = 0"
+
+
+@query("m3_replace", sql("", "SELECT * FROM base WHERE key NOT IN (SELECT key FROM upd) UNION ALL SELECT * FROM upd", base=_BASE, upd=_UPD))
+def m3(spark, sf_dir):
+    return T.replaced(base(spark, sf_dir), updates(spark, sf_dir), ["key"])
+
+
+@query("m4_merge_coalesce", sql("", "SELECT coalesce(b.key, u.key) AS key, coalesce(u.note, b.note) AS note, CASE WHEN u.key IS NOT NULL THEN u.value ELSE b.value END AS value FROM base b FULL JOIN upd u ON b.key = u.key", base=_BASE, upd=_UPD))
+def m4(spark, sf_dir):
+    """New notes over old where there are any; values always."""
+    return T.merged(base(spark, sf_dir), updates(spark, sf_dir), ["key"], always=("value",))
+
+
+@query("m5_insert_ignore", sql("", "SELECT * FROM base UNION ALL SELECT * FROM upd WHERE key NOT IN (SELECT key FROM base)", base=_BASE, upd=_UPD))
+def m5(spark, sf_dir):
+    return T.ignored(base(spark, sf_dir), updates(spark, sf_dir), ["key"])
+
+
+@query("m2_review", sql("memories", "SELECT id, CASE WHEN source_type = 'inference' AND id % 5 = 2 THEN 'durable' WHEN source_type = 'inference' AND id % 5 = 3 THEN 'rejected' ELSE status END AS status FROM memories"))
+def m2(spark, sf_dir):
+    i = F.col("id") % 5
+    return M.reviewed(B.memories(spark, sf_dir), i == 2, i == 3).select("id", "status")
+
+
+@query("m2b_delete_cascade", sql("memories edges vectors", "SELECT 'memories' AS name, count(*) AS n FROM memories WHERE status <> 'rejected' UNION ALL SELECT 'edges', count(*) FROM edges WHERE from_id NOT IN (SELECT id FROM memories WHERE status = 'rejected') AND to_id NOT IN (SELECT id FROM memories WHERE status = 'rejected') UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE memory_id NOT IN (SELECT id FROM memories WHERE status = 'rejected')"))
+def m2b(spark, sf_dir):
+    """Rejected memories go, with their edges at either end and their vectors."""
+    m = B.memories(spark, sf_dir)
+    out = T.deleted(m.where("status = 'rejected'").select("id"), m, {"edges": (B.edges(spark, sf_dir), ["from_id", "to_id"]), "vectors": (B.embeddings(spark, sf_dir), ["memory_id"])})
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("memories" if k == "parent" else k).alias("name"), "n") for k, df in out.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("m1_append", sql("memories", "SELECT source_type, status, count(*) AS n FROM (SELECT source_type, status FROM memories UNION ALL SELECT 'teaching', 'durable' FROM customer UNION ALL SELECT 'inference', 'provisional' FROM supplier) GROUP BY ALL"))
+def m1(spark, sf_dir):
+    """Teachings enter durable, inferences provisional."""
+    new = table(spark, sf_dir, "customer").select(F.lit("teaching").alias("source_type"), F.lit("durable").alias("status")).union(table(spark, sf_dir, "supplier").select(F.lit("inference"), F.lit("provisional")))
+    return T.counts(B.memories(spark, sf_dir).select("source_type", "status").unionByName(new), "source_type", "status")
+
+
+_QUEUE = "SELECT o_orderkey AS id, 'item ' || o_orderpriority AS trigger, o_totalprice AS priority, o_orderdate AS created, CASE o_orderstatus WHEN 'O' THEN 'pending' ELSE 'done' END AS state FROM orders"
+
+
+def queue(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("item "), "o_orderpriority").alias("trigger"), F.col("o_totalprice").alias("priority"), F.col("o_orderdate").alias("created"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("state"))
+
+
+@query("t7_priority_queue", sql("", "SELECT id, trigger FROM queue WHERE state = 'pending' ORDER BY priority DESC, created, id LIMIT 5", queue=_QUEUE))
+def t7(spark, sf_dir):
+    return queue(spark, sf_dir).where("state = 'pending'").orderBy(F.col("priority").desc(), "created", "id").limit(5).select("id", "trigger")
+
+
+@query("m6_mark_surfaced", sql("", "SELECT CASE WHEN id IN (SELECT id FROM queue WHERE state = 'pending' ORDER BY priority DESC, created, id LIMIT 5) THEN 'surfaced' ELSE state END AS state, count(*) AS n FROM queue GROUP BY 1", queue=_QUEUE))
+def m6(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    top = q.where("state = 'pending'").orderBy(F.col("priority").desc(), "created", "id").limit(5).select("id", F.lit(True).alias("hit"))
+    return T.counts(q.join(F.broadcast(top), "id", "left").withColumn("state", F.when(F.col("hit"), "surfaced").otherwise(F.col("state"))), "state")  # five rows
+
+
+@query("q12_brain_context", sql("memories", f"(SELECT 'queue' AS layer, id FROM ({_QUEUE}) WHERE state = 'pending' ORDER BY priority DESC, created, id LIMIT 5) UNION ALL (SELECT 'observation', id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 10) UNION ALL (SELECT 'insight', id FROM memories WHERE memory_type = 'insight' ORDER BY created_at DESC, id LIMIT 5)"))
+def q12(spark, sf_dir):
+    m = B.memories(spark, sf_dir)
+    newest = lambda cond, n, name: T.newest(m.where(cond), n, "created_at", "id").select(F.lit(name).alias("layer"), "id")
+    return t7(spark, sf_dir).select(F.lit("queue").alias("layer"), "id").union(newest("source_type = 'journal'", 10, "observation")).union(newest("memory_type = 'insight'", 5, "insight"))
+
+
+@query("a18_log_sums", sql("memories", "SELECT sum(n)::BIGINT AS rows, sum(expired)::BIGINT AS expired FROM (SELECT created_at::DATE AS cycle, count(*) AS n, count(*) FILTER (status = 'expired') AS expired FROM memories GROUP BY 1)"))
+def a18(spark, sf_dir):
+    """Totals over a log of daily cycles."""
+    log = B.memories(spark, sf_dir).groupBy(F.to_date("created_at").alias("cycle")).agg(F.count(F.lit(1)).alias("n"), T.count_if(F.col("status") == "expired").alias("expired"))
+    return log.agg(F.sum("n").alias("rows"), F.sum("expired").alias("expired"))
+
+
+_P = lambda c, of="TRUE": f"round(count(*) FILTER ({c}) * 100 / greatest(count(*) FILTER ({of}), 1), 4)"
+_C = lambda c: f"count(*) FILTER ({c})"
+_CHECKS = [
+    ("1a", _P("source_type IS NOT NULL AND source_type <> ''"), ">= 99"), ("1b", _P("proposed_by IS NOT NULL AND proposed_by <> ''"), ">= 99"), ("1c", _C("source_type = 'teaching' AND proposed_by = 'system'"), "= 0"), ("1d", _C("source_type = 'inference' AND proposed_by = 'user'"), "= 0"),
+    ("1e", _C("source_type = 'teaching' AND memory_type IN ('insight', 'pattern', 'dream')"), "= 0"), ("1f", _C("access_count > 5 AND proposed_by IS NULL"), "= 0"), ("2a", _C("memory_type = 'correction'"), "> 0"), ("2b", _C("status IN ('expired', 'rejected')"), "> 0"),
+    ("2c", _P("memory_type = 'correction' AND context IS NOT NULL", "memory_type = 'correction'"), ">= 80"), ("3a", _C("source_type = 'teaching' AND proposed_by = 'assistant'"), "= 0"), ("3b", _P("status IN ('provisional', 'expired', 'rejected')"), ">= 10"),
+    ("3c", _P("status = 'provisional' AND review_after IS NOT NULL", "status = 'provisional'"), ">= 80"), ("3d", _P("confidence >= 0.95"), "< 90"), ("3e", _C("needs_user_confirmation"), ">= 0"), ("4a", _C("counterweight_type IS NOT NULL"), "> 0"), ("4b", _C("consent_level IS NOT NULL"), "> 0"),
+    ("4c", _C("pattern_flag IS NOT NULL"), ">= 0"), ("4d", _C("retrieval_weight <> 1.0"), "> 0"), ("5c", "count(DISTINCT access_count)", "> 3"), ("5e", "count(DISTINCT strftime(created_at, '%Y-%m'))", "> 1"),
+]
+_AUDIT = " UNION ALL ".join(f"SELECT '{k}' AS check_id, ({m})::DOUBLE AS metric, ({m}) {ok} AS pass FROM memories" for k, m, ok in _CHECKS) + """ UNION ALL SELECT '2d', count(*), count(*) = 0 FROM ring WHERE memory_id IN (SELECT id FROM memories WHERE status IN ('expired', 'rejected'))
+    UNION ALL SELECT '2e', count(DISTINCT to_id), count(DISTINCT to_id) = 0 FROM edges JOIN memories a ON a.id = from_id JOIN memories b ON b.id = to_id WHERE a.source_type = 'teaching' AND a.status IN ('expired', 'rejected') AND b.source_type = 'inference' AND b.status = 'durable'
+    UNION ALL SELECT '2f', count(*), count(*) > 0 FROM edges WHERE from_id IN (SELECT id FROM memories WHERE memory_type = 'correction')"""
+
+
+@query("e_quality_audit", sql("memories ring edges", _AUDIT))
+def audits(spark, sf_dir):
+    """The data checks of E1 to E5, each with its figure."""
+    return M.audit(B.memories(spark, sf_dir), B.ring(spark, sf_dir), B.edges(spark, sf_dir))
+
+
+@query("q9_boot_summary", sql("memories latest edges", f"""SELECT (SELECT count(*) FROM memories WHERE status = 'durable') AS durable, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(valence), 6) FROM affected WHERE date = DATE '2024-01-30') AS last_day_valence,
+    (SELECT count(*) FROM memories WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR) AS last_24h, (SELECT max(id) FROM memories WHERE source_type = 'journal') AS last_journal""", affected=Y._ROWS))
+def q9(spark, sf_dir):
+    """One row of what a session starts from; ``lorekeep.sources.exports.write_snapshot`` writes it."""
+    m = B.memories(spark, sf_dir)
+    parts = [
+        m.agg(T.count_if(F.col("status") == "durable").alias("durable"), T.count_if(F.expr("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")).alias("last_24h"), F.max(F.when(F.col("source_type") == "journal", F.col("id"))).alias("last_journal")),
+        B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges")), Y.rows(spark, sf_dir).where("date = DATE '2024-01-30'").agg(F.round(F.avg("valence"), 6).alias("last_day_valence")),
+    ]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("_one", F.lit(1)), "_one")  # one row each
+    return out.drop("_one")
+
+
+@query("q2_thread_start", sql("memories", f"""(SELECT 'journal' AS part, id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 1) UNION ALL (SELECT 'correction', id FROM memories WHERE memory_type = 'correction' AND status = 'durable' ORDER BY created_at DESC, id LIMIT 5)
+    UNION ALL SELECT 'today', id FROM memories WHERE created_at::DATE = DATE '2024-01-30' UNION ALL SELECT 'counterweight', id FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL) WHERE n = 1"""))
+def q2(spark, sf_dir):
+    """The parts of a warm start, as one frame."""
+    m = B.memories(spark, sf_dir)
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "id")
+    today = m.where("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+    return part("journal", T.newest(m.where("source_type = 'journal'"), 1, "created_at", "id")).union(part("correction", T.newest(m.where("memory_type = 'correction' AND status = 'durable'"), 5, "created_at", "id"))).union(part("today", today)).union(part("counterweight", R.one_per_type(m)))
