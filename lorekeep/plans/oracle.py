@@ -24,7 +24,7 @@ TABLES = {
         {pick('event_id % 31', B.FLAGS)} AS pattern_flag, CASE WHEN event_id % 2 = 0 THEN 'source ' || (user_id % 4) END AS pattern_source,
         CASE WHEN event_id % 37 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS retrieval_weight FROM events""",
     "texts": "SELECT event_id AS id, text AS raw_text FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)",
-    "affect_base": f"""SELECT event_id AS memory_id, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50) / 50)) AS valence, k / 50 - 1 AS arousal, (user_id % 11) / 5.0::DOUBLE - 1 AS dominance,
+    "affect_base": f"""SELECT event_id AS memory_id, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (value - 50) / 53)) AS valence, k / 51 - 1 AS arousal, (user_id % 11) / 5.3::DOUBLE - 1 AS dominance,
         CASE WHEN event_id % 97 <> 0 THEN {pick('event_type', B.FIRST)} END AS e1, CASE WHEN event_id % 97 <> 0 THEN k / 100 END AS w1,
         CASE WHEN event_id % 97 <> 0 THEN {pick('user_id % 5', B.SECOND)} END AS e2, CASE WHEN event_id % 97 <> 0 THEN 1 - k / 100 END AS w2, ts AS computed_at, 'base' AS model
         FROM (SELECT *, (props::JSON->>'$.k')::DOUBLE AS k FROM events)""",

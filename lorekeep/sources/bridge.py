@@ -61,12 +61,14 @@ def memories(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 
 
 def affect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One affect row per memory, two for some; chords of two emotions, or none."""
+    """One affect row per memory, two for some; chords of two emotions, or none.
+
+    Scales are odd on purpose: means of terminating decimals would meet the halves of rounding, where engines differ."""
     e = table(spark, sf_dir, "events")
     i, u = F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("double")
-    v = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50) / 50))
-    base = e.select(i.alias("memory_id"), v.alias("valence"), (k / 50 - 1).alias("arousal"), ((u % 11) / 5 - 1).alias("dominance"),
+    v = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 50) / 53))
+    base = e.select(i.alias("memory_id"), v.alias("valence"), (k / 51 - 1).alias("arousal"), ((u % 11) / 5.3 - 1).alias("dominance"),
                     _by(F.col("event_type"), FIRST).alias("e1"), (k / 100).alias("w1"), _pick(u % 5, SECOND).alias("e2"), (1 - k / 100).alias("w2"), F.col("ts").alias("computed_at"))
     rows = base.withColumn("model", F.explode(F.when(F.col("memory_id") % 20 == 7, F.array(F.lit("base"), F.lit("later"))).otherwise(F.array(F.lit("base")))))
     later = F.col("model") == "later"
