@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Symbols handled at a time; the arrays of a chunk hold this many rows.
-CHUNK = 500_000
+CHUNK = 200_000
 
 
 def chunks(lengths: np.ndarray) -> Iterator[np.ndarray]:
