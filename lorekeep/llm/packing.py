@@ -24,7 +24,7 @@ from .common import written
 
 CAPACITY, END = 4096, 1
 #: Cells that split the pieces of one length for ranking, and words that a worker remembers at most.
-_CELLS, _WORDS = 64, 600_000
+_CELLS, _WORDS = 64, 900_000
 _PLAIN = 0x130  # below it, the case of a character doesn't depend on its neighbours
 _workers: dict = {}
 
