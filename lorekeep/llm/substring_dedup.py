@@ -21,16 +21,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sentences and words of a span at least; words of a sentence that is a span by itself; see above.
-MIN_SENTENCES, MIN_WORDS, LONG, HOT = 2, 12, 20, 2_000
+#: Sentences and words of a span at least; words of a sentence that is a span by itself; words of a sentence at most; see above.
+MIN_SENTENCES, MIN_WORDS, LONG, LONGEST, HOT = 2, 12, 20, 40, 2_000
+_PIECE = re.compile(r"(?:\S+\s*){1,%d}" % LONG)
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
 def sentences(text: str) -> list[str]:
     """The text in sentences, each with the white space after it; together they are the text. They end at marks that white
-    space follows, and at line ends."""
+    space follows, and at line ends; what goes on for more than ``LONGEST`` words is cut every ``LONG`` words."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = text[a:b]
+        if b - a > 2 * LONGEST and len(part.split()) > LONGEST:
+            lead = len(part) - len(part.lstrip())
+            pieces = _PIECE.findall(part, lead)
+            pieces[0] = part[:lead] + pieces[0]
+            out += pieces
+        elif part:
+            out.append(part)
+    return out
 
 
 def spans(parts: list[str]) -> list[tuple[int, int, int]]:
