@@ -267,9 +267,11 @@ def _gradient(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray]:
 
 def train(docs: DataFrame, steps: int = STEPS) -> np.ndarray:
     """Weights (kinds, features) from a bounded sample of the texts with digits or @ signs; of a text, what is near them."""
-    near = F.concat_ws("\n", F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\n]{0,60}[0-9@][^\n]{0,80}"), F.lit(0)))
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(near.alias("text")).where(F.length("text") < 20_000)
-    rows = written(rows.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).repartition(8, "text"), "sample")
+    texts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    some = texts.select("h").distinct().orderBy("h").limit(SAMPLE)  # hashes only: copies count once
+    near = F.concat_ws("\n", F.regexp_extract_all("text", F.lit(r"[^\n]{0,60}[0-9@][^\n]{0,80}"), F.lit(0)))
+    rows = texts.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.first(near).alias("text")).where(F.length("text") < 20_000)
+    rows = written(rows.select("text").repartition(8), "sample")
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2.0
     mean = square = 0.0
