@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The temporary folder of local sessions without a setting, made once.
+_LOCAL: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -18,8 +22,9 @@ def workspace(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            if "base" not in _LOCAL:
+                _LOCAL["base"] = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+            base = _LOCAL["base"]
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lorekeep"
     return base.rstrip("/")
@@ -32,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
-    return path
+    return f"{fs.makeQualified(hadoop).toString()}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

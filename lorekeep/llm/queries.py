@@ -33,6 +33,19 @@ def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON a.n <> b.n AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT n AS a, n AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+found AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.n = b GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.n) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN found ON found.a = v.n
+UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0
+    OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+"""
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -85,4 +98,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": OP2_SQL}
+    return {"op2_warc_salvage": OP2_SQL, "op3_pivot_permutation": OP3_SQL}

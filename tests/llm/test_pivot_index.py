@@ -76,8 +76,13 @@ def test_recall_at_the_threshold(spark):
 
 
 def test_query(spark):
-    from lorekeep.llm.queries import op3_pivot_permutation
+    import duckdb
+
+    from lorekeep.llm.queries import OP3_SQL, op3_pivot_permutation
 
     sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     given = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted((tuple(r) for r in op3_pivot_permutation(spark, sf).collect()), key=str) == brute(given)[0]
+    assert sorted(con.execute(OP3_SQL).fetchall(), key=str) == brute(given)[0]
