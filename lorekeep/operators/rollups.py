@@ -89,8 +89,9 @@ def tendencies(rows: DataFrame) -> DataFrame:
                     F.struct(F.lit("low_valence").alias("metric"), F.col("low").alias("ratio"), ((F.col("n") > 10) & (F.col("low") > 0.3)).alias("alert")))
     two = whole.where("n >= 5").select(F.explode(pairs).alias("p")).select("p.*")
     strong = rows.select("id", F.explode("emotions").alias("emotion", "w")).where("w > 0.3").groupBy("emotion").agg(F.count(F.lit(1)).alias("k"))
-    strong = strong.orderBy(F.col("k").desc(), "emotion").limit(5).withColumn("_one", F.lit(1)).join(whole.where("n >= 5").select("n", F.lit(1).alias("_one")), "_one")  # one row
-    strong = strong.withColumn("ratio", F.col("k") / F.col("n")).where("ratio > 0.3")
+    strong = strong.orderBy(F.col("k").desc(), "emotion").limit(5).union(whole.select(F.lit(None).cast("string"), "n"))
+    n_rows = F.max(F.when(F.col("emotion").isNull(), F.col("k"))).over(Window.partitionBy(F.lit(1)))  # six rows
+    strong = strong.withColumn("n", n_rows).where("emotion IS NOT NULL AND n >= 5").withColumn("ratio", F.col("k") / F.col("n")).where("ratio > 0.3")
     return two.union(strong.select(F.concat(F.lit("emotion "), "emotion"), "ratio", F.lit(None).cast("boolean")))
 
 
@@ -103,7 +104,7 @@ def trend(previous, current):
 def dream(rows: DataFrame, limit: int = 20) -> DataFrame:
     """One row of a day's newest memories: three strongest emotions, mean valence and its tone; none below three rows."""
     some = rows.orderBy(F.col("created_at").desc(), "id").limit(limit)
-    one = some.agg(F.count(F.lit(1)).alias("n"), F.avg("valence").alias("valence")).where("n >= 3")
+    one = some.agg(F.count(F.lit(1)).alias("n"), F.avg("valence").alias("valence"))
     top = top_emotions(emotion_sums(some), 3).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "emotion"))), lambda x: x["emotion"]), ",").alias("emotions"))
     tone = F.when(F.col("valence") > 0.7, "elated").when(F.col("valence") > 0.3, "warm").when(F.col("valence") < -0.2, "heavy").otherwise("even")
-    return one.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn("tone", tone)
+    return T.side_by_side(one, top).where("n >= 3").withColumn("tone", tone)

@@ -72,9 +72,9 @@ def hygiene(waggle: DataFrame, stop: DataFrame, as_of: Column) -> DataFrame:
 
 def hive_state(waggle: DataFrame, stop: DataFrame) -> DataFrame:
     """One row: sums of dances and stops, their ratio (0.5 if there are none), criticality, a temperature, the strongest topic."""
-    w = waggle.agg(F.coalesce(F.sum("dances"), F.lit(0)).alias("dances"), T.count_if(F.col("quorum")).alias("quorums"), F.max_by("key", F.struct("dances", "key")).alias("strongest"), F.lit(1).alias("_one"))
-    s = stop.agg(F.coalesce(F.sum("stops"), F.lit(0)).alias("stops"), T.count_if(F.col("suppressed")).alias("suppressed"), F.lit(1).alias("_one"))
-    out = w.join(s, "_one").drop("_one")
+    w = waggle.agg(F.coalesce(F.sum("dances"), F.lit(0)).alias("dances"), T.count_if(F.col("quorum")).alias("quorums"), F.max_by("key", F.struct("dances", "key")).alias("strongest"))
+    s = stop.agg(F.coalesce(F.sum("stops"), F.lit(0)).alias("stops"), T.count_if(F.col("suppressed")).alias("suppressed"))
+    out = T.side_by_side(w, s)
     total = F.col("dances") + F.col("stops")
     out = out.withColumn("ratio", F.when(total > 0, F.col("dances") / total).otherwise(0.5)).withColumn("criticality", 1 - 2 * F.abs(F.col("ratio") - 0.5))
     return out.withColumn("temperature", F.when(total == 0, "cold").when(total < 10, "cool").when(total < 100, "warm").otherwise("hot"))

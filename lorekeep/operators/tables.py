@@ -59,3 +59,11 @@ def free_slot(taken: DataFrame, slots: int) -> DataFrame:
     """The first of ``slots`` numbers that isn't in ``taken`` (slot)."""
     spark = taken.sparkSession
     return spark.range(slots).withColumnRenamed("id", "slot").join(taken.select("slot"), "slot", "left_anti").agg(F.min("slot").alias("slot"))
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row of the columns of all ``frames``, each of which has one row at most: a union and an aggregate, no join."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

@@ -76,9 +76,9 @@ def a11(spark, sf_dir):
     week = F.expr("created_at >= TIMESTAMP_NTZ '2024-01-24 00:00:00'")
     share = F.avg((F.col("source_type") == "exchange").cast("int"))
     m = B.memories(spark, sf_dir).agg(T.count_if(F.col("memory_type") == "insight").alias("insights"), T.count_if((F.col("memory_type") == "insight") & week).alias("new_insights"), F.round(share, 6).alias("exchange_share"),
-                                      ((share > 0.9) & (T.count_if(F.col("source_type") == "journal") == 0)).alias("one_sided"), F.lit(1).alias("_one"))
-    e = B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"), T.count_if(week).alias("new_edges"), F.lit(1).alias("_one"))
-    return m.join(e, "_one").drop("_one")
+                                      ((share > 0.9) & (T.count_if(F.col("source_type") == "journal") == 0)).alias("one_sided"))
+    e = B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"), T.count_if(week).alias("new_edges"))
+    return T.side_by_side(m, e)
 
 
 @query("a12_care_alert", sql("memories latest", f"SELECT round(avg(valence), 6) AS valence, avg(valence) < -0.15 AS alert FROM affected WHERE source_type = 'exchange' AND created_at >= {AS_OF} - INTERVAL 3 DAY", affected=_ROWS))

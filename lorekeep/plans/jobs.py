@@ -222,10 +222,7 @@ def q9(spark, sf_dir):
         m.agg(T.count_if(F.col("status") == "durable").alias("durable"), T.count_if(F.expr("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")).alias("last_24h"), F.max(F.when(F.col("source_type") == "journal", F.col("id"))).alias("last_journal")),
         B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges")), Y.rows(spark, sf_dir).where("date = DATE '2024-01-30'").agg(F.round(F.avg("valence"), 6).alias("last_day_valence")),
     ]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")  # one row each
-    return out.drop("_one")
+    return T.side_by_side(*parts)
 
 
 @query("q2_thread_start", sql("memories", f"""(SELECT 'journal' AS part, id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 1) UNION ALL (SELECT 'correction', id FROM memories WHERE memory_type = 'correction' AND status = 'durable' ORDER BY created_at DESC, id LIMIT 5)

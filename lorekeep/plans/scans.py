@@ -180,9 +180,8 @@ def a1(spark, sf_dir):
         F.count(F.lit(1)).alias("total"), *(is_("status", v).alias(v) for v in ("durable", "provisional", "expired", "rejected")), T.count_if(F.col("is_core")).alias("core"),
         is_("source_type", "teaching").alias("teachings"), is_("source_type", "inference").alias("inferences"), is_("source_type", "exchange").alias("exchanges"),
         F.count("counterweight_type").alias("counterweights"), T.count_if((F.col("status") == "provisional") & F.col("needs_user_confirmation")).alias("pending"))
-    for name, df in (("edges", B.edges(spark, sf_dir)), ("embedded", B.embeddings(spark, sf_dir)), ("ring", B.ring(spark, sf_dir))):
-        m = m.withColumn("_one", F.lit(1)).join(df.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
-    return m
+    rest = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in (("edges", B.edges(spark, sf_dir)), ("embedded", B.embeddings(spark, sf_dir)), ("ring", B.ring(spark, sf_dir)))]
+    return T.side_by_side(m, *rest)
 
 
 @query("a2_dashboard_stats", sql("memories vectors sessions", """SELECT count(*) AS total, count(*) FILTER (created_at >= TIMESTAMP '2024-01-24') AS week, count(*) FILTER (v.memory_id IS NULL) AS missing, count(DISTINCT m.user_id) AS users,
