@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY, END = 4096, 1
-#: Cells that split the pieces of one length for ranking, and words that a worker remembers at most.
-_CELLS, _WORDS = 64, 900_000
+#: Pieces of one length that are ranked together, about, and words that a worker remembers at most.
+_CELL, _WORDS = 50_000, 900_000
 _PLAIN = 0x130  # below it, the case of a character doesn't depend on its neighbours
 _workers: dict = {}
 
@@ -189,16 +189,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (doc_id, piece, length, ...) with sequence_id and offset; offsets of a sequence follow without gaps."""
     spark = items.sparkSession
-    rows = items.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(_CELLS)).cast("int"))
-    cells = written(rows.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("n")), "lengths")  # capacity x _CELLS rows at most
-    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("n")).collect()}
+    counts = {r[0]: r[1] for r in items.groupBy("length").agg(F.count(F.lit(1))).collect()}  # ``capacity`` rows at most
+    cells = spark.createDataFrame([(n, -(-c // _CELL)) for n, c in counts.items()] or [(0, 1)], "length bigint, _cells bigint")
+    rows = items.join(F.broadcast(cells), "length").withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(5)), F.col("_cells")).cast("int")).drop("_cells")
+    sizes = rows.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("n"))
     todo = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)], "length bigint, r0 bigint, r1 bigint, bin bigint, each bigint, at bigint")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("length", "_cell", before.alias("_before"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a cell
+    sizes = written(sizes.select("length", "_cell", before.alias("_before")), "cells")
     nth = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece")) - 1
     placed = (
-        rows.withColumn("_nth", nth).join(F.broadcast(cells), ["length", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
-        .join(F.broadcast(todo), "length").where("_rank >= r0 AND _rank < r1")  # both sides are bounded by the capacity
+        rows.withColumn("_nth", nth).join(sizes, ["length", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
+        .join(F.broadcast(todo), "length").where("_rank >= r0 AND _rank < r1")  # the plan's size is bounded by the capacity
     )
     return placed.withColumn("sequence_id", F.expr("bin + (_rank - r0) div each")).withColumn("offset", F.expr("at + ((_rank - r0) % each) * length")).select(*items.columns, "sequence_id", "offset")
 
