@@ -24,7 +24,7 @@ from .common import written
 
 CAPACITY, END = 4096, 1
 #: Pieces of one length that are ranked together, about, and words that a worker remembers at most.
-_CELL, _WORDS = 50_000, 900_000
+_CELL, _WORDS = 2_000, 900_000
 _PLAIN = 0x130  # below it, the case of a character doesn't depend on its neighbours
 _workers: dict = {}
 
