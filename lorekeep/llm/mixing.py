@@ -1,12 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
 Every document of a source should be taken ``target / source_size`` times. The whole part is taken outright; the fraction is
-rounded by duels: two documents pool their fractions, chance decides which of them becomes integral (0 or 1 further copy),
-and the other carries what is left. Neighbours in order of size duel first, so that what is taken stays near the target in
-words and not only in documents. Blocks of ``BLOCK`` documents each leave one residual, and the residuals of ``BLOCK`` blocks
-duel again, so the reduction is a tree of depth log_BLOCK(n) whose nodes are bounded however large a source is.
-
-Fractions are whole multiples of 2^-40 and chance is a hash of ranks and seed: reruns agree under any partitioning.
+rounded by duels: one of two documents hands the other as many words of its expected share as make one of them integral (0 or 1
+further copy); chance picks the direction so that expectations stay, and the other document carries what is left. As words
+are handed on, their sum never changes: a source misses its target by half of its last document at most. Blocks of ``BLOCK``
+documents, large before small, each leave one residual, and the residuals of ``BLOCK`` blocks duel again, so the reduction is a
+tree of depth log_BLOCK(n) whose nodes are bounded however large a source is. Blocks take every n-th document by size, so
+that large ones meet many small ones. The few documents that hold more than 1/``BLOCK`` of their source each are settled first,
+largest first, each against all that come after it, whose shares take up the difference.
+
+Shares are whole multiples of 2^-20 words and chance is a hash of ranks and seed: reruns agree under any partitioning.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 BLOCK, CAP = 64, 3
-_ONE = 1 << 40
+_ONE, _UNIT = 1 << 40, 1 << 20
 #: Cells that split the documents of one source and size, so that none of them is ranked in a single group.
 _CELLS = 256
 
@@ -63,35 +66,49 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def _duels(level: int, seed: int) -> str:
-    """SQL of the duels of one block ``xs`` of (rank, p, item): the survivor ``cur`` and those that are settled, ``done``."""
+    """SQL of the duels of one block ``xs`` of (order, rank, words, most, item): the survivor ``cur`` and those settled, ``done``."""
     chance = f"((xxhash64(s.cur.rank, x.rank, {level}, {seed}L) & {_ONE - 1}L) / {_ONE}.0D)"
-    small = f"s.cur.p + x.p < {_ONE}L"
-    x_lives_small = f"{chance} * (s.cur.p + x.p) < x.p"
-    x_lives_large = f"{chance} * (2 * {_ONE}L - s.cur.p - x.p) < {_ONE}L - x.p"
-    x_lives = f"if({small}, {x_lives_small}, {x_lives_large})"
-    kept = lambda who: f"named_struct('rank', {who}.rank, 'p', s.cur.p + x.p - if({small}, 0L, {_ONE}L), 'item', {who}.item)"
-    gone = lambda who: f"array(named_struct('item', {who}.item, 'more', if({small}, 0L, 1L)))"
+    give, take = "least(s.cur.words, x.most - x.words)", "least(x.words, s.cur.most - s.cur.words)"
+    moved = f"if({chance} * ({give} + {take}) < {take}, -{give}, {take})"
+    kept = lambda who, d: f"named_struct('order', {who}.order, 'rank', {who}.rank, 'words', {who}.words {d}, 'most', {who}.most, 'item', {who}.item)"
+    gone = lambda who, d: f"array(named_struct('item', {who}.item, 'more', if({who}.words {d} = 0, 0L, 1L)))"
     return f"""aggregate(slice(xs, 2, {BLOCK}),
         named_struct('cur', xs[0], 'done', filter(array(named_struct('item', xs[0].item, 'more', 0L)), d -> false)),
-        (s, x) -> if({x_lives},
-            named_struct('cur', {kept('x')}, 'done', concat(s.done, {gone('s.cur')})),
-            named_struct('cur', {kept('s.cur')}, 'done', concat(s.done, {gone('x')}))))"""
+        (s, x) -> transform(array({moved}), d -> if(s.cur.words + d = 0 or s.cur.words + d = s.cur.most,
+            named_struct('cur', {kept('x', '- d')}, 'done', concat(s.done, {gone('s.cur', '+ d')})),
+            named_struct('cur', {kept('s.cur', '+ d')}, 'done', concat(s.done, {gone('x', '- d')}))))[0])"""
 
 
 def rounded(rows: DataFrame, most: int, seed: int = 7) -> DataFrame:
-    """(item, more): 0 or 1 for every row (src, rank, p, item), such that more has mean p * 2^-40 and sums are kept.
+    """(item, more): 0 or 1 for every row (src, n, rank, words, item), item.size being its words and ``words`` the share of
+    them to be taken, in units of 2^-20. Each ``more`` has the mean of its share, but for the last of a source, which is rounded.
 
-    ``most`` is the number of rows of the largest source; it sets the depth of the tree.
+    ``n`` is the number of rows of the source, their ranks being 0 to n - 1; ``most`` is the largest n: it sets the tree's depth.
     """
-    now, out = rows.select("src", "rank", "p", "item"), None
+    size = F.col("item.size")
+    now = rows.select("src", "n", (-size).alias("order"), "rank", "words", (size * _UNIT).alias("most"), "item")
+    out = None
     for level in range(max(1, math.ceil(math.log(max(most, 2), BLOCK) - 1e-9))):
-        blocks = now.groupBy("src", F.expr(f"rank div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("rank", "p", "item"))).alias("xs"))
-        duels = written(blocks.select("src", "block", F.expr(_duels(level, seed)).alias("r")), "duels")
+        n = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")
+        blocks = now.groupBy("src", n.alias("n"), (F.col("rank") % n).alias("block")).agg(F.sort_array(F.collect_list(F.struct("order", "rank", "words", "most", "item"))).alias("xs"))
+        duels = written(blocks.select("src", "n", "block", F.expr(_duels(level, seed)).alias("r")), "duels")
         done = duels.select(F.explode("r.done").alias("d")).select("d.item", "d.more")
         out = done if out is None else out.union(done)
-        now = duels.select("src", F.col("block").alias("rank"), F.col("r.cur.p").alias("p"), F.col("r.cur.item").alias("item"))
-    last = F.expr(f"if((xxhash64(src, {seed}L) & {_ONE - 1}L) < p, 1L, 0L)")
-    return out.union(now.select("item", last.alias("more")))
+        now = duels.select("src", "n", F.col("r.cur.order").alias("order"), F.col("block").alias("rank"), F.col("r.cur.words").alias("words"), F.col("r.cur.most").alias("most"), F.col("r.cur.item").alias("item"))
+    return out.union(now.select("item", F.when(F.col("words") * 2 >= F.col("most"), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("more")))
+
+
+def heavy_first(rows: DataFrame, goals: DataFrame, cap: int, seed: int) -> DataFrame:
+    """Per source with documents of over 1/BLOCK of its size: what is left of target and size once they are settled, and ``done``
+    (item, copies). There are fewer than BLOCK of them in a source."""
+    some = rows.join(goals, "src").where(F.col("size") * BLOCK > F.col("source_size"))
+    xs = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "cell", F.struct("doc_id", "key", "size", "src").alias("item"))))
+    per = some.groupBy("src", "source_size", "target").agg(xs.alias("xs"))
+    share = f"greatest(0.0D, least({cap}.0D, s.goal / s.size))"
+    step = f"""aggregate(xs, named_struct('goal', target, 'size', cast(source_size as double), 'done', filter(array(named_struct('item', xs[0].item, 'copies', 0L)), d -> false)),
+        (s, x) -> transform(array(cast(floor({share} + (xxhash64(x.item.key, x.item.doc_id, {seed}L) & {_ONE - 1}L) / {_ONE}.0D) as bigint)), c -> named_struct(
+            'goal', s.goal - c * x.item.size, 'size', s.size - x.item.size, 'done', concat(s.done, array(named_struct('item', x.item, 'copies', c)))))[0])"""
+    return per.select("src", F.expr(step).alias("r")).select("src", F.col("r.goal").alias("goal"), F.col("r.size").alias("rest"), "r.done")
 
 
 def mixed(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
@@ -106,17 +123,23 @@ def mixed(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3),
         "doc_id", key.alias("key"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"), word_count().alias("size"),
     ).withColumn("cell", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(_CELLS)).cast("int"))
     rows = written(rows, "sized")
-    goals = targets(rows, cap, weights)
-    share = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * _ONE).cast("bigint")).otherwise(F.lit(0))
-    goals = written(goals.withColumn("whole", F.floor(share / _ONE)).withColumn("p", share % _ONE), "targets")
-    of_src = goals.select("src", "p")
+    goals = written(targets(rows, cap, weights), "targets")
+    first = written(heavy_first(rows.drop("source"), goals, cap, seed), "heavy")
+    # of all others the same share: what is left of the target over what is left of the size, in units of 2^-40
+    left = goals.join(first.drop("done"), "src", "left").withColumn("goal", F.coalesce("goal", "target")).withColumn("rest", F.coalesce("rest", F.col("source_size").cast("double")))
+    share = F.when(F.col("rest") >= 1, F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("goal") / F.col("rest"))) * _ONE).cast("bigint")).otherwise(F.lit(0))
+    light = written(left.select("src", "source_size", F.floor(share / _ONE).alias("whole"), (share % _ONE).alias("p")), "shares")
     item = F.struct("doc_id", "key", "size", "src").alias("item")
-    duelling = rows.where("size > 0").join(of_src.where("p > 0"), "src")
-    most = duelling.groupBy("src").count().agg(F.max("count")).first()[0] or 0
-    duelling = ranked(duelling).select("src", "rank", "p", item)
-    settled = rows.join(of_src, "src").where("size = 0 or p = 0").select(item, F.lit(0).cast("bigint").alias("more"))
-    all_ = (rounded(duelling, most, seed).union(settled) if most else settled).select("item.*", "more")
-    return all_.join(goals, "src").select("doc_id", "key", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
+    rows = rows.join(light, "src").where(F.col("size") * BLOCK <= F.col("source_size"))
+    duelling = rows.where("size > 0 AND p > 0")
+    numbers = written(duelling.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "numbers")
+    most = numbers.agg(F.max("n")).first()[0] or 0
+    words = F.round(F.col("size") * (F.col("p") / float(_ONE // _UNIT))).cast("bigint")
+    duelling = ranked(duelling).join(numbers, "src").select("src", "n", "rank", words.alias("words"), item)
+    settled = rows.where("size = 0 OR p = 0").select(item, F.lit(0).cast("bigint").alias("more"))
+    lights = (rounded(duelling, most, seed).union(settled) if most else settled).select("item.*", "more").join(light.select("src", "whole"), "src")
+    out = lights.select("doc_id", "key", "size", "src", (F.col("whole") + F.col("more")).alias("copies")).union(first.select(F.explode("done").alias("d")).select("d.item.*", "d.copies"))
+    return out.join(goals, "src").select("doc_id", "key", "source", "size", "source_size", "target", "copies")
 
 
 def mixture(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
