@@ -410,3 +410,52 @@ def u3(spark, sf_dir):
     x, y = (a.where(F.col("model") == m).select("memory_id", F.map_keys("emotions").alias(m)) for m in ("base", "later"))
     both = x.join(y, "memory_id").withColumn("k", F.array_sort(F.array_union("base", "later")))
     return both.where("size(k) > 0").select("memory_id", F.array_join("k", ",").alias("emotions"))
+
+
+@query("u4_merged_sources", sql("hive", "SELECT key, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT DISTINCT key, 'u' || (event_id % 11) AS s FROM hive WHERE kind = 'nectar' UNION SELECT key, 'u' || (target_memory_id % 5) FROM hive WHERE kind = 'nectar') GROUP BY 1"))
+def u4(spark, sf_dir):
+    """Two lists of sources per essence, merged as sets."""
+    e = B.hive_events(spark, sf_dir).where("kind = 'nectar'")
+    a, b = F.concat(F.lit("u"), (F.col("event_id") % 11).cast("string")), F.concat(F.lit("u"), (F.col("target_memory_id") % 5).cast("string"))
+    both = e.groupBy("key").agg(F.collect_set(a).alias("a"), F.collect_set(b).alias("b"))  # sixteen names at most
+    return both.select("key", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("sources"))
+
+
+@query("x6_effective_activation", sql("ring", f"SELECT memory_id, round(activation * 0.5 / (1 + datediff('microsecond', last_activated_at, {AS_OF}) / 1e6 / 86400), 6) AS effective FROM ring"))
+def x6(spark, sf_dir):
+    return B.ring(spark, sf_dir).select("memory_id", F.round(A.activation("activation", "last_activated_at", as_of()), 6).alias("effective"))
+
+
+@query("x10_blended_scores", sql("memories latest degrees", f"SELECT id, round((0.25 * (1 - {distance(STATE)}) + 0.15 * least(coalesce(degree, 0) / 10, 1) + 0.15 * {RECENCY}) * CASE status WHEN 'durable' THEN 1 WHEN 'provisional' THEN 1 WHEN 'expired' THEN 0 WHEN 'rejected' THEN 0 ELSE 0.5 END * CASE WHEN is_core THEN 1.3 ELSE 1 END, 6) AS score FROM memories LEFT JOIN latest a ON a.memory_id = id LEFT JOIN degrees g USING (id)"))
+def x10(spark, sf_dir):
+    """The score of every memory for a state without a text or vector: no shortlist, three equi-joins on the id."""
+    v, a, d, c = STATE
+    m = B.memories(spark, sf_dir).join(R.latest_affect(B.affect(spark, sf_dir)).withColumnRenamed("memory_id", "id"), "id", "left").join(R.degrees(B.edges(spark, sf_dir)), "id", "left")
+    dist = A.affect_distance("valence", "arousal", "dominance", "emotions", F.lit(v), F.lit(a), F.lit(d), R.chord(c))
+    return m.select("id", F.round(A.blended(F.lit(0.0), dist, "degree", A.recency("created_at", as_of()), "status", "is_core"), 6).alias("score"))
+
+
+@query("x31_hashing_vectors")
+def x31(spark, sf_dir):
+    """Vectors of the documents by signed feature hashing, in Arrow batches; tests hold their length and repeatability."""
+    from ..functions.embed import hashing_vectors
+
+    v = hashing_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return v.select("doc_id", F.round(A.dot("embedding", "embedding"), 4).alias("norm"))
+
+
+@query("s4_bulk_tags", sql("memories", "SELECT id, CASE WHEN id % 50 = 3 THEN 'framing' ELSE pattern_flag END AS flag, CASE WHEN id % 50 = 3 THEN 'bulk' ELSE pattern_source END AS source FROM memories"))
+def s4(spark, sf_dir):
+    """Tags of a table applied as updates; ``lorekeep.sources.exports.read_tags`` reads them from JSON."""
+    from ..sources.exports import apply_tags
+
+    m = B.memories(spark, sf_dir)
+    tags = m.where("id % 50 = 3").select("id", F.lit("framing").alias("flag"), F.lit("bulk").alias("source"))
+    return apply_tags(m, tags).select("id", F.col("pattern_flag").alias("flag"), F.col("pattern_source").alias("source"))
+
+
+@query("s5_snapshot_band", sql("memories", "SELECT id, CASE WHEN m < 60 THEN 'fresh' WHEN m < 360 THEN 'stale' ELSE 'cold' END AS band FROM (SELECT id, datediff('microsecond', created_at, TIMESTAMP '2024-01-30 12:00:00') / 6e7 AS m FROM memories WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < TIMESTAMP '2024-01-30 12:00:00')"))
+def s5(spark, sf_dir):
+    """Age bands of half a day's rows."""
+    m = B.memories(spark, sf_dir).where("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-30 12:00:00'")
+    return m.select("id", A.freshness(A.age_seconds("created_at", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")) / 60).alias("band"))
