@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the scoring rules.
 WEIGHTS = {"semantic": 0.45, "affect": 0.25, "relational": 0.15, "recency": 0.15}
-NEGATIVE = ("anger", "despair", "fear", "grief", "guilt", "loneliness", "sadness", "shame")
+NEGATIVE = ("grief", "sadness", "anger", "fear", "betrayal", "loneliness", "exhaustion", "shame")
 STATUS_WEIGHT = {"durable": 1.0, "provisional": 1.0, "expired": 0.0, "rejected": 0.0}
 HALF_LIFE_DAYS, SIGNAL_RATE, SIGNAL_HALF_LIFE_HOURS = 30, 0.693, 24
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import affect as A
 
 FILTERABLE = ("memory_type", "source_type", "status")
+#: Memory types that may stand in for counterweights.
+FALLBACK = ("breakthrough", "promise", "identity")
 
 
 def eligible(memories: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
@@ -44,7 +46,15 @@ def chord(weights: dict[str, float]) -> Column:
     return F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]).cast("map<string,double>")
 
 
-def scored(memories: DataFrame, affect: DataFrame, vectors: DataFrame, edges: DataFrame, as_of: Column, vector: list[float] | None, state: tuple[float, float, float, dict[str, float]], text: str = "") -> DataFrame:
+def _distance(state) -> Column:
+    """Distance of a row's affect to a state; 0.5 without a state."""
+    if state is None:
+        return F.lit(0.5)
+    v, a, d, c = state
+    return A.affect_distance("valence", "arousal", "dominance", "emotions", F.lit(v), F.lit(a), F.lit(d), chord(c) if c else F.create_map().cast("map<string,double>"))
+
+
+def scored(memories: DataFrame, affect: DataFrame, vectors: DataFrame, edges: DataFrame, as_of: Column, vector: list[float] | None, state: tuple[float, float, float, dict[str, float]] | None, text: str = "") -> DataFrame:
     """``memories`` with sem, dist, rec, degree and score. The query's vector and state are literals.
 
     ``memories`` is the small side here (a shortlist), so each join keeps only its ids.
@@ -55,11 +65,11 @@ def scored(memories: DataFrame, affect: DataFrame, vectors: DataFrame, edges: Da
     deg = degrees(edges.join(ids.select(F.col("memory_id").alias("from_id")), "from_id", "left_semi").select("from_id", F.lit(None).cast("bigint").alias("to_id")).union(
         edges.join(ids.select(F.col("memory_id").alias("to_id")), "to_id", "left_semi").select(F.lit(None).cast("bigint").alias("from_id"), "to_id"))).where("id IS NOT NULL")
     m = memories.join(latest.withColumnRenamed("memory_id", "id"), "id", "left").join(some.withColumnRenamed("memory_id", "id"), "id", "left").join(deg, "id", "left")
-    v, a, d, c = state
+    m = m.withColumn("emotions", F.coalesce("emotions", F.create_map().cast("map<string,double>"))).fillna(0.0, ["valence", "arousal", "dominance"])  # no affect is a neutral one
     q = F.array(*[F.lit(float(x)) for x in vector]) if vector else F.lit(None).cast("array<double>")
     by_text = F.when(A.holds("raw_text", text), 0.6).otherwise(0.0) if text else F.lit(0.0)
     sem = F.when(F.col("embedding").isNotNull() & q.isNotNull(), F.greatest(F.lit(0.0), A.cosine("embedding", q))).otherwise(by_text)
-    dist = F.when(F.col("valence").isNotNull(), A.affect_distance("valence", "arousal", "dominance", "emotions", F.lit(v), F.lit(a), F.lit(d), chord(c))).otherwise(0.5)
+    dist = _distance(state)
     m = m.withColumn("sem", sem).withColumn("dist", dist).withColumn("rec", A.recency("created_at", as_of)).withColumn("degree", F.coalesce("degree", F.lit(0)))
     return m.withColumn("score", A.blended(F.col("sem"), F.col("dist"), "degree", F.col("rec"), "status", "is_core"))
 
@@ -69,11 +79,11 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def boosted(hits: DataFrame, valence: float) -> DataFrame:
-    """Pattern boost after the cut: below -0.2 of valence, suppressed strengths gain 0.15 up to 1 and framings get a note."""
+    """Pattern boost after the cut: below -0.2 of valence, suppressed strengths gain 0.15 up to 1 and absorbed framings get a note."""
     low = F.lit(valence < -0.2)
     up = low & (F.col("pattern_flag") == "suppressed_strength")
     return hits.withColumn("score", F.when(up, F.least(F.lit(1.0), F.col("score") + 0.15)).otherwise(F.col("score"))).withColumn(
-        "note", F.when(up, "strength").when(low & (F.col("pattern_flag") == "framing"), "framing"))
+        "note", F.when(up, "strength").when(low & (F.col("pattern_flag") == "absorbed_framing"), "framing"))
 
 
 def one_per_type(memories: DataFrame, seed: int = 7) -> DataFrame:
@@ -83,10 +93,10 @@ def one_per_type(memories: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def counterweights(memories: DataFrame, seen: DataFrame, seed: int = 7, strict: bool = False) -> DataFrame:
-    """One durable memory a type that isn't in ``seen`` (id). If fewer than two are found, up to three in all come from those
-    of a type or core (with ``strict``, and core)."""
+    """One durable memory a type that isn't in ``seen`` (id). If fewer than two are found, others make up three in all: core
+    memories and those of the types in FALLBACK (with ``strict``, that are both)."""
     own = one_per_type(memories, seed).join(seen, "id", "left_anti").select("id", F.lit(0).alias("stage"))
-    typed = F.col("counterweight_type").isNotNull()
+    typed = F.col("memory_type").isin(*FALLBACK)
     back = memories.where((F.col("status") == "durable") & ((typed & F.col("is_core")) if strict else (typed | F.col("is_core"))))
     back = back.join(seen, "id", "left_anti").join(own, "id", "left_anti")
     back = back.orderBy(F.md5(F.concat_ws("|", "id", F.lit(seed)).cast("binary")), "id").limit(3).select("id", F.lit(1).alias("stage"))
@@ -107,8 +117,8 @@ def cheap_scores(memories: DataFrame, affect: DataFrame, as_of: Column, state, t
     """First-stage scores without vectors: 0.3 for text, affect 0.5 where the query has no chord."""
     latest = latest_affect(affect)
     m = memories.join(latest.withColumnRenamed("memory_id", "id"), "id", "left")
-    v, a, d, c = state
+    m = m.withColumn("emotions", F.coalesce("emotions", F.create_map().cast("map<string,double>"))).fillna(0.0, ["valence", "arousal", "dominance"])
     tm = F.when(A.holds("raw_text", text), 0.3).otherwise(0.0)
-    dist = F.when(F.lit(bool(c)) & F.col("valence").isNotNull(), A.affect_distance("valence", "arousal", "dominance", "emotions", F.lit(v), F.lit(a), F.lit(d), chord(c))).otherwise(0.5)
+    dist = _distance(state if state and state[3] else None)
     total = tm * 0.3 + (1 - dist) * A.WEIGHTS["affect"] + A.recency("created_at", as_of) * A.WEIGHTS["recency"]
     return m.withColumn("cheap", total * A.status_weight("status") * F.when(F.col("is_core"), 1.3).otherwise(1.0))

@@ -106,5 +106,5 @@ def dream(rows: DataFrame, limit: int = 20) -> DataFrame:
     some = rows.orderBy(F.col("created_at").desc(), "id").limit(limit)
     one = some.agg(F.count(F.lit(1)).alias("n"), F.avg("valence").alias("valence"))
     top = top_emotions(emotion_sums(some), 3).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "emotion"))), lambda x: x["emotion"]), ",").alias("emotions"))
-    tone = F.when(F.col("valence") > 0.7, "elated").when(F.col("valence") > 0.3, "warm").when(F.col("valence") < -0.2, "heavy").otherwise("even")
+    tone = F.when(F.col("valence") > 0.7, "warm").when(F.col("valence") > 0.3, "steady").when(F.col("valence") > -0.2, "mixed").otherwise("heavy")
     return T.side_by_side(one, top).where("n >= 3").withColumn("tone", tone)

@@ -70,14 +70,17 @@ def hygiene(waggle: DataFrame, stop: DataFrame, as_of: Column) -> DataFrame:
     return waggle.where(idle(7) & ~F.col("quorum")).select(F.lit("waggle").alias("kind"), "key").union(stop.where(idle(14)).select(F.lit("stop"), "key"))
 
 
-def hive_state(waggle: DataFrame, stop: DataFrame) -> DataFrame:
-    """One row: sums of dances and stops, their ratio (0.5 if there are none), criticality, a temperature, the strongest topic."""
-    w = waggle.agg(F.coalesce(F.sum("dances"), F.lit(0)).alias("dances"), T.count_if(F.col("quorum")).alias("quorums"), F.max_by("key", F.struct("dances", "key")).alias("strongest"))
-    s = stop.agg(F.coalesce(F.sum("stops"), F.lit(0)).alias("stops"), T.count_if(F.col("suppressed")).alias("suppressed"))
-    out = T.side_by_side(w, s)
-    total = F.col("dances") + F.col("stops")
-    out = out.withColumn("ratio", F.when(total > 0, F.col("dances") / total).otherwise(0.5)).withColumn("criticality", 1 - 2 * F.abs(F.col("ratio") - 0.5))
-    return out.withColumn("temperature", F.when(total == 0, "cold").when(total < 10, "cool").when(total < 100, "warm").otherwise("hot"))
+def hive_state(emits: DataFrame, waggle: DataFrame, stop: DataFrame, honey: DataFrame) -> DataFrame:
+    """One row: sums of dances and stops, their ratio (0.5 if there are none), criticality, a temperature, the strongest of the decayed
+    ``emits``, and seven counts."""
+    e = emits.agg(F.count(F.lit(1)).alias("emits"), F.max_by(F.concat_ws(":", "key", "signal"), F.struct("now", "key", "signal")).alias("strongest"))
+    w = waggle.agg(F.coalesce(F.sum("dances"), F.lit(0)).alias("dances"), F.count(F.lit(1)).alias("waggles"), T.count_if(F.col("quorum")).alias("quorums"))
+    s = stop.agg(F.coalesce(F.sum("stops"), F.lit(0)).alias("stops"), F.count(F.lit(1)).alias("patterns"), T.count_if(F.col("suppressed")).alias("suppressed"))
+    h = honey.agg(F.count(F.lit(1)).alias("essences"), T.count_if(F.col("ready")).alias("ready"))
+    total, ratio, critical = F.col("dances") + F.col("stops"), F.col("ratio"), F.col("criticality")
+    out = T.side_by_side(e, w, s, h).withColumn("ratio", F.when(total > 0, F.col("dances") / total).otherwise(0.5)).withColumn("criticality", 1 - 2 * F.abs(ratio - 0.5))
+    idle = F.col("emits") + F.col("waggles") + F.col("patterns") == 0
+    return out.withColumn("temperature", F.when(idle, "cold").when(critical > 0.8, "optimal").when(ratio > 0.7, "hot").when(ratio < 0.3, "cold").otherwise("stable"))
 
 
 def strongest_per_signal(emits: DataFrame, least: float = 0.1) -> DataFrame:

@@ -122,7 +122,7 @@ def w4(spark, sf_dir):
     return daily(spark, sf_dir).withColumn("p", F.lag(v).over(D.in_order())).select("date", D.trend(F.col("p"), v).alias("trend"))
 
 
-@query("k5_dream", sql("memories latest_chords", """SELECT count(*) AS n, round(avg(valence), 6) AS valence, CASE WHEN avg(valence) > 0.7 THEN 'elated' WHEN avg(valence) > 0.3 THEN 'warm' WHEN avg(valence) < -0.2 THEN 'heavy' ELSE 'even' END AS tone,
+@query("k5_dream", sql("memories latest_chords", """SELECT count(*) AS n, round(avg(valence), 6) AS valence, CASE WHEN avg(valence) > 0.7 THEN 'warm' WHEN avg(valence) > 0.3 THEN 'steady' WHEN avg(valence) > -0.2 THEN 'mixed' ELSE 'heavy' END AS tone,
     (SELECT string_agg(emotion, ',' ORDER BY t DESC, emotion) FROM (SELECT emotion, round(sum(w), 6) AS t FROM picked s JOIN latest_chords c ON c.memory_id = s.id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) AS emotions FROM picked HAVING count(*) >= 3""", affected=_ROWS,
     picked="SELECT * FROM affected WHERE date = DATE '2024-01-29' AND status IN ('durable', 'provisional') ORDER BY created_at DESC, id LIMIT 20"))
 def k5(spark, sf_dir):

@@ -85,18 +85,18 @@ def s2(spark, sf_dir):
     return turns(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("longest"))
 
 
-RULES = {("framing", "learned"): ("nicht", "of the an"), ("suppressed_strength", "self"): ("the re",)}
-TEMPLATES = {"framing": "A framing{source}; the feeling was real.", "suppressed_strength": "A strength to bring back.", "deflection": "A deflection{source}."}
+RULES = {("absorbed_framing", "learned"): ("nicht", "of the an"), ("suppressed_strength", "self"): ("the re",)}
+TEMPLATES = {"absorbed_framing": "A framing{source}; the feeling was real.", "suppressed_strength": "A strength to bring back.", "performed_mask": "A mask{source}."}
 
 
-@query("k12_auto_tags", sql("memories texts", """SELECT id, coalesce(pattern_flag, CASE WHEN contains(low, 'nicht') OR contains(low, 'of the an') THEN 'framing' WHEN contains(low, 'the re') THEN 'suppressed_strength' END) AS new_flag,
+@query("k12_auto_tags", sql("memories texts", """SELECT id, coalesce(pattern_flag, CASE WHEN contains(low, 'nicht') OR contains(low, 'of the an') THEN 'absorbed_framing' WHEN contains(low, 'the re') THEN 'suppressed_strength' END) AS new_flag,
     CASE WHEN pattern_flag IS NOT NULL THEN pattern_source WHEN contains(low, 'nicht') OR contains(low, 'of the an') THEN 'learned' WHEN contains(low, 'the re') THEN 'self' END AS new_source FROM (SELECT m.*, lower(raw_text) AS low FROM memories m JOIN texts USING (id))"""))
 def k12(spark, sf_dir):
     return I.tagged(B.memories(spark, sf_dir, text=True), RULES).select("id", "new_flag", "new_source")
 
 
-@query("x21_pattern_context", sql("memories", """SELECT id, CASE pattern_flag WHEN 'framing' THEN 'A framing' || coalesce(' from ' || pattern_source, '') || '; the feeling was real.' WHEN 'suppressed_strength' THEN 'A strength to bring back.'
-    WHEN 'deflection' THEN 'A deflection' || coalesce(' from ' || pattern_source, '') || '.' END AS note FROM memories WHERE pattern_flag IS NOT NULL"""))
+@query("x21_pattern_context", sql("memories", """SELECT id, CASE pattern_flag WHEN 'absorbed_framing' THEN 'A framing' || coalesce(' from ' || pattern_source, '') || '; the feeling was real.' WHEN 'suppressed_strength' THEN 'A strength to bring back.'
+    WHEN 'performed_mask' THEN 'A mask' || coalesce(' from ' || pattern_source, '') || '.' END AS note FROM memories WHERE pattern_flag IS NOT NULL"""))
 def x21(spark, sf_dir):
     m = B.memories(spark, sf_dir).where("pattern_flag IS NOT NULL")
     return m.select("id", I.pattern_context(F.col("pattern_flag"), F.col("pattern_source"), TEMPLATES).alias("note"))

@@ -67,7 +67,7 @@ def hits(spark, sf_dir):
 
 @query("q1_blended_query", sql(_TABLES, """SELECT id, memory_type, status, is_core, round(sem, 6) AS sem, round(dist, 6) AS dist, round(rec, 6) AS rec, degree,
     round(CASE WHEN pattern_flag = 'suppressed_strength' THEN least(1.0, score + 0.15) ELSE score END, 6) AS score,
-    CASE pattern_flag WHEN 'suppressed_strength' THEN 'strength' WHEN 'framing' THEN 'framing' END AS note FROM hits""", **_BASE, hits=HITS))
+    CASE pattern_flag WHEN 'suppressed_strength' THEN 'strength' WHEN 'absorbed_framing' THEN 'framing' END AS note FROM hits""", **_BASE, hits=HITS))
 def q1(spark, sf_dir):
     """F1, T1, J2, X1, X2, X4, X10, T2 and X22 in one plan."""
     r6 = lambda c: F.round(c, 6).alias(c)
@@ -75,7 +75,7 @@ def q1(spark, sf_dir):
 
 
 _CW = f"""own AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY {MD5}, id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL) WHERE n = 1 AND id NOT IN (SELECT id FROM seen)),
-    back AS (SELECT id FROM memories WHERE status = 'durable' AND (counterweight_type IS NOT NULL OR is_core) AND id NOT IN (SELECT id FROM seen) AND id NOT IN (SELECT id FROM own) ORDER BY {MD5}, id LIMIT 3)
+    back AS (SELECT id FROM memories WHERE status = 'durable' AND (memory_type IN ('breakthrough', 'promise', 'identity') OR is_core) AND id NOT IN (SELECT id FROM seen) AND id NOT IN (SELECT id FROM own) ORDER BY {MD5}, id LIMIT 3)
     SELECT id, 0 AS stage FROM own UNION ALL SELECT id, 1 FROM (SELECT id, row_number() OVER (ORDER BY {MD5}, id) AS n FROM back) WHERE (SELECT count(*) FROM own) < 2 AND n <= 3 - (SELECT count(*) FROM own)"""
 
 

@@ -15,8 +15,9 @@ from ..session import table
 FIRST = {"click": "joy", "error": "anger", "purchase": "trust", "signup": "hope", "view": "calm"}
 SECOND = ("fear", "sadness", "love", "pride", "shame")
 TYPES = {"click": "experience", "error": "correction", "purchase": "promise", "signup": "identity", "view": "insight"}
-COUNTERWEIGHTS = ("competence", "care", "growth", "joy", "agency")
-FLAGS = ("suppressed_strength", "framing", "deflection", "minimising", "absorption")
+# Counterweight types and pattern flags.
+COUNTERWEIGHTS = ("grounding", "agency", "connection", "self_compassion", "evidence_of_progress")
+FLAGS = ("clean", "absorbed_framing", "suppressed_strength", "performed_mask", "projected_attribution")
 STATUS = ("expired", "rejected", "provisional")
 
 

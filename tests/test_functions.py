@@ -50,7 +50,7 @@ def test_decay(spark):
 
 def test_negative_state_is_strict(spark):
     assert value(spark, A.is_negative(chord({"fear": 1, "anger": 1, "grief": 0.5}), F.lit(-0.5))) is False
-    assert value(spark, A.is_negative(chord({"fear": 1, "anger": 1, "grief": 0.6}), F.lit(0.5))) is True
+    assert value(spark, A.is_negative(chord({"fear": 1, "betrayal": 1, "exhaustion": 0.6}), F.lit(0.5))) is True
     assert value(spark, A.is_negative(chord({}), F.lit(-0.51))) is True
 
 
@@ -78,9 +78,10 @@ def test_monotone_run(spark):
 
 
 def test_empty_hive(spark):
-    none = spark.createDataFrame([], "event_id long, kind string, key string, intensity double, note string, ts timestamp_ntz")
-    r = S.hive_state(S.waggles(none), S.stops(none)).first()
-    assert (r.ratio, r.criticality, r.temperature) == (0.5, 1.0, "cold")
+    none = spark.createDataFrame([], "event_id long, kind string, key string, signal string, intensity double, note string, ts timestamp_ntz, expires_at timestamp_ntz")
+    now = ts("2024-01-31 00:00:00")
+    r = S.hive_state(S.read_emits(S.active_emits(none), now), S.waggles(none), S.stops(none), S.nectar(none)).first()
+    assert (r.ratio, r.criticality, r.temperature, r.strongest) == (0.5, 1.0, "cold", None)
 
 
 def test_nectar_ripens(spark):

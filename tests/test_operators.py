@@ -33,7 +33,7 @@ BASE = [
     (2, "durable", None, False, "2024-01-02", "care", "insight", "teaching", "hello", "suppressed_strength"),
     (3, "expired", "normal", False, "2024-01-03", "joy", "insight", "inference", "bye", None),
     (4, "provisional", "high", False, "2024-01-04", None, "promise", "inference", "hello hello", None),
-    (5, "durable", "normal", False, "2024-01-05", "joy", "promise", "exchange", "100% sure", "framing"),
+    (5, "durable", "normal", False, "2024-01-05", "joy", "promise", "exchange", "100% sure", "absorbed_framing"),
 ]
 
 
@@ -63,10 +63,10 @@ def test_counterweights(spark):
     none = spark.createDataFrame([], "id long")
     assert len(R.counterweights(m, none).collect()) == 2  # care and joy have a durable one each
     seen = spark.createDataFrame([(1,), (2,), (5,)], "id long")
-    assert R.counterweights(m, seen).collect() == []
+    assert R.counterweights(m, seen).collect() == []  # 3 and 4 aren't durable
     some = spark.createDataFrame([(2,), (5,)], "id long")
     assert ids(R.counterweights(m, some)) == [1]
-    assert ids(R.counterweights(m, some, strict=True)) == [1]
+    assert ids(R.counterweights(m, some, strict=True)) == []  # core, but of no such type
 
 
 def test_pattern_boost_may_lower(spark):
@@ -87,8 +87,10 @@ def test_scores_of_a_memory_without_anything(spark):
     vectors = spark.createDataFrame([], "memory_id long, embedding array<float>")
     edges = spark.createDataFrame([], "from_id long, to_id long")
     r = R.scored(m, none, vectors, edges, F.lit("2024-01-31").cast("timestamp_ntz"), [1.0, 0.0], (0.0, 0.0, 0.0, {"joy": 1.0}), "hello").first()
-    assert (r.sem, r.dist, r.degree) == (0.6, 0.5, 0)
-    assert r.rec == pytest.approx(0.5) and r.score == pytest.approx((0.45 * 0.6 + 0.25 * 0.5 + 0.15 * 0.5) * 1.3)
+    assert (r.sem, r.dist, r.degree) == (0.6, 0.6, 0)
+    assert r.rec == pytest.approx(0.5) and r.score == pytest.approx((0.45 * 0.6 + 0.25 * 0.4 + 0.15 * 0.5) * 1.3)
+    r = R.scored(m, none, vectors, edges, F.lit("2024-01-31").cast("timestamp_ntz"), None, None).first()
+    assert (r.sem, r.dist) == (0.0, 0.5)
 
 
 def test_table_changes(spark):
