@@ -122,3 +122,12 @@ def cheap_scores(memories: DataFrame, affect: DataFrame, as_of: Column, state, t
     dist = _distance(state if state and state[3] else None)
     total = tm * 0.3 + (1 - dist) * A.WEIGHTS["affect"] + A.recency("created_at", as_of) * A.WEIGHTS["recency"]
     return m.withColumn("cheap", total * A.status_weight("status") * F.when(F.col("is_core"), 1.3).otherwise(1.0))
+
+
+def resonant(entities: DataFrame, state: tuple[float, float, float, dict[str, float]], below: float = 0.6) -> DataFrame:
+    """Entities (people, songs) whose affect profile is nearer to a state than ``below``; empty profiles are left out."""
+    v, a, d, c = state
+    own = entities.where(F.size(F.map_keys("profile")) > 0)
+    zero = F.lit(0.0)
+    out = own.withColumn("_d", A.affect_distance(zero, zero, zero, "profile", F.lit(v), F.lit(a), F.lit(d), chord(c))).where(F.col("_d") < below)
+    return out.withColumn("resonance", F.round(1 - F.col("_d"), 4)).drop("_d")

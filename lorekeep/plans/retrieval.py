@@ -187,3 +187,22 @@ def q13(spark, sf_dir):
 
     w = Window.partitionBy("counterweight_type").orderBy(F.col("is_core").desc(), F.col("access_count").desc(), "id")
     return B.memories(spark, sf_dir).where("status = 'durable' AND counterweight_type IS NOT NULL").withColumn("n", F.row_number().over(w)).where("n <= 15").select("counterweight_type", "id", F.col("n").cast("bigint").alias("n"))
+
+
+_PEOPLE = """SELECT c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN CASE c_custkey % 5 WHEN 0 THEN 'joy' WHEN 1 THEN 'anger' WHEN 2 THEN 'trust' WHEN 3 THEN 'hope' ELSE 'calm' END END AS e1, (c_custkey % 10) / 10.0::DOUBLE AS w1,
+    CASE WHEN c_custkey % 7 <> 0 THEN CASE c_custkey % 5 WHEN 0 THEN 'fear' WHEN 1 THEN 'sadness' WHEN 2 THEN 'love' WHEN 3 THEN 'pride' ELSE 'fear' END END AS e2, (c_custkey % 8) / 8.0::DOUBLE AS w2, 0.0::DOUBLE AS valence, 0.0::DOUBLE AS arousal, 0.0::DOUBLE AS dominance FROM customer"""
+
+
+@query("q3b_people_in_the_room", sql("", f"SELECT name, round(1 - d, 4) AS resonance FROM (SELECT name, {distance(STATE)} AS d FROM people WHERE e1 IS NOT NULL) WHERE d < 0.6", people=_PEOPLE))
+def q3b(spark, sf_dir):
+    """People whose profile resonates with the sample state."""
+    k = F.col("c_custkey")
+    first, second = (F.element_at(F.array(*map(F.lit, names)), (k % 5 + 1).cast("int")) for names in (("joy", "anger", "trust", "hope", "calm"), ("fear", "sadness", "love", "pride", "fear")))
+    profile = F.when(k % 7 != 0, F.create_map(first, k % 10 / 10, second, k % 8 / 8)).otherwise(F.create_map().cast("map<string,double>"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), profile.alias("profile"))
+    return R.resonant(people, STATE).select("name", "resonance")
+
+
+@query("q3c_pending", sql("memories", "SELECT id, round(confidence, 6) AS confidence FROM memories WHERE status = 'provisional' AND needs_user_confirmation"))
+def q3c(spark, sf_dir):
+    return B.memories(spark, sf_dir).where("status = 'provisional' AND needs_user_confirmation").select("id", F.round("confidence", 6).alias("confidence"))
