@@ -123,7 +123,7 @@ def h13(spark, sf_dir):
     return B.hive_events(spark, sf_dir).where("event_id > 9000").select("event_id", "kind")
 
 
-@query("h14_ring_history", """SELECT memory_id, round(least(1.0, 0.5 + 0.1 * (pushes - 1)), 6) AS activation FROM (SELECT event_id * 7 % 50 AS memory_id, count(*) AS pushes, max(ts) AS last FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY last DESC, memory_id LIMIT 30)""")
+@query("h14_ring_history", """SELECT memory_id, round(least(1.0, 0.5 + 0.1 * (pushes - 1))::DOUBLE, 6) AS activation FROM (SELECT event_id * 7 % 50 AS memory_id, count(*) AS pushes, max(ts) AS last FROM events WHERE event_type = 'view' GROUP BY 1 ORDER BY last DESC, memory_id LIMIT 30)""")
 def h14(spark, sf_dir):
     return S.ring_after(pushes(spark, sf_dir)).select("memory_id", r6("activation"))
 

@@ -67,7 +67,7 @@ _KNOWN = "SELECT * FROM (VALUES ('hub', 'hub ' || ((SELECT count(*) FROM events)
 
 
 @query("k8_insight_upsert", sql("memories latest_chords latest edges", """SELECT coalesce(k.pattern_type, n.pattern_type) AS pattern_type, coalesce(k.description, n.description) AS description, round(coalesce(greatest(k.confidence, n.confidence), k.confidence, n.confidence), 6) AS confidence,
-    coalesce(k.occurrences, 0) + (n.description IS NOT NULL)::INT AS occurrences FROM (SELECT * FROM known WHERE status <> 'rejected') k FULL JOIN ten n ON k.pattern_type = n.pattern_type AND k.description = n.description WHERE k.description IS NOT NULL OR n.confidence >= 0.5""", **_MINED, known=_KNOWN))
+    (coalesce(k.occurrences, 0) + (n.description IS NOT NULL)::INT)::BIGINT AS occurrences FROM (SELECT * FROM known WHERE status <> 'rejected') k FULL JOIN ten n ON k.pattern_type = n.pattern_type AND k.description = n.description WHERE k.description IS NOT NULL OR n.confidence >= 0.5""", **_MINED, known=_KNOWN))
 def k8(spark, sf_dir):
     """The cycle's patterns into a table that knows one of them already."""
     n = table(spark, sf_dir, "events").count()
