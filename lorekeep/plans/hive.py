@@ -83,8 +83,8 @@ def h9(spark, sf_dir):
     return S.hygiene(S.waggles(e), S.stops(e), F.lit("2024-02-12 12:00:00").cast("timestamp_ntz"))
 
 
-_STATE = f"""SELECT *, CASE WHEN emits + waggles + patterns = 0 THEN 'cold' WHEN criticality > 0.8 THEN 'optimal' WHEN ratio > 0.7 THEN 'hot' WHEN ratio < 0.3 THEN 'cold' ELSE 'stable' END AS temperature FROM (SELECT *, round(1 - 2 * abs(ratio - 0.5), 6) AS criticality FROM (
-    SELECT *, round(CASE WHEN dances + stops > 0 THEN dances / (dances + stops) ELSE 0.5 END, 6) AS ratio FROM (SELECT (SELECT count(*) FROM read) AS emits, (SELECT key || ':' || signal FROM read ORDER BY now DESC, key DESC, signal DESC LIMIT 1) AS strongest,
+_STATE = f"""SELECT * REPLACE (round(ratio, 6) AS ratio, round(criticality, 6) AS criticality), CASE WHEN emits + waggles + patterns = 0 THEN 'cold' WHEN criticality > 0.8 THEN 'optimal' WHEN ratio > 0.7 THEN 'hot' WHEN ratio < 0.3 THEN 'cold' ELSE 'stable' END AS temperature FROM (SELECT *, 1 - 2 * abs(ratio - 0.5) AS criticality FROM (
+    SELECT *, CASE WHEN dances + stops > 0 THEN dances / (dances + stops) ELSE 0.5 END AS ratio FROM (SELECT (SELECT count(*) FROM read) AS emits, (SELECT key || ':' || signal FROM read ORDER BY now DESC, key DESC, signal DESC LIMIT 1) AS strongest,
     (SELECT coalesce(sum(dances), 0)::BIGINT FROM waggles) AS dances, (SELECT count(*) FROM waggles) AS waggles, (SELECT count(*) FROM waggles WHERE quorum) AS quorums, (SELECT coalesce(sum(stops), 0)::BIGINT FROM stops) AS stops, (SELECT count(*) FROM stops) AS patterns,
     (SELECT count(*) FROM stops WHERE suppressed) AS suppressed, (SELECT count(*) FROM nectar) AS essences, (SELECT count(*) FROM nectar WHERE ready) AS ready)))"""
 _READ = f"SELECT * FROM (SELECT *, {_NOW} AS now FROM (SELECT * EXCLUDE (n) FROM emits) WHERE expires_at IS NULL OR expires_at > {AS_OF}) WHERE now >= 0.05"
