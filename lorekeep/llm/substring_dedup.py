@@ -2,7 +2,8 @@
 
 Texts are cut into sentences. A span begins at every sentence and is the shortest run of consecutive sentences, two at least,
 that has ``MIN_WORDS`` words; a single sentence of ``LONG`` words is a span too. Spans are hashed and joined across the corpus;
-every sentence covered by a span that isn't the first of its hash (by doc_id, then position) is removed.
+every sentence covered by a span that isn't the first of its hash (by doc_id, then position) is removed. What runs on for over
+``LONGEST`` words without a mark is cut where its words say so, so that a passage is cut alike wherever it begins.
 
 Only hashes and positions are shuffled until it is known what goes; texts meet the removals of their own row once. Counts per
 hash are combined on the map side. Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet
@@ -12,6 +13,7 @@ their first place by a broadcast and are not shuffled, so a passage that a third
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +23,35 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sentences and words of a span at least; words of a sentence that is a span by itself; words of a sentence at most; see above.
-MIN_SENTENCES, MIN_WORDS, LONG, LONGEST, HOT = 2, 12, 20, 40, 2_000
-_PIECE = re.compile(r"(?:\S+\s*){1,%d}" % LONG)
+#: Sentences and words of a span at least; words of a sentence that is a span by itself; words of a sentence at most; words on
+#: either side that decide where a longer one is cut; see above.
+MIN_SENTENCES, MIN_WORDS, LONG, LONGEST, REACH, HOT = 2, 12, 20, 30, 4, 2_000
+_WORD = re.compile(r"\s*\S+\s*")
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
+def _pieces(part: str) -> list[str]:
+    """``part`` cut after words whose hash is the least within ``REACH`` words, the first such word, or else after ``LONG`` words."""
+    words = _WORD.findall(part)
+    h = [zlib.crc32(w.strip().encode("utf-8")) for w in words]
+    out, last = [], 0
+    for i in range(len(words) - 1):
+        before = h[max(0, i - REACH) : i]
+        if (all(x > h[i] for x in before) and h[i] <= min(h[i + 1 : i + 1 + REACH])) or i + 1 - last == LONG:
+            out.append("".join(words[last : i + 1]))
+            last = i + 1
+    return [*out, "".join(words[last:])]
+
+
 def sentences(text: str) -> list[str]:
     """The text in sentences, each with the white space after it; together they are the text. They end at marks that white
-    space follows, and at line ends; what goes on for more than ``LONGEST`` words is cut every ``LONG`` words."""
+    space follows, and at line ends; what goes on for more than ``LONGEST`` words is cut by its words."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     out = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = text[a:b]
         if b - a > 2 * LONGEST and len(part.split()) > LONGEST:
-            lead = len(part) - len(part.lstrip())
-            pieces = _PIECE.findall(part, lead)
-            pieces[0] = part[:lead] + pieces[0]
-            out += pieces
+            out += _pieces(part)
         elif part:
             out.append(part)
     return out

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -96,3 +97,16 @@ def test_planted_passages_are_caught(spark):
                 repeated.setdefault(i, []).append(j)
     caught = sum(rows[i].n_removed > 0 for i in repeated)
     assert caught >= 0.9 * len(repeated), (caught, len(repeated))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 60), st.integers(0, 60))
+def test_long_passages_without_marks_are_cut_alike_anywhere(seed, before, after):
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    texts = [" ".join(words(n) + shared + words(after)) for n in (before, before + 7)]
+    parts = [sd.sentences(t) for t in texts]
+    assert ["".join(p) for p in parts] == texts and all(len(x.split()) <= sd.LONGEST for p in parts for x in p)
+    a, b = ({x[2] for x in sd.spans(p)} for p in parts)
+    assert a & b
