@@ -196,7 +196,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     todo = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)], "length bigint, r0 bigint, r1 bigint, bin bigint, each bigint, at bigint")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a cell
     sizes = written(sizes.select("length", "_cell", before.alias("_before")), "cells")
-    nth = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece")) - 1
+    nth = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
     placed = (
         rows.withColumn("_nth", nth).join(sizes, ["length", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
         .join(F.broadcast(todo), "length").where("_rank >= r0 AND _rank < r1")  # the plan's size is bounded by the capacity
