@@ -106,3 +106,9 @@ def test_query(spark, sf):
 
     given = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     check(op8_pii_semi_markov(spark, sf).collect(), given)
+
+
+def test_very_long_runs():
+    for text in ("7" * 300_000, "1." * 100_000, "1.2.3.4" * 3 + "9" * 300_000, "+1" + " " * 100_000, "a" * 300_000 + "@"):
+        pii.base_spans(text)
+    assert pii.base_spans("x" + "0" * 50_000 + "7.1.2.3") == [("ip", 1, 50_008)]
