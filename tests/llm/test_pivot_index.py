@@ -75,6 +75,18 @@ def test_recall_at_the_threshold(spark):
     assert all(g <= w for (_, g, *_), (_, w, *_) in zip(sorted(got), sorted(want), strict=True))
 
 
+@pytest.mark.parametrize(("least", "spread"), [(64, 0.95), (2048, 0.95), (2048, 0.89)])
+def test_recall_in_a_large_group_of_near_vectors(spark, monkeypatch, least, spread):
+    monkeypatch.setattr(pivot_index, "LEAST", least)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    rows = [(i, v.tolist()) for i, v in enumerate([*rng.normal(size=(1600, 64)), *(near(rng, centre, math.sqrt(spread)) for _ in range(800))])]
+    got, (want, pairs) = found(spark, rows), brute(rows)
+    assert len(pairs) > 20_000
+    assert sum(r[1] for r in got) >= 0.98 * sum(r[1] for r in want)
+    assert all(g <= w for (_, g, *_), (_, w, *_) in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_query(spark):
     import duckdb
 
