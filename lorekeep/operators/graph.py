@@ -90,8 +90,38 @@ def hub_members(edges: DataFrame, top: DataFrame, most: int = 30) -> DataFrame:
     return near.select("hub", "id").union(top.select("hub", F.col("hub").alias("id")))
 
 
-def rejection_reasons(pairs: DataFrame, far: float = 0.4, least_cos: float = 0.25) -> DataFrame:
-    """The first test that each candidate pair fails, counted."""
-    reason = (F.when(F.col("date") == F.col("c_date"), "same day").when(F.abs(F.timestamp_diff("SECOND", F.col("created_at"), F.col("c_created_at"))) < 86400, "too close in time")
-              .when(A.chord_distance("emotions", "c_emotions") >= far, "too far").when(A.cosine("embedding", "c_embedding") < least_cos, "not alike").otherwise("edge"))
-    return T.counts(pairs.select(reason.alias("reason")), "reason")
+def banded(memories: DataFrame, band: int = 7, size: int = 1000) -> DataFrame:
+    """Pairs up to ``band`` ranks apart, by id within an emotion, of the first ``size`` memories."""
+    rows = memories.orderBy("id").limit(size).withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
+    w = Window.partitionBy("emotion").orderBy("id")  # ``size`` rows in all
+    me = F.struct("id", "created_at", "emotions")
+    rows = rows.withColumn("near", F.array(*[F.lead(me, i).over(w) for i in range(1, band + 1)]))
+    pairs = rows.select("id", "created_at", "emotions", F.explode("near").alias("n")).where("n IS NOT NULL")
+    return pairs.select("id", "created_at", "emotions", F.col("n.id").alias("c_id"), F.col("n.created_at").alias("c_created_at"), F.col("n.emotions").alias("c_emotions"))
+
+
+def rejection_reasons(pairs: DataFrame, edges: DataFrame, far: float = 0.4) -> DataFrame:
+    """The first test that each candidate pair (id, created_at, emotions, c_...) fails, counted, with its share in per cent. The
+    pairs are few, so the edges are cut to their ends first."""
+    ends = pairs.select("id").union(pairs.select("c_id")).distinct()
+    some = edges.join(F.broadcast(ends.withColumnRenamed("id", "from_id")), "from_id", "left_semi")  # two ids a pair at most
+    keyed = pairs.withColumn("a", F.least("id", "c_id")).withColumn("b", F.greatest("id", "c_id"))
+    keyed = keyed.join(undirected(some).withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    none = (F.size(F.map_keys("emotions")) == 0) & (F.size(F.map_keys("c_emotions")) == 0)
+    apart = F.abs(F.timestamp_diff("SECOND", F.col("created_at"), F.col("c_created_at")))
+    reason = F.when(F.col("linked"), "already linked").when(apart < 86400, "same day").when(none, "no emotions").when(A.chord_distance("emotions", "c_emotions") >= far, "too far").otherwise("edge")
+    out = T.counts(keyed.select(reason.alias("reason")), "reason")
+    return out.withColumn("share", F.col("n") * 100 / F.sum("n").over(Window.partitionBy(F.lit(1))))  # five rows
+
+
+def strengthened(new: DataFrame, memories: DataFrame, edges: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """What a cycle writes: the edges of ``new`` (emotion, id, c_id, dist, cos, weight, and the two times), and the degrees (id,
+    degree, self-loops once) of their ends once they are in. ``new`` is capped, so the edges are cut to its ids first."""
+    span = F.abs(F.datediff("c_date", "date")).cast("string")
+    three = lambda c: F.format_string("%.3f", F.col(c))
+    why = F.concat(F.col("emotion"), F.lit(" cross-temporal (edist="), three("dist"), F.lit(", sem="), three("cos"), F.lit(", span="), span, F.lit("d)"))
+    made = new.select(F.col("id").alias("from_id"), F.col("c_id").alias("to_id"), F.lit("resonance").alias("edge_type"), "weight", why.alias("rationale"), as_of.alias("created_at"))
+    ends = F.broadcast(made.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct())  # twice the cap at most
+    every = edges.select("from_id", "to_id").unionByName(made.select("from_id", "to_id"))
+    sides = every.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"))
+    return made, T.counts(sides.join(ends, "id", "left_semi"), "id").withColumnRenamed("n", "degree")

@@ -106,13 +106,15 @@ def imported(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def tagged(memories: DataFrame, rules: dict[tuple[str, str], tuple[str, ...]]) -> DataFrame:
     """Flag and source of untagged rows by the first rule whose words occur; tagged rows keep theirs."""
-    low = F.lower("raw_text")
-    flag = source = None
+    tag = None
     for (f, s), words in rules.items():
-        hit = any_of(low, words)
-        flag = F.when(hit, f) if flag is None else flag.when(hit, f)
-        source = F.when(hit, s) if source is None else source.when(hit, s)
-    return memories.withColumn("new_flag", F.coalesce("pattern_flag", flag)).withColumn("new_source", F.when(F.col("pattern_flag").isNull(), source).otherwise(F.col("pattern_source")))
+        pair = F.struct(F.lit(f).alias("flag"), F.lit(s).alias("source"))
+        hit = any_of(F.col("_low"), words)
+        tag = F.when(hit, pair) if tag is None else tag.when(hit, pair)
+    untagged = F.col("pattern_flag").isNull()
+    rows = memories.withColumn("_low", F.when(untagged, F.lower("raw_text"))).withColumn("_tag", tag)
+    rows = rows.withColumn("new_flag", F.coalesce("pattern_flag", "_tag.flag")).withColumn("new_source", F.when(untagged, F.col("_tag.source")).otherwise(F.col("pattern_source")))
+    return rows.drop("_low", "_tag")
 
 
 def pattern_context(flag: Column, source: Column, templates: dict[str, str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embed import hashing_vectors
 from . import tables as T
 
 
@@ -56,41 +57,110 @@ def capped_patterns(*parts: DataFrame, most: int = 10) -> DataFrame:
     return out.orderBy(F.round("confidence", 6).desc(), "pattern_type", "description").limit(most)
 
 
+def self_model_rules(drift: DataFrame, exchanges: DataFrame, growth: DataFrame, care: DataFrame) -> DataFrame:
+    """(trigger, priority, value, fires) of the four rules: mood drifting down, many aroused exchanges (n, high), all exchanges and
+    no journal, low mood of late. Each of the frames has one row at most."""
+    one = T.side_by_side(drift.select("drift", "alert"), exchanges.select("n", "high"), growth.select("exchange_share", "one_sided"), care.select("valence"))
+    col = F.col
+    rules = (("emotional_drift", 0.8, col("drift"), col("alert") & (col("drift") < 0)), ("arousal_alert", 0.7, col("high"), (col("n") > 10) & (col("high") > 0.4)),
+             ("reflection_needed", 0.6, col("exchange_share"), col("one_sided")), ("care_alert", 0.9, col("valence"), col("valence") < -0.15))
+    rows = F.array(*[F.struct(F.lit(k).alias("trigger"), F.lit(p).alias("priority"), v.alias("value"), _true(ok).alias("fires")) for k, p, v, ok in rules])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def backfilled(vectors: DataFrame, texts: DataFrame, dims: int = 64) -> DataFrame:
+    """``vectors`` (memory_id, embedding) with those made of ``texts`` (id, raw_text) in place of what they had."""
+    new = hashing_vectors(texts, "raw_text", dims).select(F.col("id").alias("memory_id"), "embedding")
+    return T.replaced(vectors, new, ["memory_id"])
+
+
 def new_items(items: DataFrame, pending: DataFrame) -> DataFrame:
     """Queue items whose trigger isn't pending yet."""
     return items.join(pending.select("trigger").distinct(), "trigger", "left_anti")
 
 
-def audit(memories: DataFrame, ring: DataFrame, edges: DataFrame, vectors_count: int | None = None) -> DataFrame:
-    """(check_id, metric, pass): the provenance, correction, false-memory, adversarial and drift checks that are data checks.
+def _share(part: Column, of: Column | None = None, digits: int = 1) -> Column:
+    """Rows of ``part`` in per cent of those of ``of`` (all rows without it); 0 where there are none."""
+    whole = T.count_if(of) if of is not None else F.count(F.lit(1))
+    return F.round(T.count_if(part) * 100 / F.greatest(whole, F.lit(1)), digits)
 
-    Memories are read once; checks over the ring and the edges are aggregates of their own.
-    """
-    from ..plans.scans import orphaned
 
-    n = F.greatest(F.count(F.lit(1)), F.lit(1))
-    pct = lambda c, of=None: F.round(T.count_if(c) * 100 / (F.greatest(T.count_if(of), F.lit(1)) if of is not None else n), 4)
-    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+def _true(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _memory_checks() -> dict[str, tuple[Column, Column | None]]:
+    """Checks over single memories: the figure, and whether it passes given columns ``m`` (the figure) and ``none`` (no rows of
+    the kind). Checks without a rule are for information and always pass."""
+    m, none = F.col("m"), F.col("none")
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    is_ = lambda c, v: _true(F.col(c) == v)
     teaching, inference = is_("source_type", "teaching"), is_("source_type", "inference")
-    correction = is_("memory_type", "correction")
-    uncertain = is_("status", "provisional") | F.col("status").isin("expired", "rejected")
-    metrics = {
-        "1a": (pct(F.col("source_type").isNotNull() & (F.col("source_type") != "")), lambda m: m >= 99), "1b": (pct(F.col("proposed_by").isNotNull() & (F.col("proposed_by") != "")), lambda m: m >= 99),
-        "1c": (T.count_if(teaching & is_("proposed_by", "system")), lambda m: m == 0), "1d": (T.count_if(inference & is_("proposed_by", "user")), lambda m: m == 0),
-        "1e": (T.count_if(teaching & F.col("memory_type").isin("insight", "pattern", "dream")), lambda m: m == 0), "1f": (T.count_if((F.col("access_count") > 5) & F.col("proposed_by").isNull()), lambda m: m == 0),
-        "2a": (T.count_if(correction), lambda m: m > 0), "2b": (T.count_if(F.col("status").isin("expired", "rejected")), lambda m: m > 0), "2c": (pct(correction & F.col("context").isNotNull(), correction), lambda m: m >= 80),
-        "3a": (T.count_if(teaching & is_("proposed_by", "assistant")), lambda m: m == 0), "3b": (pct(uncertain), lambda m: m >= 10), "3c": (pct(is_("status", "provisional") & F.col("review_after").isNotNull(), is_("status", "provisional")), lambda m: m >= 80),
-        "3d": (pct(F.col("confidence") >= 0.95), lambda m: m < 90), "3e": (T.count_if(F.col("needs_user_confirmation")), lambda m: F.lit(True)),
-        "4a": (T.count_if(F.col("counterweight_type").isNotNull()), lambda m: m > 0), "4b": (T.count_if(F.col("consent_level").isNotNull()), lambda m: m > 0), "4c": (T.count_if(F.col("pattern_flag").isNotNull()), lambda m: F.lit(True)),
-        "4d": (T.count_if(F.col("retrieval_weight") != 1.0), lambda m: m > 0), "5c": (F.count_distinct("access_count"), lambda m: m > 3), "5e": (F.count_distinct(F.date_format("created_at", "yyyy-MM")), lambda m: m > 1),
+    correction, provisional = is_("memory_type", "correction"), is_("status", "provisional")
+    often = F.col("access_count") > 5
+    return {
+        "1a": (_share(filled("source_type"), digits=2), m >= 99),
+        "1b": (_share(filled("proposed_by"), digits=2), m >= 99),
+        "1c": (T.count_if(teaching & is_("proposed_by", "system")), m == 0),
+        "1d": (T.count_if(inference & is_("proposed_by", "user")), m == 0),
+        "1e": (T.count_if(teaching & F.col("memory_type").isin("insight", "pattern", "dream")), m == 0),
+        "1f": (T.count_if(often & (F.col("source_type").isNull() | F.col("proposed_by").isNull())), m == 0),
+        "2a": (T.count_if(correction), m > 0),
+        "2b": (T.count_if(F.col("status").isin("expired", "rejected")), m > 0),
+        "2c": (_share(correction & filled("context"), correction), m >= 80),
+        "3a": (T.count_if(teaching & is_("proposed_by", "assistant")), m == 0),
+        "3b": (_share(inference & ~_true(F.col("confidence") >= 1.0), inference), m >= 10),
+        "3c": (_share(provisional & F.col("review_after").isNotNull(), provisional), (m >= 80) | none),
+        "3d": (_share(inference & _true(F.col("confidence") >= 0.95), inference), m < 90),
+        "3e": (T.count_if(F.col("needs_user_confirmation")), None),
+        "4a": (T.count_if(F.col("counterweight_type").isNotNull()), m > 0),
+        "4b": (T.count_if(filled("consent_level")), m > 0),
+        "4c": (T.count_if(is_("consent_level", "low") & F.col("is_core")), None),
+        "4d": (T.count_if(F.col("retrieval_weight") != 1.0), m > 0),
     }
-    one = memories.agg(*[m.cast("double").alias(k) for k, (m, _) in metrics.items()])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(k).alias("metric"), ok(F.col(k)).alias("pass")) for k, (_, ok) in metrics.items()])).alias("r")).select("r.*")
-    gone = memories.where("status IN ('expired', 'rejected')").select(F.col("id").alias("memory_id"))
-    count = lambda k, df, ok: df.agg(F.count(F.lit(1)).cast("double").alias("metric")).select(F.lit(k).alias("check_id"), "metric", ok(F.col("metric")).alias("pass"))
-    corrections = memories.where(correction).select(F.col("id").alias("from_id"))
-    return (rows.union(count("2d", ring.join(gone, "memory_id", "left_semi"), lambda m: m == 0)).union(count("2e", orphaned(memories, edges).select("to_id").distinct(), lambda m: m == 0))
-            .union(count("2f", edges.join(corrections, "from_id", "left_semi"), lambda m: m > 0)))
+
+
+def audit(memories: DataFrame, ring: DataFrame, edges: DataFrame, sleep_log: DataFrame, as_of: Column) -> DataFrame:
+    """(check_id, metric, pass): the provenance, correction, false-memory, adversarial and drift checks that are data checks.
+
+    Memories are read once for the checks of single rows; those over the ring, the edges, the sleep log and months are
+    aggregates of their own.
+    """
+    checks = _memory_checks()
+    durable, access = F.col("status") == "durable", F.when(F.col("status") == "durable", F.col("access_count"))
+    provisionals, corrections = T.count_if(F.col("status") == "provisional"), T.count_if(F.col("memory_type") == "correction")
+    one = memories.agg(*[c.cast("double").alias(k) for k, (c, _) in checks.items()], provisionals.alias("_provisionals"),
+                       F.count_distinct(access).alias("_values"), (F.max(access) > F.min(access)).alias("_varied"))
+    row = lambda k, metric, ok: F.struct(F.lit(k).alias("check_id"), metric.cast("double").alias("metric"), F.coalesce(ok, F.lit(False)).alias("pass"))
+    each = [F.struct(F.lit(k).alias("check_id"), F.col(k).alias("m"), (F.col("_provisionals") == 0).alias("none"), F.lit(ok is None).alias("info")) for k, (_, ok) in checks.items()]
+    passes = F.lit(False)
+    for k, (_, ok) in checks.items():
+        if ok is not None:
+            passes = F.when(F.col("check_id") == k, ok).otherwise(passes)
+    single = one.select(F.explode(F.array(*each)).alias("r")).select("r.*").select("check_id", F.col("m").alias("metric"), (F.col("info") | passes).alias("pass"))
+    varied = one.select(row("5c", F.col("_values"), F.col("_varied") & (F.col("_values") > 3)).alias("r")).select("r.*")
+
+    n = F.count(F.lit(1))
+    gone = memories.where("status = 'expired'").select(F.col("id").alias("memory_id"))
+    stale = ring.join(gone, "memory_id", "left_semi").agg(n.alias("n")).select(row("2d", F.col("n"), F.col("n") == 0).alias("r")).select("r.*")
+    orphans = orphaned(memories, edges).select("to_id").distinct().agg(n.alias("n")).select(row("2e", F.col("n"), F.col("n") == 0).alias("r")).select("r.*")
+    known = memories.where("memory_type = 'correction'").select(F.col("id").alias("from_id"))
+    linked = T.side_by_side(edges.join(known, "from_id", "left_semi").agg(n.alias("n")), memories.agg(corrections.alias("all")))
+    linked = linked.select(row("2f", F.col("n"), (F.col("n") > 0) | (F.col("all") == 0)).alias("r")).select("r.*")
+    week = (F.col("cycle_start") > as_of - F.make_dt_interval(F.lit(7))) & (F.col("edges_created") > 0)
+    slept = sleep_log.agg(T.count_if(week).alias("recent"), n.alias("all"))
+    slept = slept.select(row("5d", F.col("recent"), (F.col("recent") > 0) | (F.col("all") > 0)).alias("r")).select("r.*")
+    months = T.counts(memories.where(durable).select(F.date_format("created_at", "yyyy-MM").alias("month")), "month")
+    era = months.agg(F.max("n").alias("most"), F.sum("n").alias("all"), n.alias("months")).withColumn("m", F.col("most") * 100 / F.col("all"))
+    era = era.select(row("5e", F.round("m", 1), (F.col("months") > 1) & (F.col("m") < 80)).alias("r")).select("r.*")
+    return single.union(varied).union(stale).union(orphans).union(linked).union(slept).union(era)
+
+
+def orphaned(memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges from a teaching that is expired or rejected to a durable inference."""
+    a = memories.where("source_type = 'teaching' AND status IN ('expired', 'rejected')").select(F.col("id").alias("from_id"))
+    b = memories.where("source_type = 'inference' AND status = 'durable'").select(F.col("id").alias("to_id"))
+    return edges.join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
 
 
 def schedule(cycles: int, every: dict[str, int]) -> list[tuple[int, list[str]]]:

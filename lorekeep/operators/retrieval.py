@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import affect as A
 
 FILTERABLE = ("memory_type", "source_type", "status")
-#: Memory types that may stand in for counterweights.
+# Memory types that may stand in for counterweights.
 FALLBACK = ("breakthrough", "promise", "identity")
 
 
@@ -106,9 +106,11 @@ def counterweights(memories: DataFrame, seen: DataFrame, seed: int = 7, strict:
     return ranked.where((F.col("stage") == 0) | ((F.col("_found") < 2) & (F.col("_n") <= 3))).select("id", "stage")
 
 
-def keyword_search(memories: DataFrame, words: str, k: int = 10) -> DataFrame:
-    """Rows that hold any word of two or more characters, by how many they hold."""
-    parts = [w for w in words.lower().split() if len(w) >= 2]
+def keyword_search(memories: DataFrame, words: str, k: int = 10, include_provisional: bool = False) -> DataFrame:
+    """Durable rows (with ``include_provisional`` all that are neither rejected nor expired) that hold any word of two or more
+    characters, by how many they hold; without such words, rows that hold the whole query."""
+    parts = [w for w in words.lower().split() if len(w) >= 2] or [words.strip().lower()]
+    memories = memories.where("status NOT IN ('rejected', 'expired')" if include_provisional else "status = 'durable'")
     hits = sum((F.when(A.holds("raw_text", w), 1).otherwise(0) for w in parts), F.lit(0))
     return memories.withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id").limit(k)
 
@@ -124,6 +126,15 @@ def cheap_scores(memories: DataFrame, affect: DataFrame, as_of: Column, state, t
     return m.withColumn("cheap", total * A.status_weight("status") * F.when(F.col("is_core"), 1.3).otherwise(1.0))
 
 
+def timeline(journals: DataFrame, exchanges: DataFrame, most: int = 20) -> DataFrame:
+    """(id, kind, shown_at) of journal entries and the first ``most`` exchanges, rejected ones left out, in order of time: entries
+    by when they were written, if they say so (``written_at``), exchanges by when they were made."""
+    stands = "status <> 'rejected'"
+    j = journals.where(stands).select("id", F.lit("journal").alias("kind"), F.coalesce("written_at", "created_at").alias("shown_at"))
+    e = exchanges.where(stands).orderBy("created_at", "id").limit(most).select("id", F.lit("exchange").alias("kind"), F.col("created_at").alias("shown_at"))
+    return j.unionByName(e).orderBy("shown_at", "kind", "id")
+
+
 def resonant(entities: DataFrame, state: tuple[float, float, float, dict[str, float]], below: float = 0.6) -> DataFrame:
     """Entities (people, songs) whose affect profile is nearer to a state than ``below``; empty profiles are left out."""
     v, a, d, c = state

@@ -52,8 +52,13 @@ def deltas(daily: DataFrame, value: str) -> DataFrame:
     return daily.where("memory_count > 0").withColumn("delta", F.col(value) - F.lag(value).over(in_order())).where("delta IS NOT NULL")
 
 
-def monotone_runs(daily: DataFrame, value: str, least: int = 3) -> DataFrame:
-    """Runs of ``least`` or more deltas of one sign (zero counts as falling): gaps and islands."""
+def monotone_runs(daily: DataFrame, value: str, least: int = 3, since: str | None = None, days: int = 5) -> DataFrame:
+    """Runs of ``least`` or more deltas of one sign (zero counts as falling) from the date ``since`` on: gaps and islands. None
+    if there are fewer than ``days`` days."""
+    daily = daily.where("memory_count > 0")
+    if since:
+        daily = daily.where(F.col("date") >= F.lit(since).cast("date"))
+    daily = daily.withColumn("_days", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where(F.col("_days") >= days).drop("_days")  # a row a day
     d = deltas(daily, value).withColumn("rising", F.col("delta") > 0)
     by_sign = Window.partitionBy("rising").orderBy("date")
     d = d.withColumn("island", F.row_number().over(in_order()) - F.row_number().over(by_sign))
@@ -95,6 +100,21 @@ def tendencies(rows: DataFrame) -> DataFrame:
     return two.union(strong.select(F.concat(F.lit("emotion "), "emotion"), "ratio", F.lit(None).cast("boolean")))
 
 
+def growth(memories: DataFrame, edges: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """One row: edges and insights in all and of the last ``days``; of the durable memories of these days the share of exchanges,
+    whether they are nearly all of it without a journal, whether journals and teachings are there too, and the number of kinds."""
+    recent = F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))
+    insight = (F.col("memory_type") == "insight") & (F.col("status") != "rejected")
+    lately = recent & (F.col("status") == "durable")
+    kind = lambda k: T.count_if(lately & (F.col("source_type") == k))
+    m = memories.agg(T.count_if(insight).alias("insights"), T.count_if(insight & recent).alias("new_insights"), T.count_if(lately).alias("_all"), kind("exchange").alias("_exchanges"),
+                     kind("journal").alias("_journals"), kind("teaching").alias("_teachings"), F.count_distinct(F.when(lately, F.col("source_type"))).alias("kinds"))
+    m = m.withColumn("exchange_share", F.col("_exchanges") / F.when(F.col("_all") > 0, F.col("_all")))
+    one_sided = F.coalesce((F.col("exchange_share") > 0.9) & (F.col("_journals") == 0), F.lit(False))
+    m = m.withColumn("one_sided", one_sided).withColumn("healthy", ~F.col("one_sided") & (F.col("_journals") > 0) & (F.col("_teachings") > 0))
+    return T.side_by_side(m.select("insights", "new_insights", "exchange_share", "one_sided", "healthy", "kinds"), edges.agg(F.count(F.lit(1)).alias("edges"), T.count_if(recent).alias("new_edges")))
+
+
 def trend(previous, current):
     """Label of a value against the one before it."""
     step = current - previous

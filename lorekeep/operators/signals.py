@@ -11,13 +11,18 @@ from .replay import replayed
 
 #: Fixed values of the rules.
 EMITS, WAGGLES, QUORUM, SUPPRESS, RIPE, FAINT = 10, 20, 3, 2, 3, 0.05
+#: Reasons in a row of ``stop_reasons``.
+REASONS = 50
 
 
 def active_emits(events: DataFrame, cap: int = EMITS) -> DataFrame:
     """The last emit of each (key, signal); of these the newest ``cap``."""
-    e = events.where("kind = 'emit'")
-    last = e.groupBy("key", "signal").agg(F.max_by(F.struct("event_id", "intensity", "note", "ts", "expires_at"), F.struct("ts", "event_id")).alias("r")).select("key", "signal", "r.*")
-    return last.orderBy(F.col("ts").desc(), "event_id").limit(cap)
+    return last_emits(events).orderBy(F.col("ts").desc(), "event_id").limit(cap)
+
+
+def last_emits(events: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("event_id", "intensity", "note", "ts", "expires_at"), F.struct("ts", "event_id"))
+    return events.where("kind = 'emit'").groupBy("key", "signal").agg(last.alias("r")).select("key", "signal", "r.*")
 
 
 def read_emits(emits: DataFrame, as_of: Column, faint: float = FAINT, include_decayed: bool = False) -> DataFrame:
@@ -27,22 +32,46 @@ def read_emits(emits: DataFrame, as_of: Column, faint: float = FAINT, include_de
 
 
 def waggles(events: DataFrame, cap: int = WAGGLES) -> DataFrame:
-    """Per topic: dances, the largest intensity, the newest rationale that isn't null, and whether there is a quorum. All with a
-    quorum stay, of the others the newest ``cap``."""
+    """The active topics. ``cap`` holds for all of them together: past it the oldest topics without a quorum retire, those
+    with one never do."""
+    w = danced(events)
+    first = w.orderBy(F.col("quorum").desc(), F.col("last").desc(), "key").limit(cap)  # fills up with the newest others
+    return w.where("quorum").unionByName(first.where("NOT quorum"))
+
+
+def retired(events: DataFrame, emits: int = EMITS, topics: int = WAGGLES) -> DataFrame:
+    """(kind, key, event_id) of what the caps retire: emits that were the last of their kind, and topics without a quorum."""
+    last = last_emits(events)
+    newest = last.orderBy(F.col("ts").desc(), "event_id").limit(emits).select("event_id")
+    old = last.join(F.broadcast(newest), "event_id", "left_anti").select(F.lit("emit").alias("kind"), "key", "event_id")  # ``emits`` rows
+    stay = waggles(events, topics).where("NOT quorum").select("key")  # ``topics`` rows at most
+    idle = danced(events).where("NOT quorum").join(F.broadcast(stay), "key", "left_anti")
+    return old.union(idle.select(F.lit("waggle"), "key", F.lit(None).cast("bigint")))
+
+
+def danced(events: DataFrame) -> DataFrame:
+    """Per topic: dances, the largest intensity, the newest rationale that isn't null, and whether there is a quorum."""
     w = events.where("kind = 'waggle'").groupBy("key").agg(
         F.count(F.lit(1)).alias("dances"), F.max("intensity").alias("intensity"), F.max_by("note", F.when(F.col("note").isNotNull(), F.struct("ts", "event_id"))).alias("rationale"), F.max("ts").alias("last"))
-    w = w.withColumn("quorum", F.col("dances") >= QUORUM)
-    few = w.where("NOT quorum").orderBy(F.col("last").desc(), "key").limit(cap)
-    return w.where("quorum").unionByName(few)
+    return w.withColumn("quorum", F.col("dances") >= QUORUM)
 
 
 def stops(events: DataFrame) -> DataFrame:
-    """Per pattern: stops, their reasons in order, and whether it is suppressed."""
-    ordered = F.sort_array(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("ts", "event_id", "note"))))
-    s = events.where("kind = 'stop'").groupBy("key").agg(F.count(F.lit(1)).alias("stops"), F.array_join(F.transform(ordered, lambda x: x["note"]), " | ").alias("reasons"), F.max("ts").alias("last"))
+    """Per pattern: stops, the last one's time, and whether it is suppressed. Counts combine before they shuffle."""
+    s = events.where("kind = 'stop'").groupBy("key").agg(F.count(F.lit(1)).alias("stops"), F.max("ts").alias("last"))
     return s.withColumn("suppressed", F.col("stops") >= SUPPRESS)
 
 
+def stop_reasons(events: DataFrame, page: int = REASONS) -> DataFrame:
+    """(key, day, page, reasons): the reasons of each pattern and day in order, joined ``page`` at a time, so that no row grows
+    with the history; pages in order give all of them."""
+    notes = events.where("kind = 'stop' AND note IS NOT NULL").select("key", F.to_date("ts").alias("day"), "ts", "event_id", "note")
+    nth = F.row_number().over(Window.partitionBy("key", "day").orderBy("ts", "event_id"))
+    pages = notes.withColumn("page", F.floor((nth - 1) / page)).groupBy("key", "day", "page")
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "note")))
+    return pages.agg(F.array_join(F.transform(ordered, lambda x: x["note"]), " | ").alias("reasons"))
+
+
 def stop_weights(events: DataFrame, memories: DataFrame) -> DataFrame:
     """Retrieval weights after stops: 0.3 less for each from the second of a pattern on, to a floor of 0.1."""
     w = Window.partitionBy("key").orderBy("ts", "event_id")
@@ -118,16 +147,38 @@ def rate_limited(requests: DataFrame, limits: tuple[tuple[int, int], ...]) -> Da
     limit, as no state reaches across, and the stretches are replayed apart.
     """
     longest = max(s for s, _ in limits)
-    w = Window.partitionBy("identity").orderBy("ts", "event_id")
-    gap = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) >= longest * 1_000_000, F.lit(True))
-    cut = requests.select("identity", "ts", "event_id").withColumn("stretch", F.sum(gap.cast("bigint")).over(w))
+    span = longest * 1_000_000
+    near = spanned(requests.select("identity", "ts", "event_id"), "identity", span)
+    before = F.lag("_at").over(Window.partitionBy("identity", "_span").orderBy("_at", "event_id"))
+    near = near.withColumn("_gap", F.coalesce(F.col("_at") - before >= span, F.lit(True)).cast("bigint")).where("_own")
+    # stretches are numbered by the gaps up to a row: those of earlier spans, summed up per span, and those within its own
+    gaps = near.groupBy("identity", "_span").agg(F.sum("_gap").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("identity").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))  # a row a span
+    gaps = gaps.select("identity", "_span", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.sum("_gap").over(Window.partitionBy("identity", "_span").orderBy("_at", "event_id"))
+    cut = near.withColumn("_within", within).join(gaps, ["identity", "_span"]).select("identity", "ts", "event_id", (F.col("_before") + F.col("_within")).alias("stretch"))
     return replayed(cut, ["identity", "stretch"], ["ts", "event_id"], lambda: _Admission(limits), "event_id bigint, identity bigint, allowed boolean")
 
 
+def spanned(rows: DataFrame, key: str, span: int) -> DataFrame:
+    """``rows`` (key, ts, ...) dealt by key and span of ``span`` microseconds, so that no key's history is one group: each row
+    stands in its own span (``_own``) and, for what looks back, in the next. ``_at`` is its time in microseconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    both = F.array(F.struct(F.lit(0).alias("d"), F.lit(True).alias("own")), F.struct(F.lit(1).alias("d"), F.lit(False).alias("own")))
+    out = rows.withColumn("_at", at).withColumn("_s", F.explode(both))
+    return out.withColumn("_span", F.floor(F.col("_at") / span) + F.col("_s.d")).withColumn("_own", F.col("_s.own")).drop("_s")
+
+
+def recent_counts(rows: DataFrame, seconds: int) -> DataFrame:
+    """``rows`` (identity, ts, ...) with ``recent``: the identity's rows of the last ``seconds``, itself included."""
+    w = Window.partitionBy("identity", "_span").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    near = spanned(rows, "identity", seconds * 1_000_000)
+    return near.withColumn("recent", F.count(F.lit(1)).over(w)).where("_own").drop("_at", "_span", "_own")
+
+
 def cooldowns(log: DataFrame, failures: int = 10, seconds: int = 600, rest: int = 300) -> DataFrame:
     """Times from which an identity must rest: at its ``failures``-th refusal within ``seconds``."""
-    w = Window.partitionBy("identity").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    bad = log.where("response_code >= 400").withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("recent") >= failures)
+    bad = recent_counts(log.where("response_code >= 400"), seconds).where(F.col("recent") >= failures)
     return bad.select("identity", "event_id", "recent", (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(rest))).alias("until"))
 
 
@@ -139,6 +190,13 @@ def ring_after(pushes: DataFrame, capacity: int = 30, start: float = 0.5, step:
     return r.orderBy(F.col("last_activated_at").desc(), "memory_id").limit(capacity)
 
 
+def snapshot(state: DataFrame, as_of: Column) -> DataFrame:
+    """A row of the state log from ``hive_state``: what is kept of it, its counts as JSON."""
+    counts = F.to_json(F.struct("emits", "waggles", "quorums", "patterns", "suppressed", "essences", "ready"))
+    return state.select(as_of.alias("measured_at"), F.col("ratio").alias("waggle_stop_ratio"), F.col("strongest").alias("dominant_signal"),
+                        F.col("temperature").alias("hive_temperature"), F.col("criticality").alias("criticality_score"), counts.alias("notes"))
+
+
 class _Ring:
     """``capacity`` slots of (activation, last push)."""
 

@@ -20,6 +20,11 @@ def newest(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), tie).limit(n)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, which the caller bounds, as a literal table: what joins them several times doesn't compute them again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

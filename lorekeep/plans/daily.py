@@ -12,7 +12,7 @@ from ..sources import bridge as B
 from .catalog import query
 from .oracle import AS_OF, sql
 
-TODAY = "2024-01-31"
+TODAY, SINCE = "2024-01-31", "2023-11-02"  # and ninety days before
 r6 = lambda c: F.round(c, 6).alias(c)
 _ROWS = "SELECT m.*, created_at::DATE AS date, valence, arousal, e1, w1, e2, w2 FROM memories m LEFT JOIN latest a ON a.memory_id = m.id"
 _DAILY = "SELECT date, count(*) AS memory_count, avg(valence) AS valence_mean, avg(arousal) AS arousal_mean FROM affected GROUP BY 1"
@@ -56,7 +56,22 @@ def a9(spark, sf_dir):
     return D.drift(daily(spark, sf_dir), "valence_mean", TODAY)
 
 
-_EXCHANGES = f"SELECT * FROM affected WHERE source_type = 'exchange' AND date >= DATE '{TODAY}' - 30 ORDER BY created_at DESC, id LIMIT 200"
+_EXCHANGES = f"SELECT * FROM affected WHERE source_type = 'exchange' AND status = 'durable' AND created_at >= {AS_OF} - INTERVAL 30 DAY ORDER BY created_at DESC, id LIMIT 200"
+
+
+def recent_exchanges(spark, sf_dir):
+    """The last 200 durable exchanges of 30 days."""
+    some = rows(spark, sf_dir).where(f"source_type = 'exchange' AND status = 'durable' AND created_at >= TIMESTAMP_NTZ '{TODAY} 00:00:00' - INTERVAL 30 DAYS")
+    return some.orderBy(F.col("created_at").desc(), "id").limit(200)
+
+
+_CARE = f"SELECT avg(valence) AS valence FROM affected WHERE source_type = 'exchange' AND status = 'durable' AND created_at >= {AS_OF} - INTERVAL 3 DAY"
+
+
+def care(spark, sf_dir):
+    """Mean valence of the durable exchanges of three days."""
+    some = rows(spark, sf_dir).where(f"source_type = 'exchange' AND status = 'durable' AND created_at >= TIMESTAMP_NTZ '{TODAY} 00:00:00' - INTERVAL 3 DAYS")
+    return some.agg(F.avg("valence").alias("valence"))
 
 
 @query("a10_tendencies", sql("memories latest_chords", """SELECT metric, round(ratio, 6) AS ratio, alert FROM (
@@ -65,26 +80,29 @@ _EXCHANGES = f"SELECT * FROM affected WHERE source_type = 'exchange' AND date >=
     UNION ALL (SELECT 'emotion ' || emotion, count(*) / (SELECT count(*) FROM picked), NULL, (SELECT count(*) FROM picked) FROM picked s JOIN latest_chords c ON c.memory_id = s.id WHERE w > 0.3 GROUP BY emotion ORDER BY count(*) DESC, emotion LIMIT 5))
     WHERE n >= 5 AND (metric NOT LIKE 'emotion%' OR ratio > 0.3)""", affected=_ROWS, picked=_EXCHANGES))
 def a10(spark, sf_dir):
-    """Of the last 200 exchanges of 30 days."""
-    some = rows(spark, sf_dir).where(f"source_type = 'exchange' AND date >= date_sub(DATE '{TODAY}', 30)").orderBy(F.col("created_at").desc(), "id").limit(200)
-    return D.tendencies(some).select("metric", r6("ratio"), "alert")
+    return D.tendencies(recent_exchanges(spark, sf_dir)).select("metric", r6("ratio"), "alert")
 
 
-@query("a11_growth", sql("memories edges", f"""SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE created_at >= {AS_OF} - INTERVAL 7 DAY) AS new_edges, count(*) FILTER (memory_type = 'insight') AS insights,
-    count(*) FILTER (memory_type = 'insight' AND created_at >= {AS_OF} - INTERVAL 7 DAY) AS new_insights, round(avg((source_type = 'exchange')::INT), 6) AS exchange_share, avg((source_type = 'exchange')::INT) > 0.9 AND count(*) FILTER (source_type = 'journal') = 0 AS one_sided FROM memories"""))
+_LATELY = f"SELECT * FROM memories WHERE status = 'durable' AND created_at >= {AS_OF} - INTERVAL 7 DAY"
+_GROWTH = f"""SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges WHERE created_at >= {AS_OF} - INTERVAL 7 DAY) AS new_edges,
+    (SELECT count(*) FROM memories WHERE memory_type = 'insight' AND status <> 'rejected') AS insights,
+    (SELECT count(*) FROM memories WHERE memory_type = 'insight' AND status <> 'rejected' AND created_at >= {AS_OF} - INTERVAL 7 DAY) AS new_insights, *, NOT one_sided AND has_journal AND has_teaching AS healthy FROM (
+    SELECT avg((source_type = 'exchange')::INT) AS exchange_share, coalesce(avg((source_type = 'exchange')::INT) > 0.9, false) AND count(*) FILTER (source_type = 'journal') = 0 AS one_sided,
+    count(*) FILTER (source_type = 'journal') > 0 AS has_journal, count(*) FILTER (source_type = 'teaching') > 0 AS has_teaching, count(DISTINCT source_type) AS kinds FROM lately)"""
+
+
+def growth(spark, sf_dir):
+    return D.growth(B.memories(spark, sf_dir), B.edges(spark, sf_dir), F.lit(f"{TODAY} 00:00:00").cast("timestamp_ntz"))
+
+
+@query("a11_growth", sql("memories edges", "SELECT edges, new_edges, insights, new_insights, round(exchange_share, 6) AS exchange_share, one_sided, healthy, kinds FROM growth", lately=_LATELY, growth=_GROWTH))
 def a11(spark, sf_dir):
-    week = F.expr("created_at >= TIMESTAMP_NTZ '2024-01-24 00:00:00'")
-    share = F.avg((F.col("source_type") == "exchange").cast("int"))
-    m = B.memories(spark, sf_dir).agg(T.count_if(F.col("memory_type") == "insight").alias("insights"), T.count_if((F.col("memory_type") == "insight") & week).alias("new_insights"), F.round(share, 6).alias("exchange_share"),
-                                      ((share > 0.9) & (T.count_if(F.col("source_type") == "journal") == 0)).alias("one_sided"))
-    e = B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges"), T.count_if(week).alias("new_edges"))
-    return T.side_by_side(m, e)
+    return growth(spark, sf_dir).withColumn("exchange_share", F.round("exchange_share", 6))
 
 
-@query("a12_care_alert", sql("memories latest", f"SELECT round(avg(valence), 6) AS valence, avg(valence) < -0.15 AS alert FROM affected WHERE source_type = 'exchange' AND created_at >= {AS_OF} - INTERVAL 3 DAY", affected=_ROWS))
+@query("a12_care_alert", sql("memories latest", "SELECT round(valence, 6) AS valence, valence < -0.15 AS alert FROM care", affected=_ROWS, care=_CARE))
 def a12(spark, sf_dir):
-    some = rows(spark, sf_dir).where("source_type = 'exchange' AND created_at >= TIMESTAMP_NTZ '2024-01-28 00:00:00'")
-    return some.agg(F.round(F.avg("valence"), 6).alias("valence"), (F.avg("valence") < -0.15).alias("alert"))
+    return care(spark, sf_dir).select(r6("valence"), (F.col("valence") < -0.15).alias("alert"))
 
 
 @query("w1_daily_deltas", sql("memories latest", "SELECT date, round(delta, 6) AS delta FROM (SELECT date, valence_mean - lag(valence_mean) OVER (ORDER BY date) AS delta FROM daily WHERE memory_count > 0) WHERE delta IS NOT NULL", affected=_ROWS, daily=_DAILY))
@@ -93,12 +111,18 @@ def w1(spark, sf_dir):
 
 
 _RUNS = """SELECT rising, min(date) AS start, max(date) AS "end", count(*) AS length, round(sum(delta), 6) AS shift, round(least(0.8, 0.3 + 0.08 * count(*) + 0.3 * abs(sum(delta))), 6) AS confidence FROM (
-    SELECT *, delta > 0 AS rising, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY delta > 0 ORDER BY date) AS island FROM (SELECT date, {v} - lag({v}) OVER (ORDER BY date) AS delta FROM daily WHERE memory_count > 0) WHERE delta IS NOT NULL) GROUP BY rising, island HAVING count(*) >= {n}"""
+    SELECT *, delta > 0 AS rising, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY delta > 0 ORDER BY date) AS island FROM (SELECT date, {v} - lag({v}) OVER (ORDER BY date) AS delta FROM days) WHERE delta IS NOT NULL) GROUP BY rising, island HAVING count(*) >= {n}"""
+# ninety days, five of them at least
+_DAYS = f"SELECT * FROM (SELECT *, count(*) OVER () AS n FROM daily WHERE memory_count > 0 AND date >= DATE '{TODAY}' - 90) WHERE n >= 5"
 
 
-@query("w2_monotone_runs", sql("memories latest", _RUNS.format(v="arousal_mean", n=2), affected=_ROWS, daily=_DAILY))
+@query("w2_monotone_runs", sql("memories latest", _RUNS.format(v="valence_mean", n=3), affected=_ROWS, daily=_DAILY, days=_DAYS))
 def w2(spark, sf_dir):
-    return D.monotone_runs(daily(spark, sf_dir), "arousal_mean", 2).select("rising", "start", "end", "length", r6("shift"), r6("confidence"))
+    return runs(spark, sf_dir).select("rising", "start", "end", "length", r6("shift"), r6("confidence"))
+
+
+def runs(spark, sf_dir):
+    return D.monotone_runs(daily(spark, sf_dir), "valence_mean", 3, SINCE)
 
 
 _DOMINANT = "SELECT date, emotion FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(total, 6) DESC, emotion) AS rank FROM sums) WHERE rank = 1"

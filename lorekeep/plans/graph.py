@@ -56,22 +56,22 @@ def k1(spark, sf_dir):
     return new.select("emotion", "id", "c_id", r6("dist"), r6("cos"), r6("weight"))
 
 
-@query("a21_rejection_reasons", sql("memories latest vectors", f"""SELECT CASE WHEN x.date = y.date THEN 'same day' WHEN abs(datediff('microsecond', x.created_at, y.created_at)) < 86400000000 THEN 'too close in time' WHEN {CHORD} >= 0.4 THEN 'too far'
-    WHEN list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) < 0.25 THEN 'not alike' ELSE 'edge' END AS reason, count(*) AS n FROM newest x JOIN newest y ON x.emotion = y.emotion AND x.n < y.n JOIN vectors p ON p.memory_id = x.id JOIN vectors q ON q.memory_id = y.id GROUP BY 1""",
-    affected=_ROWS, durable=_DURABLE, newest="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM durable WHERE emotion IS NOT NULL) WHERE n <= 40"))
+@query("k1b_refreshed_degrees", sql("memories latest vectors edges", """SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM every UNION ALL SELECT to_id FROM every WHERE from_id <> to_id)
+    WHERE id IN (SELECT id FROM new UNION SELECT c_id FROM new) GROUP BY 1""", **_K1, new="SELECT * FROM pairs WHERE dist < 0.4 AND cos >= 0.25 ORDER BY emotion, id, c_id LIMIT 200", every="SELECT from_id, to_id FROM edges UNION ALL SELECT id, c_id FROM new"))
+def k1b(spark, sf_dir):
+    """Degrees of the memories that the cycle links, once its edges are in."""
+    d, e = durable(spark, sf_dir), B.edges(spark, sf_dir)
+    return G.strengthened(G.consolidated(d, B.embeddings(spark, sf_dir), e, 500), d, e, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))[1]
+
+
+@query("a21_rejection_reasons", sql("memories latest edges", f"""SELECT reason, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS share FROM (
+    SELECT CASE WHEN {_LINKED} THEN 'already linked' WHEN abs(datediff('microsecond', x.created_at, y.created_at)) < 86400000000 THEN 'same day' WHEN {CHORD} >= 0.4 THEN 'too far' ELSE 'edge' END AS reason
+    FROM first x JOIN first y ON x.emotion = y.emotion AND y.n > x.n AND y.n <= x.n + 7) GROUP BY 1""",
+    affected=_ROWS, durable=_DURABLE, linked=_LINKS, first="SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY id) AS n FROM (SELECT * FROM durable ORDER BY id LIMIT 1000) WHERE emotion IS NOT NULL"))
 def a21(spark, sf_dir):
-    """Among the forty newest of each emotion."""
-    newest = newest_by_emotion(spark, sf_dir, 40)
-    v = B.embeddings(spark, sf_dir).withColumnRenamed("memory_id", "id")
-    newest = newest.join(v, "id").select("id", "emotion", "n", "date", "created_at", "emotions", "embedding")
-    other = newest.select("emotion", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "date", "created_at", "emotions", "embedding")))
-    return G.rejection_reasons(newest.join(other, "emotion").where("n < c_n"))
-
-
-def newest_by_emotion(spark, sf_dir, n):
-    d = rows(spark, sf_dir).where("status = 'durable'").withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
-    w = Window.partitionBy("emotion").orderBy(F.col("created_at").desc(), "id")
-    return d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+    """Of the first thousand durable memories, pairs up to seven ranks apart in an emotion."""
+    pairs = G.banded(rows(spark, sf_dir).where("status = 'durable'"))
+    return G.rejection_reasons(pairs, B.edges(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
 _NEWEST = lambda n: f"SELECT * FROM durable ORDER BY created_at DESC, id LIMIT {n}"
@@ -79,10 +79,10 @@ _NEWEST = lambda n: f"SELECT * FROM durable ORDER BY created_at DESC, id LIMIT {
 
 @query("k2_neighbour_band", sql("memories latest edges", f"""SELECT emotion, id, c_id, round(dist, 6) AS dist, round(greatest(0.3, 1 - dist), 6) AS weight FROM (SELECT x.emotion, x.id, y.id AS c_id, {CHORD} AS dist FROM ranked x JOIN ranked y ON x.emotion = y.emotion AND y.n > x.n AND y.n <= x.n + 4
     AND abs(datediff('microsecond', x.created_at, y.created_at)) >= 86400000000 WHERE NOT {_LINKED}) WHERE dist < 0.3""", affected=_ROWS, linked=_LINKS, durable=_DURABLE,
-    ranked="SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM (SELECT * FROM durable ORDER BY md5(id || '|7') LIMIT 1000) WHERE emotion IS NOT NULL"))
+    ranked=f"SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM ({_NEWEST(1000)}) WHERE emotion IS NOT NULL"))
 def k2(spark, sf_dir):
-    """Over a thousand memories in hash order, so that neighbours lie days apart."""
-    d = rows(spark, sf_dir).where("status = 'durable'").orderBy(G.shuffled_order()).limit(1000)
+    """Over the newest thousand memories."""
+    d = rows(spark, sf_dir).where("status = 'durable'").orderBy(F.col("created_at").desc(), "id").limit(1000)
     d = d.withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
     return G.neighbour_band(d, B.edges(spark, sf_dir)).select("emotion", "id", "c_id", r6("dist"), r6("weight"))
 

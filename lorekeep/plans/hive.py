@@ -16,9 +16,12 @@ from .retrieval import as_of
 
 _EMITS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, signal ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n = 1 ORDER BY ts DESC, event_id LIMIT 10"
 _NOW = f"round(intensity * exp(-0.693 * datediff('microsecond', ts, {AS_OF}) / 1e6 / 3600 / 24), 4)"
-_WAGGLES = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quorum ORDER BY last DESC, key) AS n FROM (SELECT key, count(*) AS dances, max(intensity) AS intensity, arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS rationale, max(ts) AS last, count(*) >= 3 AS quorum
-    FROM hive WHERE kind = 'waggle' GROUP BY 1)) WHERE quorum OR n <= 20"""
-_STOPS = "SELECT key, count(*) AS stops, coalesce(string_agg(note, ' | ' ORDER BY ts, event_id), '') AS reasons, max(ts) AS last, count(*) >= 2 AS suppressed FROM hive WHERE kind = 'stop' GROUP BY 1"
+_DANCED = """SELECT key, count(*) AS dances, max(intensity) AS intensity, arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS rationale, max(ts) AS last,
+    count(*) >= 3 AS quorum FROM hive WHERE kind = 'waggle' GROUP BY 1"""
+# twenty topics in all: those with a quorum always stay, the oldest others go
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY quorum ORDER BY last DESC, key) AS n, count(*) FILTER (quorum) OVER () AS q FROM ({_DANCED})"""
+_WAGGLES = f"SELECT * FROM ({_RANKED}) WHERE quorum OR n <= 20 - q"
+_STOPS = "SELECT key, count(*) AS stops, max(ts) AS last, count(*) >= 2 AS suppressed FROM hive WHERE kind = 'stop' GROUP BY 1"
 _NECTAR = "SELECT *, n >= 3 AND confidence >= 0.7 AS ready FROM (SELECT key, count(*) AS n, CASE WHEN count(*) = 1 THEN 0.3 ELSE least(1.0, 0.3 + 0.15 * count(*)) END::DOUBLE AS confidence FROM hive WHERE kind = 'nectar' GROUP BY 1)"
 
 
@@ -38,9 +41,17 @@ def h3(spark, sf_dir):
     return S.waggles(B.hive_events(spark, sf_dir)).select("key", "dances", r6("intensity"), "rationale", "quorum")
 
 
-@query("h4_stops", sql("hive", "SELECT key, stops, reasons, suppressed FROM stops", stops=_STOPS))
+@query("h4_stops", sql("hive", "SELECT key, stops, suppressed FROM stops", stops=_STOPS))
 def h4(spark, sf_dir):
-    return S.stops(B.hive_events(spark, sf_dir)).select("key", "stops", "reasons", "suppressed")
+    return S.stops(B.hive_events(spark, sf_dir)).select("key", "stops", "suppressed")
+
+
+@query("h4c_stop_reasons", sql("hive", """SELECT key, day, page, string_agg(note, ' | ' ORDER BY ts, event_id) AS reasons FROM (
+    SELECT key, ts::DATE AS day, ts, event_id, note, (row_number() OVER (PARTITION BY key, ts::DATE ORDER BY ts, event_id) - 1) // 50 AS page
+    FROM hive WHERE kind = 'stop' AND note IS NOT NULL) GROUP BY 1, 2, 3"""))
+def h4c(spark, sf_dir):
+    """Why patterns were stopped, fifty reasons a row."""
+    return S.stop_reasons(B.hive_events(spark, sf_dir))
 
 
 @query("h4b_stop_weights", sql("hive memories", "SELECT id, hits, round(greatest(0.1, retrieval_weight - 0.3 * hits), 6) AS weight FROM memories JOIN (SELECT target_memory_id AS id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM hive WHERE kind = 'stop') WHERE n >= 2 GROUP BY 1) USING (id)"))
@@ -90,14 +101,31 @@ _STATE = f"""SELECT * REPLACE (round(ratio, 6) AS ratio, round(criticality, 6) A
 _READ = f"SELECT * FROM (SELECT *, {_NOW} AS now FROM (SELECT * EXCLUDE (n) FROM emits) WHERE expires_at IS NULL OR expires_at > {AS_OF}) WHERE now >= 0.05"
 
 
-@query("a22_hive_state", sql("hive", _STATE, emits=_EMITS, read=_READ, waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR))
-def a22(spark, sf_dir):
-    """The snapshot that is appended to the state log."""
+def state(spark, sf_dir):
     e = B.hive_events(spark, sf_dir)
     s = S.hive_state(S.read_emits(S.active_emits(e), as_of()), S.waggles(e), S.stops(e), S.nectar(e))
     return s.withColumn("ratio", F.round("ratio", 6)).withColumn("criticality", F.round("criticality", 6))
 
 
+@query("a22_hive_state", sql("hive", _STATE, emits=_EMITS, read=_READ, waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR))
+def a22(spark, sf_dir):
+    """What the hive is like now."""
+    return state(spark, sf_dir)
+
+
+_LOG = "SELECT TIMESTAMP '2024-01-30' AS measured_at, 0.5::DOUBLE AS waggle_stop_ratio, NULL AS dominant_signal, 'cold' AS hive_temperature, 1.0::DOUBLE AS criticality_score, '{}' AS notes"
+
+
+@query("h10_state_log", sql("hive", f"""SELECT * FROM log UNION ALL SELECT {AS_OF}, ratio, strongest, temperature, criticality, '{{"emits":' || emits || ',"waggles":' || waggles || ',"quorums":' || quorums || ',"patterns":' || patterns
+    || ',"suppressed":' || suppressed || ',"essences":' || essences || ',"ready":' || ready || '}}' FROM state""", emits=_EMITS, read=_READ, waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR, state=_STATE, log=_LOG))
+def h10(spark, sf_dir):
+    """The state log after a snapshot is appended to the one row it had."""
+    new = S.snapshot(state(spark, sf_dir), as_of())
+    old = [("2024-01-30 00:00:00", 0.5, None, "cold", 1.0, "{}")]
+    old = spark.createDataFrame(old, "measured_at string, waggle_stop_ratio double, dominant_signal string, hive_temperature string, criticality_score double, notes string")
+    return old.withColumn("measured_at", F.col("measured_at").cast("timestamp_ntz")).unionByName(new)
+
+
 @query("h11_rate_limit")
 def h11(spark, sf_dir):
     """Two limits of the last day and hour, scaled to this log; tests compare it with a plain replay."""
@@ -107,8 +135,7 @@ def h11(spark, sf_dir):
 @query("h11b_raw_demand", sql("audit", "SELECT identity, event_id, count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM audit"))
 def h11b(spark, sf_dir):
     """Requests of the last hour, admitted or not."""
-    w = Window.partitionBy("identity").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return B.audit_log(spark, sf_dir).select("identity", "event_id", F.count(F.lit(1)).over(w).alias("recent"))
+    return S.recent_counts(B.audit_log(spark, sf_dir), 3600).select("identity", "event_id", "recent")
 
 
 @query("h12_cooldown", sql("audit", "SELECT identity, event_id, recent, ts + INTERVAL 300 SECOND AS until FROM (SELECT *, count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW) AS recent FROM audit WHERE response_code >= 400) WHERE recent >= 10"))
@@ -129,12 +156,13 @@ def h14(spark, sf_dir):
 
 
 def pushes(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") * 7 % 50).alias("memory_id"), "ts", (F.col("user_id") % 4).alias("ring"))
+    """One ring a user, so that replay spreads over as many keys as there are."""
+    return table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") * 7 % 50).alias("memory_id"), "ts", F.col("user_id").alias("ring"))
 
 
 @query("h14b_ring_replay")
 def h14b(spark, sf_dir):
-    """Four rings, replayed push by push; tests compare it with a plain replay."""
+    """Every user's ring, replayed push by push; tests compare it with a plain replay."""
     return S.ring_replayed(pushes(spark, sf_dir))
 
 
@@ -143,11 +171,12 @@ def h15(spark, sf_dir):
     return B.sessions(spark, sf_dir).select("user_id", "day", "boot_ran", "exchanges_stored", "heartbeats_sent", "tool_calls_total", "started_at")
 
 
-@query("w9_oldest_retired", sql("hive", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n > 10"))
+@query("w9_oldest_retired", sql("hive", f"""SELECT 'emit' AS kind, key, event_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY key, signal ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n = 1) WHERE place > 10
+    UNION ALL SELECT 'waggle', key, NULL FROM ({_RANKED}) WHERE NOT quorum AND n > 20 - q"""))
 def w9(spark, sf_dir):
-    """Emits past the newest ten of each key."""
-    w = Window.partitionBy("key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return B.hive_events(spark, sf_dir).where("kind = 'emit'").withColumn("n", F.row_number().over(w)).where("n > 10").select("event_id")
+    """What the caps on emits and topics retire."""
+    return S.retired(B.hive_events(spark, sf_dir))
 
 
 @query("w10_recorded_calls", """SELECT user_id, bucket, count(*) AS calls, string_agg(event_type, ',' ORDER BY ts, event_id) AS tools FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS bucket FROM events) GROUP BY 1, 2 HAVING count(*) = 4""")

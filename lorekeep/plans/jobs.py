@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
@@ -11,6 +12,7 @@ from ..operators import tables as T
 from ..session import table
 from ..sources import bridge as B
 from . import daily as Y
+from . import retrieval as X
 from .catalog import query
 from .daily import r6
 from .oracle import AS_OF, sql
@@ -43,7 +45,7 @@ def w8(spark, sf_dir):
 
 _PATTERNS = """SELECT 'bigram' AS pattern_type, first || ' then ' || second AS description, confidence FROM bigram UNION ALL SELECT 'run', CASE WHEN rising THEN 'rising' ELSE 'falling' END || ' from ' || start, confidence FROM runs
     UNION ALL SELECT 'hub', 'hub ' || hub, least(0.85, 0.4 + 0.03 * neighbours) FROM top_hubs"""
-_MINED = dict(affected=Y._ROWS, daily=Y._DAILY, sums=Y._SUMS, dominant=Y._DOMINANT, bigram=Y._BIGRAMS, runs=Y._RUNS.format(v="arousal_mean", n=2),
+_MINED = dict(affected=Y._ROWS, daily=Y._DAILY, sums=Y._SUMS, dominant=Y._DOMINANT, bigram=Y._BIGRAMS, days=Y._DAYS, runs=Y._RUNS.format(v="valence_mean", n=3),
               both_ways="SELECT from_id AS hub, to_id AS id FROM edges WHERE from_id <> to_id UNION SELECT to_id, from_id FROM edges WHERE from_id <> to_id", top_hubs="SELECT hub, count(*) AS neighbours FROM both_ways GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 20",
               patterns=_PATTERNS, ten="SELECT * FROM patterns ORDER BY round(confidence, 6) DESC, pattern_type, description LIMIT 10")
 
@@ -53,7 +55,7 @@ def mined(spark, sf_dir):
     from ..operators import graph as G
 
     big = D.bigrams(Y.dominants(spark, sf_dir)).select(F.lit("bigram").alias("pattern_type"), F.concat("first", F.lit(" then "), "second").alias("description"), "confidence")
-    run = D.monotone_runs(Y.daily(spark, sf_dir), "arousal_mean", 2).select(F.lit("run").alias("pattern_type"), F.concat(F.when(F.col("rising"), "rising").otherwise("falling"), F.lit(" from "), F.col("start").cast("string")).alias("description"), "confidence")
+    run = Y.runs(spark, sf_dir).select(F.lit("run").alias("pattern_type"), F.concat(F.when(F.col("rising"), "rising").otherwise("falling"), F.lit(" from "), F.col("start").cast("string")).alias("description"), "confidence")
     hub = G.hubs(B.edges(spark, sf_dir)).select(F.lit("hub").alias("pattern_type"), F.concat(F.lit("hub "), F.col("hub").cast("string")).alias("description"), F.least(F.lit(0.85), 0.4 + 0.03 * F.col("neighbours")).alias("confidence"))
     return M.capped_patterns(big, run, hub)
 
@@ -77,31 +79,52 @@ def k8(spark, sf_dir):
     return M.merged_insights(known, mined(spark, sf_dir), as_of()).select("pattern_type", "description", r6("confidence"), "occurrences")
 
 
-_RULES = "SELECT 'emotional_drift' AS trigger, 0.8::DOUBLE AS priority FROM drifted WHERE alert AND drift < 0 UNION ALL SELECT 'arousal_alert', 0.7 FROM arousal WHERE share > 0.4 UNION ALL SELECT 'reflection_needed', 0.6 FROM journals WHERE n < 100000 UNION ALL SELECT 'care_alert', 0.9 FROM care WHERE valence < -0.15"
+_RULES = """SELECT 'emotional_drift' AS trigger, 0.8::DOUBLE AS priority, (SELECT max(drift) FROM drifted) AS value, coalesce((SELECT bool_or(alert AND drift < 0) FROM drifted), false) AS fires
+    UNION ALL SELECT 'arousal_alert', 0.7, high, coalesce(n > 10 AND high > 0.4, false) FROM (SELECT count(*) AS n, avg((coalesce(arousal, 0) > 0.6)::INT) AS high FROM picked)
+    UNION ALL SELECT 'reflection_needed', 0.6, exchange_share, one_sided FROM growth UNION ALL SELECT 'care_alert', 0.9, valence, coalesce(valence < -0.15, false) FROM care"""
+_DRIFTED = f"""SELECT round(short - long, 3) AS drift, abs(round(short - long, 3)) > 0.15 AS alert FROM (SELECT round(avg(valence_mean) FILTER (age <= 7), 3) AS short, round(avg(valence_mean) FILTER (age <= 90), 3) AS long,
+    count(valence_mean) FILTER (age <= 7) AS short_days, count(valence_mean) FILTER (age <= 90) AS long_days FROM (SELECT *, datediff('day', date, DATE '{Y.TODAY}') AS age FROM daily) WHERE age >= 0) WHERE long_days >= 7 AND short_days >= 3"""
 
 
-@query("k9_self_model_items", sql("memories latest", "SELECT trigger, priority FROM rules WHERE trigger <> 'care_alert'", affected=Y._ROWS, daily=Y._DAILY,
-    drifted=f"SELECT round(round(avg(valence_mean) FILTER (age <= 7), 3) - round(avg(valence_mean) FILTER (age <= 90), 3), 3) AS drift, abs(round(round(avg(valence_mean) FILTER (age <= 7), 3) - round(avg(valence_mean) FILTER (age <= 90), 3), 3)) > 0.15 AS alert FROM (SELECT *, datediff('day', date, DATE '{Y.TODAY}') AS age FROM daily) WHERE age >= 0",
-    arousal="SELECT avg((arousal > 0.6)::INT) AS share FROM affected WHERE source_type = 'exchange'", journals="SELECT count(*) AS n FROM memories WHERE source_type = 'journal'", care=f"SELECT avg(valence) AS valence FROM affected WHERE source_type = 'exchange' AND created_at >= {AS_OF} - INTERVAL 3 DAY", rules=_RULES))
+@query("k9_self_model_items", sql("memories latest edges", "SELECT trigger, priority, round(value, 6) AS value, fires, fires AND trigger <> 'care_alert' AS queued FROM rules",
+    affected=Y._ROWS, daily=Y._DAILY, picked=Y._EXCHANGES, lately=Y._LATELY, growth=Y._GROWTH, drifted=_DRIFTED, care=Y._CARE, rules=_RULES))
 def k9(spark, sf_dir):
-    """Rules over drift, tendencies, journals and care give queue items; those pending are left out."""
-    rows = Y.rows(spark, sf_dir)
-    some = rows.where("source_type = 'exchange'")
-    item = lambda df, cond, name, p: df.where(cond).select(F.lit(name).alias("trigger"), F.lit(p).alias("priority"))
-    items = item(D.drift(Y.daily(spark, sf_dir), "valence_mean", Y.TODAY), "alert AND drift < 0", "emotional_drift", 0.8)
-    items = items.union(item(some.agg(F.avg((F.col("arousal") > 0.6).cast("int")).alias("share")), "share > 0.4", "arousal_alert", 0.7))
-    items = items.union(item(rows.where("source_type = 'journal'").agg(F.count(F.lit(1)).alias("n")), "n < 100000", "reflection_needed", 0.6))
-    items = items.union(item(some.where("created_at >= TIMESTAMP_NTZ '2024-01-28 00:00:00'").agg(F.avg("valence").alias("valence")), "valence < -0.15", "care_alert", 0.9))
-    return M.new_items(items, spark.createDataFrame([("care_alert",)], "trigger string"))
-
-
-@query("k11_backfill_candidates", sql("memories vectors", "SELECT id FROM memories WHERE status = 'durable' AND id NOT IN (SELECT memory_id FROM vectors) ORDER BY created_at DESC, id LIMIT 50"))
-def k11(spark, sf_dir):
-    """What an embedding backfill takes next (J6 with a limit); ``lorekeep.functions.embed`` makes the vectors."""
+    """What the self-model's rules see, which fire, and which of these enter the queue: a care alert is pending already."""
+    e = Y.recent_exchanges(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), (T.count_if(F.col("arousal") > 0.6) / F.count(F.lit(1))).alias("high"))
+    rules = M.self_model_rules(D.drift(Y.daily(spark, sf_dir), "valence_mean", Y.TODAY), e, Y.growth(spark, sf_dir), Y.care(spark, sf_dir))
+    pending = spark.createDataFrame([("care_alert",)], "trigger string")
+    queued = M.new_items(rules.where("fires"), pending).select("trigger", F.lit(True).alias("queued"))
+    return rules.join(F.broadcast(queued), "trigger", "left").select("trigger", "priority", r6("value"), "fires", F.coalesce("queued", F.lit(False)).alias("queued"))  # four rules
+
+
+_MISSING = "SELECT id FROM memories WHERE status = 'durable' AND id NOT IN (SELECT memory_id FROM vectors) ORDER BY created_at DESC, id LIMIT 50"
+
+
+def missing_vectors(spark, sf_dir):
+    """What an embedding backfill takes next (J6 with a limit)."""
     m = B.memories(spark, sf_dir).where("status = 'durable'").select("id", "created_at").join(B.embeddings(spark, sf_dir).select(F.col("memory_id").alias("id")), "id", "left_anti")
     return T.newest(m, 50, "created_at", "id").select("id")
 
 
+@query("k11_backfill_candidates", sql("memories vectors", _MISSING))
+def k11(spark, sf_dir):
+    return missing_vectors(spark, sf_dir)
+
+
+@query("k11b_backfilled", sql("memories vectors texts", f"""SELECT count(*) AS vectors, count(*) FILTER (memory_id IN (SELECT id FROM missing)) AS filled, (SELECT count(*) FROM memories WHERE status = 'durable' AND id NOT IN (SELECT memory_id FROM vectors)) - (SELECT count(*) FROM missing JOIN texts USING (id)) AS remaining
+    FROM (SELECT memory_id FROM vectors UNION ALL SELECT id FROM missing JOIN texts USING (id))""", missing=_MISSING))
+def k11b(spark, sf_dir):
+    """The vector table after a backfill: vectors are made for the rows that lack one and upserted."""
+    todo = missing_vectors(spark, sf_dir)
+    texts = B.memories(spark, sf_dir, text=True).select("id", "raw_text").join(F.broadcast(todo), "id", "left_semi")  # fifty rows
+    have = B.embeddings(spark, sf_dir).select("memory_id", "embedding")
+    every = M.backfilled(have, texts)
+    durable = B.memories(spark, sf_dir).where("status = 'durable'").select(F.col("id").alias("memory_id"))
+    filled = every.join(F.broadcast(todo.select(F.col("id").alias("memory_id"), F.lit(1).alias("new"))), "memory_id", "left")
+    counts = filled.agg(F.count(F.lit(1)).alias("vectors"), F.count("new").alias("filled"))
+    return T.side_by_side(counts, durable.join(every.select("memory_id"), "memory_id", "left_anti").agg(F.count(F.lit(1)).alias("remaining")))
+
+
 @query("k14_schedule", "SELECT c::BIGINT AS cycle, CASE WHEN c % 8 = 0 THEN 'sleep,insight,self' WHEN c % 4 = 0 THEN 'sleep,insight' ELSE 'sleep' END AS jobs FROM range(1, 17) t(c)")
 def k14(spark, sf_dir):
     """Sixteen cycles of the orchestrator."""
@@ -179,57 +202,146 @@ def m6(spark, sf_dir):
     return T.counts(q.join(F.broadcast(top), "id", "left").withColumn("state", F.when(F.col("hit"), "surfaced").otherwise(F.col("state"))), "state")  # five rows
 
 
-@query("q12_brain_context", sql("memories", f"(SELECT 'queue' AS layer, id FROM ({_QUEUE}) WHERE state = 'pending' ORDER BY priority DESC, created, id LIMIT 5) UNION ALL (SELECT 'observation', id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 10) UNION ALL (SELECT 'insight', id FROM memories WHERE memory_type = 'insight' ORDER BY created_at DESC, id LIMIT 5)"))
+_LAYERS = f"(SELECT 'queue' AS layer, id FROM ({_QUEUE}) WHERE state = 'pending' ORDER BY priority DESC, created, id LIMIT 5) UNION ALL (SELECT 'observation', id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 10) UNION ALL (SELECT 'insight', id FROM memories WHERE memory_type = 'insight' ORDER BY created_at DESC, id LIMIT 5)"
+
+
+@query("q12_brain_context", sql("memories", _LAYERS))
 def q12(spark, sf_dir):
     m = B.memories(spark, sf_dir)
     newest = lambda cond, n, name: T.newest(m.where(cond), n, "created_at", "id").select(F.lit(name).alias("layer"), "id")
     return t7(spark, sf_dir).select(F.lit("queue").alias("layer"), "id").union(newest("source_type = 'journal'", 10, "observation")).union(newest("memory_type = 'insight'", 5, "insight"))
 
 
-@query("a18_log_sums", sql("memories", "SELECT sum(n)::BIGINT AS rows, sum(expired)::BIGINT AS expired FROM (SELECT created_at::DATE AS cycle, count(*) AS n, count(*) FILTER (status = 'expired') AS expired FROM memories GROUP BY 1)"))
+@query("a18_log_sums", sql("sleep", "SELECT count(*) AS cycles, sum(edges_created)::BIGINT AS edges, sum(memories_expired)::BIGINT AS expired, sum(embeddings_backfilled)::BIGINT AS vectors, count(*) FILTER (edges_created > 0) AS linking FROM sleep"))
 def a18(spark, sf_dir):
-    """Totals over a log of daily cycles."""
-    log = B.memories(spark, sf_dir).groupBy(F.to_date("created_at").alias("cycle")).agg(F.count(F.lit(1)).alias("n"), T.count_if(F.col("status") == "expired").alias("expired"))
-    return log.agg(F.sum("n").alias("rows"), F.sum("expired").alias("expired"))
-
-
-_P = lambda c, of="TRUE": f"round(count(*) FILTER ({c}) * 100 / greatest(count(*) FILTER ({of}), 1), 4)"
-_C = lambda c: f"count(*) FILTER ({c})"
-_CHECKS = [
-    ("1a", _P("source_type IS NOT NULL AND source_type <> ''"), ">= 99"), ("1b", _P("proposed_by IS NOT NULL AND proposed_by <> ''"), ">= 99"), ("1c", _C("source_type = 'teaching' AND proposed_by = 'system'"), "= 0"), ("1d", _C("source_type = 'inference' AND proposed_by = 'user'"), "= 0"),
-    ("1e", _C("source_type = 'teaching' AND memory_type IN ('insight', 'pattern', 'dream')"), "= 0"), ("1f", _C("access_count > 5 AND proposed_by IS NULL"), "= 0"), ("2a", _C("memory_type = 'correction'"), "> 0"), ("2b", _C("status IN ('expired', 'rejected')"), "> 0"),
-    ("2c", _P("memory_type = 'correction' AND context IS NOT NULL", "memory_type = 'correction'"), ">= 80"), ("3a", _C("source_type = 'teaching' AND proposed_by = 'assistant'"), "= 0"), ("3b", _P("status IN ('provisional', 'expired', 'rejected')"), ">= 10"),
-    ("3c", _P("status = 'provisional' AND review_after IS NOT NULL", "status = 'provisional'"), ">= 80"), ("3d", _P("confidence >= 0.95"), "< 90"), ("3e", _C("needs_user_confirmation"), ">= 0"), ("4a", _C("counterweight_type IS NOT NULL"), "> 0"), ("4b", _C("consent_level IS NOT NULL"), "> 0"),
-    ("4c", _C("pattern_flag IS NOT NULL"), ">= 0"), ("4d", _C("retrieval_weight <> 1.0"), "> 0"), ("5c", "count(DISTINCT access_count)", "> 3"), ("5e", "count(DISTINCT strftime(created_at, '%Y-%m'))", "> 1"),
-]
-_AUDIT = " UNION ALL ".join(f"SELECT '{k}' AS check_id, ({m})::DOUBLE AS metric, ({m}) {ok} AS pass FROM memories" for k, m, ok in _CHECKS) + """ UNION ALL SELECT '2d', count(*), count(*) = 0 FROM ring WHERE memory_id IN (SELECT id FROM memories WHERE status IN ('expired', 'rejected'))
-    UNION ALL SELECT '2e', count(DISTINCT to_id), count(DISTINCT to_id) = 0 FROM edges JOIN memories a ON a.id = from_id JOIN memories b ON b.id = to_id WHERE a.source_type = 'teaching' AND a.status IN ('expired', 'rejected') AND b.source_type = 'inference' AND b.status = 'durable'
-    UNION ALL SELECT '2f', count(*), count(*) > 0 FROM edges WHERE from_id IN (SELECT id FROM memories WHERE memory_type = 'correction')"""
-
-
-@query("e_quality_audit", sql("memories ring edges", _AUDIT))
+    """Totals over the log of maintenance cycles."""
+    return B.sleep_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("cycles"), F.sum("edges_created").alias("edges"), F.sum("memories_expired").alias("expired"),
+                                          F.sum("embeddings_backfilled").alias("vectors"), T.count_if(F.col("edges_created") > 0).alias("linking"))
+
+
+def _figures() -> str:
+    """SQL of the checks over single memories: (check, figure, whether it passes)."""
+    count = lambda c: f"count(*) FILTER ({c})"
+    share = lambda c, of="TRUE", digits=1: f"round({count(c)} * 100 / greatest({count(of)}, 1), {digits})"
+    teaching, inference, correction, provisional = "source_type = 'teaching'", "source_type = 'inference'", "memory_type = 'correction'", "status = 'provisional'"
+    has_ttl = share(f"{provisional} AND review_after IS NOT NULL", provisional)
+    rules = [
+        ("1a", share("source_type IS NOT NULL AND source_type <> ''", digits=2), "{} >= 99"),
+        ("1b", share("proposed_by IS NOT NULL AND proposed_by <> ''", digits=2), "{} >= 99"),
+        ("1c", count(f"{teaching} AND proposed_by = 'system'"), "{} = 0"),
+        ("1d", count(f"{inference} AND proposed_by = 'user'"), "{} = 0"),
+        ("1e", count(f"{teaching} AND memory_type IN ('insight', 'pattern', 'dream')"), "{} = 0"),
+        ("1f", count("access_count > 5 AND (source_type IS NULL OR proposed_by IS NULL)"), "{} = 0"),
+        ("2a", count(correction), "{} > 0"),
+        ("2b", count("status = 'expired' OR status = 'rejected'"), "{} > 0"),
+        ("2c", share(f"{correction} AND context IS NOT NULL AND context <> ''", correction), "{} >= 80"),
+        ("3a", count(f"{teaching} AND proposed_by = 'assistant'"), "{} = 0"),
+        ("3b", share(f"{inference} AND (confidence < 1.0 OR confidence IS NULL)", inference), "{} >= 10"),
+        ("3c", has_ttl, f"({count(provisional)} = 0 OR {{}} >= 80)"),
+        ("3d", share(f"{inference} AND confidence >= 0.95", inference), "{} < 90"),
+        ("3e", count("needs_user_confirmation"), "TRUE"),
+        ("4a", count("counterweight_type IS NOT NULL"), "{} > 0"),
+        ("4b", count("consent_level IS NOT NULL AND consent_level <> ''"), "{} > 0"),
+        ("4c", count("consent_level = 'low' AND is_core"), "TRUE"),
+        ("4d", count("retrieval_weight <> 1.0"), "{} > 0"),
+    ]
+    return "\nUNION ALL ".join(f"SELECT '{k}' AS check_id, ({m})::DOUBLE AS metric, {ok.format(m)} AS pass FROM memories" for k, m, ok in rules)
+
+
+_AUDIT = _figures() + f"""
+UNION ALL SELECT '2d', count(*), count(*) = 0 FROM ring JOIN memories ON id = memory_id WHERE status = 'expired'
+UNION ALL SELECT '2e', count(DISTINCT to_id), count(DISTINCT to_id) = 0 FROM edges JOIN memories a ON a.id = from_id JOIN memories b ON b.id = to_id
+    WHERE a.source_type = 'teaching' AND a.status IN ('expired', 'rejected') AND b.source_type = 'inference' AND b.status = 'durable'
+UNION ALL SELECT '2f', count(*), count(*) > 0 OR (SELECT count(*) FROM memories WHERE memory_type = 'correction') = 0 FROM edges JOIN memories ON id = from_id WHERE memory_type = 'correction'
+UNION ALL SELECT '5c', count(DISTINCT access_count), max(access_count) > min(access_count) AND count(DISTINCT access_count) > 3 FROM memories WHERE status = 'durable'
+UNION ALL SELECT '5d', count(*) FILTER (edges_created > 0 AND cycle_start > {AS_OF} - INTERVAL 7 DAY), count(*) > 0 FROM sleep
+UNION ALL SELECT '5e', round(max(n) * 100 / sum(n), 1), count(*) > 1 AND max(n) * 100 / sum(n) < 80 FROM (
+    SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM memories WHERE status = 'durable' GROUP BY 1)"""
+
+
+@query("e_quality_audit", sql("memories ring edges sleep", _AUDIT))
 def audits(spark, sf_dir):
     """The data checks of E1 to E5, each with its figure."""
-    return M.audit(B.memories(spark, sf_dir), B.ring(spark, sf_dir), B.edges(spark, sf_dir))
+    return M.audit(B.memories(spark, sf_dir), B.ring(spark, sf_dir), B.edges(spark, sf_dir), B.sleep_log(spark, sf_dir), as_of())
+
+
+_SOURCES = f"""SELECT * FROM (SELECT 'identity' AS part, id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE is_core AND status NOT IN ('rejected', 'expired')) WHERE n <= 10
+    UNION ALL SELECT * FROM (SELECT 'recent', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR AND status NOT IN ('rejected', 'expired')) WHERE n <= 15
+    UNION ALL SELECT * FROM (SELECT 'journal', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE source_type = 'journal' AND status <> 'rejected') WHERE n <= 3
+    UNION ALL SELECT * FROM (SELECT 'correction', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE memory_type = 'correction' AND status = 'durable') WHERE n <= 3"""
+
+
+def boot_lists(m):
+    """Identity, the last day, journals and corrections of a boot summary, newest first."""
+    stands = "status NOT IN ('rejected', 'expired')"
+    lists = (("identity", f"is_core AND {stands}", 10), ("recent", f"created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND {stands}", 15),
+             ("journal", "source_type = 'journal' AND status <> 'rejected'", 3), ("correction", "memory_type = 'correction' AND status = 'durable'", 3))
+    out = [T.newest(m.where(p), n, "created_at", "id").select(F.lit(k).alias("part"), "id") for k, p, n in lists]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query("q9b_boot_lists", sql("memories", "SELECT part, id FROM sources", sources=_SOURCES))
+def q9b(spark, sf_dir):
+    return boot_lists(B.memories(spark, sf_dir))
+
+
+@query("q9c_boot_arc", sql("memories latest", "SELECT date, memory_count, round(valence_mean, 6) AS valence_mean, round(arousal_mean, 6) AS arousal_mean FROM daily ORDER BY date DESC LIMIT 7", affected=Y._ROWS, daily=Y._DAILY))
+def q9c(spark, sf_dir):
+    """The last seven days of a boot summary."""
+    days = Y.daily(spark, sf_dir).orderBy(F.col("date").desc()).limit(7)
+    return days.select("date", "memory_count", r6("valence_mean"), r6("arousal_mean"))
 
 
 @query("q9_boot_summary", sql("memories latest edges", f"""SELECT (SELECT count(*) FROM memories WHERE status = 'durable') AS durable, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(valence), 6) FROM affected WHERE date = DATE '2024-01-30') AS last_day_valence,
-    (SELECT count(*) FROM memories WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR) AS last_24h, (SELECT max(id) FROM memories WHERE source_type = 'journal') AS last_journal""", affected=Y._ROWS))
+    (SELECT count(*) FROM memories WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR) AS last_24h, (SELECT max(id) FROM memories WHERE source_type = 'journal') AS last_journal,
+    (SELECT count(*) FROM memories WHERE status <> 'rejected') AS total, (SELECT count(*) FROM memories WHERE status = 'provisional') AS provisional,
+    (SELECT count(*) FROM affected WHERE date = DATE '2024-01-30') AS last_day_memories, (SELECT round(avg(arousal), 6) FROM affected WHERE date = DATE '2024-01-30') AS last_day_arousal""", affected=Y._ROWS))
 def q9(spark, sf_dir):
     """One row of what a session starts from; ``lorekeep.sources.exports.write_snapshot`` writes it."""
     m = B.memories(spark, sf_dir)
     parts = [
-        m.agg(T.count_if(F.col("status") == "durable").alias("durable"), T.count_if(F.expr("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")).alias("last_24h"), F.max(F.when(F.col("source_type") == "journal", F.col("id"))).alias("last_journal")),
-        B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges")), Y.rows(spark, sf_dir).where("date = DATE '2024-01-30'").agg(F.round(F.avg("valence"), 6).alias("last_day_valence")),
+        m.agg(T.count_if(F.col("status") == "durable").alias("durable"), T.count_if(F.expr("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")).alias("last_24h"), F.max(F.when(F.col("source_type") == "journal", F.col("id"))).alias("last_journal"),
+              T.count_if(F.col("status") != "rejected").alias("total"), T.count_if(F.col("status") == "provisional").alias("provisional")),
+        B.edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("edges")), Y.rows(spark, sf_dir).where("date = DATE '2024-01-30'").agg(
+            F.round(F.avg("valence"), 6).alias("last_day_valence"), F.count(F.lit(1)).alias("last_day_memories"), F.round(F.avg("arousal"), 6).alias("last_day_arousal")),
     ]
     return T.side_by_side(*parts)
 
 
-@query("q2_thread_start", sql("memories", f"""(SELECT 'journal' AS part, id FROM memories WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 1) UNION ALL (SELECT 'correction', id FROM memories WHERE memory_type = 'correction' AND status = 'durable' ORDER BY created_at DESC, id LIMIT 5)
-    UNION ALL SELECT 'today', id FROM memories WHERE created_at::DATE = DATE '2024-01-30' UNION ALL SELECT 'counterweight', id FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL) WHERE n = 1"""))
+_PART = lambda name, cond, n, order="created_at DESC, id": f"SELECT * FROM (SELECT '{name}' AS part, id, row_number() OVER (ORDER BY {order}) AS place FROM memories WHERE {cond}) WHERE place <= {n}"
+_NEGATIVE = f"""SELECT 'counterweight', id, NULL FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL)
+    WHERE n = 1 AND id NOT IN (SELECT id FROM found)"""
+_START = "\nUNION ALL ".join([
+    _PART("journal", "source_type = 'journal' AND status <> 'rejected'", 1), "SELECT 'resonant', id, row_number() OVER (ORDER BY score DESC, is_core DESC, updated_at DESC, id) FROM found", _NEGATIVE,
+    _PART("correction", "memory_type = 'correction' AND status = 'durable'", 3), _PART("today", "status = 'durable' AND created_at::DATE = DATE '2024-01-30'", 5), "SELECT 'brain ' || layer, id, NULL FROM layers",
+    "SELECT 'durable', count(*), NULL FROM memories WHERE status = 'durable'", "SELECT 'session', user_id, row_number() OVER (ORDER BY started_at DESC, user_id) FROM (SELECT * FROM sessions ORDER BY started_at DESC, user_id LIMIT 5)"])
+
+
+@query("q2_thread_start", sql(X._TABLES + " sessions", _START, hundred=X._HUNDRED, cheaply=X._CHEAP, short="SELECT * FROM cheaply ORDER BY cheap DESC, id LIMIT 30", scored=X.SCORED, blended=X.BLENDED,
+    found="SELECT * FROM blended ORDER BY score DESC, is_core DESC, updated_at DESC, id LIMIT 5", layers=_LAYERS))
 def q2(spark, sf_dir):
-    """The parts of a warm start, as one frame."""
+    """The parts of a warm start in one frame (part, id, place): the last journal, the memories that resonate with the sample state by
+    two-stage retrieval, counterweights to it, corrections, the day's memories, the layers above, the last sessions, and the number
+    of durable memories. Boot figures, lists and arc are q9, q9b and q9c, the health band s5, compliance figures a15."""
     m = B.memories(spark, sf_dir)
-    part = lambda name, df: df.select(F.lit(name).alias("part"), "id")
-    today = m.where("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'")
-    return part("journal", T.newest(m.where("source_type = 'journal'"), 1, "created_at", "id")).union(part("correction", T.newest(m.where("memory_type = 'correction' AND status = 'durable'"), 5, "created_at", "id"))).union(part("today", today)).union(part("counterweight", R.one_per_type(m)))
+    order = Window.orderBy(F.col("created_at").desc(), "id")  # over the few rows of a part
+    placed = lambda name, df: df.select(F.lit(name).alias("part"), "id", F.row_number().over(order).cast("bigint").alias("place"))
+    plain = lambda name, df: df.select(F.lit(name).alias("part"), "id", F.lit(None).cast("bigint").alias("place"))
+    best = X.two_stage(spark, sf_dir)
+    by_score = Window.orderBy(F.col("score").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id")  # five rows
+    today = m.where("status = 'durable' AND created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+    last = B.sessions(spark, sf_dir).orderBy(F.col("started_at").desc(), "user_id").limit(5).select(F.col("user_id").alias("id"), F.col("started_at").alias("created_at"))
+    parts = [
+        placed("journal", T.newest(m.where("source_type = 'journal' AND status <> 'rejected'"), 1, "created_at", "id")),
+        best.select(F.lit("resonant").alias("part"), "id", F.row_number().over(by_score).cast("bigint").alias("place")),
+        plain("counterweight", R.one_per_type(m).join(best.select("id"), "id", "left_anti")),
+        placed("correction", T.newest(m.where("memory_type = 'correction' AND status = 'durable'"), 3, "created_at", "id")),
+        placed("today", T.newest(today, 5, "created_at", "id")),
+        q12(spark, sf_dir).select(F.concat(F.lit("brain "), "layer").alias("part"), "id", F.lit(None).cast("bigint").alias("place")),
+        m.agg(T.count_if(F.col("status") == "durable").alias("id")).select(F.lit("durable").alias("part"), "id", F.lit(None).cast("bigint").alias("place")),
+        placed("session", last),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -19,7 +19,7 @@ TABLES = {
         CASE WHEN event_id % 29 = 3 THEN 'journal' ELSE {pick('user_id % 3', ('teaching', 'inference', 'exchange'))} END AS source_type,
         coalesce({pick('event_id % 10', B.STATUS)}, 'durable') AS status, {pick('event_id % 5', ('user', 'assistant', 'system', 'user'))} AS proposed_by,
         (event_id % 101) / 100.0::DOUBLE AS confidence, CASE WHEN event_id % 8 = 0 THEN ts + INTERVAL 14 DAY END AS review_after,
-        event_id % 9 = 0 AS needs_user_confirmation, CASE WHEN event_id % 17 = 0 THEN 'high' WHEN event_id % 19 <> 0 THEN 'normal' END AS consent_level,
+        event_id % 9 = 0 AS needs_user_confirmation, CASE WHEN event_id % 17 = 0 THEN 'high' WHEN event_id % 13 = 5 THEN 'low' WHEN event_id % 19 <> 0 THEN 'normal' END AS consent_level,
         {pick('event_id % 41', B.COUNTERWEIGHTS)} AS counterweight_type, ts AS created_at, ts AS updated_at, event_id % 7 AS access_count, event_id % 23 = 0 AS is_core,
         {pick('event_id % 31', B.FLAGS)} AS pattern_flag, CASE WHEN event_id % 2 = 0 THEN 'source ' || (user_id % 4) END AS pattern_source,
         CASE WHEN event_id % 37 = 0 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS retrieval_weight FROM events""",
@@ -44,6 +44,8 @@ TABLES = {
     "hive": f"""SELECT event_id, {pick('event_type', {'click': 'emit', 'error': 'stop', 'purchase': 'waggle', 'signup': 'nectar'})} AS kind, 'k' || (user_id % 40) AS key, 's' || (event_id % 3) AS signal,
         least(1.0::DOUBLE, value / 100) AS intensity, CASE WHEN event_id % 4 <> 0 THEN 'note ' || (event_id % 9) END AS note, event_id * 13 % 1000 AS target_memory_id, ts,
         CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 2 DAY END AS expires_at FROM events WHERE event_type <> 'view'""",
+    "sleep": """SELECT ts AS cycle_start, ts + INTERVAL 5 SECOND AS cycle_end, event_id % 5 AS edges_created, event_id % 3 AS memories_expired, event_id % 26 AS embeddings_backfilled
+        FROM events WHERE event_type = 'signup'""",
     "audit": "SELECT event_id, ts, user_id % 7 AS identity, CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS response_code, event_type = 'purchase' AS writes FROM events",
     "journal": "SELECT doc_id AS id, left(text, 40) AS title, text AS description, lang AS entry_type, 'sess ' || (doc_id % 12) AS session_id, TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INTEGER) AS ts FROM documents",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import affect as A
 from ..operators import retrieval as R
+from ..operators import tables as T
 from ..session import table
 from ..sources import bridge as B
 from .catalog import query
@@ -59,7 +60,7 @@ _TABLES = "memories texts latest vectors degrees"
 
 def hits(spark, sf_dir):
     """The ten best of the shortlist."""
-    short = R.shortlist(R.eligible(B.memories(spark, sf_dir)), 500)
+    short = T.pinned(R.shortlist(R.eligible(B.memories(spark, sf_dir)), 500))  # 500 rows
     text = B.memories(spark, sf_dir, text=True).select("id", "raw_text").join(short.select("id"), "id", "left_semi")
     m = short.join(text, "id")
     return R.top(R.scored(m, B.affect(spark, sf_dir), B.embeddings(spark, sf_dir), B.edges(spark, sf_dir), as_of(), query_vector(spark, sf_dir), STATE, TEXT), K)
@@ -100,8 +101,18 @@ def t4(spark, sf_dir):
 WORDS = ["the", "der", "qu", "x"]
 
 
-@query("q5_keyword_search", sql("memories texts", """SELECT id, hits, is_core FROM (SELECT m.id, is_core, updated_at, contains(lower(raw_text), 'idiot')::INT + contains(lower(raw_text), 'der')::INT + contains(lower(raw_text), 'qu')::INT AS hits
-    FROM memories m JOIN texts USING (id)) WHERE hits > 0 ORDER BY hits DESC, is_core DESC, updated_at DESC, id LIMIT 25"""))
+_SEARCH = """SELECT id, hits, is_core FROM (SELECT m.id, is_core, updated_at, {hits} AS hits FROM memories m JOIN texts USING (id) WHERE {status}) WHERE hits > 0
+    ORDER BY hits DESC, is_core DESC, updated_at DESC, id LIMIT 25"""
+_THREE = " + ".join(f"contains(lower(raw_text), '{w}')::INT" for w in ("idiot", "der", "qu"))
+
+
+@query("q5b_search_with_provisional", sql("memories texts", _SEARCH.format(hits="contains(lower(raw_text), 'x q')::INT", status="status NOT IN ('rejected', 'expired')")))
+def q5b(spark, sf_dir):
+    """Only words of one character: the query as a whole counts. Provisional memories are found too."""
+    return R.keyword_search(B.memories(spark, sf_dir, text=True), " X q ", 25, include_provisional=True).select("id", "hits", "is_core")
+
+
+@query("q5_keyword_search", sql("memories texts", _SEARCH.format(hits=_THREE, status="status = 'durable'")))
 def q5(spark, sf_dir):
     """Words of one character don't count."""
     return R.keyword_search(B.memories(spark, sf_dir, text=True), "Idiot der QU x", 25).select("id", "hits", "is_core")
@@ -124,13 +135,18 @@ _HUNDRED = "SELECT * FROM memories WHERE status NOT IN ('rejected', 'expired') A
 @query("t3_two_stage_top_k", sql(_TABLES, "SELECT id, round(cheap, 6) AS cheap, round(score, 6) AS score FROM blended ORDER BY score DESC, is_core DESC, updated_at DESC, id LIMIT 5", hundred=_HUNDRED, cheaply=_CHEAP,
     short="SELECT * FROM cheaply ORDER BY cheap DESC, id LIMIT 30", scored=SCORED, blended=BLENDED))
 def t3(spark, sf_dir):
+    return two_stage(spark, sf_dir).select("id", F.round("cheap", 6).alias("cheap"), F.round("score", 6).alias("score"))
+
+
+def two_stage(spark, sf_dir):
     """100 by order, 30 by the cheap score, 5 by the full one; vectors are read for the 30 only."""
-    hundred = R.shortlist(R.eligible(B.memories(spark, sf_dir)), 100)
-    text = B.memories(spark, sf_dir, text=True).select("id", "raw_text")
+    hundred = T.pinned(R.shortlist(R.eligible(B.memories(spark, sf_dir)), 100))  # 100 rows
+    text = B.memories(spark, sf_dir, text=True).select("id", "raw_text").join(hundred.select("id"), "id", "left_semi")
     some = B.affect(spark, sf_dir).join(hundred.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
     thirty = R.cheap_scores(hundred.join(text, "id"), some, as_of(), STATE, TEXT).orderBy(F.col("cheap").desc(), "id").limit(30).drop("valence", "arousal", "dominance", "emotions", "computed_at", "model")
+    thirty = T.pinned(thirty)
     full = R.scored(thirty, B.affect(spark, sf_dir), B.embeddings(spark, sf_dir), B.edges(spark, sf_dir), as_of(), query_vector(spark, sf_dir), STATE, TEXT)
-    return R.top(full, 5).select("id", F.round("cheap", 6).alias("cheap"), F.round("score", 6).alias("score"))
+    return R.top(full, 5)
 
 
 @query("q6_ring_listing", sql("memories ring", f"SELECT memory_id, memory_type, round(activation * 0.5 / (1 + datediff('microsecond', last_activated_at, {AS_OF}) / 1e6 / 86400), 6) AS effective FROM ring JOIN memories ON id = memory_id"))
@@ -156,14 +172,13 @@ def q8(spark, sf_dir):
     return out[0].union(out[1]).union(out[2])
 
 
-@query("q10_journal_and_exchanges", sql("memories", """SELECT id, source_type, shown_at FROM (SELECT id, source_type, created_at AS shown_at FROM memories WHERE source_type = 'journal' AND created_at >= TIMESTAMP '2024-01-20'
-    UNION ALL SELECT id, source_type, coalesce(review_after, created_at) FROM memories WHERE source_type = 'exchange' AND created_at >= TIMESTAMP '2024-01-20')"""))
+@query("q10_journal_and_exchanges", sql("memories", """SELECT id, 'journal' AS kind, coalesce(review_after, created_at) AS shown_at FROM memories WHERE source_type = 'journal' AND status <> 'rejected' AND created_at >= TIMESTAMP '2024-01-30'
+    UNION ALL (SELECT id, 'exchange', created_at FROM memories WHERE source_type = 'exchange' AND status <> 'rejected' AND created_at >= TIMESTAMP '2024-01-30' ORDER BY created_at, id LIMIT 20)"""))
 def q10(spark, sf_dir):
-    """Two filtered sets of one window, as one timeline."""
-    m = B.memories(spark, sf_dir).where("created_at >= TIMESTAMP_NTZ '2024-01-20 00:00:00'")
-    a = m.where("source_type = 'journal'").select("id", "source_type", F.col("created_at").alias("shown_at"))
-    b = m.where("source_type = 'exchange'").select("id", "source_type", F.coalesce("review_after", "created_at").alias("shown_at"))
-    return a.unionByName(b)
+    """A day's journal beside its first twenty exchanges, in order of time (J16, U2); the bridge's review time stands in for the
+    time at which an entry says it was written."""
+    m = B.memories(spark, sf_dir).where("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00'").withColumnRenamed("review_after", "written_at")
+    return R.timeline(m.where("source_type = 'journal'"), m.where("source_type = 'exchange'"))
 
 
 @query("q11_health", sql("memories vectors", """SELECT count(*) AS total, count(*) FILTER (status = 'durable') AS durable, count(*) FILTER (v.memory_id IS NULL) AS missing_embeddings,

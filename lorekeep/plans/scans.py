@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import affect as A
+from ..operators import maintenance as M
 from ..operators import retrieval as R
 from ..operators import tables as T
 from ..session import TABLES, table
@@ -32,6 +33,13 @@ def s9(spark, sf_dir):
     return out
 
 
+@query("s9b_columns", """SELECT table_name AS name, column_name AS col, (row_number() OVER (PARTITION BY table_name ORDER BY column_index) - 1)::BIGINT AS place FROM duckdb_columns() WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in TABLES) + ")")
+def s9b(spark, sf_dir):
+    """Tables and their columns, from the files' schemas alone."""
+    rows = [(t, c, i) for t in TABLES for i, c in enumerate(table(spark, sf_dir, t).columns)]
+    return spark.createDataFrame(rows, "name string, col string, place bigint")
+
+
 @query("f1_eligible", sql("memories", "SELECT id, memory_type, source_type FROM memories WHERE status NOT IN ('rejected', 'expired') AND consent_level <> 'high' AND memory_type = 'insight'"))
 def f1(spark, sf_dir):
     """Unknown filter keys are ignored; a null consent is out."""
@@ -147,14 +155,7 @@ def j7(spark, sf_dir):
 @query("j8_orphaned_inferences", sql("memories edges", """SELECT count(DISTINCT to_id) AS n FROM edges JOIN memories a ON a.id = from_id JOIN memories b ON b.id = to_id
     WHERE a.source_type = 'teaching' AND a.status IN ('expired', 'rejected') AND b.source_type = 'inference' AND b.status = 'durable'"""))
 def j8(spark, sf_dir):
-    return orphaned(B.memories(spark, sf_dir), B.edges(spark, sf_dir)).agg(F.count_distinct("to_id").alias("n"))
-
-
-def orphaned(memories, edges):
-    """Edges from withdrawn teachings to inferences that still stand."""
-    a = memories.where("source_type = 'teaching' AND status IN ('expired', 'rejected')").select(F.col("id").alias("from_id"))
-    b = memories.where("source_type = 'inference' AND status = 'durable'").select(F.col("id").alias("to_id"))
-    return edges.join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
+    return M.orphaned(B.memories(spark, sf_dir), B.edges(spark, sf_dir)).agg(F.count_distinct("to_id").alias("n"))
 
 
 @query("j9_correction_edges", sql("memories edges", "SELECT edge_type, count(*) AS n FROM edges JOIN memories ON id = from_id WHERE memory_type = 'correction' GROUP BY 1"))

@@ -49,7 +49,7 @@ def memories(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         ((i % 101) / 100).alias("confidence"),
         F.when(i % 8 == 0, F.col("ts") + F.expr("INTERVAL 14 DAYS")).alias("review_after"),
         (i % 9 == 0).alias("needs_user_confirmation"),
-        F.when(i % 17 == 0, "high").when(i % 19 != 0, "normal").alias("consent_level"),
+        F.when(i % 17 == 0, "high").when(i % 13 == 5, "low").when(i % 19 != 0, "normal").alias("consent_level"),
         _pick(i % 41, COUNTERWEIGHTS).alias("counterweight_type"),
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), (i % 7).alias("access_count"), (i % 23 == 0).alias("is_core"),
         _pick(i % 31, FLAGS).alias("pattern_flag"), F.when(i % 2 == 0, F.concat(F.lit("source "), (u % 4).cast("string"))).alias("pattern_source"),
@@ -123,6 +123,14 @@ def hive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i * 13 % 1000).alias("target_memory_id"), "ts", F.when(i % 5 == 0, F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("expires_at"))
 
 
+def sleep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a maintenance cycle: what it created, expired and filled in."""
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    i = F.col("event_id")
+    return e.select(F.col("ts").alias("cycle_start"), (F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("cycle_end"), (i % 5).alias("edges_created"),
+                    (i % 3).alias("memories_expired"), (i % 26).alias("embeddings_backfilled"))
+
+
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: who asked what when, and the answer's code."""
     e = table(spark, sf_dir, "events")

@@ -32,6 +32,33 @@ def apply_tags(memories: DataFrame, tags: DataFrame) -> DataFrame:
     return memories.join(t, "id", "left").withColumn("pattern_flag", F.coalesce("_flag", "pattern_flag")).withColumn("pattern_source", F.coalesce("_source", "pattern_source")).drop("_flag", "_source")
 
 
+def read_people(spark: SparkSession, path: str) -> DataFrame:
+    """People configuration, a JSON object of names and relationships, as (name, relationship); empty names are left out."""
+    text = spark.read.text(path, wholetext=True)
+    pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "relationship"))
+    return pairs.where(F.trim("name") != "")
+
+
+RESULTS = "timestamp string, total_memories bigint, tasks array<struct<task string, passed bigint, total_tests bigint, pass_rate double, tests array<struct<id string, name string, pass boolean>>>>"
+_TASKS = {"1": "provenance", "2": "corrections", "3": "false memories", "4": "adversarial", "5": "drift"}
+
+
+def write_results(audit: DataFrame, path: str, at: str) -> None:
+    """An audit (check_id, metric, pass) as a results file: a task for each first digit, with its checks and share passed."""
+    task = F.create_map(*[F.lit(x) for kv in _TASKS.items() for x in kv])[F.substring("check_id", 1, 1)]
+    test = F.struct(F.col("check_id").alias("id"), F.col("metric"), F.col("pass"))
+    passed, n = F.count(F.when(F.col("pass"), 1)), F.count(F.lit(1))
+    tasks = audit.groupBy(task.alias("task")).agg(passed.alias("passed"), n.alias("total_tests"), F.round(passed * 100 / n, 1).alias("pass_rate"), F.sort_array(F.collect_list(test)).alias("tests"))
+    whole = tasks.agg(F.sort_array(F.collect_list(F.struct(*tasks.columns))).alias("tasks")).withColumn("timestamp", F.lit(at))  # five tasks
+    whole.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(timestamp, task, check_id, pass, pass_rate) of results files."""
+    tasks = spark.read.schema(RESULTS).json(path).select("timestamp", F.explode("tasks").alias("t"))
+    return tasks.select("timestamp", "t.task", "t.pass_rate", F.explode("t.tests").alias("x")).select("timestamp", "task", F.col("x.id").alias("check_id"), F.col("x.pass").alias("pass"), "pass_rate")
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     """A one-row summary as JSON."""
     snapshot.coalesce(1).write.mode("overwrite").json(path)

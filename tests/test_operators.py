@@ -77,8 +77,11 @@ def test_pattern_boost_may_lower(spark):
 
 
 def test_keyword_search_counts_words(spark):
-    got = R.keyword_search(memories(spark, BASE), "HELLO world a", 10).collect()
-    assert [(r.id, r.hits) for r in got] == [(1, 2), (4, 1), (2, 1)]
+    found = lambda *a, **k: [(r.id, r.hits) for r in R.keyword_search(memories(spark, BASE), *a, **k).collect()]
+    assert found("HELLO world a", 10) == [(1, 2), (2, 1)]  # durable ones only, unless asked for
+    assert found("HELLO world a", 10, include_provisional=True) == [(1, 2), (4, 1), (2, 1)]
+    assert found("bye", 10, include_provisional=True) == []  # expired
+    assert found(" o ", 10) == [(1, 1), (2, 1)]  # no word of two characters: the query as a whole
 
 
 def test_scores_of_a_memory_without_anything(spark):
@@ -113,7 +116,8 @@ def test_prefix_duplicates(spark):
 def test_deltas_skip_empty_days_and_zero_falls(spark):
     df = spark.createDataFrame([("2024-01-01", 1, 0.1), ("2024-01-02", 0, 9.0), ("2024-01-05", 1, 0.1)], "d string, memory_count long, v double").withColumn("date", F.col("d").cast("date"))
     assert [r.delta for r in D.deltas(df, "v").collect()] == [0.0]
-    assert [r.rising for r in D.monotone_runs(df, "v", 1).collect()] == [False]
+    assert [r.rising for r in D.monotone_runs(df, "v", 1, days=2).collect()] == [False]
+    assert D.monotone_runs(df, "v", 1).count() == 0  # five days at least
 
 
 def test_bigrams(spark):
