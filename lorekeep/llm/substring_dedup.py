@@ -1,9 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences. A span begins at every sentence and is the shortest run of consecutive sentences, two at least,
-that has ``MIN_WORDS`` words; a single sentence of ``LONG`` words is a span too. Spans are hashed and joined across the corpus;
-every sentence covered by a span that isn't the first of its hash (by doc_id, then position) is removed. What runs on for over
-``LONGEST`` words without a mark is cut where its words say so, so that a passage is cut alike wherever it begins.
+Texts are cut into sentences, and sentences of more than ``WHOLE`` words once more after words whose hash is the least within
+``REACH`` words on both sides: that depends on these words only, so a passage is cut alike whatever stands around it. A span
+begins at every sentence and is the shortest run of consecutive sentences, two at least, that has ``MIN_WORDS`` words. Spans are
+hashed and joined across the corpus; every sentence covered by a span that isn't the first of its hash (by doc_id, then
+position) is removed.
 
 Only hashes and positions are shuffled until it is known what goes; texts meet the removals of their own row once. Counts per
 hash are combined on the map side. Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet
@@ -18,62 +19,72 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sentences and words of a span at least; words of a sentence that is a span by itself; words of a sentence at most; words on
-#: either side that decide where a longer one is cut; see above.
-MIN_SENTENCES, MIN_WORDS, LONG, LONGEST, REACH, HOT = 2, 12, 20, 30, 4, 2_000
-_WORD = re.compile(r"\s*\S+\s*")
-_END = re.compile(r"[.!?]+\s+|\n\s*")
+#: Sentences and words of a span at least; words of a sentence that is never cut; words on either side that decide about a cut;
+#: words after which what has none is cut every ``LONG``.
+MIN_SENTENCES, MIN_WORDS, WHOLE, REACH, LONGEST, LONG, HOT = 2, 20, 16, 4, 40, 20, 100_000
+_WORD = re.compile(r"\S+\s*")
+
+
+def _ends(words: list[str], pieces: list[str], coded: list[bytes]) -> list[int]:
+    """Numbers of words at which a sentence has ended: at marks that white space follows, at line ends, and at cuts."""
+    n = len(words)
+    end = np.fromiter((w[-1] in ".!?" or "\n" in p for w, p in zip(words, pieces, strict=True)), bool, n)
+    end[-1] = True
+    if n > 2 * REACH:
+        sentence = np.cumsum(end) - end
+        h = np.fromiter(map(zlib.crc32, coded), np.int64, n)
+        near = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
+        own = near[:, REACH]
+        least = (own < near[:, :REACH].min(1)) & (own <= near[:, REACH:].min(1)) & (sentence[: n - 2 * REACH] == sentence[2 * REACH :])
+        end[REACH : n - REACH] |= least & (np.bincount(sentence)[sentence[REACH : n - REACH]] > WHOLE)
+    out, last = [], 0
+    for e in (np.nonzero(end)[0] + 1).tolist():
+        while e - last > LONGEST:
+            last += LONG
+            out.append(last)
+        out.append(e)
+        last = e
+    return out
 
 
-def _pieces(part: str) -> list[str]:
-    """``part`` cut after words whose hash is the least within ``REACH`` words, the first such word, or else after ``LONG`` words."""
-    words = _WORD.findall(part)
-    h = [zlib.crc32(w.strip().encode("utf-8")) for w in words]
-    out, last = [], 0
-    for i in range(len(words) - 1):
-        before = h[max(0, i - REACH) : i]
-        if (all(x > h[i] for x in before) and h[i] <= min(h[i + 1 : i + 1 + REACH])) or i + 1 - last == LONG:
-            out.append("".join(words[last : i + 1]))
-            last = i + 1
-    return [*out, "".join(words[last:])]
+def _cut(text: str) -> tuple[list[str], list[bytes], list[int]]:
+    """Words with the white space after them (the first also with that before it), words in UTF-8, and ``_ends``."""
+    words, pieces = text.split(), _WORD.findall(text)
+    if not words:
+        return pieces, [], []
+    coded = " ".join(words).encode("utf-8", "surrogatepass").split(b" ")
+    pieces[0] = text[: len(text) - sum(map(len, pieces))] + pieces[0]
+    return pieces, coded, _ends(words, pieces, coded)
 
 
 def sentences(text: str) -> list[str]:
-    """The text in sentences, each with the white space after it; together they are the text. They end at marks that white
-    space follows, and at line ends; what goes on for more than ``LONGEST`` words is cut by its words."""
-    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        part = text[a:b]
-        if b - a > 2 * LONGEST and len(part.split()) > LONGEST:
-            out += _pieces(part)
-        elif part:
-            out.append(part)
-    return out
+    """The text in sentences, each with the white space after it; together they are the text. White space alone is one sentence."""
+    pieces, _, ends = _cut(text)
+    if not ends:
+        return [text] if text else []
+    return ["".join(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def spans(parts: list[str]) -> list[tuple[int, int, int]]:
+def spans(text: str) -> list[tuple[int, int, int]]:
     """(first sentence, sentences, hash) of every span; white space doesn't count."""
-    words = [p.split() for p in parts]
-    counts = [len(w) for w in words]
-    joined = [" ".join(w).encode("utf-8") for w in words]
-    out = []
-    h = xxhash.xxh64_intdigest
-    for i in range(len(parts)):
-        if not counts[i]:
-            continue
-        if counts[i] >= LONG:
-            out.append((i, 1, h(joined[i], 1)))
-        total, n, j = counts[i], 1, i + 1
-        while j < len(parts) and (n < MIN_SENTENCES or total < MIN_WORDS):
-            total, n, j = total + counts[j], n + (counts[j] > 0), j + 1
-        if n >= MIN_SENTENCES and total >= MIN_WORDS:
-            out.append((i, j - i, h(b"\n".join(x for x in joined[i:j] if x), 2)))
+    _, coded, ends = _cut(text)
+    if len(ends) < MIN_SENTENCES:
+        return []
+    starts, n, out, h = [0, *ends[:-1]], len(ends), [], xxhash.xxh64_intdigest
+    joined, at = b" ".join(coded), np.cumsum([0, *(len(w) + 1 for w in coded)]).tolist()
+    j = 0
+    for i in range(n):
+        j = max(j, i + MIN_SENTENCES - 1)
+        while j < n and ends[j] - starts[i] < MIN_WORDS:
+            j += 1
+        if j == n:
+            break
+        out.append((i, j + 1 - i, h(joined[at[starts[i]] : at[ends[j]] - 1], 2)))
     return out
 
 
@@ -91,7 +102,7 @@ def span_hashes(rows: DataFrame) -> DataFrame:
                 part = b.slice(lo, 250)
                 row, at, n, hashes = [], [], [], []
                 for i, text in enumerate(part.column(2).to_pylist()):
-                    for s, k, x in spans(sentences(text or "")):
+                    for s, k, x in spans(text or ""):
                         row.append(i)
                         at.append(s)
                         n.append(k)
@@ -112,11 +123,13 @@ def removals(rows: DataFrame) -> DataFrame:
     columns = ["doc_id", "own", "at", "n", "hash", "first"]
     cold = by_hot.where("hot IS NULL").drop("first").join(first.where(~hot).select("hash", "first"), "hash")
     repeated = by_hot.where("hot").select(columns).union(cold.select(columns))
-    home = F.col("doc_id").eqNullSafe(F.col("first"))
-    # within the first document, its earliest place stays; a group here is one document's places
-    nth = F.rank().over(Window.partitionBy("hash").orderBy("own", "at"))
+    home = repeated.where(F.col("doc_id").eqNullSafe(F.col("first")))
+    # within the first document its earliest place stays
+    place = F.shiftleft(F.col("own").cast("bigint"), 32) + F.col("at")
+    kept = home.groupBy("hash").agg(F.min(place).alias("place"))
     some = ["doc_id", "own", "at", "n"]
-    again = repeated.where(~home).select(some).union(repeated.where(home).withColumn("_nth", nth).where("_nth > 1").select(some))
+    again = repeated.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(some)
+    again = again.union(home.join(kept, "hash").where(place > F.col("place")).select(some))
     covered = again.select("doc_id", "own", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("s"))
     return covered.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("s")).alias("cut"))
 

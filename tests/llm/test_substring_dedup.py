@@ -27,14 +27,10 @@ def brute(given):
         parts = sd.sentences(t)
         w = [p.split() for p in parts]
         for i in range(len(parts)):
-            if not w[i]:
-                continue
-            if len(w[i]) >= sd.LONG:
-                yield i, i + 1, ("long", tuple(w[i]))
-            for j in range(i + 1, len(parts) + 1):
-                some = [x for x in w[i:j] if x]
-                if len(some) >= 2 and sum(map(len, some)) >= sd.MIN_WORDS:
-                    yield i, j, tuple(map(tuple, some))
+            for j in range(i + 2, len(parts) + 1):
+                some = [x for p in w[i:j] for x in p]
+                if len(some) >= sd.MIN_WORDS:
+                    yield i, j, tuple(some)
                     break
 
     first, out = {}, {}
@@ -68,7 +64,7 @@ PASSAGE = "The first sentence of a passage has some words. Then the second sente
 def test_passages(spark):
     given = [
         (5, f"Own beginning here. {PASSAGE} Own end of five."), (2, f"Words before that run on into {PASSAGE} And words after."), (9, f"{PASSAGE}\n{PASSAGE}"),
-        (1, "Short. Short. Short. Short."), (3, "Short. Short. Other."), (7, PASSAGE), (8, PASSAGE.replace(" ", "  ")), (None, PASSAGE), (11, None), (12, ""), (13, "\n\n"),
+        (1, "Short. Short. Short. Short."), (3, "Short. Short. Other."), (7, PASSAGE), (8, PASSAGE.replace(" ", "  ")), (None, PASSAGE), (11, None), (12, ""), (13, "\n\n"), (18, "\n \n" + PASSAGE),
         (14, "one " * 25 + "end. Different text follows."), (15, "Something first. " + "one " * 25 + "end."), (7, PASSAGE), (7, "x. " + PASSAGE), (16, "w " * 40_000 + "."), (17, "w " * 40_000 + "."),
     ]
     check(sd.deduplicated(docs(spark, given).withColumn("own", F.lit(1)).withColumn("at", F.lit("x")).withColumn("hash", F.lit(2))).collect(), given)
@@ -108,5 +104,30 @@ def test_long_passages_without_marks_are_cut_alike_anywhere(seed, before, after)
     texts = [" ".join(words(n) + shared + words(after)) for n in (before, before + 7)]
     parts = [sd.sentences(t) for t in texts]
     assert ["".join(p) for p in parts] == texts and all(len(x.split()) <= sd.LONGEST for p in parts for x in p)
-    a, b = ({x[2] for x in sd.spans(p)} for p in parts)
+    a, b = ({x[2] for x in sd.spans(t)} for t in texts)
     assert a & b
+
+
+def test_sentences_that_words_without_marks_run_into():
+    missed = 0
+    for seed in range(300):
+        r = random.Random(seed)
+        words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+        passage = " ".join(" ".join(words(n)) + "." for n in ((18, 18, 18) if seed % 2 else (26, 26)))
+        inside = " ".join([*words(15), passage[:-1], *words(15)])
+        missed += not {x[2] for x in sd.spans(passage)} & {x[2] for x in sd.spans(inside)}
+    assert missed <= 15, missed
+
+
+def test_one_sentence_is_no_span():
+    assert sd.spans("just one sentence that says " * 3 + "it all.") == []
+
+
+def test_long_runs_of_marks_and_of_white_space():
+    import time
+
+    began = time.time()
+    for text in ("." * 1_000_000, ".!?" * 300_000 + " x", " " * 1_000_000 + "x. y", "\n" * 500_000, "x" * 2_000_000, "w " * 500_000):
+        assert "".join(sd.sentences(text)) == text
+        sd.spans(text)
+    assert time.time() - began < 20
