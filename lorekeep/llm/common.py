@@ -65,5 +65,19 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, most: int = 10_000) -> DataFrame:
+    """``rows`` joined by ``key`` to ``classes``, which has each key once with its number of rows in the column ``size``.
+
+    Classes of more than one in ``most`` of all rows, of which there are fewer than ``most``, meet their rows by a broadcast; so
+    a class that holds a third of all rows isn't shuffled into one task. The rest join by shuffle.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > F.lit(max(total // most, 1))
+    by_large = rows.join(F.broadcast(classes.where(large).withColumn("_large", F.lit(True))), key, "left")  # fewer than ``most`` rows
+    names = [*rows.columns, *(c for c in classes.columns if c not in (key, size))]
+    rest = by_large.where("_large IS NULL").select(*rows.columns).join(classes.where(~large), key)
+    return by_large.where("_large").select(names).union(rest.select(names))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

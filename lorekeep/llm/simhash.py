@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_to_classes, written
 from .components import components
 
 #: Most fingerprints in a leaf, bits per round of the traversal, and product of leaf sizes handled at a time in numpy.
@@ -23,11 +23,11 @@ LEAF, STEP, CELLS = 1024, 4, 2_000_000
 _SHIFTS = np.arange(63, -1, -1, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash over shingles of ``width`` words; see ``fingerprints`` for the rules."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles in order, repeats included; see ``fingerprints`` for the rules."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: lowers A-Z and splits at \x20 \x09-\x0D only
     if not words:
-        return 0
+        return np.array([], np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
         hashes = [h(joined, 42)]
@@ -35,13 +35,22 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [h(joined[s:e], 42) for s, e in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    a = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def majority(a: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``a``; 0 for none."""
     over = np.zeros(64, np.int64)
     for lo in range(0, len(a), 65536):
         over += np.unpackbits(a[lo : lo + 65536].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(over * 2 > len(a)).view(">u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash over shingles of ``width`` words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, own, fp), own being a hash of doc_id and text: words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lowered, shingles of ``width`` words count
     as often as they occur, fewer words give one shingle, none gives 0. A null text counts as empty. fp is signed."""
@@ -56,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _own() -> Column:
-    return F.xxhash64("text", "doc_id")
+    return F.xxhash64(F.col("text").cast("string"), "doc_id")
 
 
 def _prefix(fp: str, depth: int):
@@ -68,15 +77,15 @@ def trie_nodes(fps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Leaves (depth, path, fps) and inner nodes (depth, path) of the trie over distinct fingerprints ``fp``."""
     leaves, inner, rest, depth = [], [], fps, 0
     while True:
-        sized = rest.groupBy(_prefix("fp", depth).alias("path")).agg(F.count(F.lit(1)).alias("n"))
-        sized = written(sized.withColumn("depth", F.lit(depth)), "nodes")
-        big = sized.where(F.col("n") > LEAF).select("depth", "path")
-        rest = rest.withColumn("path", _prefix("fp", depth))
-        leaves.append(rest.join(sized.where(F.col("n") <= LEAF).select("path"), "path").select(F.lit(depth).alias("depth"), "path", "fp"))
-        inner.append(big)
-        if big.isEmpty() or depth == 64:
+        placed = rest.select("fp", _prefix("fp", depth).alias("path"))
+        sized = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        level = written(placed.join(sized, "path"), "level")  # each level is read from its table, not worked out again
+        leaves.append(level.where(F.col("n") <= LEAF).select(F.lit(depth).alias("depth"), "path", "fp"))
+        big = level.where(F.col("n") > LEAF)
+        inner.append(big.select(F.lit(depth).alias("depth"), "path").distinct())
+        if depth == 64 or big.isEmpty():
             break
-        rest = rest.join(big.select("path"), "path", "left_semi").select("fp")
+        rest = big.select("fp")
         depth += STEP
     both = [leaves[0], inner[0]]
     for a, b in zip(leaves[1:], inner[1:], strict=True):
@@ -206,17 +215,26 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def representatives(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's component_id, one a group.
+def representatives(docs: DataFrame, budget: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their group, one a group, in the columns that ``docs`` has.
 
-    Of rows that repeat a doc_id in a group one stays, by hash; of a group without any id one of each fingerprint. Texts are
-    shuffled once, to meet the hashes of the rows that stay.
+    Groups are those of ``resemblance.near_duplicates``: pairs that the trie join finds within ``budget`` bits, and those that it
+    misses, are held to ``similarity``. Of rows that repeat a doc_id in a group one stays, by hash; of a group without any id
+    one of each set of shingles. Null texts count as empty and are alike; an empty table gives no rows.
     """
-    rows = near_duplicates(docs, budget, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = rows.groupBy(F.coalesce(F.col("component_id").cast("string"), "fingerprint")).agg(F.min("own").alias("_own")).select("_own")
-    met = docs.withColumn("_own", _own()).join(stay, "_own", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy("doc_id"))  # equal rows
-    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    from .resemblance import near_duplicates as similar
+
+    rows = similar(docs, similarity, width, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = rows.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("set "), "node"))).agg(F.min("own").alias("own")).select("own")
+    return kept_rows(docs, stay)
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``own`` of ``stay``. Rows travel as structs, so that no column's name can clash."""
+    whole = docs.select(F.struct("*").alias("row"), _own().alias("own"))
+    met = whole.join(stay, "own", "left_semi")
+    order = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64(F.to_json("row"))))  # rows equal in doc_id and text
+    return met.withColumn("nth", order).where("nth = 1").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
@@ -227,11 +245,11 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFra
     group's id is the smallest that is not null, if there is one. Repeated rows each come out. An empty table gives none.
     """
     rows = written(fingerprints(docs, width), "fingerprints")
-    by_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    by_fp = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     comp = written(components(links(by_fp.select("fp"), budget)), "components")
     # linked fingerprints only: the rest are groups of their own
     linked = comp.join(by_fp, comp.node == by_fp.fp).select("component", "fp", "least")
     of_comp = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(of_comp, "component").select("fp", "component_id")
-    every = by_fp.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "own")
+    every = by_fp.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return joined_to_classes(rows, every, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "own")
