@@ -111,16 +111,20 @@ def heavy_first(rows: DataFrame, goals: DataFrame, cap: int, seed: int) -> DataF
     return per.select("src", F.expr(step).alias("r")).select("src", F.col("r.goal").alias("goal"), F.col("r.size").alias("rest"), "r.done")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row; nulls count, as hashes alone pass over them."""
+    cols = [F.col("`" + c.replace("`", "``") + "`").cast("string") for c in sorted(docs.columns)]
+    return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])
+
+
 def mixed(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """(doc_id, key, source, size, source_size, target, copies) for every row of ``docs`` (doc_id, text, source).
 
     ``key`` is a hash of the whole row. Null texts have size 0 and, like empty ones, take no part in the duels; a null source is
     a source of its own, weighed last; repeated rows are rows of their own; null ids are allowed; an empty table gives none.
     """
-    cols = sorted(docs.columns)
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in cols])
     rows = docs.select(
-        "doc_id", key.alias("key"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"), word_count().alias("size"),
+        "doc_id", row_key(docs).alias("key"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"), word_count().alias("size"),
     ).withColumn("cell", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(_CELLS)).cast("int"))
     rows = written(rows, "sized")
     goals = written(targets(rows, cap, weights), "targets")
@@ -143,11 +147,9 @@ def mixed(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3),
 
 
 def mixture(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` themselves, each as often as the mix takes it. Rows equal in all columns share their copies."""
-    cols = sorted(docs.columns)
-    taken = mixed(docs, cap, weights, seed).groupBy("key").agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in cols]))
-    joined = keyed.join(taken.where("_copies > 0").select(F.col("key").alias("_key"), "_copies"), "_key")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
-    once = joined.withColumn("_nth", one).where("_nth = 1")
-    return once.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    """The rows of ``docs`` themselves, each as often as the mix takes it. Rows equal in all columns share their copies. Rows
+    travel as structs, so that no column's name can clash."""
+    taken = mixed(docs, cap, weights, seed).groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    joined = docs.select(F.struct("*").alias("row"), row_key(docs).alias("key")).join(taken, "key")
+    once = joined.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("copies"))).where("nth = 1")  # equal rows
+    return once.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
