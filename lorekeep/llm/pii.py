@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Atoms in a segment at most, texts of the training sample at most, steps of the ascent, ridge, least probability of added spans.
-LONGEST, SAMPLE, STEPS, RIDGE, SURE = 14, 1500, 20, 2e-3, 0.95
+#: Atoms in a segment at most, texts and stretches of the training sample at most, steps of the ascent, ridge, least probability of
+#: added spans.
+LONGEST, SAMPLE, STRETCHES, STEPS, RIDGE, SURE = 14, 1500, 6000, 20, 2e-3, 0.95
 
 # The base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,7 +225,14 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, flo
 def all_spans(text: str, weights: np.ndarray, sure: float = SURE) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and those with what the field adds off them, both by kind and start."""
     base = base_spans(text)
-    more = [(kind, s, e) for kind, s, e, p in field_spans(text, weights) if p >= sure and not any(s < y and x < e for _, x, y in base)]
+    # field spans come in order and apart; the base, by start, is walked along with them, the furthest end so far being enough
+    at, i, reach, more = sorted((s, e) for _, s, e in base), 0, -1, []
+    for kind, s, e, p in field_spans(text, weights):
+        while i < len(at) and at[i][0] < e:
+            reach = max(reach, at[i][1])
+            i += 1
+        if p >= sure and reach <= s:
+            more.append((kind, s, e))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2]))
 
@@ -265,13 +273,20 @@ def _gradient(rows: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray]:
     return out[0] / n, out[2:].reshape(weights.shape) / n
 
 
+def _near_digits(batches):
+    """The stretches of each text, with all that features look at, a row each."""
+    for b in batches:
+        cut = [t[max(0, s - 2) : e + 2] for t in b.column(0).to_pylist() for s, e in stretches(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["text"])
+
+
 def train(docs: DataFrame, steps: int = STEPS) -> np.ndarray:
-    """Weights (kinds, features) from a bounded sample of the texts with digits or @ signs; of a text, what is near them."""
+    """Weights (kinds, features) from a bounded sample of the texts with digits or @ signs and of the stretches in these."""
     texts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     some = texts.select("h").distinct().orderBy("h").limit(SAMPLE)  # hashes only: copies count once
-    near = F.concat_ws("\n", F.regexp_extract_all("text", F.lit(r"[^\n]{0,60}[0-9@][^\n]{0,80}"), F.lit(0)))
-    rows = texts.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.first(near).alias("text")).where(F.length("text") < 20_000)
-    rows = written(rows.select("text").repartition(8), "sample")
+    rows = texts.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    rows = rows.select("text").mapInArrow(_near_digits, "text string").select(F.xxhash64("text").alias("h"), "text")
+    rows = written(rows.orderBy("h", "text").limit(STRETCHES).select("text").repartition(8, "text"), "sample")
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2.0
     mean = square = 0.0
@@ -325,16 +340,18 @@ def masked_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def masked(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """``docs`` with personal data masked in ``text``; a column ``n_chars`` is brought up to date. Null texts stay null."""
+    """``docs`` with personal data masked in ``text``; a column ``n_chars`` is brought up to date. Null texts stay null, repeated
+    rows each come out, an empty table stays empty. Rows travel as structs, so that columns may have any name."""
     weights = train(docs) if weights is None else weights
-    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = pa.array([None if t is None else masked_text(t, all_spans(t, weights)[1]) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+            texts = pa.array([None if t is None else masked_text(t, all_spans(t, weights)[1]) for t in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["row", "text"])
 
-    out = docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(run, rows.schema)
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-    return out
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")

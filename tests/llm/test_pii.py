@@ -82,6 +82,47 @@ def test_trained_field_finds_and_adds(spark):
     assert all(k in pii.KINDS for k, *_ in pii.all_spans("reach me: 1 (212) 555-7713 today", w)[1])
 
 
+def test_added_spans_by_enumeration(spark):
+    """All segmentations of each stretch give the same added spans as the operator, and as the query's path over Spark."""
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(len(pii.KINDS), len(pii.FEATURES)))
+    weights[:, 0] -= 0.5
+    texts = ["call 12 345-6789 x", "at 10.2.3.4 or a@b.cc", "n 1234567 then b@c.dd.", "no 99", "1.2.3.400 7654321", "card 4539148803436467 and x@y.zz"]
+
+    def best_of(text, start, end):
+        bounds, segments = pii.candidates(text, start, end)
+        n, scores = len(bounds) - 1, pii._scored(segments, weights)
+        ways = [[] for _ in range(n + 1)]  # (weight, segments) of every way to cover atoms 0..j
+        ways[0] = [(0.0, ())]
+        for j in range(1, n + 1):
+            ways[j] += ways[j - 1]
+            for k, (a, b, _) in enumerate(segments):
+                if b == j:
+                    ways[j] += [(w + scores[k, c], (*way, (k, c))) for w, way in ways[a] for c in range(len(pii.KINDS))]
+        total = np.logaddexp.reduce([w for w, _ in ways[n]])
+        top = max(ways[n], key=lambda x: x[0])[1]
+        share = lambda kc: np.exp(np.logaddexp.reduce([w for w, way in ways[n] if kc in way]) - total)
+        return [(pii.KINDS[c], bounds[segments[k][0]], bounds[segments[k][1]], share((k, c))) for k, c in top]
+
+    for sure in (0.1, 0.5, 0.9):
+        for text in texts:
+            base = plain_base(text)
+            spans = [x for s, e in pii.stretches(text) for x in best_of(text, s, e)]
+            more = {(k, s, e) for k, s, e, p in spans if p >= sure and not any(s < y and x < e for _, x, y in base)}
+            assert set(pii.all_spans(text, weights, sure)[1]) == more | set(base), (text, sure)
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    got = {r.doc_id: r.spans for r in pii.found(docs(spark, texts), weights).collect()}
+    for i, text in enumerate(texts):
+        every = sorted(pii.all_spans(text, weights)[1], key=lambda x: (order[x[0]], *x[1:]))
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for k, s, e in every)
+
+
+def test_overlaps_are_found_in_one_walk():
+    text = "mail a@b.cc now " * 4000
+    base, every = pii.all_spans(text, np.zeros((len(pii.KINDS), len(pii.FEATURES))))
+    assert len(base) == 4000 and set(base) <= set(every)
+
+
 def check(rows, given):
     assert len(rows) == len(given)
     got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows), key=str)
