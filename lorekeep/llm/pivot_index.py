@@ -2,7 +2,7 @@
 
 A vector is described by its ``DEPTH`` nearest reference vectors (pivots), in order of nearness. Vectors whose descriptions
 share ``SHARED`` pivots or more are candidates, and a candidate is a link if its cosine, in double precision, reaches the
-threshold. Candidates are retrieved from inverted lists, one a pivot: with pivots in a fixed order, rare ones first, two
+threshold; within a list both tests are made for all its vectors at once, the cheaper first. Candidates are retrieved from inverted lists, one a pivot: with pivots in a fixed order, rare ones first, two
 descriptions with ``SHARED`` pivots in common have their first common one among the first ``DEPTH - SHARED + 1`` of each, so
 only those lists hold the vector, and a pair counts in the list of its first common pivot alone. Long lists are cut into
 chunks that meet in pairs, so a task sees a bounded number of vectors. Tasks return sums of links and edges that span what is
@@ -27,7 +27,7 @@ from .common import written
 from .components import components
 
 DEPTH, SHARED, LEAST, MOST, CHUNK, APART = 16, 4, 64, 4096, 1024, 1.5
-_INDEXED = "node bigint, copies bigint, vector array<float>, near array<int>"
+_INDEXED = "node bigint, copies bigint, vector array<double>, near array<int>"
 
 
 def thinned(pivots: np.ndarray, threshold: float) -> np.ndarray:
@@ -46,9 +46,16 @@ def thinned(pivots: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` nearest pivots of each row by cosine, nearest first, ties by number."""
-    score = x @ pivots.T / np.linalg.norm(x, axis=1)[:, None]
-    return np.argsort(-score, axis=1, kind="stable")[:, :depth].astype(np.int32)
+    """The ``depth`` nearest pivots of each unit row by cosine, nearest first, ties by number."""
+    score = -(x @ pivots.T)
+    if depth < score.shape[1]:  # all that can be among the nearest, then these in order
+        far = np.partition(score, depth - 1, axis=1)[:, depth - 1 : depth]
+        out = np.empty((len(x), depth), np.int32)
+        for r, row in enumerate(score <= far):
+            some = np.nonzero(row)[0]
+            out[r] = some[np.argsort(score[r, some], kind="stable")[:depth]]
+        return out
+    return np.argsort(score, axis=1, kind="stable")[:, :depth].astype(np.int32)
 
 
 def described(classes: DataFrame, pivots: np.ndarray, depth: int) -> DataFrame:
@@ -58,46 +65,36 @@ def described(classes: DataFrame, pivots: np.ndarray, depth: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                x = np.array(part.column(2).to_pylist(), np.float64)
-                near = nearest(x, pivots, depth)
+                near = nearest(units(part.column(2).to_pylist()), pivots, depth)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(list(near), pa.list_(pa.int32()))], names=["node", "copies", "vector", "near"])
 
     return classes.select("node", "copies", "vector").mapInArrow(run, _INDEXED)
 
 
-def _bits(near: list[list[int]], words: int) -> np.ndarray:
-    out = np.zeros((len(near), words), np.uint64)
-    rows = np.repeat(np.arange(len(near)), [len(n) for n in near])
-    flat = np.array([p for n in near for p in n], np.int64)
-    np.bitwise_or.at(out, (rows, flat >> 6), np.uint64(1) << (flat & 63).astype(np.uint64))
-    return out
+def shared_pivots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many pivots the rows of two (n, depth) arrays of sorted ranks have in common, and the first of them."""
+    same = a[:, :, None] == b[:, None, :]
+    mine = same.any(2)
+    return mine.sum(1), np.where(mine, a, np.iinfo(a.dtype).max).min(1)
 
 
 def list_links(left: tuple, right: tuple | None, pivot: int, shared: int, threshold: float) -> dict[str, np.ndarray]:
     """Sums of links and spanning edges among vectors of one list: of ``left`` with itself, or with ``right``.
 
-    Each side is (nodes, copies, vectors, sorted pivot ranks).
+    Each side is (nodes, copies, unit vectors, sorted pivot ranks). One matrix product gives the cosines of the list, which is
+    cheaper than counting its shared pivots; the counts then decide about those pairs that reach the threshold.
     """
     other = left if right is None else right
-    words = max(max(n) for s in (left, other) for n in s[3]) // 64 + 1
-    a, b = _bits(left[3], words), _bits(other[3], words)
-    common, below = np.zeros((len(a), len(b)), np.uint16), np.zeros((len(a), len(b)), bool)
-    for w in range(words):
-        both = a[:, w, None] & b[None, :, w]
-        common += np.bitwise_count(both)
-        mask = (1 << 64) - 1 if w < pivot >> 6 else (1 << (pivot & 63)) - 1 if w == pivot >> 6 else 0
-        if mask:
-            below |= (both & np.uint64(mask)) != 0
-    found = (common >= shared) & ~below
+    found = left[2] @ other[2].T >= threshold - 1e-9
     if right is None:
         found = np.triu(found, 1)
     i, j = np.nonzero(found)
-    norm = lambda x: np.linalg.norm(x, axis=1)
-    na, nb, cos = norm(left[2]), norm(other[2]), np.empty(len(i))
+    ok = np.zeros(len(i), bool)
     for lo in range(0, len(i), 20_000):
         s, t = i[lo : lo + 20_000], j[lo : lo + 20_000]
-        cos[lo : lo + 20_000] = np.einsum("ij,ij->i", left[2][s], other[2][t]) / (na[s] * nb[t])
-    ok = cos >= threshold
+        count, first = shared_pivots(left[3][s], other[3][t])
+        cos = np.einsum("ij,ij->i", left[2][s], other[2][t])
+        ok[lo : lo + 20_000] = (cos >= threshold) & (count >= shared) & (first == pivot)
     i, j = i[ok], j[ok]
     nodes = np.concatenate([left[0][i], other[0][j]])
     uniq, at = np.unique(nodes, return_inverse=True)
@@ -115,22 +112,36 @@ def list_links(left: tuple, right: tuple | None, pivot: int, shared: int, thresh
     return {"node": uniq, "links": links, "root": uniq[root]}
 
 
+def units(rows: list) -> np.ndarray:
+    """Vectors of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def index_links(classes: DataFrame, threshold: float = 0.9, depth: int = DEPTH, shared: int = SHARED) -> DataFrame:
     """(node, links, root) of ``classes`` (node, copies, vector), all vectors of one length: rows to be summed by node; node and
     root are linked."""
     n = classes.count()
     want = min(MOST, max(LEAST, round(4 * math.sqrt(n))), n)
     sample = classes.select("vector").orderBy(F.xxhash64("node", F.lit(11)), "node").limit(want).collect()
-    pivots = np.array([r.vector for r in sample], np.float64)
-    pivots = thinned(pivots / np.linalg.norm(pivots, axis=1)[:, None], threshold)
+    if not sample:
+        return classes.select("node", F.lit(0).cast("bigint").alias("links"), F.col("node").alias("root")).limit(0)
+    pivots = thinned(units([r.vector for r in sample]), threshold)
     # where descriptions name every pivot all pairs are candidates, which one list gives
     depth, shared = (depth, min(shared, depth)) if depth < len(pivots) else (len(pivots), len(pivots))
     indexed = written(described(classes, pivots, depth), "described")
     # rare pivots first; at most MOST rows
     seen = {r[0]: r[1] for r in indexed.select(F.explode("near").alias("p")).groupBy("p").count().collect()}
-    rank = {p: i for i, p in enumerate(sorted(range(len(pivots)), key=lambda p: (seen.get(p, 0), p)))}
-    ranks = F.array(*[F.lit(rank[p]) for p in range(len(pivots))])
-    indexed = indexed.withColumn("near", F.sort_array(F.transform("near", lambda p: F.get(ranks, p))))
+    rank = np.empty(len(pivots), np.int32)
+    rank[sorted(range(len(pivots)), key=lambda p: (seen.get(p, 0), p))] = np.arange(len(pivots))
+
+    def by_rank(batches):
+        for b in batches:
+            near = np.sort(rank[b.column(3).flatten().to_numpy()].reshape(-1, depth), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(near), pa.list_(pa.int32()))], names=["node", "copies", "vector", "near"])
+
+    indexed = indexed.mapInArrow(by_rank, _INDEXED)
     listed = indexed.withColumn("list", F.explode(F.slice("near", 1, depth - shared + 1)))
     chunks = listed.groupBy("list").count().select("list", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     listed = (
@@ -141,7 +152,8 @@ def index_links(classes: DataFrame, threshold: float = 0.9, depth: int = DEPTH,
     )
 
     def side(t: pa.Table):
-        return (t.column("node").to_numpy(), t.column("copies").to_numpy(), np.array(t.column("vector").to_pylist(), np.float64), t.column("near").to_pylist())
+        near = np.array(t.column("near").to_pylist(), np.int32)
+        return (t.column("node").to_numpy(), t.column("copies").to_numpy(), units(t.column("vector").to_pylist()), near)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -164,7 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, depth: int = DEP
     its components.
     """
     ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vector"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(ok, F.lit(False)).alias("ok"))
     rows = rows.withColumn("node", F.xxhash64("vector"))
     classes = rows.where("ok").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     classes = written(classes, "classes")

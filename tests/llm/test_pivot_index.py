@@ -65,6 +65,30 @@ def test_odd_vectors(spark):
     assert pivot_index.near_duplicates(df).count() == 2
 
 
+def test_doubles_stay_doubles(spark):
+    big, small = [1e300, 2e300, -1e300], [3e-310, 6e-310, -3e-310]
+    rows = [(1, big), (2, small), (3, [1.0, 2.0, -1.0]), (4, [1.0, 2.0, -1.0 + 1e-12]), (5, [1e39, 0.0, 0.0]), (6, [5e-324, 0.0, 0.0]), (7, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in pivot_index.near_duplicates(df).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
+def test_shared_pivots_by_sets():
+    rng = np.random.default_rng(1)
+    a, b = (np.sort(np.array([rng.choice(30, 8, replace=False) for _ in range(200)], np.int32), axis=1) for _ in range(2))
+    count, first = pivot_index.shared_pivots(a, b)
+    for x, y, n, f in zip(a.tolist(), b.tolist(), count.tolist(), first.tolist(), strict=True):
+        both = set(x) & set(y)
+        assert n == len(both) and (not both or f == min(both))
+
+
+def test_nearest_in_order_with_ties():
+    rng = np.random.default_rng(4)
+    x, p = np.round(rng.normal(size=(50, 3))), np.round(rng.normal(size=(40, 3)))
+    want = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :7]
+    assert (pivot_index.nearest(x, p, 7) == want).all()
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(1500, 64))
