@@ -6,9 +6,9 @@ begins at every sentence and is the shortest run of consecutive sentences, two a
 hashed and joined across the corpus; every sentence covered by a span that isn't the first of its hash (by doc_id, then
 position) is removed.
 
-Only hashes and positions are shuffled until it is known what goes; texts meet the removals of their own row once. Counts per
-hash are combined on the map side. Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet
-their first place by a broadcast and are not shuffled, so a passage that a third of all documents share gathers nowhere.
+Only hashes and positions are shuffled, once, until it is known what goes; texts meet the removals of their own row once.
+Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet their first place by a broadcast
+and are not shuffled, so a passage that a third of all documents share gathers nowhere.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Sentences and words of a span at least; words of a sentence that is never cut; words on either side that decide about a cut;
 #: words after which what has none is cut every ``LONG``.
-MIN_SENTENCES, MIN_WORDS, WHOLE, REACH, LONGEST, LONG, HOT = 2, 20, 16, 4, 40, 20, 100_000
+MIN_SENTENCES, MIN_WORDS, WHOLE, REACH, LONGEST, LONG, HOT, BUCKETS = 2, 20, 16, 4, 40, 20, 20_000, 1 << 17
 _WORD = re.compile(r"\S+\s*")
 
 
@@ -62,76 +62,90 @@ def _cut(text: str) -> tuple[list[str], list[bytes], list[int]]:
     return pieces, coded, _ends(words, pieces, coded)
 
 
-def sentences(text: str) -> list[str]:
-    """The text in sentences, each with the white space after it; together they are the text. White space alone is one sentence."""
+def _sentences(text: str) -> tuple[list[str], list[int]]:
+    """Sentences, and ``_runs`` of them."""
     pieces, _, ends = _cut(text)
     if not ends:
-        return [text] if text else []
-    return ["".join(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        return ([text] if text else []), []
+    return ["".join(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)], _runs(ends)
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, hash) of every span; white space doesn't count."""
-    _, coded, ends = _cut(text)
-    if len(ends) < MIN_SENTENCES:
-        return []
-    starts, n, out, h = [0, *ends[:-1]], len(ends), [], xxhash.xxh64_intdigest
-    joined, at = b" ".join(coded), np.cumsum([0, *(len(w) + 1 for w in coded)]).tolist()
-    j = 0
+def sentences(text: str) -> list[str]:
+    """The text in sentences, each with the white space after it; together they are the text. White space alone is one sentence."""
+    return _sentences(text)[0]
+
+
+def _runs(ends: list[int]) -> list[int]:
+    """Past which sentence the span that begins at each sentence ends, for the first sentences, which have one."""
+    starts, n, out, j = [0, *ends[:-1]], len(ends), [], 0
     for i in range(n):
         j = max(j, i + MIN_SENTENCES - 1)
         while j < n and ends[j] - starts[i] < MIN_WORDS:
             j += 1
         if j == n:
             break
-        out.append((i, j + 1 - i, h(joined[at[starts[i]] : at[ends[j]] - 1], 2)))
+        out.append(j + 1)
     return out
 
 
+def spans(text: str) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, hash) of every span; white space doesn't count."""
+    _, coded, ends = _cut(text)
+    starts, h = [0, *ends[:-1]], xxhash.xxh64_intdigest
+    joined, at = b" ".join(coded), np.cumsum([0, *(len(w) + 1 for w in coded)]).tolist()
+    return [(i, j - i, h(joined[at[starts[i]] : at[ends[j - 1]] - 1], 2)) for i, j in enumerate(_runs(ends))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def span_hashes(rows: DataFrame) -> DataFrame:
-    """(doc_id, own, at, n, hash) of every span of ``rows`` (doc_id, own, text)."""
+    """(doc_id, own, at, hash) of every span of ``rows`` (doc_id, own, text)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 250):
                 part = b.slice(lo, 250)
-                row, at, n, hashes = [], [], [], []
+                row, at, hashes = [], [], []
                 for i, text in enumerate(part.column(2).to_pylist()):
-                    for s, k, x in spans(text or ""):
+                    for s, _, x in spans(text or ""):
                         row.append(i)
                         at.append(s)
-                        n.append(k)
                         hashes.append(_signed(x))
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "own", "at", "n", "hash"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "own", "at", "hash"])
+
+    return rows.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own int, at int, hash bigint")
+
 
-    return rows.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own int, at int, n int, hash bigint")
+def common_spans(every: DataFrame) -> DataFrame:
+    """(hash, first, hot) of the hashes with more than one in ``HOT`` of all spans. Such a hash fills its bucket beyond that number,
+    so only the spans of full buckets are counted by hash."""
+    limit = F.lit(max(every.count() // HOT, 1))
+    bucket = F.pmod("hash", F.lit(BUCKETS))
+    full = every.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > limit).select("bucket")
+    some = every.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")  # fewer than HOT buckets
+    return some.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where(F.col("k") > limit).select("hash", "first", F.lit(True).alias("hot"))
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(doc_id, own, cut): numbers of the sentences of each row that repeated spans cover, where there are any."""
+    """(doc_id, own, cut): the spans of each row, by their first sentence, that repeat an earlier one, where there are any."""
     every = written(span_hashes(rows), "spans")
-    first = every.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = written(first, "repeated")
-    hot = F.col("k") > F.lit(max(every.count() // HOT, 1))
-    by_hot = every.join(F.broadcast(first.where(hot).select("hash", "first", F.lit(True).alias("hot"))), "hash", "left")  # fewer than HOT rows
-    columns = ["doc_id", "own", "at", "n", "hash", "first"]
-    cold = by_hot.where("hot IS NULL").drop("first").join(first.where(~hot).select("hash", "first"), "hash")
-    repeated = by_hot.where("hot").select(columns).union(cold.select(columns))
+    by_hot = every.join(F.broadcast(written(common_spans(every), "common")), "hash", "left")  # fewer than HOT rows
+    columns = ["doc_id", "own", "at", "hash", "first"]
+    same = Window.partitionBy("hash")  # one span in HOT at most
+    cold = by_hot.where("hot IS NULL").select("doc_id", "own", "at", "hash").withColumn("first", F.min("doc_id").over(same)).withColumn("k", F.count(F.lit(1)).over(same))
+    repeated = written(by_hot.where("hot").select(columns).union(cold.where("k > 1").select(columns)), "repeated")
     home = repeated.where(F.col("doc_id").eqNullSafe(F.col("first")))
     # within the first document its earliest place stays
     place = F.shiftleft(F.col("own").cast("bigint"), 32) + F.col("at")
     kept = home.groupBy("hash").agg(F.min(place).alias("place"))
-    some = ["doc_id", "own", "at", "n"]
+    some = ["doc_id", "own", "at"]
     again = repeated.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(some)
     again = again.union(home.join(kept, "hash").where(place > F.col("place")).select(some))
-    covered = again.select("doc_id", "own", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("s"))
-    return covered.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("s")).alias("cut"))
+    return again.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("at")).alias("cut"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -154,8 +168,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 part = b.slice(lo, 250)
                 total, gone, removed, kept = [], [], [], []
                 for text, cut in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    parts = sentences(text or "")
-                    out = set(cut or ())
+                    parts, last = _sentences(text or "")
+                    out = {x for at in cut or () for x in range(at, last[at])}
                     total.append(len(parts))
                     gone.append(len(out))
                     if not out:
