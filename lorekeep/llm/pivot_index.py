@@ -65,7 +65,7 @@ def described(classes: DataFrame, pivots: np.ndarray, depth: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                near = nearest(units(part.column(2).to_pylist()), pivots, depth)
+                near = nearest(units(_matrix(part.column(2))), pivots, depth)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(list(near), pa.list_(pa.int32()))], names=["node", "copies", "vector", "near"])
 
     return classes.select("node", "copies", "vector").mapInArrow(run, _INDEXED)
@@ -112,10 +112,16 @@ def list_links(left: tuple, right: tuple | None, pivot: int, shared: int, thresh
     return {"node": uniq, "links": links, "root": uniq[root]}
 
 
-def units(rows: list) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
+    """A column of lists of one length as an array."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def units(x: np.ndarray) -> np.ndarray:
     """Vectors of length one; divided by their largest component first, so that no square overflows or vanishes."""
-    x = np.array(rows, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -127,7 +133,7 @@ def index_links(classes: DataFrame, threshold: float = 0.9, depth: int = DEPTH,
     sample = classes.select("vector").orderBy(F.xxhash64("node", F.lit(11)), "node").limit(want).collect()
     if not sample:
         return classes.select("node", F.lit(0).cast("bigint").alias("links"), F.col("node").alias("root")).limit(0)
-    pivots = thinned(units([r.vector for r in sample]), threshold)
+    pivots = thinned(units(np.array([r.vector for r in sample], np.float64)), threshold)
     # where descriptions name every pivot all pairs are candidates, which one list gives
     depth, shared = (depth, min(shared, depth)) if depth < len(pivots) else (len(pivots), len(pivots))
     indexed = written(described(classes, pivots, depth), "described")
@@ -152,8 +158,7 @@ def index_links(classes: DataFrame, threshold: float = 0.9, depth: int = DEPTH,
     )
 
     def side(t: pa.Table):
-        near = np.array(t.column("near").to_pylist(), np.int32)
-        return (t.column("node").to_numpy(), t.column("copies").to_numpy(), units(t.column("vector").to_pylist()), near)
+        return (t.column("node").to_numpy(), t.column("copies").to_numpy(), units(_matrix(t.column("vector"))), _matrix(t.column("near")))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
