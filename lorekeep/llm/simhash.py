@@ -70,7 +70,8 @@ def _own() -> Column:
 
 def _prefix(fp: str, depth: int):
     """The first ``depth`` bits of a fingerprint, as a number."""
-    return F.lit(0).cast("bigint") if depth == 0 else F.shiftrightunsigned(F.col(fp), 64 - depth)
+    half = F.shiftrightunsigned(F.col(fp), 32)  # a shift by 64 would be none; a literal would make joins on it products
+    return F.shiftrightunsigned(half, 32) if depth == 0 else F.shiftrightunsigned(F.col(fp), 64 - depth)
 
 
 def trie_nodes(fps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
