@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Low bits of a packed long that hold a position: texts of up to 16 million words.
-_POS = 24
+#: Low bits of a packed long that hold a position: a billion words take more bytes than a row of Spark can have.
+_POS = 30
 _WS = "' \\t\\n\\u000b\\u000c\\r'"
 
 
