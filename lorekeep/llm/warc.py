@@ -22,6 +22,8 @@ from .common import new_path, shuffle_partitions, written
 
 #: Payloads below this size are always written whole. Bytes after which a file is closed, and bytes read at a time.
 MIN_REVISIT, FILE_BYTES, STEP = 100, 32 << 20, 1 << 20
+#: Bytes of a header and of a record at most; bytes inflated at a time. What is larger is quarantined as damage.
+HEADER, RECORD_BYTES, INFLATE = 1 << 20, 1 << 30, 4 << 20
 _SALTS = 16
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
@@ -54,117 +56,218 @@ class Damage(Exception):
     """A check that a record failed."""
 
 
-def parse(raw: bytes) -> tuple[dict, int]:
-    """The record at the start of ``raw`` and its length in bytes; Damage if it isn't whole or fails a check."""
-    if not _VERSION_LINE.match(raw):
+def extent(raw: bytes, at: int = 0) -> tuple[int, int, dict] | None:
+    """(start of block, length of block, header fields) of the record at ``at``; None if its header may go on past ``raw``."""
+    if not _VERSION_LINE.match(raw, at):
+        if len(raw) - at < 10 and (_VERSION.startswith(raw[at:]) or raw.startswith(_VERSION, at)):
+            return None
         raise Damage("no version line")
-    end = raw.find(b"\r\n\r\n")
+    end = raw.find(b"\r\n\r\n", at, at + HEADER)
     if end < 0:
+        if len(raw) - at < HEADER:
+            return None
         raise Damage("header not ended")
     fields = {}
-    for line in raw[:end].split(b"\r\n")[1:]:
+    for line in raw[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header line without a colon")
         fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     try:
         length = int(fields["content-length"])
-        ints = {k: int(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id", "x-payload-length")}
+        for k in ("x-page-id", "x-refers-to-page-id", "x-payload-length"):
+            fields[k] = int(fields[k]) if k in fields else None
     except (KeyError, ValueError):
         raise Damage("bad number in header") from None
-    block = raw[end + 4 : end + 4 + length]
-    if length < 0 or len(block) < length:
-        raise Damage("block cut short")
-    if raw[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-        raise Damage("record not ended")
+    if not 0 <= length <= RECORD_BYTES:
+        raise Damage("bad length")
+    return end + 4, length, fields
+
+
+def checked(block: bytes, fields: dict) -> dict:
+    """The record of a block and its header fields; Damage if a digest differs."""
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
         raise Damage("block digest differs")
-    payload = block.partition(b"\r\n\r\n")[2]
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     kind = fields.get("warc-type", "")
-    if kind == "response":
-        own = hashlib.sha256(payload).hexdigest()
-        if digest and own != digest:
-            raise Damage("payload digest differs")
-        digest, size = own, len(payload)
+    if kind == "revisit":
+        payload, size = None, fields["x-payload-length"]
     else:
-        payload, size = None, ints["x-payload-length"]
+        payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") else block
+        own, size = hashlib.sha256(payload).hexdigest(), len(payload)
+        if len(digest) == 64 and own != digest:
+            raise Damage("payload digest differs")
+        digest = own
     return {
-        "record_type": kind, "page_id": ints["x-page-id"], "refers_to": ints["x-refers-to-page-id"], "url": fields.get("warc-target-uri"),
+        "record_type": kind, "page_id": fields["x-page-id"], "refers_to": fields["x-refers-to-page-id"], "url": fields.get("warc-target-uri"),
         "payload_bytes": size, "payload_digest": digest or None, "payload": payload,
-    }, end + 8 + length
+    }
+
+
+def parse(raw: bytes) -> tuple[dict, int]:
+    """The record at the start of ``raw`` and its length in bytes; Damage if it isn't whole or fails a check."""
+    found = extent(raw)
+    if found is None:
+        raise Damage("header not ended")
+    start, length, fields = found
+    if len(raw) < start + length:
+        raise Damage("block cut short")
+    if raw[start + length : start + length + 4] != b"\r\n\r\n":
+        raise Damage("record not ended")
+    return checked(raw[start : start + length], fields), start + length + 4
+
+
+def of_member(chunks: Iterator[bytes]) -> Iterator[tuple[str, object]]:
+    """("record", ...) and ("bad", reason) of the inflated bytes of one member, in order. What fails a check is passed over up to
+    the next version line. Holds one record at most, and what was inflated at once."""
+    raw, last = bytearray(), False
+    while not last:
+        chunk = next(chunks, None)
+        last = chunk is None
+        raw += chunk or b""
+        at = 0
+        while at < len(raw):
+            try:
+                if raw[at] in b"\r\n":
+                    at += 1
+                    continue
+                found = extent(raw, at)
+                if found is None or len(raw) < found[0] + found[1] + 4:
+                    if not last:
+                        break
+                    raise Damage("block cut short" if found else "header not ended")
+                start, length, fields = found
+                if raw[start + length : start + length + 4] != b"\r\n\r\n":
+                    raise Damage("record not ended")
+                rec = checked(bytes(raw[start : start + length]), fields)
+                at = start + length + 4
+                yield "record", rec
+            except Damage as e:
+                yield "bad", str(e)
+                after = raw.find(_VERSION, at + 1)
+                at = after if after >= 0 else len(raw) if last else max(at + 1, len(raw) - len(_VERSION) + 1)
+        del raw[:at]
 
 
 def salvage(read: Callable[[int, int], bytes], size: int, path: str = "") -> Iterator[tuple[str, dict]]:
     """("record", ...) and ("gap", ...) of a file of ``size`` bytes, of which ``read(at, n)`` gives up to n from ``at``.
 
-    Gaps are byte ranges without a valid record, with the first check that failed there.
+    Gaps are byte ranges without a valid record, with the first check that failed there. Records of one gzip member all have its
+    range. A buffer of a few ``STEP`` or one record is held; work is linear in the file and in the inflated members, whatever is
+    damaged, but for what a false start costs: its header, or a member's bytes up to its first bad one.
     """
-    at, bad, why = 0, None, ""
     buffer, base = b"", 0
 
-    def window(pos: int, n: int) -> bytes:
-        """At least n bytes from pos, fewer at the end of the file."""
+    def hold(pos: int, n: int) -> int:
+        """Makes the buffer hold n bytes from pos, fewer at the end of the file; returns where they begin in it."""
         nonlocal buffer, base
         if pos < base or pos + n > base + len(buffer):
             keep = buffer[pos - base :] if base <= pos <= base + len(buffer) else b""
-            more = read(pos + len(keep), max(n - len(keep), STEP))
-            buffer, base = keep + more, pos
-        return buffer[pos - base :]
-
-    def attempt(pos: int) -> tuple[dict, int]:
-        n = STEP
-        if window(pos, 8).startswith(_MAGIC):
-            z, raw, used, got = zlib.decompressobj(31), [], 0, b""
+            buffer, base = keep + read(pos + len(keep), max(n - len(keep), STEP)), pos
+        return pos - base
+
+    def plain(pos: int) -> tuple[dict, int]:
+        n, found = 4096, None
+        while found is None:
+            i = hold(pos, n)
+            found = extent(buffer[i : i + n])
+            if found is None and (n >= HEADER or pos + n >= size):
+                raise Damage("header not ended")
+            n = min(4 * n, HEADER)
+        start, length, fields = found
+        if pos + start + length + 4 > size:
+            raise Damage("block cut short")
+        if read(pos + start + length, 4) != b"\r\n\r\n":  # before the block is read
+            raise Damage("record not ended")
+        i = hold(pos + start, length)
+        return checked(buffer[i : i + length], fields), start + length + 4
+
+    def member(pos: int) -> Iterator[tuple[str, object, int]]:
+        """("record", ..., bytes used so far), ("bad", reason, ...), and ("end", None, length) or ("broken", reason, ...)."""
+        z, used, broken = zlib.decompressobj(31), 0, None
+
+        def inflated():
+            nonlocal used, broken
+            n = 8192
             while not z.eof:
-                got = window(pos + used, STEP)[:STEP]
+                i = hold(pos + used, n)
+                got = buffer[i : i + n]
                 if not got:
-                    raise Damage("member cut short")
+                    broken = "member cut short"
+                    return
                 try:
-                    raw.append(z.decompress(got))
+                    out = z.decompress(got, INFLATE)
+                    while z.unconsumed_tail:
+                        yield out
+                        out = z.decompress(z.unconsumed_tail, INFLATE)
                 except zlib.error:
-                    raise Damage("bad gzip member") from None
-                used += len(got)
-                if not used > STEP and not b"".join(raw[:1]).startswith(_VERSION[: len(raw[0])]):
-                    raise Damage("member holds no record")
-            used -= len(z.unused_data)
-            whole = b"".join(raw)
-            rec, length = parse(whole)
-            if whole[length:].strip(b"\r\n"):
-                raise Damage("more than one record in a member")
-            return rec, used
-        while True:
-            have = window(pos, n)
-            try:
-                return parse(have)
-            except Damage:
-                if len(have) < n or not have.startswith(_VERSION) or n > size:
-                    raise
-                n *= 2
+                    broken = "bad gzip member"
+                    return
+                used += len(got) - len(z.unused_data)
+                n = min(2 * n, STEP)
+                yield out
+
+        for kind, x in of_member(inflated()):
+            if kind == "bad" and x == "no version line" and used <= 8192:
+                yield "broken", "member holds no record", used
+                return
+            yield kind, x, used
+        yield ("broken", broken, used) if broken else ("end", None, used)
 
+    at, bad, why = 0, None, ""
     while at < size:
-        try:
-            rec, length = attempt(at)
-        except Damage as e:
-            if bad is None:
-                bad, why = at, str(e)
-            # the next byte where a member or a version line may begin
-            at += 1
-            while at < size:
-                hay = window(at, min(STEP, size - at))
-                m = _START.search(hay)
-                if m:
-                    at += m.start()
-                    break
-                at += max(1, len(hay) - len(_VERSION) + 1)
-            continue
-        if bad is not None and bad < at:
-            yield "gap", {"path": path, "gap_start": bad, "gap_stop": at, "reason": why}
-        bad = None
-        yield "record", rec | {"path": path, "start": at, "stop": at + length}
-        at += length
-    if bad is not None:
+        i = hold(at, 8)
+        got, past, fault = [], at, None
+        if buffer.startswith(_MAGIC, i):
+            for kind, x, used in member(at):
+                if kind == "record":
+                    if got:
+                        yield "record", got.pop() | {"path": path, "start": at, "stop": past}
+                    elif bad is not None:
+                        yield "gap", {"path": path, "gap_start": bad, "gap_stop": at, "reason": why}
+                        bad = None
+                    got.append(x)
+                    past = at + used
+                elif kind == "end":
+                    past = at + used
+                else:
+                    fault = fault or x
+            ended = kind == "end"
+            if got:
+                yield "record", got.pop() | {"path": path, "start": at, "stop": past}
+                if fault and ended:  # records were lost within the member
+                    yield "gap", {"path": path, "gap_start": at, "gap_stop": past, "reason": f"within a member: {fault}"}
+                if ended:
+                    at = past
+                    continue
+                bad, why = past, fault
+        else:
+            try:
+                rec, length = plain(at)
+            except Damage as e:
+                fault = str(e)
+            else:
+                if bad is not None:
+                    yield "gap", {"path": path, "gap_start": bad, "gap_stop": at, "reason": why}
+                    bad = None
+                yield "record", rec | {"path": path, "start": at, "stop": at + length}
+                at += length
+                continue
+        if bad is None:
+            bad, why = at, fault or "member holds no record"
+        # the next byte where a member or a version line may begin
+        at += 1
+        while at < size:
+            n = min(STEP, size - at)
+            i = hold(at, n)
+            m = _START.search(buffer, i, i + n)
+            if m:
+                at = base + m.start()
+                break
+            at += max(1, n - len(_VERSION) + 1)
+        bad = min(bad, at)
+    if bad is not None and bad < size:
         yield "gap", {"path": path, "gap_start": bad, "gap_stop": size, "reason": why}
 
 
@@ -194,8 +297,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) into archives under ``folder``; returns their manifest
-    (path, records, bytes), itself written to the shared folder. A file gets its name once it is whole; files of attempts
-    that were lost are in no manifest."""
+    (path, records, bytes), itself written to the shared folder. A file gets its name, which is its attempt's own, once it is
+    whole; files of attempts that were lost are in no manifest."""
 
     def run(batches):
         import os
@@ -209,7 +312,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT)
 
         def closed():
             out.close()
-            final = f"part-{ctx.partitionId():06d}-{n:04d}.warc.gz"
+            final = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{n:04d}.warc.gz"
             fs.move(f"{root}/{name}", f"{root}/{final}")
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{final}"], "records": [count], "bytes": [size]})
 
@@ -282,4 +385,9 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     table gives no archive and no rows.
     """
     folder = new_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder), with_payload=False).drop("payload")
+    manifest = write_archives(pages, folder)
+    rows = written(read_archives(manifest, with_payload=False).drop("payload"), "records")
+    wrote, found = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], rows.count()
+    if wrote != found:
+        raise RuntimeError(f"{wrote} records were written, {found} could be read")
+    return rows

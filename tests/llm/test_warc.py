@@ -47,9 +47,22 @@ def test_damage_in_the_middle(parts, step, monkeypatch):
     assert [r["page_id"] for r in records] == [0, 1, 2, 4, 5, 6, 7] and gaps == [(at[3], at[4])]
 
 
+def test_member_without_its_end():
+    whole = b"".join(rec(i, os.urandom(400)) for i in range(3))
+    records, gaps = run(whole[:-5])  # the record itself is whole, its digest holds
+    assert [r["page_id"] for r in records] == [0, 1, 2] and not gaps
+    records, gaps = run(whole[:-300])
+    assert [r["page_id"] for r in records] == [0, 1] and gaps == [(records[1]["stop"], len(whole) - 300)]
+
+
 def test_cut_ends_and_junk(parts):
     whole = b"".join(parts)
-    records, gaps = run(whole[:-5])
+    if parts[0].startswith(b"WARC"):
+        records, gaps = run(whole[:-5])
+    else:
+        whole = whole[:-25]
+        records, gaps = run(whole)
+        whole += b"12345"
     assert [r["page_id"] for r in records] == list(range(7)) and gaps == [(len(whole) - len(parts[7]), len(whole) - 5)]
     records, gaps = run(whole[7:])
     assert [r["page_id"] for r in records] == list(range(1, 8)) and gaps == [(0, len(parts[0]) - 7)]
@@ -81,6 +94,60 @@ def test_long_payload(monkeypatch):
         assert [r["payload"] for r in records] == [long, long] and not gaps
 
 
+def test_members_of_several_records():
+    raw = [gzip.decompress(rec(i, f"payload of page {i} ".encode() * 50)) for i in range(50)]
+    one = gzip.compress(b"".join(raw))
+    records, gaps = run(one + rec(99))
+    assert [r["page_id"] for r in records] == [*range(50), 99] and not gaps
+    assert records[-1]["start"] == len(one) == records[49]["stop"]
+    raw[20] = raw[20].replace(b"page 20", b"page XX")
+    records, gaps = run(gzip.compress(b"".join(raw)))
+    assert [r["page_id"] for r in records] == [i for i in range(50) if i != 20] and len(gaps) == 1
+    records, gaps = run(one[: len(one) * 2 // 3] + rec(99))
+    ids = [r["page_id"] for r in records]
+    assert ids[-1] == 99 and len(ids) > 20 and ids[:-1] == list(range(len(ids) - 1)) and len(gaps) == 1
+
+
+def test_other_records_keep_their_block():
+    head = lambda kind, block: f"WARC/1.1\r\nWARC-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    records, gaps = run(head("resource", b"a\r\n\r\nb") + head("conversion", b"text") + head("warcinfo", b""))
+    assert [(r["record_type"], r["payload"]) for r in records] == [("resource", b"a\r\n\r\nb"), ("conversion", b"text"), ("warcinfo", b"")] and not gaps
+
+
+@pytest.mark.parametrize("members", [True, False])
+def test_damage_costs_no_more_than_reading(members):
+    import time
+
+    parts = [rec(i, os.urandom(2500) + b"x" * 2500) for i in range(6000)]
+    parts = parts if members else [gzip.decompress(x) for x in parts]
+    whole, took = b"".join(parts), []
+    bad = bytearray(whole)
+    at = 0
+    for i, p in enumerate(parts):
+        if i % 60 == 7:
+            bad[at + len(p) // 2] ^= 0xFF
+        at += len(p)
+    for data in (whole, bytes(bad)):
+        began = time.time()
+        records, gaps = run(data)
+        took.append(time.time() - began)
+    assert len(records) == 5900 and len(gaps) == 100
+    assert took[1] < 3 * took[0] + 1, took
+
+
+def test_a_length_that_lies_reads_nothing():
+    good = gzip.decompress(rec(1))
+    lie = re.sub(rb"Content-Length: [0-9]+", b"Content-Length: 1000000", good)
+    asked = []
+
+    def read(at, n, data=lie + good * 1000):
+        asked.append(n)
+        return data[at : at + n]
+
+    rows = list(warc.salvage(read, len(lie + good * 1000)))
+    assert sum(k == "record" for k, _ in rows) == 1000 and sum(k == "gap" for k, _ in rows) == 1
+
+
 def pages(spark):
     big = "<p>same</p>" * 30
     rows = [(3, "u3", big), (1, "u1", big), (2, None, big), (4, "u4", "tiny"), (5, "u5", "tiny"), (6, "u6", None), (7, "é\r\nu", "é" * 60), (8, "u8", "é" * 60),
