@@ -57,13 +57,9 @@ def test_member_without_its_end():
 
 def test_cut_ends_and_junk(parts):
     whole = b"".join(parts)
-    if parts[0].startswith(b"WARC"):
-        records, gaps = run(whole[:-5])
-    else:
-        whole = whole[:-25]
-        records, gaps = run(whole)
-        whole += b"12345"
-    assert [r["page_id"] for r in records] == list(range(7)) and gaps == [(len(whole) - len(parts[7]), len(whole) - 5)]
+    cut = 5 if parts[0].startswith(b"WARC") else 25  # into the record itself
+    records, gaps = run(whole[:-cut])
+    assert [r["page_id"] for r in records] == list(range(7)) and gaps == [(len(whole) - len(parts[7]), len(whole) - cut)]
     records, gaps = run(whole[7:])
     assert [r["page_id"] for r in records] == list(range(1, 8)) and gaps == [(0, len(parts[0]) - 7)]
     junk = b"junk \x1f\x8b\x08 WARC/1.0 and more" * 9
