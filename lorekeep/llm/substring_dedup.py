@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -120,31 +120,34 @@ def span_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "own", "text").mapInArrow(run, f"doc_id {kind}, own int, at int, hash bigint")
 
 
+def _place() -> Column:
+    return F.shiftleft(F.col("own").cast("bigint"), 32) + F.col("at")
+
+
 def common_spans(every: DataFrame) -> DataFrame:
-    """(hash, first, hot) of the hashes with more than one in ``HOT`` of all spans. Such a hash fills its bucket beyond that number,
-    so only the spans of full buckets are counted by hash."""
+    """(hash, first, kept) of the hashes with more than one in ``HOT`` of all spans: the first document and its earliest place. Such a
+    hash fills its bucket beyond that number, so only the spans of full buckets are looked at by hash."""
     limit = F.lit(max(every.count() // HOT, 1))
     bucket = F.pmod("hash", F.lit(BUCKETS))
     full = every.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > limit).select("bucket")
     some = every.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")  # fewer than HOT buckets
-    return some.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where(F.col("k") > limit).select("hash", "first", F.lit(True).alias("hot"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _place().alias("place"))).alias("f")
+    out = some.groupBy("hash").agg(first, F.count(F.lit(1)).alias("k")).where(F.col("k") > limit)
+    return out.select("hash", F.col("f.doc_id").alias("first"), F.col("f.place").alias("kept"))
 
 
 def removals(rows: DataFrame) -> DataFrame:
     """(doc_id, own, cut): the spans of each row, by their first sentence, that repeat an earlier one, where there are any."""
     every = written(span_hashes(rows), "spans")
     by_hot = every.join(F.broadcast(written(common_spans(every), "common")), "hash", "left")  # fewer than HOT rows
-    columns = ["doc_id", "own", "at", "hash", "first"]
+    columns = ["doc_id", "own", "at", "first", "kept"]
     same = Window.partitionBy("hash")  # one span in HOT at most
-    cold = by_hot.where("hot IS NULL").select("doc_id", "own", "at", "hash").withColumn("first", F.min("doc_id").over(same)).withColumn("k", F.count(F.lit(1)).over(same))
-    repeated = written(by_hot.where("hot").select(columns).union(cold.where("k > 1").select(columns)), "repeated")
-    home = repeated.where(F.col("doc_id").eqNullSafe(F.col("first")))
+    cold = by_hot.where("kept IS NULL").select("doc_id", "own", "at", "hash").withColumn("first", F.min("doc_id").over(same)).withColumn("k", F.count(F.lit(1)).over(same))
+    home = F.col("doc_id").eqNullSafe(F.col("first"))
+    cold = cold.withColumn("kept", F.min(F.when(home, _place())).over(same)).where("k > 1")
+    repeated = by_hot.where("kept IS NOT NULL").select(columns).union(cold.select(columns))
     # within the first document its earliest place stays
-    place = F.shiftleft(F.col("own").cast("bigint"), 32) + F.col("at")
-    kept = home.groupBy("hash").agg(F.min(place).alias("place"))
-    some = ["doc_id", "own", "at"]
-    again = repeated.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(some)
-    again = again.union(home.join(kept, "hash").where(place > F.col("place")).select(some))
+    again = repeated.where(~home | (_place() != F.col("kept")))
     return again.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("at")).alias("cut"))
 
 
