@@ -344,14 +344,19 @@ def masked(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     rows each come out, an empty table stays empty. Rows travel as structs, so that columns may have any name."""
     weights = train(docs) if weights is None else weights
 
+    at = docs.columns.index("text")
+
     def run(batches):
         for b in batches:
-            texts = pa.array([None if t is None else masked_text(t, all_spans(t, weights)[1]) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["row", "text"])
-
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+            for lo in range(0, b.num_rows, 1000):
+                row = b.column(0).slice(lo, 1000)
+                parts = row.flatten()
+                parts[at] = pa.array([None if t is None else masked_text(t, all_spans(t, weights)[1]) for t in parts[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, names=docs_columns)], names=["row"])
+
+    docs_columns = docs.columns
+    rows = docs.select(F.struct("*").alias("row"))
     rows = rows.mapInArrow(run, rows.schema)
-    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(row.alias("row")).select("row.*")
+        rows = rows.select(F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return rows.select("row.*")

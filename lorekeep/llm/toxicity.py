@@ -277,15 +277,17 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, as they are: null and empty texts have a score, repeated rows each
     stay or go, an empty table stays empty. Rows travel as structs, so that columns may have any name."""
 
+    at = docs.columns.index("text")
+
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                x, _ = model.features([model.observed(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(model.scores(x) < threshold))], names=["row"])
+                row = b.column(0).slice(lo, 1000)
+                x, _ = model.features([model.observed(t) for t in row.flatten()[at].to_pylist()])
+                yield pa.RecordBatch.from_arrays([row.filter(pa.array(model.scores(x) < threshold))], names=["row"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
