@@ -107,11 +107,12 @@ def span_features(text: str, start: int, end: int) -> list[int]:
     local, at, host = s.partition("@")
     parts = s.split(".")
     numeric = not letters and "@" not in s
+    bytes_like = numeric and len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)  # isdigit alone takes signs that int() refuses
     groups = re.split(r"[ -]", s)
     before, after = text[max(0, start - 1) : start], text[end : end + 2]
     on = (
         True, s.count("@") == 1, bool(at and local and not re.search(r"[^A-Za-z0-9._%+-]", local)), bool(at and re.fullmatch(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", host)),
-        letters and s[-1].isalpha(), numeric and len(parts) == 4 and all(p.isdigit() for p in parts), numeric and len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+        letters and s[-1].isalpha(), bytes_like, bytes_like and all(len(p) <= 3 and int(p) <= 255 for p in parts),
         numeric and "." in s and not re.search(r"[^0-9.]", s), 16 <= len(d) <= 19, 16 <= len(d) <= 19 and luhn(d),
         len({len(g) for g in groups[:-1]}) == 1 and len(groups) > 1, numeric, s[0] == "+", 8 <= len(d) <= 15, bool(re.search(r"\([0-9]+\)", s)), numeric and bool(re.search(r"[ -]", s)),
         not re.match(r"[\w.%+-]", before), not re.match(r"[.-]?\w", after), bool(re.search(r"[0-9]{11}", s)), bool(re.search(r"[^A-Za-z0-9@._%+\-() ]", s)),

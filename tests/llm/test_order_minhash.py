@@ -38,17 +38,17 @@ def plain(text, k=2, sketches=64, size=2):
     kmers = [kmer(words[i : i + k]) for i in range(len(words) - k + 1)] or ([chain(words)] if words else [])
     seen, rows = defaultdict(int), defaultdict(list)
     for pos, h in enumerate(kmers):
-        top = signed(h) >> 24
+        top = signed(h) >> om._POS
         g = X(struct.pack("<i", seen[top]), X(struct.pack("<q", top), 42))
         seen[top] += 1
-        g = g & ~0xFFFFFF & M64
+        g = g & ~((1 << om._POS) - 1) & M64
         rows[g >> (64 - bits)].append((signed(g | pos), pos))
     out = set()
     for bucket, entries in rows.items():
         least = sorted(entries)[:size]
         seed = 42
         for g, _ in sorted(least, key=lambda e: e[1]):
-            seed = X(struct.pack("<q", (g & M64) >> 24), seed)
+            seed = X(struct.pack("<q", (g & M64) >> om._POS), seed)
         out.add(bucket << (32 - bits) | (seed & ((1 << (32 - bits)) - 1)))
     return out
 

@@ -153,3 +153,20 @@ def test_very_long_runs():
     for text in ("7" * 300_000, "1." * 100_000, "1.2.3.4" * 3 + "9" * 300_000, "+1" + " " * 100_000, "a" * 300_000 + "@"):
         pii.base_spans(text)
     assert pii.base_spans("x" + "0" * 50_000 + "7.1.2.3") == [("ip", 1, 50_008)]
+
+
+def test_every_numeric_sign_of_unicode():
+    """Signs that count as digits or numbers without being 0 to 9 neither stop the field nor make an address of bytes."""
+    import sys
+    import unicodedata
+
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c)[0] == "N" and not c.isascii()]
+    assert "²" in signs and len(signs) > 1000
+    byte = pii.FEATURES.index("parts_of_a_byte")
+    weights = np.ones((len(pii.KINDS), len(pii.FEATURES)))
+    assert byte in pii.span_features("10.20.30.2", 0, 10)
+    for c in signs:
+        text = f"see 10.20.30.{c} and 10.{c}.30.40 here, 192.168.10.1{c} too"
+        pii.all_spans(text, weights)
+        pii.field_spans(text, weights)
+        assert byte not in pii.span_features(f"10.20.30.{c}", 0, 10)
