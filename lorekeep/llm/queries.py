@@ -93,6 +93,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+#: Rules that every page is judged by first: fixed values of the task.
+PAGE_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import given, judged, labelled_pages, mined
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = mined(labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return judged(pages, given(spark, PAGE_RULES), rules).select("page_id", "host", "path", "rule", "verdict", "by")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
