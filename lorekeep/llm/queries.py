@@ -93,6 +93,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op12_heap_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import index, search
+
+    return search(index(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+items AS (SELECT DISTINCT item_id, text AS item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+sums AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, sums GROUP BY term),
+lengths AS (SELECT row, 100 - 90 + (90 * len(t)::BIGINT * n) // l AS m FROM d, sums),
+scores AS (SELECT item_id, item, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row) GROUP BY item_id, item, row)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
 #: Rules that every page is judged by first: fixed values of the task.
 PAGE_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -110,4 +130,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": OP2_SQL, "op3_pivot_permutation": OP3_SQL}
+    return {"op2_warc_salvage": OP2_SQL, "op3_pivot_permutation": OP3_SQL, "op12_heap_merge_search": OP12_SQL}
