@@ -93,6 +93,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dual_tree import hard_negatives
+
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, positives=5, negatives=10)
+
+
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT row_number() OVER () AS anchor, * FROM (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id % 100 = 0)),
+scores AS (SELECT a.anchor, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score FROM anchors a JOIN v ON len(a.e) = len(v.e)),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM scores WHERE same AND vec_id IS DISTINCT FROM anchor_id) WHERE place <= 5),
+negatives AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+              row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id) AS rank
+              FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
 def op12_heap_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical import index, search
 
@@ -130,4 +149,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": OP2_SQL, "op3_pivot_permutation": OP3_SQL, "op12_heap_merge_search": OP12_SQL}
+    return {"op2_warc_salvage": OP2_SQL, "op3_pivot_permutation": OP3_SQL, "op11_dual_tree_negatives": OP11_SQL, "op12_heap_merge_search": OP12_SQL}
