@@ -117,7 +117,7 @@ def rejection_reasons(pairs: DataFrame, edges: DataFrame, far: float = 0.4) -> D
 def strengthened(new: DataFrame, memories: DataFrame, edges: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """What a cycle writes: the edges of ``new`` (emotion, id, c_id, dist, cos, weight, and the two times), and the degrees (id,
     degree, self-loops once) of their ends once they are in. ``new`` is capped, so the edges are cut to its ids first."""
-    span = F.abs(F.datediff("c_date", "date")).cast("string")
+    span = F.abs(F.floor(F.timestamp_diff("MICROSECOND", F.col("c_created_at"), F.col("created_at")) / 86_400_000_000)).cast("string")  # days from the candidate to the anchor, begun ones counting where it is later
     three = lambda c: F.format_string("%.3f", F.col(c))
     why = F.concat(F.col("emotion"), F.lit(" cross-temporal (edist="), three("dist"), F.lit(", sem="), three("cos"), F.lit(", span="), span, F.lit("d)"))
     made = new.select(F.col("id").alias("from_id"), F.col("c_id").alias("to_id"), F.lit("resonance").alias("edge_type"), "weight", why.alias("rationale"), as_of.alias("created_at"))

@@ -74,6 +74,12 @@ def backfilled(vectors: DataFrame, texts: DataFrame, dims: int = 64) -> DataFram
     return T.replaced(vectors, new, ["memory_id"])
 
 
+def state_map(writes: DataFrame) -> DataFrame:
+    """(key, value, updated_at): the last write of each key of ``writes`` (event_id, key, value, updated_at), combined before the shuffle."""
+    last = writes.groupBy("key").agg(F.max_by(F.struct("value", "updated_at"), F.struct("updated_at", "event_id")).alias("w"))
+    return last.select("key", "w.value", "w.updated_at")
+
+
 def new_items(items: DataFrame, pending: DataFrame) -> DataFrame:
     """Queue items whose trigger isn't pending yet."""
     return items.join(pending.select("trigger").distinct(), "trigger", "left_anti")
@@ -163,11 +169,6 @@ def orphaned(memories: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
 
 
-def schedule(cycles: int, every: dict[str, int]) -> list[tuple[int, list[str]]]:
-    """Which jobs run in which cycle: those whose number divides it."""
-    return [(c, [name for name, n in every.items() if c % n == 0]) for c in range(1, cycles + 1)]
-
-
 def newest_per_key(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(time).desc(), tie)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -115,15 +115,20 @@ def keyword_search(memories: DataFrame, words: str, k: int = 10, include_provisi
     return memories.withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id").limit(k)
 
 
-def cheap_scores(memories: DataFrame, affect: DataFrame, as_of: Column, state, text: str) -> DataFrame:
-    """First-stage scores without vectors: 0.3 for text, affect 0.5 where the query has no chord."""
+def cheap_scores(memories: DataFrame, affect: DataFrame, edges: DataFrame, as_of: Column, state, text: str) -> DataFrame:
+    """First-stage scores without vectors: 0.3 for text, affect 0.5 where the query has no chord, links up to ten, recency.
+
+    ``memories`` is the small side (a shortlist): edges are cut to its ids before they are counted."""
     latest = latest_affect(affect)
-    m = memories.join(latest.withColumnRenamed("memory_id", "id"), "id", "left")
+    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).join(F.broadcast(memories.select("id")), "id", "left_semi")  # a shortlist
+    links = ends.groupBy("id").agg(F.count(F.lit(1)).alias("_degree"))
+    m = memories.join(latest.withColumnRenamed("memory_id", "id"), "id", "left").join(links, "id", "left")
     m = m.withColumn("emotions", F.coalesce("emotions", F.create_map().cast("map<string,double>"))).fillna(0.0, ["valence", "arousal", "dominance"])
+    linked = F.least(F.coalesce(F.col("_degree"), F.lit(0)) / 10, F.lit(1.0)) * A.WEIGHTS["relational"]
     tm = F.when(A.holds("raw_text", text), 0.3).otherwise(0.0)
     dist = _distance(state if state and state[3] else None)
-    total = tm * 0.3 + (1 - dist) * A.WEIGHTS["affect"] + A.recency("created_at", as_of) * A.WEIGHTS["recency"]
-    return m.withColumn("cheap", total * A.status_weight("status") * F.when(F.col("is_core"), 1.3).otherwise(1.0))
+    total = tm * 0.3 + (1 - dist) * A.WEIGHTS["affect"] + linked + A.recency("created_at", as_of) * A.WEIGHTS["recency"]
+    return m.withColumn("cheap", total * A.status_weight("status") * F.when(F.col("is_core"), 1.3).otherwise(1.0)).drop("_degree")
 
 
 def timeline(journals: DataFrame, exchanges: DataFrame, most: int = 20) -> DataFrame:

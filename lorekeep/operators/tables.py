@@ -30,6 +30,18 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def paged(rows: DataFrame, group: str, order: str, size: int, width: int = 100_000) -> DataFrame:
+    """``rows`` with ``n``, the rows of their group, and ``page``, their place in it by the whole number ``order`` in pages of ``size``.
+
+    Places are counted within ranges of ``width`` numbers and summed over the ranges before, so that no group is one window."""
+    r = F.floor(F.col(order) / width)
+    by = rows.groupBy(group, r.alias("_r")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(group).orderBy("_r")  # a row a range
+    by = by.select(group, "_r", (F.sum("_k").over(w) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(group)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(group, "_r").orderBy(order)) + F.col("_before") - 1
+    return rows.withColumn("_r", r).join(by, [group, "_r"]).withColumn("page", F.floor(place / size)).drop("_r", "_before")
+
+
 def replaced(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """INSERT OR REPLACE: rows of ``updates`` stand in for those of ``base`` with their key."""
     return base.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)

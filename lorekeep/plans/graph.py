@@ -77,16 +77,29 @@ def a21(spark, sf_dir):
 _NEWEST = lambda n: f"SELECT * FROM durable ORDER BY created_at DESC, id LIMIT {n}"
 
 
-@query("k2_neighbour_band", sql("memories latest edges", f"""SELECT emotion, id, c_id, round(dist, 6) AS dist, round(greatest(0.3, 1 - dist), 6) AS weight FROM (SELECT x.emotion, x.id, y.id AS c_id, {CHORD} AS dist FROM ranked x JOIN ranked y ON x.emotion = y.emotion AND y.n > x.n AND y.n <= x.n + 4
-    AND abs(datediff('microsecond', x.created_at, y.created_at)) >= 86400000000 WHERE NOT {_LINKED}) WHERE dist < 0.3""", affected=_ROWS, linked=_LINKS, durable=_DURABLE,
-    ranked=f"SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM ({_NEWEST(1000)}) WHERE emotion IS NOT NULL"))
-def k2(spark, sf_dir):
-    """Over the newest thousand memories."""
-    d = rows(spark, sf_dir).where("status = 'durable'").orderBy(F.col("created_at").desc(), "id").limit(1000)
+_BAND = f"""SELECT emotion, id, c_id, round(dist, 6) AS dist, round(greatest(0.3, 1 - dist), 6) AS weight FROM (SELECT x.emotion, x.id, y.id AS c_id, {CHORD} AS dist FROM ranked x JOIN ranked y ON x.emotion = y.emotion AND y.n > x.n AND y.n <= x.n + 4
+    AND abs(datediff('microsecond', x.created_at, y.created_at)) >= 86400000000 WHERE NOT {_LINKED}) WHERE dist < 0.3"""
+_RANKED = lambda rows: f"SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM ({rows}) WHERE emotion IS NOT NULL"
+
+
+def neighbours(spark, sf_dir, kind: str):
+    d = rows(spark, sf_dir).where(f"status = 'durable' AND {kind}").orderBy(F.col("created_at").desc(), "id").limit(1000)
     d = d.withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
     return G.neighbour_band(d, B.edges(spark, sf_dir)).select("emotion", "id", "c_id", r6("dist"), r6("weight"))
 
 
+@query("k2_neighbour_band", sql("memories latest edges", _BAND, affected=_ROWS, linked=_LINKS, durable=_DURABLE, ranked=_RANKED(_NEWEST(1000))))
+def k2(spark, sf_dir):
+    """Over the newest thousand memories."""
+    return neighbours(spark, sf_dir, "TRUE")
+
+
+@query("k2b_journal_band", sql("memories latest edges", _BAND, affected=_ROWS, linked=_LINKS, durable=_DURABLE, journals="SELECT * FROM durable WHERE source_type = 'journal' ORDER BY created_at DESC, id LIMIT 1000", ranked=_RANKED("journals")))
+def k2b(spark, sf_dir):
+    """Over the newest thousand journal entries, of which few fall on one day."""
+    return neighbours(spark, sf_dir, "source_type = 'journal'")
+
+
 @query("k3_cluster_pairs", sql("memories latest edges", f"SELECT x.emotion, x.id, y.id AS c_id FROM ranked x JOIN ranked y ON x.emotion = y.emotion AND x.n < y.n WHERE NOT {_LINKED}", affected=_ROWS, linked=_LINKS, durable=_DURABLE,
     ranked=f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY created_at DESC, id) AS n FROM ({_NEWEST(500)}) WHERE emotion IS NOT NULL) WHERE n <= 10"))
 def k3(spark, sf_dir):

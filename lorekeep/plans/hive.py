@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from ..operators import signals as S
 from ..operators import tables as T
 from ..session import table
 from ..sources import bridge as B
+from ..workspace import new_path, written
 from .catalog import query
 from .daily import r6
-from .oracle import AS_OF, sql
+from .oracle import AS_OF, recursive, sql
 from .retrieval import as_of
 
 _EMITS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, signal ORDER BY ts DESC, event_id DESC) AS n FROM hive WHERE kind = 'emit') WHERE n = 1 ORDER BY ts DESC, event_id LIMIT 10"
@@ -113,23 +116,50 @@ def a22(spark, sf_dir):
     return state(spark, sf_dir)
 
 
-_LOG = "SELECT TIMESTAMP '2024-01-30' AS measured_at, 0.5::DOUBLE AS waggle_stop_ratio, NULL AS dominant_signal, 'cold' AS hive_temperature, 1.0::DOUBLE AS criticality_score, '{}' AS notes"
+# a log of hourly measurements: what events of the hour, all measurable from the table, say of ratio and temperature
+_LOG = """SELECT date_trunc('hour', ts) AS measured_at, round(count(*) FILTER (event_type = 'purchase') / greatest(count(*) FILTER (event_type = 'error'), 1)::DOUBLE, 6) AS waggle_stop_ratio, NULL AS dominant_signal,
+    CASE WHEN count(*) >= 20 THEN 'warm' ELSE 'cold' END AS hive_temperature, round(count(*) / 14.0::DOUBLE, 6) AS criticality_score, '{}' AS notes FROM events GROUP BY 1"""
 
 
 @query("h10_state_log", sql("hive", f"""SELECT * FROM log UNION ALL SELECT {AS_OF}, ratio, strongest, temperature, criticality, '{{"emits":' || emits || ',"waggles":' || waggles || ',"quorums":' || quorums || ',"patterns":' || patterns
     || ',"suppressed":' || suppressed || ',"essences":' || essences || ',"ready":' || ready || '}}' FROM state""", emits=_EMITS, read=_READ, waggles=_WAGGLES, stops=_STOPS, nectar=_NECTAR, state=_STATE, log=_LOG))
 def h10(spark, sf_dir):
-    """The state log after a snapshot is appended to the one row it had."""
-    new = S.snapshot(state(spark, sf_dir), as_of())
-    old = [("2024-01-30 00:00:00", 0.5, None, "cold", 1.0, "{}")]
-    old = spark.createDataFrame(old, "measured_at string, waggle_stop_ratio double, dominant_signal string, hive_temperature string, criticality_score double, notes string")
-    return old.withColumn("measured_at", F.col("measured_at").cast("timestamp_ntz")).unionByName(new)
+    """The log of hourly measurements after a snapshot is appended to it, as it is read back."""
+    is_ = lambda t: F.count(F.when(F.col("event_type") == t, 1))
+    old = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("measured_at")).agg(
+        F.round(is_("purchase") / F.greatest(is_("error"), F.lit(1)), 6).alias("waggle_stop_ratio"), F.lit(None).cast("string").alias("dominant_signal"),
+        F.when(F.count(F.lit(1)) >= 20, "warm").otherwise("cold").alias("hive_temperature"), F.round(F.count(F.lit(1)) / 14.0, 6).alias("criticality_score"), F.lit("{}").alias("notes"))
+    log = new_path(spark, "state_log")
+    old.write.parquet(log)
+    S.snapshot(state(spark, sf_dir), as_of()).write.mode("append").parquet(log)
+    return spark.read.parquet(log)
+
+
+LIMITS = ((3600, 3), (600, 2))
+# request by request: whether it passes depends on those that have
+_ADMITTED = "SELECT event_id, identity, allowed FROM steps WHERE n > 0"
+_STEPS = dict(
+    numbered="SELECT identity, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY identity ORDER BY ts, event_id) AS n FROM audit",
+    steps=f"""SELECT DISTINCT identity, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS log, false AS allowed FROM numbered UNION ALL
+    SELECT identity, n, event_id, CASE WHEN ok THEN list_append(log, us) ELSE log END, ok FROM (SELECT r.*, list_filter(s.log, lambda t: r.us - t < {LIMITS[0][0]}000000) AS log,
+        {' AND '.join(f'len(list_filter(s.log, lambda t: r.us - t < {s}000000)) < {n}' for s, n in LIMITS)} AS ok FROM steps s JOIN numbered r ON r.identity = s.identity AND r.n = s.n + 1)""",
+)
+
+
+@query("h11_rate_limit", recursive(sql("audit", _ADMITTED, **_STEPS)))
+def h11(spark, sf_dir):
+    """Two limits of the last hour and ten minutes, scaled to this log."""
+    return S.rate_limited(B.audit_log(spark, sf_dir).select("identity", "ts", "event_id"), LIMITS)
 
 
-@query("h11_rate_limit")
-def h11(spark, sf_dir):
-    """Two limits of the last day and hour, scaled to this log; tests compare it with a plain replay."""
-    return S.rate_limited(B.audit_log(spark, sf_dir).select("identity", "ts", "event_id"), ((3600, 3), (600, 2)))
+@query("h11c_rate_limit_stream", recursive(sql("audit", _ADMITTED, **_STEPS)))
+def h11c(spark, sf_dir):
+    """The same requests as a stream that brings them out of order and is started anew four times."""
+    from ..streaming import replay_stream as Z
+
+    log = B.audit_log(spark, sf_dir).select("identity", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    got = Z.arrived(log, "event_id", (-1, datetime(2100, 1, 1), -1), lambda rows: Z.admissions(rows, LIMITS, "12 hours"), new_path(spark, "admissions"))
+    return got.where("event_id >= 0")
 
 
 @query("h11b_raw_demand", sql("audit", "SELECT identity, event_id, count(*) OVER (PARTITION BY identity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM audit"))
@@ -156,14 +186,42 @@ def h14(spark, sf_dir):
 
 
 def pushes(spark, sf_dir):
-    """One ring a user, so that replay spreads over as many keys as there are."""
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") * 7 % 50).alias("memory_id"), "ts", F.col("user_id").alias("ring"))
+    """Twenty rings, each of which sees more memories than it holds."""
+    return table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") * 7 % 50).alias("memory_id"), "ts", (F.col("user_id") % 20).alias("ring"))
+
 
+# push by push: which slot gives way depends on all pushes before
+_RINGS = "SELECT ring, x.m AS memory_id, round(x.a, 6) AS activation, make_timestamp(x.t) AS last_activated_at FROM (SELECT ring, unnest(slots) AS x FROM (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY n DESC) AS place FROM pushed) WHERE place = 1)"
+_PUSHED = dict(
+    numbered="SELECT *, row_number() OVER (PARTITION BY ring ORDER BY us, memory_id) AS n FROM (SELECT event_id * 7 % 50 AS memory_id, user_id % 20 AS ring, epoch_us(ts) AS us FROM events WHERE event_type = 'view')",
+    pushed="""SELECT DISTINCT ring, 0::BIGINT AS n, []::STRUCT(m BIGINT, a DOUBLE, t BIGINT)[] AS slots FROM numbered UNION ALL
+    SELECT ring, n, CASE WHEN list_contains(list_transform(slots, lambda x: x.m), memory_id)
+        THEN list_transform(slots, lambda x: CASE WHEN x.m = memory_id THEN {'m': x.m, 'a': least(1.0::DOUBLE, x.a + 0.1), 't': us} ELSE x END)
+        ELSE list_append(list_filter(slots, lambda x: len(slots) < 30 OR x.m <> list_sort(list_transform(slots, lambda y: {'e': y.a * 0.5::DOUBLE / (1 + (us - y.t) / 86400e6), 'm': y.m}))[1].m), {'m': memory_id, 'a': 0.5::DOUBLE, 't': us}) END
+    FROM (SELECT r.*, p.slots FROM pushed p JOIN numbered r ON r.ring = p.ring AND r.n = p.n + 1)""",
+)
 
-@query("h14b_ring_replay")
+
+@query("h14b_ring_replay", recursive(sql("", _RINGS, **_PUSHED)))
 def h14b(spark, sf_dir):
-    """Every user's ring, replayed push by push; tests compare it with a plain replay."""
-    return S.ring_replayed(pushes(spark, sf_dir))
+    """Every ring, replayed push by push."""
+    return S.ring_replayed(pushes(spark, sf_dir)).withColumn("activation", F.round("activation", 6))
+
+
+@query("h14c_ring_stream", recursive(sql("", _RINGS, **_PUSHED)))
+def h14c(spark, sf_dir):
+    """The same rings from a stream that goes on where the batch replay of the month's first half ends."""
+    from ..streaming import replay_stream as Z
+
+    every = pushes(spark, sf_dir)
+    half = "ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"
+    rest = every.where(f"NOT {half}").select("ring", F.col("ts").cast("timestamp").alias("ts"), "memory_id")
+    start = S.ring_replayed(every.where(half))
+    start = written(start, "rings")
+    got = Z.arrived(rest, "memory_id", (-1, datetime(2100, 1, 1), -1), lambda rows: Z.rings(rows, "12 hours", 30, start), new_path(spark, "rings")).where("ring >= 0")
+    now = Z.newest_rings(got)
+    quiet = start.join(now.select("ring").distinct(), "ring", "left_anti").select("ring", "memory_id", "activation", "last_activated_at")  # rings without a later push
+    return now.withColumn("last_activated_at", F.col("last_activated_at").cast("timestamp_ntz")).unionByName(quiet).withColumn("activation", F.round("activation", 6))
 
 
 @query("h15_session_counters", sql("sessions", "SELECT user_id, day, boot_ran, exchanges_stored, heartbeats_sent, tool_calls_total, started_at FROM sessions"))
@@ -188,6 +246,14 @@ def w10(spark, sf_dir):
     return e.groupBy("user_id", "bucket").agg(F.count(F.lit(1)).alias("calls"), names.alias("tools")).where("calls = 4")
 
 
-@query("s7_pending_signals", sql("hive", "SELECT kind, count(*) AS n FROM hive WHERE event_id > 9000 GROUP BY 1"))
+@query("s7_pending_signals", sql("hive", "SELECT kind, event_id % 3 AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids, count(note) AS notes FROM hive GROUP BY 1, 2"))
 def s7(spark, sf_dir):
-    return T.counts(B.hive_events(spark, sf_dir).where("event_id > 9000"), "kind")
+    """The pending log after three batches of all signals, each delivered twice, as it is read back."""
+    from ..sources import exports
+    from ..streaming.hive_stream import SIGNAL
+
+    log = new_path(spark, "pending")
+    signals = B.hive_events(spark, sf_dir)
+    for batch in (0, 1, 0, 2, 1, 2):
+        exports.append_signals(signals.where(F.col("event_id") % 3 == batch), log, batch)
+    return exports.read_signals(spark, log, SIGNAL).groupBy("kind", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count("note").alias("notes"))

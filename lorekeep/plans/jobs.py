@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import affect as A
 from ..operators import maintenance as M
+from ..operators import orchestrator as O
 from ..operators import retrieval as R
 from ..operators import rollups as D
 from ..operators import tables as T
 from ..session import table
 from ..sources import bridge as B
+from ..workspace import new_path
 from . import daily as Y
+from . import graph as P
 from . import retrieval as X
 from .catalog import query
 from .daily import r6
@@ -50,13 +56,13 @@ _MINED = dict(affected=Y._ROWS, daily=Y._DAILY, sums=Y._SUMS, dominant=Y._DOMINA
               patterns=_PATTERNS, ten="SELECT * FROM patterns ORDER BY round(confidence, 6) DESC, pattern_type, description LIMIT 10")
 
 
-def mined(spark, sf_dir):
-    """The ten surest patterns of three miners."""
+def mined(spark, sf_dir, edges=None):
+    """The ten surest patterns of three miners (T8), over the table's edges or given ones."""
     from ..operators import graph as G
 
     big = D.bigrams(Y.dominants(spark, sf_dir)).select(F.lit("bigram").alias("pattern_type"), F.concat("first", F.lit(" then "), "second").alias("description"), "confidence")
     run = Y.runs(spark, sf_dir).select(F.lit("run").alias("pattern_type"), F.concat(F.when(F.col("rising"), "rising").otherwise("falling"), F.lit(" from "), F.col("start").cast("string")).alias("description"), "confidence")
-    hub = G.hubs(B.edges(spark, sf_dir)).select(F.lit("hub").alias("pattern_type"), F.concat(F.lit("hub "), F.col("hub").cast("string")).alias("description"), F.least(F.lit(0.85), 0.4 + 0.03 * F.col("neighbours")).alias("confidence"))
+    hub = G.hubs(B.edges(spark, sf_dir) if edges is None else edges).select(F.lit("hub").alias("pattern_type"), F.concat(F.lit("hub "), F.col("hub").cast("string")).alias("description"), F.least(F.lit(0.85), 0.4 + 0.03 * F.col("neighbours")).alias("confidence"))
     return M.capped_patterns(big, run, hub)
 
 
@@ -86,12 +92,16 @@ _DRIFTED = f"""SELECT round(short - long, 3) AS drift, abs(round(short - long, 3
     count(valence_mean) FILTER (age <= 7) AS short_days, count(valence_mean) FILTER (age <= 90) AS long_days FROM (SELECT *, datediff('day', date, DATE '{Y.TODAY}') AS age FROM daily) WHERE age >= 0) WHERE long_days >= 7 AND short_days >= 3"""
 
 
+def self_rules(spark, sf_dir):
+    e = Y.recent_exchanges(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), (T.count_if(F.col("arousal") > 0.6) / F.count(F.lit(1))).alias("high"))
+    return M.self_model_rules(D.drift(Y.daily(spark, sf_dir), "valence_mean", Y.TODAY), e, Y.growth(spark, sf_dir), Y.care(spark, sf_dir))
+
+
 @query("k9_self_model_items", sql("memories latest edges", "SELECT trigger, priority, round(value, 6) AS value, fires, fires AND trigger <> 'care_alert' AS queued FROM rules",
     affected=Y._ROWS, daily=Y._DAILY, picked=Y._EXCHANGES, lately=Y._LATELY, growth=Y._GROWTH, drifted=_DRIFTED, care=Y._CARE, rules=_RULES))
 def k9(spark, sf_dir):
     """What the self-model's rules see, which fire, and which of these enter the queue: a care alert is pending already."""
-    e = Y.recent_exchanges(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), (T.count_if(F.col("arousal") > 0.6) / F.count(F.lit(1))).alias("high"))
-    rules = M.self_model_rules(D.drift(Y.daily(spark, sf_dir), "valence_mean", Y.TODAY), e, Y.growth(spark, sf_dir), Y.care(spark, sf_dir))
+    rules = self_rules(spark, sf_dir)
     pending = spark.createDataFrame([("care_alert",)], "trigger string")
     queued = M.new_items(rules.where("fires"), pending).select("trigger", F.lit(True).alias("queued"))
     return rules.join(F.broadcast(queued), "trigger", "left").select("trigger", "priority", r6("value"), "fires", F.coalesce("queued", F.lit(False)).alias("queued"))  # four rules
@@ -125,10 +135,79 @@ def k11b(spark, sf_dir):
     return T.side_by_side(counts, durable.join(every.select("memory_id"), "memory_id", "left_anti").agg(F.count(F.lit(1)).alias("remaining")))
 
 
-@query("k14_schedule", "SELECT c::BIGINT AS cycle, CASE WHEN c % 8 = 0 THEN 'sleep,insight,self' WHEN c % 4 = 0 THEN 'sleep,insight' ELSE 'sleep' END AS jobs FROM range(1, 17) t(c)")
+CYCLES = 16
+
+
+def _named(text: str, names: str, suffix: str) -> str:
+    """SQL with a suffix to each of the names of its own common table expressions."""
+    return re.sub(rf"\b({'|'.join(names.split())})\b", rf"\1_{suffix}", text)
+
+
+def _cycles_sql() -> str:
+    """Every cycle's links as expressions of their own, each without what the ones before have linked; then its row."""
+    steps: dict[str, str] = {"total": "SELECT count(*) AS n FROM durable", "linked_0": P._LINKS}
+    rows, insights = [], []
+    for c in range(1, CYCLES + 1):
+        first = f"(SELECT ({c} - 1) % greatest(ceil(n / 500), 1) * 500 FROM total)"
+        steps[f"batched_{c}"] = f"SELECT * FROM durable WHERE batch >= {first} AND batch < {first} + 500 AND emotion IS NOT NULL"
+        for name in ("anchors", "pool", "pairs"):
+            steps[f"{name}_{c}"] = _named(P._K1[name], "batched anchors pool", str(c)).replace("FROM linked l", f"FROM linked_{c - 1} l")
+        steps[f"new_{c}"] = f"SELECT * FROM pairs_{c} WHERE dist < 0.4 AND cos >= 0.25 ORDER BY emotion, id, c_id LIMIT 200"
+        steps[f"linked_{c}"] = f"SELECT * FROM linked_{c - 1} UNION SELECT least(id, c_id), greatest(id, c_id) FROM new_{c}"
+        at = lambda k: f"{AS_OF} - INTERVAL {30 * (CYCLES - k)} MINUTE"
+        due = "status = 'provisional' AND coalesce(review_after, created_at + INTERVAL 14 DAY)"
+        expired = f"(SELECT count(*) FROM memories WHERE {due} < {at(c)}" + (f" AND NOT {due.split(' AND ')[1]} < {at(c - 1)})" if c > 1 else ")")
+        jobs, seen, items = "sleep", "NULL", "NULL"
+        if c % 4 == 0:
+            jobs += ",insight"
+            both = f"SELECT a AS hub, b AS id FROM linked_{c} WHERE a <> b UNION SELECT b, a FROM linked_{c} WHERE a <> b"
+            steps |= {f"both_ways_{c}": both} | {f"{k}_{c}": _named(_MINED[k], "both_ways top_hubs patterns", str(c)) for k in ("top_hubs", "patterns", "ten")}
+            insights.append(f"SELECT pattern_type, description FROM ten_{c} WHERE confidence >= 0.5")
+            seen = f"(SELECT count(*) FROM ({' UNION '.join(insights)}))"
+        if c % 8 == 0:
+            jobs += ",self"
+            items = "(SELECT count(*) FROM rules WHERE fires)" if c == 8 else "0"
+        rows.append(f"SELECT {c}::BIGINT AS cycle, '{jobs}' AS jobs, '' AS failed, {first}::BIGINT AS first, {first}::BIGINT + 500 AS next, (SELECT count(*) FROM new_{c}) AS edges, {expired} AS expired, {seen} AS insights, {items} AS items")
+    base = {k: v for k, v in _MINED.items() if k not in ("both_ways", "top_hubs", "patterns", "ten")} | dict(durable=P._DURABLE)
+    rules = dict(picked=Y._EXCHANGES, lately=Y._LATELY, growth=Y._GROWTH, drifted=_DRIFTED, care=Y._CARE, rules=_RULES)
+    # the cursor in the log is where it stood; a cycle that finds it at the end starts over
+    log = " UNION ALL ".join(rows)
+    text = sql("memories latest_chords latest vectors edges", "SELECT cycle, jobs, failed, CASE WHEN cycle = 1 THEN 0 ELSE lag(next) OVER (ORDER BY cycle) END AS first, next, edges, expired, insights, items FROM log ORDER BY cycle", **(base | rules | steps), log=log)
+    return re.sub(r"\b(linked|new|pairs|pool|anchors|batched|durable|affected)(_[0-9]+)? AS \(", lambda m: m[0].replace("AS (", "AS MATERIALIZED ("), text)
+
+
+def cycle_jobs(spark, sf_dir, home):
+    """The jobs of the orchestrator over the driver's tables, by how often they run: links and expiry, insights, the self-model."""
+    memories, edges = B.memories(spark, sf_dir), B.edges(spark, sf_dir)
+    keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{home}/base/{name}"), spark.read.schema(df.schema).parquet(f"{home}/base/{name}"))[1]
+    durable, vectors = keep(P.durable(spark, sf_dir), "durable"), keep(B.embeddings(spark, sf_dir), "vectors")
+    link = O.consolidation(durable, vectors, edges)
+
+    def sleep(now):
+        at = as_of() - F.make_dt_interval(mins=F.lit(30 * (CYCLES - now.number)))
+        gone = now.written("expired", "id bigint")
+        due = M.expired_by_ttl(memories, at).where("status = 'expired'").join(memories.where("status = 'expired'").select("id"), "id", "left_anti").select("id")
+        expired = now.write(due.join(gone, "id", "left_anti"), "expired")
+        return link(now) | {"expired": expired.count()}
+
+    def insight(now):
+        every = edges.select("from_id", "to_id").union(now.written("edges", "from_id bigint, to_id bigint")).union(spark.read.parquet(f"{home}/work/cycle={now.number}/edges"))
+        known = now.written("insights", "pattern_type string, description string, confidence double, occurrences bigint, first_seen timestamp_ntz, last_seen timestamp_ntz", newest=True)
+        after = M.merged_insights(known.withColumn("status", F.lit("active")), mined(spark, sf_dir, every), as_of())
+        return {"insights": now.write(after, "insights").count()}
+
+    def self_model(now):
+        pending = now.written("items", "trigger string")
+        return {"items": now.write(M.new_items(self_rules(spark, sf_dir).where("fires"), pending).select("trigger"), "items").count()}
+
+    return {"sleep": (1, sleep), "insight": (4, insight), "self": (8, self_model)}
+
+
+@query("k14_orchestrator", _cycles_sql())
 def k14(spark, sf_dir):
-    """Sixteen cycles of the orchestrator."""
-    return spark.createDataFrame([(c, ",".join(j)) for c, j in M.schedule(16, {"sleep": 1, "insight": 4, "self": 8})], "cycle bigint, jobs string")
+    """The log of sixteen cycles, run over the tables: links of batch after batch, expiry, insights, items of the self-model."""
+    home = new_path(spark, "cycles")
+    return O.run_cycles(spark, home, cycle_jobs(spark, sf_dir, home), CYCLES)
 
 
 def updates(spark, sf_dir):
@@ -265,24 +344,91 @@ def audits(spark, sf_dir):
     return M.audit(B.memories(spark, sf_dir), B.ring(spark, sf_dir), B.edges(spark, sf_dir), B.sleep_log(spark, sf_dir), as_of())
 
 
-_SOURCES = f"""SELECT * FROM (SELECT 'identity' AS part, id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE is_core AND status NOT IN ('rejected', 'expired')) WHERE n <= 10
-    UNION ALL SELECT * FROM (SELECT 'recent', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR AND status NOT IN ('rejected', 'expired')) WHERE n <= 15
-    UNION ALL SELECT * FROM (SELECT 'journal', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE source_type = 'journal' AND status <> 'rejected') WHERE n <= 3
-    UNION ALL SELECT * FROM (SELECT 'correction', id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM memories WHERE memory_type = 'correction' AND status = 'durable') WHERE n <= 3"""
+#: Phrases of a durable text that make it a correction, in a boot summary and, further ones, in the loop's.
+CORRECTIONS = ("correction", "coasting")
+LOOP_CORRECTIONS = (*CORRECTIONS, "caught", "wrong", "not an observer")
+#: A word that the sample texts have, so that the lists have rows.
+SAMPLE_WORD, NAME = "idiot", "ctx 1"
+_HOLDS = lambda words: "(" + " OR ".join(f"contains(lower(raw_text), '{w}')" for w in words) + ")"
+_LIST = lambda name, cond, n, of="memories": f"SELECT * FROM (SELECT '{name}' AS part, id, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM {of} WHERE {cond}) WHERE n <= {n}"
+_SOURCES = "\nUNION ALL ".join([
+    _LIST("identity", "is_core AND status NOT IN ('rejected', 'expired')", 10), _LIST("recent", f"created_at >= {AS_OF} - INTERVAL 24 HOUR AND status NOT IN ('rejected', 'expired')", 15),
+    _LIST("journal", "source_type = 'journal' AND status <> 'rejected'", 3), _LIST("correction", "status = 'durable' AND " + _HOLDS((*CORRECTIONS, SAMPLE_WORD)), 3, "told"),
+])
+_TOLD = "SELECT m.*, raw_text FROM memories m JOIN texts USING (id) WHERE status = 'durable'"
+
+
+def holding(m, words):
+    """Durable memories (with raw_text) whose text holds any of ``words``."""
+    any_ = F.lit(False)
+    for w in words:
+        any_ = any_ | A.holds("raw_text", w)
+    return m.where("status = 'durable'").where(any_)
+
+
+def listed(parts):
+    """(part, id) of (name, rows, n): the n newest of each."""
+    out = None
+    for name, rows, n in parts:
+        one = T.newest(rows, n, "created_at", "id").select(F.lit(name).alias("part"), "id")
+        out = one if out is None else out.union(one)
+    return out
 
 
-def boot_lists(m):
-    """Identity, the last day, journals and corrections of a boot summary, newest first."""
+def boot_lists(m, told, words=CORRECTIONS):
+    """Identity, the last day, journals and corrections of a boot summary, newest first; ``told`` are memories with their texts."""
     stands = "status NOT IN ('rejected', 'expired')"
-    lists = (("identity", f"is_core AND {stands}", 10), ("recent", f"created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND {stands}", 15),
-             ("journal", "source_type = 'journal' AND status <> 'rejected'", 3), ("correction", "memory_type = 'correction' AND status = 'durable'", 3))
-    out = [T.newest(m.where(p), n, "created_at", "id").select(F.lit(k).alias("part"), "id") for k, p, n in lists]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    return listed([("identity", m.where(f"is_core AND {stands}"), 10), ("recent", m.where(f"created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND {stands}"), 15),
+                   ("journal", m.where("source_type = 'journal' AND status <> 'rejected'"), 3), ("correction", holding(told, words), 3)])
+
+
+def loop_lists(m, told, name, day, before, words=LOOP_CORRECTIONS):
+    """What the loop's summary lists: core memories that name someone, corrections, and the memories of a day and of the day before."""
+    durable = m.where("status = 'durable'")
+    named = told.where("status = 'durable' AND is_core").where(A.holds("raw_text", name) | A.holds(F.coalesce("context", F.lit("")), name))
+    on = lambda d: durable.where(F.to_date("created_at") == F.lit(d).cast("date"))
+    return listed([("identity", named, 5), ("correction", holding(told, words), 5), ("today", on(day), 10), ("yesterday", on(before), 10)])
 
 
-@query("q9b_boot_lists", sql("memories", "SELECT part, id FROM sources", sources=_SOURCES))
+@query("q9b_boot_lists", sql("memories texts", "SELECT part, id FROM sources", told=_TOLD, sources=_SOURCES))
 def q9b(spark, sf_dir):
-    return boot_lists(B.memories(spark, sf_dir))
+    """Corrections are durable texts that hold one of the phrases, whatever their type; a word of the sample texts stands beside these."""
+    return boot_lists(B.memories(spark, sf_dir), B.memories(spark, sf_dir, text=True), (*CORRECTIONS, SAMPLE_WORD))
+
+
+@query("q9d_state_map", sql("state_log", "SELECT key, value, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, event_id DESC) AS n FROM state_log) WHERE n = 1"))
+def q9d(spark, sf_dir):
+    """The state as its last writes have it (M3)."""
+    return M.state_map(B.state_log(spark, sf_dir))
+
+
+@query("q9e_boot_day", sql("memories latest", """SELECT 'type' AS part, memory_type AS key, count(*) AS n, NULL::DOUBLE AS valence_mean FROM affected WHERE date = DATE '2024-01-30' GROUP BY 2
+    UNION ALL SELECT 'hour', hour(created_at)::VARCHAR, count(*), round(avg(valence), 6) FROM affected WHERE date = DATE '2024-01-30' AND valence IS NOT NULL GROUP BY 2""", affected=Y._ROWS))
+def q9e(spark, sf_dir):
+    """The day's types and its arc by the hour, as a boot summary has them."""
+    day = Y.rows(spark, sf_dir).where("date = DATE '2024-01-30'")
+    types = T.counts(day, "memory_type").select(F.lit("type").alias("part"), F.col("memory_type").alias("key"), "n", F.lit(None).cast("double").alias("valence_mean"))
+    arc = day.where("valence IS NOT NULL").groupBy(F.hour("created_at").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("valence"), 6).alias("valence_mean"))
+    return types.union(arc.select(F.lit("hour"), "key", "n", "valence_mean"))
+
+
+_LOOP = "\nUNION ALL ".join([
+    _LIST("identity", f"is_core AND (contains(lower(raw_text), '{NAME}') OR contains(lower(coalesce(context, '')), '{NAME}'))", 5, "told"), _LIST("correction", _HOLDS((*LOOP_CORRECTIONS, SAMPLE_WORD)), 5, "told"),
+    _LIST("today", "status = 'durable' AND created_at::DATE = DATE '2024-01-30'", 10), _LIST("yesterday", "status = 'durable' AND created_at::DATE = DATE '2024-01-29'", 10),
+])
+
+
+@query("q9f_loop_lists", sql("memories texts", f"SELECT part, id FROM ({_LOOP})", told=_TOLD))
+def q9f(spark, sf_dir):
+    return loop_lists(B.memories(spark, sf_dir), B.memories(spark, sf_dir, text=True), NAME, "2024-01-30", "2024-01-29", (*LOOP_CORRECTIONS, SAMPLE_WORD))
+
+
+@query("q9g_last_affects", sql("memories affect", "SELECT id, model, round(valence, 6) AS valence, round(arousal, 6) AS arousal FROM memories JOIN affect ON memory_id = id WHERE status = 'durable' ORDER BY created_at DESC, id, model LIMIT 5"))
+def q9g(spark, sf_dir):
+    """The last five affect rows of durable memories, every model's."""
+    five = T.newest(B.memories(spark, sf_dir).where("status = 'durable'").select("id", "created_at"), 5, "created_at", "id")  # each has one row at least
+    a = B.affect(spark, sf_dir).withColumnRenamed("memory_id", "id").join(F.broadcast(five), "id")
+    return a.orderBy(F.col("created_at").desc(), "id", "model").limit(5).select("id", "model", r6("valence"), r6("arousal"))
 
 
 @query("q9c_boot_arc", sql("memories latest", "SELECT date, memory_count, round(valence_mean, 6) AS valence_mean, round(arousal_mean, 6) AS arousal_mean FROM daily ORDER BY date DESC LIMIT 7", affected=Y._ROWS, daily=Y._DAILY))
@@ -308,38 +454,78 @@ def q9(spark, sf_dir):
     return T.side_by_side(*parts)
 
 
-_PART = lambda name, cond, n, order="created_at DESC, id": f"SELECT * FROM (SELECT '{name}' AS part, id, row_number() OVER (ORDER BY {order}) AS place FROM memories WHERE {cond}) WHERE place <= {n}"
-_NEGATIVE = f"""SELECT 'counterweight', id, NULL FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL)
+_PART = lambda name, cond, n, order="created_at DESC, id": f"SELECT * FROM (SELECT '{name}' AS part, id, row_number() OVER (ORDER BY {order}) AS place, NULL AS value FROM memories WHERE {cond}) WHERE place <= {n}"
+_CW = """SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY counterweight_type ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND counterweight_type IS NOT NULL)
     WHERE n = 1 AND id NOT IN (SELECT id FROM found)"""
+_BACK = """SELECT id, row_number() OVER (ORDER BY md5(id || '|7'), id) AS n FROM memories WHERE status = 'durable' AND memory_type IN ('breakthrough', 'promise', 'identity') AND is_core
+    AND id NOT IN (SELECT id FROM found) AND id NOT IN (SELECT id FROM cw)"""
+_SNAPSHOT = f"""SELECT datediff('microsecond', made, {AS_OF}) / 6e7 AS age, (SELECT count(*) FROM memories WHERE status <> 'rejected' AND created_at <= made) AS had, (SELECT count(*) FROM memories WHERE status <> 'rejected') AS has
+    FROM (SELECT max(created_at) AS made FROM memories WHERE source_type = 'journal')"""
+_MIRROR = """SELECT *, row_number() OVER (ORDER BY started_at DESC, user_id) AS place, round(least(1.0, CASE WHEN boot_ran THEN 0.4 ELSE 0 END + CASE WHEN timestamp_logged THEN 0.1 ELSE 0 END + CASE WHEN exchanges_stored >= 1 THEN 0.3 ELSE 0 END
+    + CASE WHEN exchanges_stored >= 3 THEN 0.1 ELSE 0 END + CASE WHEN heartbeats_sent >= 1 THEN 0.1 ELSE 0 END)::DOUBLE * 100)::BIGINT AS score FROM (SELECT * FROM sessions ORDER BY started_at DESC, user_id LIMIT 5)"""
 _START = "\nUNION ALL ".join([
-    _PART("journal", "source_type = 'journal' AND status <> 'rejected'", 1), "SELECT 'resonant', id, row_number() OVER (ORDER BY score DESC, is_core DESC, updated_at DESC, id) FROM found", _NEGATIVE,
-    _PART("correction", "memory_type = 'correction' AND status = 'durable'", 3), _PART("today", "status = 'durable' AND created_at::DATE = DATE '2024-01-30'", 5), "SELECT 'brain ' || layer, id, NULL FROM layers",
-    "SELECT 'durable', count(*), NULL FROM memories WHERE status = 'durable'", "SELECT 'session', user_id, row_number() OVER (ORDER BY started_at DESC, user_id) FROM (SELECT * FROM sessions ORDER BY started_at DESC, user_id LIMIT 5)"])
-
-
-@query("q2_thread_start", sql(X._TABLES + " sessions", _START, hundred=X._HUNDRED, cheaply=X._CHEAP, short="SELECT * FROM cheaply ORDER BY cheap DESC, id LIMIT 30", scored=X.SCORED, blended=X.BLENDED,
-    found="SELECT * FROM blended ORDER BY score DESC, is_core DESC, updated_at DESC, id LIMIT 5", layers=_LAYERS))
+    _PART("journal", "source_type = 'journal' AND status <> 'rejected'", 1), "SELECT 'resonant', id, row_number() OVER (ORDER BY score DESC, is_core DESC, updated_at DESC, id), NULL FROM found", "SELECT 'counterweight', id, NULL, NULL FROM cw",
+    "SELECT 'counterweight', id, NULL, 'fallback' FROM back WHERE (SELECT count(*) FROM cw) < 2 AND n <= 3 - (SELECT count(*) FROM cw)",
+    _PART("correction", "memory_type = 'correction' AND status = 'durable'", 3), _PART("today", "status = 'durable' AND created_at::DATE = DATE '2024-01-30'", 5), "SELECT 'brain ' || layer, id, NULL, NULL FROM layers",
+    "SELECT 'durable', count(*), NULL, NULL FROM memories WHERE status = 'durable'",
+    "SELECT 'boot', CASE WHEN age < 60 THEN had ELSE has END, CASE WHEN age < 60 THEN floor(age)::BIGINT ELSE -1 END, CASE WHEN age < 60 THEN 'fresh' ELSE 'refreshed' END FROM snap",
+    "SELECT 'state ' || key, NULL, NULL, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, event_id DESC) AS n FROM state_log) WHERE n = 1 AND key IN ('mood', 'last_journal_at', 'last_sleep_cycle')",
+    "SELECT 'session', user_id, place, 'boot ' || boot_ran || ', exchanges ' || exchanges_stored || ', score ' || score FROM mirror WHERE place <= 3",
+    "SELECT 'compliance', count(*), round(avg(boot_ran::INT) * 100)::BIGINT, CASE WHEN avg(boot_ran::INT) < 0.6 THEN 'warning' END FROM mirror", "SELECT 'exchanges', round(avg(exchanges_stored) * 10)::BIGINT, NULL, NULL FROM mirror",
+])
+
+
+def snapshot_status(m, as_of):
+    """(total, age, status) of the snapshot that the last journal entry made: while it is fresh its own number of memories and its age in
+    minutes; a stale or cold one is refreshed, so that it has the present number and no age (-1)."""
+    made = m.where("source_type = 'journal'").agg(F.max("created_at").alias("at")).withColumn("one", F.lit(1))
+    stands = m.where("status <> 'rejected'").select("created_at", F.lit(1).alias("one")).join(F.broadcast(made), "one")  # one row
+    counts = stands.groupBy("at").agg(T.count_if(F.col("created_at") <= F.col("at")).alias("had"), F.count(F.lit(1)).alias("has"))
+    age = A.age_seconds("at", as_of) / 60
+    fresh = A.freshness(age) == "fresh"
+    return counts.select(F.when(fresh, F.col("had")).otherwise(F.col("has")).alias("total"), F.when(fresh, F.floor(age)).otherwise(-1).alias("age"), F.when(fresh, "fresh").otherwise("refreshed").alias("status"))
+
+
+def mirror(sessions, n: int = 5, shown: int = 3):
+    """(part, id, place, value) of the last ``n`` sessions: each of the first ``shown``, the share that ran the boot, with a warning
+    under 60 percent, and ten times the mean of exchanges."""
+    last = sessions.orderBy(F.col("started_at").desc(), "user_id").limit(n)
+    place = F.row_number().over(Window.orderBy(F.col("started_at").desc(), "user_id"))  # n rows
+    score = F.round(A.compliance("boot_ran", "timestamp_logged", "exchanges_stored", "heartbeats_sent") * 100).cast("bigint")
+    text = F.concat(F.lit("boot "), F.col("boot_ran").cast("string"), F.lit(", exchanges "), F.col("exchanges_stored").cast("string"), F.lit(", score "), score.cast("string"))
+    each = last.select(F.lit("session").alias("part"), F.col("user_id").alias("id"), place.cast("bigint").alias("place"), text.alias("value")).where(F.col("place") <= shown)
+    ran = F.avg(F.col("boot_ran").cast("int"))
+    rate = last.agg(F.count(F.lit(1)).alias("id"), F.round(ran * 100).cast("bigint").alias("place"), F.when(ran < 0.6, "warning").alias("value"))
+    mean = last.agg(F.round(F.avg("exchanges_stored") * 10).cast("bigint").alias("id"))
+    return each.union(rate.select(F.lit("compliance"), "id", "place", "value")).union(mean.select(F.lit("exchanges"), "id", F.lit(None).cast("bigint"), F.lit(None).cast("string")))
+
+
+@query("q2_thread_start", sql(X._TABLES + " sessions state_log", _START, hundred=X._HUNDRED, cheaply=X._CHEAP, short="SELECT * FROM cheaply ORDER BY cheap DESC, id LIMIT 30", scored=X.SCORED, blended=X.BLENDED,
+    found="SELECT * FROM blended ORDER BY score DESC, is_core DESC, updated_at DESC, id LIMIT 5", layers=_LAYERS, cw=_CW, back=_BACK, snap=_SNAPSHOT, mirror=_MIRROR))
 def q2(spark, sf_dir):
-    """The parts of a warm start in one frame (part, id, place): the last journal, the memories that resonate with the sample state by
-    two-stage retrieval, counterweights to it, corrections, the day's memories, the layers above, the last sessions, and the number
-    of durable memories. Boot figures, lists and arc are q9, q9b and q9c, the health band s5, compliance figures a15."""
+    """The parts of a warm start in one frame (part, id, place, value): the last journal, the snapshot with its age or refreshed, the state's
+    three keys, the memories that resonate with the sample state by two-stage retrieval, counterweights to it with their fallback,
+    corrections, the day's memories, the layers above, the mirror of the last sessions, and the number of durable memories. The
+    lists and the arc of a refreshed snapshot are q9b to q9g."""
     m = B.memories(spark, sf_dir)
     order = Window.orderBy(F.col("created_at").desc(), "id")  # over the few rows of a part
-    placed = lambda name, df: df.select(F.lit(name).alias("part"), "id", F.row_number().over(order).cast("bigint").alias("place"))
-    plain = lambda name, df: df.select(F.lit(name).alias("part"), "id", F.lit(None).cast("bigint").alias("place"))
-    best = X.two_stage(spark, sf_dir)
+    whole = lambda name, df, **c: df.select(F.lit(name).alias("part"), *[c.get(k, F.lit(None)).cast(t).alias(k) for k, t in (("id", "bigint"), ("place", "bigint"), ("value", "string"))])
+    placed = lambda name, df: whole(name, df, id=F.col("id"), place=F.row_number().over(order))
+    best = T.pinned(X.two_stage(spark, sf_dir))  # five rows
     by_score = Window.orderBy(F.col("score").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id")  # five rows
     today = m.where("status = 'durable' AND created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-31 00:00:00'")
-    last = B.sessions(spark, sf_dir).orderBy(F.col("started_at").desc(), "user_id").limit(5).select(F.col("user_id").alias("id"), F.col("started_at").alias("created_at"))
+    state = M.state_map(B.state_log(spark, sf_dir)).where(F.col("key").isin("mood", "last_journal_at", "last_sleep_cycle"))
     parts = [
         placed("journal", T.newest(m.where("source_type = 'journal' AND status <> 'rejected'"), 1, "created_at", "id")),
-        best.select(F.lit("resonant").alias("part"), "id", F.row_number().over(by_score).cast("bigint").alias("place")),
-        plain("counterweight", R.one_per_type(m).join(best.select("id"), "id", "left_anti")),
+        whole("resonant", best, id=F.col("id"), place=F.row_number().over(by_score)),
+        whole("counterweight", R.counterweights(m, best.select("id"), strict=True), id=F.col("id"), value=F.when(F.col("stage") == 1, "fallback")),
         placed("correction", T.newest(m.where("memory_type = 'correction' AND status = 'durable'"), 3, "created_at", "id")),
         placed("today", T.newest(today, 5, "created_at", "id")),
-        q12(spark, sf_dir).select(F.concat(F.lit("brain "), "layer").alias("part"), "id", F.lit(None).cast("bigint").alias("place")),
-        m.agg(T.count_if(F.col("status") == "durable").alias("id")).select(F.lit("durable").alias("part"), "id", F.lit(None).cast("bigint").alias("place")),
-        placed("session", last),
+        q12(spark, sf_dir).select(F.concat(F.lit("brain "), "layer").alias("part"), "id", F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("string").alias("value")),
+        whole("durable", m.agg(T.count_if(F.col("status") == "durable").alias("id")), id=F.col("id")),
+        whole("boot", snapshot_status(m, as_of()), id=F.col("total"), place=F.col("age"), value=F.col("status")),
+        state.select(F.concat(F.lit("state "), "key").alias("part"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("place"), "value"),
+        mirror(B.sessions(spark, sf_dir)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -46,12 +46,18 @@ TABLES = {
         CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 2 DAY END AS expires_at FROM events WHERE event_type <> 'view'""",
     "sleep": """SELECT ts AS cycle_start, ts + INTERVAL 5 SECOND AS cycle_end, event_id % 5 AS edges_created, event_id % 3 AS memories_expired, event_id % 26 AS embeddings_backfilled
         FROM events WHERE event_type = 'signup'""",
+    "state_log": f"""SELECT event_id, {pick('event_type', B.STATE_KEYS)} AS key, CASE WHEN event_type IN ('click', 'view') THEN {pick('user_id % 5', B.SECOND)} ELSE (ts::DATE)::VARCHAR END AS value, ts AS updated_at FROM events""",
     "audit": "SELECT event_id, ts, user_id % 7 AS identity, CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS response_code, event_type = 'purchase' AS writes FROM events",
     "journal": "SELECT doc_id AS id, left(text, 40) AS title, text AS description, lang AS entry_type, 'sess ' || (doc_id % 12) AS session_id, TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INTEGER) AS ts FROM documents",
 }
 _NEEDS = {"affect": ["affect_base"], "latest": ["affect"], "chords": ["affect"], "latest_chords": ["latest"], "degrees": ["edges"]}
 
 
+def recursive(text: str) -> str:
+    """SQL whose common table expressions may refer to themselves."""
+    return "WITH RECURSIVE" + text.removeprefix("WITH")
+
+
 def sql(names: str, body: str, **more: str) -> str:
     """``body`` with the logical tables that it names (and what these need), and further ones, as common table expressions."""
     order: list[str] = []

@@ -127,8 +127,9 @@ def q3(spark, sf_dir):
     return m.withColumn("dist", dist).orderBy("dist", "id").limit(5).select("id", "memory_type", F.round("dist", 6).alias("dist"))
 
 
-_CHEAP = f"""SELECT m.*, (CASE WHEN contains(lower(raw_text), '{TEXT}') THEN 0.3::DOUBLE ELSE 0 END * 0.3 + 0.25 * (1 - {distance(STATE)}) + 0.15 * {RECENCY}) * CASE WHEN is_core THEN 1.3 ELSE 1 END AS cheap
-    FROM hundred m JOIN texts USING (id) JOIN latest a ON a.memory_id = m.id"""
+_CHEAP = f"""SELECT m.*, (CASE WHEN contains(lower(raw_text), '{TEXT}') THEN 0.3::DOUBLE ELSE 0 END * 0.3 + 0.25 * (1 - {distance(STATE)})
+    + 0.15 * least(coalesce(degree, 0) / 10, 1) + 0.15 * {RECENCY}) * CASE WHEN is_core THEN 1.3 ELSE 1 END AS cheap
+    FROM hundred m JOIN texts USING (id) JOIN latest a ON a.memory_id = m.id LEFT JOIN degrees USING (id)"""
 _HUNDRED = "SELECT * FROM memories WHERE status NOT IN ('rejected', 'expired') AND consent_level <> 'high' ORDER BY is_core DESC, updated_at DESC, id LIMIT 100"
 
 
@@ -143,7 +144,7 @@ def two_stage(spark, sf_dir):
     hundred = T.pinned(R.shortlist(R.eligible(B.memories(spark, sf_dir)), 100))  # 100 rows
     text = B.memories(spark, sf_dir, text=True).select("id", "raw_text").join(hundred.select("id"), "id", "left_semi")
     some = B.affect(spark, sf_dir).join(hundred.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    thirty = R.cheap_scores(hundred.join(text, "id"), some, as_of(), STATE, TEXT).orderBy(F.col("cheap").desc(), "id").limit(30).drop("valence", "arousal", "dominance", "emotions", "computed_at", "model")
+    thirty = R.cheap_scores(hundred.join(text, "id"), some, B.edges(spark, sf_dir), as_of(), STATE, TEXT).orderBy(F.col("cheap").desc(), "id").limit(30).drop("valence", "arousal", "dominance", "emotions", "computed_at", "model")
     thirty = T.pinned(thirty)
     full = R.scored(thirty, B.affect(spark, sf_dir), B.embeddings(spark, sf_dir), B.edges(spark, sf_dir), as_of(), query_vector(spark, sf_dir), STATE, TEXT)
     return R.top(full, 5)

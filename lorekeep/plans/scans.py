@@ -132,12 +132,16 @@ def j3(spark, sf_dir):
     return e.select("from_id", "to_id", "edge_type", "from_first", "to_valence")
 
 
-@query("j5_island_members", sql("memories", "SELECT 'island ' || (user_id % 25) AS island, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM memories WHERE is_core GROUP BY 1"))
+_ISLANDS = "SELECT 'island ' || (user_id % 25) AS island, id FROM memories WHERE is_core"
+
+
+@query("j5_island_members", sql("memories", "SELECT island, page, n, m.id, m.memory_type, m.status FROM paged p JOIN memories m ON m.id = p.id", islands=_ISLANDS,
+    paged="SELECT island, id, (row_number() OVER (PARTITION BY island ORDER BY id) - 1) // 50 AS page, count(*) OVER (PARTITION BY island) AS n FROM islands"))
 def j5(spark, sf_dir):
-    """Named groups with their members in order, in one join and one aggregate."""
+    """Named groups' members with their memories, a row a member, numbered in pages of fifty by id; n is the group's size."""
     m = B.memories(spark, sf_dir)
     members = m.where("is_core").select(F.concat(F.lit("island "), (F.col("user_id") % 25).cast("string")).alias("island"), "id")
-    return members.groupBy("island").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
+    return T.paged(members, "island", "id", 50).join(m.select("id", "memory_type", "status"), "id").select("island", "page", "n", "id", "memory_type", "status")
 
 
 @query("j6_missing_embeddings", sql("memories vectors", "SELECT id FROM memories WHERE id NOT IN (SELECT memory_id FROM vectors)"))
@@ -455,8 +459,7 @@ def s4(spark, sf_dir):
     return apply_tags(m, tags).select("id", F.col("pattern_flag").alias("flag"), F.col("pattern_source").alias("source"))
 
 
-@query("s5_snapshot_band", sql("memories", "SELECT id, CASE WHEN m < 60 THEN 'fresh' WHEN m < 360 THEN 'stale' ELSE 'cold' END AS band FROM (SELECT id, datediff('microsecond', created_at, TIMESTAMP '2024-01-30 12:00:00') / 6e7 AS m FROM memories WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < TIMESTAMP '2024-01-30 12:00:00')"))
+@query("s5_snapshot_band", sql("memories", f"SELECT id, CASE WHEN m < 60 THEN 'fresh' WHEN m < 360 THEN 'stale' ELSE 'cold' END AS band FROM (SELECT id, datediff('microsecond', created_at, {AS_OF}) / 6e7 AS m FROM memories)"))
 def s5(spark, sf_dir):
-    """Age bands of half a day's rows."""
-    m = B.memories(spark, sf_dir).where("created_at >= TIMESTAMP_NTZ '2024-01-30 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-30 12:00:00'")
-    return m.select("id", A.freshness(A.age_seconds("created_at", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")) / 60).alias("band"))
+    """The age band that a snapshot made with each memory has now; q2 takes the last one's."""
+    return B.memories(spark, sf_dir).select("id", A.freshness(A.age_seconds("created_at", as_of()) / 60).alias("band"))

@@ -131,6 +131,18 @@ def sleep_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (i % 3).alias("memories_expired"), (i % 26).alias("embeddings_backfilled"))
 
 
+#: Keys of the state table by event type.
+STATE_KEYS = {"click": "mood", "error": "last_error", "purchase": "last_sleep_cycle", "signup": "last_journal_at", "view": "focus"}
+
+
+def state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every write to the key-value state: (event_id, key, value, updated_at)."""
+    e = table(spark, sf_dir, "events")
+    felt = F.col("event_type").isin("click", "view")
+    value = F.when(felt, _pick(F.col("user_id") % 5, SECOND)).otherwise(F.to_date("ts").cast("string"))
+    return e.select("event_id", _by(F.col("event_type"), STATE_KEYS).alias("key"), value.alias("value"), F.col("ts").alias("updated_at"))
+
+
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: who asked what when, and the answer's code."""
     e = table(spark, sf_dir, "events")

@@ -65,13 +65,38 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
 
 
 def write_markdown(entries: DataFrame, path: str) -> None:
-    """Journal entries (ts, entry_type, title, description) as Markdown, one block a day; days stay in order, each in one row."""
-    line = F.concat(F.lit("- **"), "entry_type", F.lit("** "), "title", F.lit(": "), F.coalesce("description", F.lit("")))
-    days = entries.groupBy(F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", line.alias("line")))).alias("rows"))
-    text = F.concat(F.lit("## "), F.col("day").cast("string"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
-    days.repartitionByRange("day").sortWithinPartitions("day").select(text.alias("value")).write.mode("overwrite").text(path)
-
+    """Journal entries (ts, entry_type, title, description) as Markdown, a heading a day and a line an entry in order of time.
 
-def append_signals(batch: DataFrame, path: str) -> None:
-    """Pending signals appended as JSON lines; also the body of a foreachBatch sink."""
-    batch.write.mode("append").json(path)
+    Headings are rows that sort before their day's entries; a day may go on in the next file, so no day is held in memory."""
+    line = F.concat(F.lit("- **"), "entry_type", F.lit("** "), "title", F.lit(": "), F.coalesce("description", F.lit("")))
+    rows = entries.select(F.to_date("ts").alias("day"), "ts", line.alias("value"))
+    heads = rows.select("day").distinct().select("day", F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"), F.concat(F.lit("\n## "), F.col("day").cast("string")).alias("value"))
+    order = ["day", F.asc_nulls_first("ts"), "value"]
+    heads.union(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def append_signals(batch: DataFrame, path: str, batch_id: int) -> bool:
+    """Pending signals appended as JSON lines, once a batch id however often the batch is delivered; the body of a foreachBatch sink.
+
+    A batch is written beside the log and put in place by one rename, which its folder's name allows once: what a killed or
+    repeated delivery wrote before goes, and a batch in place is left alone. True if this call put it there.
+    """
+    jvm = batch.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
+    fs = place.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        return False
+    aside = f"{path}/_incoming-{batch_id}"  # names that begin with _ are not read
+    batch.write.mode("overwrite").json(aside)
+    fs.mkdirs(place.getParent())
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), place):
+        if not fs.exists(place):
+            raise OSError(f"batch {batch_id} could not be put in place in {path}")
+        fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+        return False
+    return True
+
+
+def read_signals(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log's signals, with the id of the batch that brought each."""
+    return spark.read.schema(schema + ", batch bigint").json(path)

@@ -35,8 +35,8 @@ def first_of_each(signals: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def append_pending(signals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Every batch's signals appended as JSON lines; the checkpoint keeps how far the source was read."""
-    return signals.writeStream.foreachBatch(lambda df, _: append_signals(df, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Every batch's signals appended as JSON lines, once: the checkpoint keeps how far the source was read, the log which batches it has."""
+    return signals.writeStream.foreachBatch(lambda df, i: append_signals(df, out, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_windows(signals: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -154,5 +154,3 @@ def test_quantiles(spark):
         assert got == ({"q1": s[n // 4], "median": s[n // 2], "q3": s[3 * n // 4]} if n else {})
 
 
-def test_schedule():
-    assert M.schedule(8, {"sleep": 1, "insight": 4, "self": 8})[3:] == [(4, ["sleep", "insight"]), (5, ["sleep"]), (6, ["sleep"]), (7, ["sleep"]), (8, ["sleep", "insight", "self"])]

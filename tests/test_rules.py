@@ -135,10 +135,13 @@ def test_pairs_in_a_band_and_why_they_fail(spark):
 
 
 def test_new_edges_and_degrees(spark):
-    new = spark.createDataFrame([("joy", 1, 2, 0.1, 0.5, 0.7, datetime.date(2024, 1, 1), datetime.date(2024, 1, 4))], "emotion string, id long, c_id long, dist double, cos double, weight double, date date, c_date date")
+    t = datetime.datetime
+    new = spark.createDataFrame([("joy", 1, 2, 0.1, 0.5, 0.7, t(2024, 1, 4, 1), t(2024, 1, 1, 23))], "emotion string, id long, c_id long, dist double, cos double, weight double, created_at timestamp_ntz, c_created_at timestamp_ntz")
     made, degrees = G.strengthened(new, None, spark.createDataFrame([(1, 1), (2, 9), (8, 9)], "from_id long, to_id long"), F.lit(DAY))
     r = made.first()
-    assert (r.from_id, r.to_id, r.edge_type, r.rationale) == (1, 2, "resonance", "joy cross-temporal (edist=0.100, sem=0.500, span=3d)")
+    assert (r.from_id, r.to_id, r.edge_type, r.rationale) == (1, 2, "resonance", "joy cross-temporal (edist=0.100, sem=0.500, span=2d)")  # two days and two hours, over three dates
+    later = new.select("emotion", "id", "c_id", "dist", "cos", "weight", F.col("c_created_at").alias("created_at"), F.col("created_at").alias("c_created_at"))
+    assert G.strengthened(later, None, spark.createDataFrame([(1, 1)], "from_id long, to_id long"), F.lit(DAY))[0].first().rationale.endswith("span=3d)")
     assert {(x.id, x.degree) for x in degrees.collect()} == {(1, 2), (2, 2)}
 
 
@@ -155,3 +158,94 @@ def test_backfilled_vectors_replace_old_ones(spark):
     have = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "memory_id long, embedding array<float>")
     out = {r.memory_id: len(r.embedding) for r in M.backfilled(have, spark.createDataFrame([(2, "some words"), (3, "")], "id long, raw_text string")).collect()}
     assert out == {1: 1, 2: 64, 3: 64}
+
+
+def test_cheap_score_counts_links(spark):
+    """Two memories that differ in their links alone: 0.15 of the score for ten links or more, in parts below."""
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    m = spark.createDataFrame([(i, "x", "durable", False) for i in (1, 2, 3)], "id bigint, raw_text string, status string, is_core boolean").withColumn("created_at", at)
+    a = spark.createDataFrame([], "memory_id bigint, valence double, arousal double, dominance double, emotions map<string,double>, computed_at timestamp_ntz, model string")
+    e = spark.createDataFrame([(1, 100 + k) for k in range(12)] + [(200 + k, 2) for k in range(4)] + [(500, 501)], "from_id bigint, to_id bigint")
+    got = {r.id: r.cheap for r in R.cheap_scores(m, a, e, at, None, "text").collect()}
+    base = 0.25 * 0.5 + 0.15
+    assert [round(got[i], 9) for i in (1, 2, 3)] == [round(base + 0.15, 9), round(base + 0.15 * 0.4, 9), round(base, 9)]
+
+
+def test_links_change_the_thirty(spark):
+    """Of forty alike, newer first, thirty advance: an old one does with links and doesn't without."""
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    m = spark.range(40).select("id", F.lit("x").alias("raw_text"), F.lit("durable").alias("status"), F.lit(False).alias("is_core"), (at - F.make_dt_interval(F.col("id").cast("int"))).alias("created_at"))
+    a = spark.createDataFrame([], "memory_id bigint, valence double, arousal double, dominance double, emotions map<string,double>, computed_at timestamp_ntz, model string")
+    thirty = lambda e: {r.id for r in R.cheap_scores(m, a, e, at, None, "text").orderBy(F.col("cheap").desc(), "id").limit(30).collect()}
+    none = spark.createDataFrame([], "from_id bigint, to_id bigint")
+    assert thirty(none) == set(range(30))
+    assert 39 in thirty(spark.createDataFrame([(39, k) for k in range(100, 110)], "from_id bigint, to_id bigint"))
+
+
+def test_corrections_of_a_boot_summary_go_by_text(spark):
+    from lorekeep.plans import jobs as J
+
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    rows = [(1, "a Correction of it", "experience", "durable"), (2, "nothing", "correction", "durable"), (3, "coasting", "insight", "durable"), (4, "correction", "correction", "expired"), (5, "caught wrong", "insight", "durable"), (6, "not an observer", "promise", "durable")]
+    m = spark.createDataFrame(rows, "id bigint, raw_text string, memory_type string, status string").select("*", (at + F.make_dt_interval(F.col("id").cast("int"))).alias("created_at"), F.lit(False).alias("is_core"), F.lit("teaching").alias("source_type"), F.lit("ctx 12").alias("context"))
+    ids = lambda df: [r.id for r in df.where("part = 'correction'").collect()]
+    assert sorted(ids(J.boot_lists(m, m))) == [1, 3]
+    assert sorted(ids(J.loop_lists(m, m, "ctx 1", "2024-01-22", "2024-01-21"))) == [1, 3, 5, 6]
+    got = sorted((r.part, r.id) for r in J.loop_lists(m.withColumn("is_core", F.col("id") == 5), m.withColumn("is_core", F.col("id") == 5), "CTX 1", "2024-01-22", "2024-01-21").collect())
+    assert ("identity", 5) in got and ("today", 2) in got and ("yesterday", 1) in got
+
+
+def test_snapshot_is_refreshed_unless_fresh(spark):
+    from lorekeep.plans import jobs as J
+
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    rows = [(1, "journal", "durable", "2024-01-30 22:00:00"), (2, "teaching", "durable", "2024-01-30 22:30:00"), (3, "journal", "rejected", "2024-01-30 20:00:00")]
+    m = spark.createDataFrame(rows, "id bigint, source_type string, status string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    assert tuple(J.snapshot_status(m, at("2024-01-30 22:45:30")).first()) == (1, 45, "fresh")
+    assert tuple(J.snapshot_status(m, at("2024-01-30 23:00:00")).first()) == (2, -1, "refreshed")
+    assert tuple(J.snapshot_status(m, at("2024-01-31 22:00:00")).first()) == (2, -1, "refreshed")
+
+
+def test_mirror_warns_under_sixty_percent(spark):
+    from lorekeep.plans import jobs as J
+
+    rows = [(u, u in ran, False, 3, 1, f"2024-01-0{u}") for ran in ((5, 4),) for u in range(1, 7)]
+    s = spark.createDataFrame(rows, "user_id bigint, boot_ran boolean, timestamp_logged boolean, exchanges_stored bigint, heartbeats_sent bigint, started_at string")
+    got = [tuple(r) for r in J.mirror(s).collect()]
+    assert ("session", 6, 1, "boot false, exchanges 3, score 50") in got and ("session", 5, 2, "boot true, exchanges 3, score 90") in got
+    assert ("compliance", 5, 40, "warning") in got and ("exchanges", 30, None, None) in got
+    assert ("compliance", 5, 100, None) in [tuple(r) for r in J.mirror(s.withColumn("boot_ran", F.lit(True))).collect()]
+
+
+def test_strict_fallback_counterweights(spark):
+    rows = [(1, "grounding", "insight", False), (2, None, "promise", True), (3, None, "promise", False), (4, None, "insight", True), (5, None, "identity", True), (6, None, "breakthrough", True)]
+    m = spark.createDataFrame(rows, "id bigint, counterweight_type string, memory_type string, is_core boolean").withColumn("status", F.lit("durable"))
+    none = spark.createDataFrame([], "id bigint")
+    got = {r.id: r.stage for r in R.counterweights(m, none, strict=True).collect()}
+    assert got.pop(1) == 0 and len(got) == 2 and set(got) < {2, 5, 6} and set(got.values()) == {1}
+    two = m.withColumn("counterweight_type", F.when(F.col("id") == 4, "agency").otherwise(F.col("counterweight_type")))
+    assert {r.id for r in R.counterweights(two, none, strict=True).collect()} == {1, 4}
+
+
+def test_neighbour_band_by_hand(spark):
+    """Newest first within an emotion, up to four ranks apart, a day or more, nearer than 0.3, not linked."""
+    from lorekeep.operators import graph as G
+
+    at = lambda d: F.lit(f"2024-01-{d:02d} 00:00:00").cast("timestamp_ntz")
+    rows = [(1, 20, "joy", {"joy": 1.0}), (2, 19, "joy", {"joy": 0.9}), (3, 18, "joy", {"joy": 0.4}), (4, 17, "joy", {"joy": 0.8}), (5, 16, "joy", {"joy": 0.95}), (6, 15, "joy", {"joy": 1.0}), (7, 20, "fear", {"fear": 1.0}), (8, 20, "fear", {"fear": 1.0})]
+    m = None
+    for i, d, emotion, chord in rows:
+        one = spark.createDataFrame([(i, emotion, chord)], "id bigint, emotion string, emotions map<string,double>").withColumn("created_at", at(d))
+        m = one if m is None else m.union(one)
+    edges = spark.createDataFrame([(4, 2)], "from_id bigint, to_id bigint")
+    got = {(r.id, r.c_id): round(r.weight, 6) for r in G.neighbour_band(m, edges).collect()}
+    # 1-6 is five ranks apart, 2-4 linked, 3 too far from all, 7-8 on one day
+    assert got == {(1, 2): 0.9, (1, 4): 0.8, (1, 5): 0.95, (2, 5): 0.95, (2, 6): 0.9, (4, 5): 0.85, (4, 6): 0.8, (5, 6): 0.95}
+
+
+def test_pages_of_groups(spark):
+    from lorekeep.operators import tables as T
+
+    rows = [(g, i) for g, n in (("a", 7), ("b", 3)) for i in range(0, n * 40, 40)]
+    got = {(r.g, r.id): (r.page, r.n) for r in T.paged(spark.createDataFrame(rows, "g string, id bigint"), "g", "id", 2, width=100).collect()}
+    assert got == {(g, i): (i // 40 // 2, 7 if g == "a" else 3) for g, i in rows}
