@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import importer as I
 from ..sources import bridge as B
+from ..sources import exports
+from ..workspace import new_path
 from .catalog import query
 from .oracle import sql
 
@@ -85,6 +87,15 @@ def s2(spark, sf_dir):
     return turns(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("longest"))
 
 
+@query("s2b_export_arrays", "SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, length(text) AS chars, md5(text) AS text_md5 FROM conversations")
+def s2b(spark, sf_dir):
+    """All conversations written as arrays, a file a task, and read back: files are cut at elements, not at lines."""
+    path = new_path(spark, "export")
+    exports.write_export(turns(spark, sf_dir), path, array=True)
+    back = exports.read_export(spark, path)
+    return back.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 RULES = {("absorbed_framing", "learned"): ("nicht", "of the an"), ("suppressed_strength", "self"): ("the re",)}
 TEMPLATES = {"absorbed_framing": "A framing{source}; the feeling was real.", "suppressed_strength": "A strength to bring back.", "performed_mask": "A mask{source}."}
 

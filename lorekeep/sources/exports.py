@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import elements, write_array
+
 EXPORT = "uuid string, name string, created_at string, chat_messages array<struct<sender string, text string, created_at string>>"
 
 
 def read_export(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Conversation exports (a JSON array, or a conversation a line) as turns."""
-    df = spark.read.schema(EXPORT).json(path, multiLine=multiline)
+    """Conversation exports (a JSON array, cut at its elements, or a conversation a line) as turns."""
+    df = elements(spark, path).select(F.from_json("value", EXPORT).alias("c")).select("c.*") if multiline else spark.read.schema(EXPORT).json(path)
     rows = df.select(F.col("uuid").alias("conv_id"), "name", F.posexplode("chat_messages").alias("turn", "m"))
     return rows.select("conv_id", "name", "turn", F.when(F.col("m.sender") == "human", "user").otherwise(F.col("m.sender")).alias("role"), F.col("m.text").alias("text"), F.try_to_timestamp(F.col("m.created_at")).alias("created_at"))
 
 
-def write_export(turns: DataFrame, path: str) -> None:
-    """Turns (conv_id, turn, role, text) as exports, a conversation a line."""
+def write_export(turns: DataFrame, path: str, array: bool = False) -> None:
+    """Turns (conv_id, turn, role, text) as exports, a conversation a line or an array a file."""
     m = F.struct("turn", F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), "text")
     conv = turns.groupBy(F.col("conv_id").cast("string").alias("uuid")).agg(F.transform(F.sort_array(F.collect_list(m)), lambda x: F.struct(x["sender"].alias("sender"), x["text"].alias("text"))).alias("chat_messages"))
-    conv.write.mode("overwrite").json(path)
+    if array:
+        write_array(conv, path)
+    else:
+        conv.write.mode("overwrite").json(path)
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
