@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import affect as A
 from ..operators import maintenance as M
 from ..operators import retrieval as R
+from ..operators.quantiles import positional_quantiles
 from ..operators import tables as T
 from ..session import TABLES, table
 from ..sources import bridge as B
@@ -258,30 +259,18 @@ def a19(spark, sf_dir):
 
 @query("a20_positional_quantiles", """SELECT name, round(value, 6) AS value FROM (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM events) JOIN (VALUES ('q1', 4, 1), ('median', 2, 1), ('q3', 4, 3)) q(name, d, m) ON i = m * n // d""")
 def a20(spark, sf_dir):
-    """Values at len//4, len//2 and 3*len//4 of the sorted list: ranks come from counts of values, summed up bucket by bucket."""
+    """Values at len//4, len//2 and 3*len//4 of the sorted list: selected, not sorted."""
     return positional_quantiles(table(spark, sf_dir, "events").select("value"), "value", {"q1": (1, 4), "median": (1, 2), "q3": (3, 4)}).select("name", F.round("value", 6).alias("value"))
 
 
-def positional_quantiles(df, column, points):
-    """The values at floor(n * m / d) of the sorted column, exactly, without one global sort: values are counted in 1024 even
-    buckets between the extremes, and only the buckets that hold a wanted position are ordered."""
-    from pyspark.sql import Window
+@query("a20b_skewed_quantiles", """WITH skewed AS (SELECT event_id, CASE WHEN event_id = 0 THEN 1e12::DOUBLE WHEN event_id % 3 = 0 THEN 7.0::DOUBLE ELSE value END AS value FROM events)
+    SELECT name, round(value, 6) AS value FROM (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS i, count(*) OVER () AS n FROM skewed) JOIN (VALUES ('low', 10, 1), ('q1', 4, 1), ('median', 2, 1), ('q3', 4, 3), ('high', 1000, 999)) q(name, d, m) ON i = m * n // d""")
+def a20b(spark, sf_dir):
+    """The same where one value is a third of all and another lies far off."""
+    i = F.col("event_id")
+    skewed = table(spark, sf_dir, "events").select(F.when(i == 0, 1e12).when(i % 3 == 0, 7.0).otherwise(F.col("value")).alias("value"))
+    return positional_quantiles(skewed, "value", {"low": (1, 10), "q1": (1, 4), "median": (1, 2), "q3": (3, 4), "high": (999, 1000)}).select("name", F.round("value", 6).alias("value"))
 
-    n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
-    spark = df.sparkSession
-    if not n:
-        return spark.createDataFrame([], f"name string, {column} double")
-    width = (high - low) / 1024 or 1.0
-    rows = df.where(F.col(column).isNotNull()).withColumn("_b", F.least(F.lit(1023), F.floor((F.col(column) - low) / width)))
-    sizes = dict(rows.groupBy("_b").count().collect())  # 1024 rows at most
-    want, before = [], 0
-    for b in range(1024):
-        size = sizes.get(b, 0)
-        want += [(name, b, n * m // d - before + 1) for name, (m, d) in points.items() if before <= n * m // d < before + size]
-        before += size
-    w = spark.createDataFrame(want, "name string, _b bigint, _n int")
-    ranked = rows.join(F.broadcast(w.select("_b").distinct()), "_b", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(column)))
-    return ranked.join(F.broadcast(w), ["_b", "_n"]).select("name", column)
 
 
 _X = "round({}, 6) AS {}"

@@ -1,5 +1,7 @@
 """Edge cases of the operators on small hand-made tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lorekeep.operators import retrieval as R
 from lorekeep.operators import rollups as D
 from lorekeep.operators import signals as S
 from lorekeep.operators import tables as T
-from lorekeep.plans.scans import positional_quantiles
+from lorekeep.operators.quantiles import positional_quantiles
 
 
 def ts(df, *names):
@@ -154,3 +156,18 @@ def test_quantiles(spark):
         assert got == ({"q1": s[n // 4], "median": s[n // 2], "q3": s[3 * n // 4]} if n else {})
 
 
+
+
+def test_quantiles_in_rounds(spark, monkeypatch):
+    """Small brackets and few bounds, so that rounds are needed, over skewed, tied and far values."""
+    from lorekeep.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL", 3)
+    monkeypatch.setattr(Q, "BOUNDS", 4)
+    points = {"q1": (1, 4), "median": (1, 2), "q3": (3, 4), "last": (99, 100)}
+    r = random.Random(6)
+    for values in ([7.0] * 120 + [r.gauss(0, 9) for _ in range(200)] + [1e12], [1.0], [2.0, 2.0, 1.0], [float(i % 5) for i in range(60)], [-1e300, 1e300] + [0.5] * 40, [r.random() for _ in range(150)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        got = {x.name: x.v for x in positional_quantiles(df, "v", points).collect()}
+        assert got == {k: sorted(values)[len(values) * m // d] for k, (m, d) in points.items()}
+    assert positional_quantiles(spark.createDataFrame([(None,)], "v double"), "v", points).count() == 0
