@@ -478,10 +478,10 @@ _START = "\nUNION ALL ".join([
 def snapshot_status(m, as_of):
     """(total, age, status) of the snapshot that the last journal entry made: while it is fresh its own number of memories and its age in
     minutes; a stale or cold one is refreshed, so that it has the present number and no age (-1)."""
-    made = m.where("source_type = 'journal'").agg(F.max("created_at").alias("at")).withColumn("one", F.lit(1))
-    stands = m.where("status <> 'rejected'").select("created_at", F.lit(1).alias("one")).join(F.broadcast(made), "one")  # one row
-    counts = stands.groupBy("at").agg(T.count_if(F.col("created_at") <= F.col("at")).alias("had"), F.count(F.lit(1)).alias("has"))
-    age = A.age_seconds("at", as_of) / 60
+    made = m.where("source_type = 'journal'").agg(F.max("created_at")).first()[0]  # one value
+    at = F.lit(made).cast("timestamp_ntz")
+    counts = m.where("status <> 'rejected'").agg(T.count_if(F.col("created_at") <= at).alias("had"), F.count(F.lit(1)).alias("has"))
+    age = A.age_seconds(at, as_of) / 60
     fresh = A.freshness(age) == "fresh"
     return counts.select(F.when(fresh, F.col("had")).otherwise(F.col("has")).alias("total"), F.when(fresh, F.floor(age)).otherwise(-1).alias("age"), F.when(fresh, "fresh").otherwise("refreshed").alias("status"))
 
