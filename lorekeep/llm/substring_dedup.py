@@ -1,10 +1,11 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences, and sentences of more than ``WHOLE`` words once more after words whose hash is the least within
-``REACH`` words on both sides: that depends on these words only, so a passage is cut alike whatever stands around it. A span
-begins at every sentence and is the shortest run of consecutive sentences, two at least, that has ``MIN_WORDS`` words. Spans are
-hashed and joined across the corpus; every sentence covered by a span that isn't the first of its hash (by doc_id, then
-position) is removed.
+Texts are cut into sentences, and sentences of more than ``WHOLE`` words into pieces after words whose hash is the least within
+``REACH`` words on both sides: that depends on these words only, so a passage is cut alike whatever stands around it. What has
+more than ``LONGEST`` words to the next mark is text without marks: there each piece counts as a sentence. A span begins at
+every piece and is the shortest run of consecutive pieces of two sentences or more that has ``MIN_WORDS`` words. Spans are
+hashed and joined across the corpus; every piece covered by a span that isn't the first of its hash (by doc_id, then position)
+is removed.
 
 Only hashes and positions are shuffled, once, until it is known what goes; texts meet the removals of their own row once.
 Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet their first place by a broadcast
@@ -24,19 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sentences and words of a span at least; words of a sentence that is never cut; words on either side that decide about a cut;
-#: words after which what has none is cut every ``LONG``.
-MIN_SENTENCES, MIN_WORDS, WHOLE, REACH, LONGEST, LONG, HOT, BUCKETS = 2, 20, 16, 4, 40, 20, 20_000, 1 << 17
+#: Words of a span at least; words of a sentence that is never cut; words on either side that decide about a cut; words of a
+#: sentence at most, and of a piece, after which what has no cut is cut every ``LONG``.
+MIN_WORDS, WHOLE, REACH, LONGEST, LONG, HOT, BUCKETS = 20, 16, 4, 40, 20, 20_000, 1 << 17
 _WORD = re.compile(r"\S+\s*")
 
 
-def _ends(words: list[str], pieces: list[str], coded: list[bytes]) -> list[int]:
-    """Numbers of words at which a sentence has ended: at marks that white space follows, at line ends, and at cuts."""
+def _ends(words: list[str], pieces: list[str], coded: list[bytes]) -> tuple[list[int], list[int]]:
+    """Numbers of words at which a piece has ended: at marks that white space follows, at line ends, and at cuts; and the number
+    of the sentence that each piece is of. Pieces of text without marks are numbered singly."""
     n = len(words)
     end = np.fromiter((w[-1] in ".!?" or "\n" in p for w, p in zip(words, pieces, strict=True)), bool, n)
     end[-1] = True
+    sentence = np.cumsum(end) - end
     if n > 2 * REACH:
-        sentence = np.cumsum(end) - end
         h = np.fromiter(map(zlib.crc32, coded), np.int64, n)
         near = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
         own = near[:, REACH]
@@ -49,38 +51,40 @@ def _ends(words: list[str], pieces: list[str], coded: list[bytes]) -> list[int]:
             out.append(last)
         out.append(e)
         last = e
-    return out
+    of = sentence[np.array(out) - 1]
+    new = np.bincount(sentence)[of] > LONGEST
+    new[1:] |= np.diff(of) > 0
+    return out, np.cumsum(new).tolist()
 
 
-def _cut(text: str) -> tuple[list[str], list[bytes], list[int]]:
+def _cut(text: str) -> tuple[list[str], list[bytes], list[int], list[int]]:
     """Words with the white space after them (the first also with that before it), words in UTF-8, and ``_ends``."""
     words, pieces = text.split(), _WORD.findall(text)
     if not words:
-        return pieces, [], []
+        return pieces, [], [], []
     coded = " ".join(words).encode("utf-8", "surrogatepass").split(b" ")
     pieces[0] = text[: len(text) - sum(map(len, pieces))] + pieces[0]
-    return pieces, coded, _ends(words, pieces, coded)
+    return pieces, coded, *_ends(words, pieces, coded)
 
 
 def _sentences(text: str) -> tuple[list[str], list[int]]:
-    """Sentences, and ``_runs`` of them."""
-    pieces, _, ends = _cut(text)
+    """Pieces, and ``_runs`` of them."""
+    pieces, _, ends, of = _cut(text)
     if not ends:
         return ([text] if text else []), []
-    return ["".join(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)], _runs(ends)
+    return ["".join(pieces[a:b]) for a, b in zip([0, *ends], ends, strict=False)], _runs(ends, of)
 
 
 def sentences(text: str) -> list[str]:
-    """The text in sentences, each with the white space after it; together they are the text. White space alone is one sentence."""
+    """The text in pieces, each with the white space after it; together they are the text. White space alone is one piece."""
     return _sentences(text)[0]
 
 
-def _runs(ends: list[int]) -> list[int]:
-    """Past which sentence the span that begins at each sentence ends, for the first sentences, which have one."""
+def _runs(ends: list[int], of: list[int]) -> list[int]:
+    """Past which piece the span that begins at each piece ends, for the first pieces, which have one."""
     starts, n, out, j = [0, *ends[:-1]], len(ends), [], 0
     for i in range(n):
-        j = max(j, i + MIN_SENTENCES - 1)
-        while j < n and ends[j] - starts[i] < MIN_WORDS:
+        while j < n and (ends[j] - starts[i] < MIN_WORDS or of[j] == of[i]):
             j += 1
         if j == n:
             break
@@ -89,11 +93,11 @@ def _runs(ends: list[int]) -> list[int]:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, hash) of every span; white space doesn't count."""
-    _, coded, ends = _cut(text)
+    """(first piece, pieces, hash) of every span; white space doesn't count."""
+    _, coded, ends, of = _cut(text)
     starts, h = [0, *ends[:-1]], xxhash.xxh64_intdigest
     joined, at = b" ".join(coded), np.cumsum([0, *(len(w) + 1 for w in coded)]).tolist()
-    return [(i, j - i, h(joined[at[starts[i]] : at[ends[j - 1]] - 1], 2)) for i, j in enumerate(_runs(ends))]
+    return [(i, j - i, h(joined[at[starts[i]] : at[ends[j - 1]] - 1], 2)) for i, j in enumerate(_runs(ends, of))]
 
 
 def _signed(x: int) -> int:
@@ -137,7 +141,7 @@ def common_spans(every: DataFrame) -> DataFrame:
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(doc_id, own, cut): the spans of each row, by their first sentence, that repeat an earlier one, where there are any."""
+    """(doc_id, own, cut): the spans of each row, by their first piece, that repeat an earlier one, where there are any."""
     every = written(span_hashes(rows), "spans")
     by_hot = every.join(F.broadcast(written(common_spans(every), "common")), "hash", "left")  # fewer than HOT rows
     columns = ["doc_id", "own", "at", "first", "kept"]
@@ -154,7 +158,7 @@ def removals(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed, text) of every row of ``docs`` (doc_id, text).
 
-    ``text`` is what is left, ``removed`` the parts taken out as start:end in code points. The first place of a span is that
+    Sentences are counted in pieces. ``text`` is what is left, ``removed`` the parts taken out as start:end in code points. The first place of a span is that
     of the smallest doc_id, null last, and there the earliest. Rows that agree in doc_id and text are one document and get
     the same result. Null texts stay null and have no sentences; an empty table gives no rows.
     """

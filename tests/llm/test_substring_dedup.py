@@ -26,10 +26,14 @@ def brute(given):
     def spans_of(t):
         parts = sd.sentences(t)
         w = [p.split() for p in parts]
+        ended = [bool(x) and (x[-1][-1] in ".!?" or "\n" in re.findall(r"\s*\S+\s*", p)[-1]) for p, x in zip(parts, w, strict=True)]
+        of, long = [sum(ended[:k]) for k in range(len(parts))], {}
+        for k, x in zip(of, w, strict=True):
+            long[k] = long.get(k, 0) + len(x)
         for i in range(len(parts)):
             for j in range(i + 2, len(parts) + 1):
                 some = [x for p in w[i:j] for x in p]
-                if len(some) >= sd.MIN_WORDS:
+                if len(some) >= 20 and (of[i] < of[j - 1] or long[of[i]] > 40):
                     yield i, j, tuple(some)
                     break
 
@@ -120,7 +124,23 @@ def test_sentences_that_words_without_marks_run_into():
 
 
 def test_one_sentence_is_no_span():
-    assert sd.spans("just one sentence that says " * 3 + "it all.") == []
+    for n in (17, 20, 24, 30, 40):
+        for seed in range(100):
+            r = random.Random(seed)
+            one = " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+            assert sd.spans(one) == [], one
+            assert len(sd.spans(f"{one} {one}")) > 0
+
+
+def test_spans_cross_sentences():
+    """A span has two sentences, or lies in one of over 40 words."""
+    for seed in range(200):
+        r = random.Random(seed)
+        text = " ".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice((3, 9, 18, 27, 60)))) + r.choice((".", "!", "?\n")) for _ in range(12))
+        parts, whole = sd.sentences(text), re.split(r"(?<=[.!?])\s+", text)
+        for i, k, _ in sd.spans(text):
+            some = "".join(parts[i : i + k]).rstrip()
+            assert re.search(r"[.!?]\s", some) or any(some in x and len(x.split()) > 40 for x in whole), some
 
 
 def test_long_runs_of_marks_and_of_white_space():
