@@ -9,7 +9,7 @@ is removed.
 
 Only hashes and positions are shuffled, once, until it is known what goes; texts meet the removals of their own row once.
 Hashes with more than one in ``HOT`` of all spans, of which there are fewer than ``HOT``, meet their first place by a broadcast
-and are not shuffled, so a passage that a third of all documents share gathers nowhere.
+and are shuffled span by span, so a passage that a third of all documents share gathers nowhere.
 """
 
 from __future__ import annotations
@@ -143,15 +143,17 @@ def common_spans(every: DataFrame) -> DataFrame:
 def removals(rows: DataFrame) -> DataFrame:
     """(doc_id, own, cut): the spans of each row, by their first piece, that repeat an earlier one, where there are any."""
     every = written(span_hashes(rows), "spans")
-    by_hot = every.join(F.broadcast(written(common_spans(every), "common")), "hash", "left")  # fewer than HOT rows
-    columns = ["doc_id", "own", "at", "first", "kept"]
-    same = Window.partitionBy("hash")  # one span in HOT at most
-    cold = by_hot.where("kept IS NULL").select("doc_id", "own", "at", "hash").withColumn("first", F.min("doc_id").over(same)).withColumn("k", F.count(F.lit(1)).over(same))
+    common = written(common_spans(every), "common").withColumnsRenamed({"first": "hot_first", "kept": "hot_kept"})
+    rows = every.join(F.broadcast(common), "hash", "left")  # fewer than HOT rows
+    hot = F.col("hot_kept").isNotNull()
+    # spans of hot hashes know their first place already and are dealt out singly, so that a window holds one span in HOT at most
+    same = Window.partitionBy("hash", "spread")
+    rows = rows.withColumn("spread", F.when(hot, F.xxhash64("doc_id", "own", "at")).otherwise(F.lit(0)))
+    rows = rows.withColumn("first", F.when(hot, F.col("hot_first")).otherwise(F.min("doc_id").over(same))).withColumn("k", F.count(F.lit(1)).over(same))
     home = F.col("doc_id").eqNullSafe(F.col("first"))
-    cold = cold.withColumn("kept", F.min(F.when(home, _place())).over(same)).where("k > 1")
-    repeated = by_hot.where("kept IS NOT NULL").select(columns).union(cold.select(columns))
+    rows = rows.withColumn("kept", F.when(hot, F.col("hot_kept")).otherwise(F.min(F.when(home, _place())).over(same))).where("hot_kept IS NOT NULL OR k > 1")
     # within the first document its earliest place stays
-    again = repeated.where(~home | (_place() != F.col("kept")))
+    again = rows.where(~home | (_place() != F.col("kept")))
     return again.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("at")).alias("cut"))
 
 
