@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import affect as A
 from ..operators import retrieval as R
 from ..operators import tables as T
+from ..operators import trigrams
 from ..session import table
 from ..sources import bridge as B
 from .catalog import query
@@ -118,6 +119,17 @@ def q5(spark, sf_dir):
     return R.keyword_search(B.memories(spark, sf_dir, text=True), "Idiot der QU x", 25).select("id", "hits", "is_core")
 
 
+_TWO = " + ".join(f"contains(lower(raw_text), '{w}')::INT" for w in ("idiot", "keit"))
+
+
+@query("q5c_indexed_search", sql("memories texts", _SEARCH.format(hits=_TWO, status="status = 'durable'")))
+def q5c(spark, sf_dir):
+    """Only blocks of texts that the index of trigrams names are searched."""
+    m = B.memories(spark, sf_dir, text=True).select("id", "raw_text", "status", "is_core", "updated_at")
+    found = trigrams.build(m, "id", "raw_text", blocks=64, buckets=8).holding(spark, "idiot", "keit")
+    return R.keyword_search(found, "Idiot KEIT", 25).select("id", "hits", "is_core")
+
+
 @query("q3_read_room", sql("memories latest", f"SELECT id, memory_type, round(dist, 6) AS dist FROM (SELECT m.*, {distance(STATE)} AS dist FROM memories m JOIN latest a ON a.memory_id = m.id WHERE status = 'durable') ORDER BY dist, id LIMIT 5"))
 def q3(spark, sf_dir):
     """The durable memories nearest in affect."""

@@ -9,6 +9,7 @@ from ..operators import maintenance as M
 from ..operators import retrieval as R
 from ..operators.quantiles import positional_quantiles
 from ..operators import tables as T
+from ..operators import trigrams
 from ..session import TABLES, table
 from ..sources import bridge as B
 from .catalog import query
@@ -62,6 +63,12 @@ def f3(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(A.holds("text", "The AND")).select("doc_id")
 
 
+@query("f3b_indexed_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the and')")
+def f3b(spark, sf_dir):
+    """By an index of trigrams: blocks without the rarest ones of the phrase aren't read."""
+    return trigrams.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", blocks=64, buckets=8).holding(spark, "The AND").select("doc_id")
+
+
 @query("f4_keyword_predicate", "SELECT doc_id, contains(lower(text), '100%') OR contains(lower(text), 'mit_license') AS marked, contains(lower(text), 'licens') AS licence FROM documents WHERE contains(lower(text), 'licens') OR contains(lower(text), '%')")
 def f4(spark, sf_dir):
     """Signs that LIKE would take for wildcards are literal."""
