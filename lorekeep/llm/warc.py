@@ -8,11 +8,13 @@ version line begins and passes its checks, goes on from there, and reports the b
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,22 +24,24 @@ from .common import new_path, shuffle_partitions, written
 
 #: Payloads below this size are always written whole. Bytes after which a file is closed, and bytes read at a time.
 MIN_REVISIT, FILE_BYTES, STEP = 100, 32 << 20, 1 << 20
-#: Bytes of a header and of a record at most; bytes inflated at a time. What is larger is quarantined as damage.
-HEADER, RECORD_BYTES, INFLATE = 1 << 20, 1 << 30, 4 << 20
+#: Bytes inflated at a time; bytes of a block that is held while it is checked; bytes of a payload that a row can hold: of longer
+#: ones size and digest are given, the payload is null.
+INFLATE, HOLD, ROW_BYTES = 4 << 20, 64 << 20, 1 << 30
 _SALTS = 16
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
+_NAME = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+)[ \t]*(:)?")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "record_type string, page_id bigint, refers_to bigint, url string, payload_bytes bigint, payload_digest string, payload binary, path string, start bigint, stop bigint"
 GAP = "path string, gap_start bigint, gap_stop bigint, reason string"
 
 
-def record(page_id: int | None, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One record as a gzip member; revisits carry no payload but its digest and size."""
+def record(page_id: int | None, url: str, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None, serial: str = "") -> bytes:
+    """One record as a gzip member; revisits carry no payload but its digest and size. ``serial`` tells equal rows apart."""
     block = _HTTP + payload if kind == "response" else _HTTP
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest} {serial}')}>",
         f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Payload-Length: {size}",
     ]
@@ -56,108 +60,197 @@ class Damage(Exception):
     """A check that a record failed."""
 
 
-def extent(raw: bytes, at: int = 0) -> tuple[int, int, dict] | None:
-    """(start of block, length of block, header fields) of the record at ``at``; None if its header may go on past ``raw``."""
-    if not _VERSION_LINE.match(raw, at):
-        if len(raw) - at < 10 and (_VERSION.startswith(raw[at:]) or raw.startswith(_VERSION, at)):
-            return None
-        raise Damage("no version line")
-    end = raw.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0:
-        if len(raw) - at < HEADER:
-            return None
-        raise Damage("header not ended")
-    fields = {}
-    for line in raw[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damage("header line without a colon")
-        fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    try:
-        length = int(fields["content-length"])
-        for k in ("x-page-id", "x-refers-to-page-id", "x-payload-length"):
-            fields[k] = int(fields[k]) if k in fields else None
-    except (KeyError, ValueError):
-        raise Damage("bad number in header") from None
-    if not 0 <= length <= RECORD_BYTES:
-        raise Damage("bad length")
-    return end + 4, length, fields
-
-
-def checked(block: bytes, fields: dict) -> dict:
-    """The record of a block and its header fields; Damage if a digest differs."""
-    want = fields.get("warc-block-digest", "")
-    if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
-        raise Damage("block digest differs")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    kind = fields.get("warc-type", "")
-    if kind == "revisit":
-        payload, size = None, fields["x-payload-length"]
-    else:
-        payload = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") else block
-        own, size = hashlib.sha256(payload).hexdigest(), len(payload)
-        if len(digest) == 64 and own != digest:
-            raise Damage("payload digest differs")
-        digest = own
-    return {
-        "record_type": kind, "page_id": fields["x-page-id"], "refers_to": fields["x-refers-to-page-id"], "url": fields.get("warc-target-uri"),
-        "payload_bytes": size, "payload_digest": digest or None, "payload": payload,
-    }
-
-
-def parse(raw: bytes) -> tuple[dict, int]:
-    """The record at the start of ``raw`` and its length in bytes; Damage if it isn't whole or fails a check."""
-    found = extent(raw)
-    if found is None:
-        raise Damage("header not ended")
-    start, length, fields = found
-    if len(raw) < start + length:
-        raise Damage("block cut short")
-    if raw[start + length : start + length + 4] != b"\r\n\r\n":
-        raise Damage("record not ended")
-    return checked(raw[start : start + length], fields), start + length + 4
-
-
-def of_member(chunks: Iterator[bytes]) -> Iterator[tuple[str, object]]:
-    """("record", ...) and ("bad", reason) of the inflated bytes of one member, in order. What fails a check is passed over up to
-    the next version line. Holds one record at most, and what was inflated at once."""
-    raw, last = bytearray(), False
+class Head:
+    """A record's header, read line by line as its bytes come. ``read`` bytes of it are done; a start within its first ``doomed``
+    bytes fails as it did."""
+
+    def __init__(self):
+        self.read, self.looked, self.doomed, self.fields, self.length = 0, 0, 0, {}, None
+
+    def more(self, raw: bytes, at: int) -> int | None:
+        """Reads on in ``raw``, which holds the record from ``at``. The length of the block, which begins ``read`` bytes after
+        ``at``; None if the header may go on past ``raw``."""
+        if self.length is not None:
+            return self.length
+        if not self.read:
+            if not _VERSION_LINE.match(raw, at):
+                if len(raw) - at < 10 and (_VERSION.startswith(raw[at:]) or raw.startswith(_VERSION, at)):
+                    return None
+                raise Damage("no version line")
+            self.read = 10
+        while True:
+            begin = at + self.read
+            end = raw.find(b"\r\n", max(begin, at + self.looked))
+            if end == begin:
+                self.read += 2
+                self.length = self._length()
+                return self.length
+            name = _NAME.match(raw, begin, end if end >= 0 else len(raw))
+            if not (name and name[2]) and not (end < 0 and (raw[begin : begin + 2] in (b"", b"\r") or name and name.end() == len(raw))):
+                self.doomed = self.read
+                raise Damage("header line without a colon")
+            if end < 0:
+                self.looked = max(self.read, len(raw) - at - 1)
+                return None
+            self.fields[name[1].decode("latin-1").lower()] = raw[name.end() : end].strip().decode("utf-8", "replace")
+            self.read = end + 2 - at
+
+    def _length(self) -> int:
+        try:
+            length = int(self.fields["content-length"])
+        except (KeyError, ValueError):
+            length = -1
+        if length < 0:
+            self.doomed = self.read
+            raise Damage("bad length")
+        try:
+            for k in ("x-page-id", "x-refers-to-page-id", "x-payload-length"):
+                self.fields[k] = int(self.fields[k]) if k in self.fields else None
+        except ValueError:
+            raise Damage("bad number in header") from None
+        return length
+
+
+class Digest:
+    """A digest as headers give it (``sha1:`` and its like, in hex or base32). Other forms aren't checked: ``known`` is false."""
+
+    def __init__(self, text: str):
+        name, _, self.value = text.partition(":")
+        name, self.value = name.strip().lower().replace("-", ""), self.value.strip()
+        self.sum = hashlib.new(name) if name in ("md5", "sha1", "sha256", "sha512") else None
+        self.base32 = self.value.rstrip("=").upper()  # padding would make md5's as long as its hex form
+        size = self.sum.digest_size if self.sum else 0
+        self.hex = len(self.base32) == 2 * size
+        self.known = bool(size) and (self.hex or len(self.base32) == -(-8 * size // 5))
+
+    def differs(self) -> bool:
+        if self.hex:
+            return self.value.lower() != self.sum.hexdigest()
+        return self.base32 != base64.b32encode(self.sum.digest()).decode().rstrip("=")
+
+
+class Block:
+    """A record's block, checked piece by piece. The payload is held if asked for and no longer than a row can be."""
+
+    def __init__(self, fields: dict, payloads: bool):
+        self.fields, self.kind = fields, fields.get("warc-type", "")
+        self.whole, self.given = Digest(fields.get("warc-block-digest", "")), Digest(fields.get("warc-payload-digest", ""))
+        self.own, self.size, self.payload = hashlib.sha256(), 0, bytearray() if payloads else None
+        self.before = b"" if self.kind in ("response", "request") else None  # the end of what was seen of the HTTP header
+
+    def feed(self, data: bytes) -> None:
+        if self.whole.known:
+            self.whole.sum.update(data)
+        if self.before is not None:
+            data = self.before + data
+            end = data.find(b"\r\n\r\n")
+            if end < 0:
+                self.before = data[-3:]
+                return
+            self.before, data = None, data[end + 4 :]
+        self.size += len(data)
+        self.own.update(data)
+        if self.given.known:
+            self.given.sum.update(data)
+        if self.payload is not None:
+            self.payload += data
+            if self.size > ROW_BYTES:
+                self.payload = None
+
+    def done(self) -> dict:
+        """The record; Damage if a digest differs. The payload's counts only where the block has none: tools differ in whether
+        chunked bodies are decoded for it."""
+        if self.whole.known and self.whole.differs():
+            raise Damage("block digest differs")
+        f = self.fields
+        if self.kind == "revisit":
+            payload, size, digest = None, f["x-payload-length"], f.get("warc-payload-digest", "").removeprefix("sha256:")
+        else:
+            if self.given.known and not self.whole.known and self.given.differs():
+                raise Damage("payload digest differs")
+            payload, size, digest = self.payload, self.size, self.own.hexdigest()
+        return {
+            "record_type": self.kind, "page_id": f["x-page-id"], "refers_to": f["x-refers-to-page-id"], "url": f.get("warc-target-uri"),
+            "payload_bytes": size, "payload_digest": digest or None, "payload": None if payload is None else bytes(payload),
+        }
+
+
+def of_member(inflated: Callable[[int], Iterator[bytes]], payloads: bool = True) -> Iterator[tuple[str, object]]:
+    """("record", ...) and ("bad", reason) of one member, in order; ``inflated(n)`` gives its bytes after the first n. What fails a
+    check is passed over up to the next version line. Blocks of up to ``HOLD`` bytes are held, longer ones are checked as they come;
+    if such a one fails, the member is inflated again to search within it."""
+    chunks, base, total = inflated(0), 0, None  # base: where raw begins in the member; total: its size, once that is known
+    raw, last, head = bytearray(), False, None
     while not last:
         chunk = next(chunks, None)
         last = chunk is None
         raw += chunk or b""
+        if last:
+            total = base + len(raw)
         at = 0
         while at < len(raw):
-            try:
+            if head is None:
                 if raw[at] in b"\r\n":
                     at += 1
                     continue
-                found = extent(raw, at)
-                if found is None or len(raw) < found[0] + found[1] + 4:
+                head = Head()
+            streamed, after = False, None
+            try:
+                length = head.more(raw, at)
+                if length is None:
                     if not last:
                         break
-                    raise Damage("block cut short" if found else "header not ended")
-                start, length, fields = found
-                if raw[start + length : start + length + 4] != b"\r\n\r\n":
+                    raise Damage("header not ended")
+                stop = at + head.read + length
+                if total is not None and base + stop + 4 > total:
+                    raise Damage("block cut short")
+                if len(raw) < stop + 4 and length <= HOLD:
+                    break
+                block = Block(head.fields, payloads)
+                if len(raw) < stop + 4:
+                    streamed, left, after = True, length, bytearray()
+                    for piece in chain([bytes(raw[at + head.read :])], chunks):
+                        block.feed(piece[:left])
+                        after += piece[left:]
+                        left -= min(left, len(piece))
+                        if len(after) >= 4:
+                            break
+                    else:
+                        total = base + stop - left + len(after)
+                        raise Damage("block cut short")
+                else:
+                    block.feed(bytes(raw[at + head.read : stop]))
+                    after = raw[stop : stop + 4]
+                if after[:4] != b"\r\n\r\n":
                     raise Damage("record not ended")
-                rec = checked(bytes(raw[start : start + length]), fields)
-                at = start + length + 4
-                yield "record", rec
+                rec = block.done()
             except Damage as e:
                 yield "bad", str(e)
-                after = raw.find(_VERSION, at + 1)
-                at = after if after >= 0 else len(raw) if last else max(at + 1, len(raw) - len(_VERSION) + 1)
+                past, head = at + max(1, head.doomed), None
+                if streamed:
+                    base, raw, at, last = base + past, bytearray(), 0, False
+                    chunks = inflated(base)
+                    break
+                found = raw.find(_VERSION, past)
+                at = found if found >= 0 else len(raw) if last else max(past, len(raw) - len(_VERSION) + 1)
+                continue
+            yield "record", rec
+            head, at = None, stop + 4
+            if streamed:
+                base, raw, at = base + at, after[4:], 0
         del raw[:at]
+        base += at
 
 
-def salvage(read: Callable[[int, int], bytes], size: int, path: str = "") -> Iterator[tuple[str, dict]]:
+def salvage(read: Callable[[int, int], bytes], size: int, path: str = "", payloads: bool = True) -> Iterator[tuple[str, dict]]:
     """("record", ...) and ("gap", ...) of a file of ``size`` bytes, of which ``read(at, n)`` gives up to n from ``at``.
 
     Gaps are byte ranges without a valid record, with the first check that failed there. Records of one gzip member all have its
-    range. A buffer of a few ``STEP`` or one record is held; work is linear in the file and in the inflated members, whatever is
-    damaged, but for what a false start costs: its header, or a member's bytes up to its first bad one.
+    range. A buffer of a few ``STEP`` or ``HOLD`` and one header are held, and the payload if ``payloads``; headers and blocks may have
+    any size. Work is linear in the file and in the inflated members, whatever is damaged, but for what a false start costs: its
+    block, or a member's bytes up to its first bad one.
     """
-    buffer, base = b"", 0
+    buffer, base, doomed = b"", 0, (0, "")
 
     def hold(pos: int, n: int) -> int:
         """Makes the buffer hold n bytes from pos, fewer at the end of the file; returns where they begin in it."""
@@ -168,28 +261,41 @@ def salvage(read: Callable[[int, int], bytes], size: int, path: str = "") -> Ite
         return pos - base
 
     def plain(pos: int) -> tuple[dict, int]:
-        n, found = 4096, None
-        while found is None:
-            i = hold(pos, n)
-            found = extent(buffer[i : i + n])
-            if found is None and (n >= HEADER or pos + n >= size):
-                raise Damage("header not ended")
-            n = min(4 * n, HEADER)
-        start, length, fields = found
-        if pos + start + length + 4 > size:
+        nonlocal doomed
+        if pos < doomed[0]:
+            raise Damage(doomed[1])
+        n, head, length = 4096, Head(), None
+        try:
+            while True:
+                i = hold(pos, n)
+                length = head.more(buffer[i : i + n], 0)
+                if length is not None:
+                    break
+                if pos + n >= size:
+                    head.doomed = head.read and size - pos
+                    raise Damage("header not ended")
+                n *= 4
+        except Damage as e:
+            doomed = (pos + head.doomed, str(e))
+            raise
+        start = pos + head.read
+        if start + length + 4 > size:
             raise Damage("block cut short")
-        if read(pos + start + length, 4) != b"\r\n\r\n":  # before the block is read
+        if read(start + length, 4) != b"\r\n\r\n":  # before the block is read
             raise Damage("record not ended")
-        i = hold(pos + start, length)
-        return checked(buffer[i : i + length], fields), start + length + 4
+        block = Block(head.fields, payloads)
+        for k in range(0, length, STEP):
+            i, n = hold(start + k, min(STEP, length - k)), min(STEP, length - k)
+            block.feed(buffer[i : i + n])
+        return block.done(), head.read + length + 4
 
     def member(pos: int) -> Iterator[tuple[str, object, int]]:
         """("record", ..., bytes used so far), ("bad", reason, ...), and ("end", None, length) or ("broken", reason, ...)."""
-        z, used, broken = zlib.decompressobj(31), 0, None
+        used, broken, seen = 0, None, False
 
-        def inflated():
+        def inflated(skip):
             nonlocal used, broken
-            n = 8192
+            z, used, broken, n = zlib.decompressobj(31), 0, None, 8192
             while not z.eof:
                 i = hold(pos + used, n)
                 got = buffer[i : i + n]
@@ -198,20 +304,25 @@ def salvage(read: Callable[[int, int], bytes], size: int, path: str = "") -> Ite
                     return
                 try:
                     out = z.decompress(got, INFLATE)
-                    while z.unconsumed_tail:
-                        yield out
+                    while z.unconsumed_tail and not z.eof:  # at the end the tail is what follows the member
+                        if len(out) > skip:
+                            yield out[skip:]
+                        skip -= min(skip, len(out))
                         out = z.decompress(z.unconsumed_tail, INFLATE)
                 except zlib.error:
                     broken = "bad gzip member"
                     return
                 used += len(got) - len(z.unused_data)
                 n = min(2 * n, STEP)
-                yield out
+                if len(out) > skip:
+                    yield out[skip:]
+                skip -= min(skip, len(out))
 
-        for kind, x in of_member(inflated()):
-            if kind == "bad" and x == "no version line" and used <= 8192:
+        for kind, x in of_member(inflated, payloads):
+            if kind == "bad" and x == "no version line" and used <= 8192 and not seen:
                 yield "broken", "member holds no record", used
                 return
+            seen = True
             yield kind, x, used
         yield ("broken", broken, used) if broken else ("end", None, used)
 
@@ -308,7 +419,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT)
         ctx = TaskContext.get()
         fs, root = _opened(folder)
         fs.create_dir(root, recursive=True)
-        name, n, out, count, size = "", 0, None, 0, 0
+        name, n, k, out, count, size = "", 0, 0, None, 0, 0
 
         def closed():
             out.close()
@@ -322,7 +433,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT)
                     name = f"_open-{ctx.partitionId()}-{ctx.taskAttemptId()}-{os.getpid()}-{n}"
                     out = fs.open_output_stream(f"{root}/{name}")
                 kind = "revisit" if r["refers_to"] is not None else "response"
-                data = record(r["page_id"], r["url"] or "", kind, r["payload"], r["payload_digest"], r["payload_bytes"], r["refers_to"])
+                data = record(r["page_id"], r["url"] or "", kind, r["payload"], r["payload_digest"], r["payload_bytes"], r["refers_to"], f"{ctx.partitionId()} {k}")
+                k += 1
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= FILE_BYTES:
@@ -355,11 +467,9 @@ def read_archives(files: DataFrame, what: str = "record", with_payload: bool = T
                         f.seek(min(at, size))
                         return f.read(n)
 
-                    for kind, x in salvage(read, r["bytes"], r["path"]):
+                    for kind, x in salvage(read, r["bytes"], r["path"], what == "record" and with_payload):
                         if kind != what:
                             continue
-                        if what == "record" and not with_payload:
-                            x["payload"] = None
                         rows.append(x)
                         held += len(x.get("payload") or b"")
                         if len(rows) >= 2000 or held >= 4 << 20:

@@ -90,6 +90,77 @@ def test_long_payload(monkeypatch):
         assert [r["payload"] for r in records] == [long, long] and not gaps
 
 
+@pytest.mark.parametrize("hold", [64, 64 << 20], ids=["streamed", "held"])
+@pytest.mark.parametrize("members", [True, False])
+def test_headers_and_blocks_of_any_size(members, hold, monkeypatch):
+    monkeypatch.setattr(warc, "HOLD", hold)
+    monkeypatch.setattr(warc, "INFLATE", 5000)
+    long = os.urandom(300_000)
+    url = "http://h/" + os.urandom(2_500_000).hex()
+    wide = warc.record(1, url, "response", long, hashlib.sha256(long).hexdigest(), len(long), None)
+    data = [x if members else gzip.decompress(x) for x in (wide, rec(2, long), rec(3))]
+    records, gaps = run(b"".join(data))
+    assert [(r["page_id"], r["payload"]) for r in records] == [(1, long), (2, long), (3, b"some page text")] and records[0]["url"] == url and not gaps
+    # one member of all, of which the second fails
+    raw = [gzip.decompress(x) for x in (wide, rec(2, long), rec(3))]
+    raw[1] = raw[1][:-2000] + bytes(500) + raw[1][-1500:]
+    bad = gzip.compress(b"".join(raw)) if members else b"".join(raw)
+    records, gaps = run(bad + data[2])
+    assert [r["page_id"] for r in records] == [1, 3, 3] and len(gaps) == 1
+
+
+@pytest.mark.parametrize("hold", [64, 64 << 20], ids=["streamed", "held"])
+@pytest.mark.parametrize("members", [True, False])
+def test_records_within_a_long_block_that_fails_come_back(members, hold, monkeypatch):
+    monkeypatch.setattr(warc, "HOLD", hold)
+    monkeypatch.setattr(warc, "INFLATE", 700)
+    inner = b"".join(gzip.decompress(rec(i, b"inner text " * 300)) for i in (7, 8))
+    for fault in (lambda x: x.replace(b"junk", b"jun_"), lambda x: re.sub(rb"(X-Payload-Length.*\r\n(?:X-Page-ID.*\r\n)?)Content-Length: [0-9]+", rb"\1Content-Length: 99999999", x, count=1)):
+        outer = fault(gzip.decompress(rec(1, b"junk " * 100 + inner)))
+        whole = outer + gzip.decompress(rec(2))
+        records, gaps = run(gzip.compress(whole) if members else whole)
+        assert [r["page_id"] for r in records] == [7, 8, 2] and len(gaps) >= 1
+
+
+def test_payloads_that_no_row_can_hold(monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 1000)
+    for n in (1000, 1001):
+        (r,), gaps = run(rec(1, b"x" * n))
+        assert not gaps and r["payload_bytes"] == n and r["payload_digest"] == hashlib.sha256(b"x" * n).hexdigest() and (r["payload"] is None) == (n > 1000)
+
+
+def test_digests_of_public_archives():
+    import base64
+
+    body = b"some page text"
+
+    def given(where, algorithm, form, broken=False):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        value = hashlib.new(algorithm, block if where == "Block" else body).digest()
+        value = value.hex() if form == "hex" else base64.b32encode(value).decode()
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-{where}-Digest: {algorithm}:{value}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        return head + (block.replace(b"some", b"same") if broken else block) + b"\r\n\r\n"
+
+    for where in ("Block", "Payload"):
+        for algorithm in ("sha1", "sha256", "md5"):
+            for form in ("hex", "base32"):
+                records, gaps = run(given(where, algorithm, form))
+                assert [r["payload"] for r in records] == [body] and not gaps
+                assert run(given(where, algorithm, form, True)) == ([], [(0, len(given(where, algorithm, form)))])
+
+
+def test_false_starts_within_a_long_header_cost_little():
+    import time
+
+    good = gzip.decompress(rec(1))
+    data = b"WARC/1.0\r\n" + b"x: WARC/1.0\r\n" * 100_000
+    began = time.time()
+    for end in (b"no more\r\n", b"\r\n", b""):
+        records, gaps = run(data + end + good)
+        assert [r["page_id"] for r in records] == ([1] if end else []) or end == b""
+    assert time.time() - began < 30
+
+
 def test_members_of_several_records():
     raw = [gzip.decompress(rec(i, f"payload of page {i} ".encode() * 50)) for i in range(50)]
     one = gzip.compress(b"".join(raw))
