@@ -9,6 +9,7 @@ from ..operators import retrieval as R
 from ..operators import rollups as D
 from ..operators import tables as T
 from ..sources import bridge as B
+from ..workspace import new_path
 from .catalog import query
 from .oracle import AS_OF, sql
 
@@ -26,12 +27,27 @@ def daily(spark, sf_dir):
     return D.daily_context(B.memories(spark, sf_dir), B.affect(spark, sf_dir))
 
 
-@query("a6_daily_context", sql("memories latest", """SELECT d.date, memory_count, round(valence_mean, 6) AS valence_mean, round(arousal_mean, 6) AS arousal_mean, types FROM daily d
-    JOIN (SELECT date, string_agg(memory_type || ':' || n, ',' ORDER BY memory_type || ':' || n) AS types FROM (SELECT date, memory_type, count(*) AS n FROM affected GROUP BY 1, 2) GROUP BY 1) t ON t.date = d.date""", affected=_ROWS, daily=_DAILY))
+_CONTEXT = sql("memories latest", """SELECT d.date, memory_count, round(valence_mean, 6) AS valence_mean, round(arousal_mean, 6) AS arousal_mean, types FROM daily d
+    JOIN (SELECT date, string_agg(memory_type || ':' || n, ',' ORDER BY memory_type || ':' || n) AS types FROM (SELECT date, memory_type, count(*) AS n FROM affected GROUP BY 1, 2) GROUP BY 1) t ON t.date = d.date""", affected=_ROWS, daily=_DAILY)
+
+
+@query("a6_daily_context", _CONTEXT)
 def a6(spark, sf_dir):
     return daily(spark, sf_dir).select("date", "memory_count", r6("valence_mean"), r6("arousal_mean"), "types")
 
 
+@query("a6c_daily_context_stream", _CONTEXT)
+def a6c(spark, sf_dir):
+    """The same days from a stream of changes, some of which take back before what they take back has come."""
+    from ..streaming import daily_stream as Z
+
+    arrived, out = new_path(spark, "changes"), new_path(spark, "daily")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Z.changes(B.memories(spark, sf_dir), B.affect(spark, sf_dir)).repartition(files, "id", "change").write.parquet(arrived)
+    Z.keep_daily(Z.read_changes(spark, arrived, max(1, files // 4)), out, new_path(spark, "progress")).awaitTermination()
+    return Z.context(Z.kept(spark, out)).select("date", "memory_count", r6("valence_mean"), r6("arousal_mean"), "types")
+
+
 @query("a6b_hourly_arc", sql("memories latest", "SELECT date, hour(created_at) AS hour, round(avg(valence), 6) AS valence_mean, count(*) AS n FROM affected WHERE valence IS NOT NULL GROUP BY 1, 2", affected=_ROWS))
 def a6b(spark, sf_dir):
     return D.hourly_arc(B.memories(spark, sf_dir), B.affect(spark, sf_dir)).select("date", "hour", r6("valence_mean"), "n")
