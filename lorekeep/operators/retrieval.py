@@ -106,13 +106,22 @@ def counterweights(memories: DataFrame, seen: DataFrame, seed: int = 7, strict:
     return ranked.where((F.col("stage") == 0) | ((F.col("_found") < 2) & (F.col("_n") <= 3))).select("id", "stage")
 
 
+def word_hits(words: str) -> Column:
+    """How many words of two or more characters raw_text holds; without such words, whether it holds the whole query."""
+    parts = [w for w in words.lower().split() if len(w) >= 2] or [words.strip().lower()]
+    return sum((F.when(A.holds("raw_text", w), 1).otherwise(0) for w in parts), F.lit(0))
+
+
 def keyword_search(memories: DataFrame, words: str, k: int = 10, include_provisional: bool = False) -> DataFrame:
     """Durable rows (with ``include_provisional`` all that are neither rejected nor expired) that hold any word of two or more
     characters, by how many they hold; without such words, rows that hold the whole query."""
-    parts = [w for w in words.lower().split() if len(w) >= 2] or [words.strip().lower()]
+    return most_hits(memories.withColumn("hits", word_hits(words)), k, include_provisional)
+
+
+def most_hits(memories: DataFrame, k: int, include_provisional: bool = False) -> DataFrame:
+    """The first ``k`` of ``memories``, durable ones (or ``include_provisional``), by ``hits``, the words that they hold."""
     memories = memories.where("status NOT IN ('rejected', 'expired')" if include_provisional else "status = 'durable'")
-    hits = sum((F.when(A.holds("raw_text", w), 1).otherwise(0) for w in parts), F.lit(0))
-    return memories.withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id").limit(k)
+    return memories.where("hits > 0").orderBy(F.col("hits").desc(), F.col("is_core").desc(), F.col("updated_at").desc(), "id").limit(k)
 
 
 def cheap_scores(memories: DataFrame, affect: DataFrame, edges: DataFrame, as_of: Column, state, text: str) -> DataFrame:

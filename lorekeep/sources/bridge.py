@@ -56,11 +56,21 @@ def memories(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
         F.when(i % 37 == 0, 0.7).otherwise(1.0).alias("retrieval_weight"),
     )
     if text:
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-        out = out.withColumn("_doc", F.col("id") % F.lit(docs.count())).join(docs, F.col("_doc") == F.col("doc_id")).drop("_doc", "doc_id")
+        docs = texts(spark, sf_dir)
+        out = out.withColumn("_doc", text_of(docs)).join(docs, F.col("_doc") == F.col("doc_id")).drop("_doc", "doc_id")
     return out
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_text): what memories say, many of them the same."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+
+
+def text_of(docs: DataFrame) -> Column:
+    """The doc_id of a memory's text."""
+    return F.col("id") % F.lit(docs.count())
+
+
 def affect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One affect row per memory, two for some; chords of two emotions, or none.
 

@@ -58,3 +58,13 @@ def test_empty_table_and_clash(spark):
     assert empty.holding(spark, "abc").count() == 0 and empty.holding(spark, "a").count() == 0
     with pytest.raises(ValueError):
         T.build(spark.range(3).selectExpr("id", "'x' AS text", "1 AS _block"), "id", "text")
+
+
+def test_texts_are_indexed_once_however_many_memories_have_them(spark, sf, monkeypatch):
+    from lorekeep.plans import retrieval
+
+    made = []
+    build = T.build
+    monkeypatch.setattr(T, "build", lambda *a, **b: (made.append(build(*a, **b)), made[-1])[1])
+    assert retrieval.q5c(spark, sf).count() == 25
+    assert made[0].texts(spark).count() == spark.read.parquet(f"{sf}/documents.parquet").count() < spark.read.parquet(f"{sf}/events.parquet").count()
