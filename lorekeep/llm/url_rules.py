@@ -1,8 +1,8 @@
 """URL filtering by given rules and by association rules mined from labelled urls.
 
 A url is a set of tokens: the parts of its host and their suffixes, the words in them, the segments of its path by place, the
-form of numbers instead of the numbers, the names of its query's parameters. Spark's FP-growth mines the token sets that are
-frequent among labelled urls together with the label; of these the rules "tokens -> block" stay that are frequent and sure enough
+form of numbers instead of the numbers, the names of its query's parameters. Token sets that are frequent among labelled urls together
+with the label are mined round by round, each a token longer, over all tokens of every url; of these the rules "tokens -> block" stay that are frequent and sure enough
 and that no rule with fewer of the same tokens equals (``mined``). Given and mined rules are matched by one inverted index: each
 stands under one token, a mined rule under its rarest, so that a url looks at the few rules under its own tokens and checks
 the rest of their tokens there. Every distinct url is looked up once.
@@ -10,17 +10,16 @@ the rest of their tokens there. Every distinct url is looked up once.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Labelled urls at least, and their least share, that bear a rule's tokens and are to be blocked; share of those with its tokens that
-#: are to be blocked at least; tokens at most of a url that is mined (longer ones keep the first by order of ``tokens``; all urls are
-#: matched with all of theirs); rules up to which the index is broadcast, beyond it is joined by shuffle.
-LEAST, SUPPORT, CONFIDENCE, MINED_TOKENS, BROADCAST = 20, 0.001, 0.6, 16, 20_000
-_BLOCK = "label=block"
+#: are to be blocked at least; rules up to which the index is broadcast, beyond it is joined by shuffle.
+LEAST, SUPPORT, CONFIDENCE, BROADCAST = 20, 0.001, 0.6, 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,31 +61,60 @@ def mined(labelled: DataFrame, least: int = LEAST, support: float = SUPPORT, con
     hits counts the labelled urls with the tokens that are to be blocked, seen those with the tokens. Rows with a null label, and
     urls without tokens, take no part; repeated rows count each. key is the token that fewest labelled urls have. No rows where
     fewer than ``least`` urls are labelled.
+
+    Sets grow by a token a round, from those that can still be part of a rule: a set that as many urls bear as one of its parts makes
+    a weaker rule than without the token, as does all that holds it; and nothing is surer than a set that only blocked urls bear. So
+    tokens that always come together, as in the long path of a url, don't multiply.
     """
     spark = labelled.sparkSession
-    rows = labelled.where("block IS NOT NULL").select("block", F.slice(tokens("url"), 1, MINED_TOKENS).alias("tokens")).where("size(tokens) > 0")
-    rows = written(rows, "labelled")
-    n = rows.count()
+    rows = labelled.where("block IS NOT NULL").select("block", F.array_sort(tokens("url")).alias("tokens")).where("size(tokens) > 0")
+    urls = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("block"), 1)).alias("hits"))
+    urls = written(urls.withColumn("url", F.monotonically_increasing_id()), "labelled")
+    n, m = (x or 0 for x in urls.agg(F.sum("seen"), F.sum("hits")).first())
     none = spark.createDataFrame([], "tokens array<string>, key string, hits bigint, seen bigint")
-    if n < least:
-        return none
     floor = max(least, support * n)
-    # only token sets of blocked urls can be rules; what else bears them is counted over all labelled urls afterwards
-    blocked = rows.where("block")
-    m = blocked.count()
-    if m < floor:
+    if n < least or m < floor:
         return none
-    sets = FPGrowth(itemsCol="tokens", minSupport=floor / m, numPartitions=max(8, min(512, m // 20_000))).fit(blocked.select("tokens")).freqItemsets
-    sets = written(sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")), "frequent")
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    named = sets.withColumn("rule", F.xxhash64(F.array_join("tokens", "\x01")))
-    keyed = named.select("rule", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rule").agg(F.min(F.struct("n", "token")).alias("k"))
-    index = written(named.join(keyed, "rule").select("rule", "tokens", "hits", F.col("k.token").alias("key")), "sets")
-    # equal token sets are looked up once
-    distinct = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
-    seen = _looked_up(distinct, index).groupBy("rule").agg(F.sum("n").alias("seen"))
-    sure = index.join(seen, "rule").where(F.col("hits") >= F.lit(confidence) * F.col("seen"))
-    return _without_weaker(written(sure.select("rule", "tokens", "key", "hits", "seen"), "sure")).select("tokens", "key", "hits", "seen")
+    sums = (F.sum("seen").alias("seen"), F.sum("hits").alias("hits"))
+    each = urls.select("url", "seen", "hits", F.explode("tokens").alias("token"))
+    level = each.groupBy("token").agg(*sums).where(F.col("hits") >= floor)
+    level = written(level.select(F.array("token").alias("tokens"), F.struct(F.col("seen").alias("n"), "token").alias("rare"), "seen", "hits"), "sets")
+    # what is in no longer set any more needn't be looked at
+    open_ = level.where("hits < seen")
+    some = each.join(open_.select(F.col("rare.token").alias("token")), "token").groupBy("url").agg(F.array_sort(F.collect_list("token")).alias("tokens"), F.first("seen").alias("seen"), F.first("hits").alias("hits"))
+    some = written(some.groupBy("tokens").agg(*sums).where("size(tokens) > 1"), "frequent")
+    found, size = [level], 1
+    while open_.limit(1).count():
+        if size == 1:
+            both = some.withColumn("a", F.explode("tokens")).select("a", F.explode("tokens").alias("b"), "seen", "hits").where("a < b")
+            pairs = both.groupBy(F.array("a", "b").alias("tokens")).agg(*sums).where(F.col("hits") >= floor)
+            counted = _of_parts(pairs, open_, 2)
+        else:
+            index = _of_parts(_longer(open_, size), open_, size + 1).withColumn("rule", F.xxhash64(F.array_join("tokens", "\x01"))).withColumn("key", F.col("rare.token"))
+            index = written(index, "candidates")
+            counted = _looked_up(some, index).groupBy("rule").agg(*sums).where(F.col("hits") >= floor).join(index, "rule")
+        level = written(counted.where("seen < part_seen").select("tokens", "rare", "seen", "hits"), "sets")
+        found.append(level)
+        open_, size = level.where("hits < seen"), size + 1
+    sure = reduce(DataFrame.union, found).where(F.col("hits") >= F.lit(confidence) * F.col("seen"))
+    sure = sure.select(F.xxhash64(F.array_join("tokens", "\x01")).alias("rule"), "tokens", F.col("rare.token").alias("key"), "hits", "seen")
+    return _without_weaker(written(sure, "sure")).select("tokens", "key", "hits", "seen")
+
+
+def _longer(sets: DataFrame, size: int) -> DataFrame:
+    """(tokens) of ``size`` + 1 that two of ``sets`` of ``size`` sorted tokens make that differ in the last."""
+    first, last = F.slice("tokens", 1, size - 1), F.element_at("tokens", -1)
+    a, b = sets.select(first.alias("first"), last.alias("a")), sets.select(first.alias("first"), last.alias("b"))
+    return a.join(b, "first").where("a < b").select(F.concat("first", F.array("a", "b")).alias("tokens"))
+
+
+def _of_parts(sets: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """Those of ``sets`` of ``size`` tokens all of whose parts with one token less are among ``parts``, with what the rarest of these has
+    been ``part_seen``, and their rarest token."""
+    less = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.slice("tokens", 1, i - 1), F.slice("tokens", i + 1, size)))
+    known = parts.select(F.col("tokens").alias("part"), "rare", F.col("seen").alias("part_seen"))
+    met = sets.withColumn("part", F.explode(less)).join(known, "part").groupBy(*sets.columns)
+    return met.agg(F.count(F.lit(1)).alias("k"), F.min("part_seen").alias("part_seen"), F.min("rare").alias("rare")).where(F.col("k") == size).drop("k")
 
 
 def _looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:

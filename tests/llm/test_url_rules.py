@@ -104,3 +104,23 @@ def test_shuffled_index_gives_the_same(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(ur, "BROADCAST", 0)
     assert run() == one and sum(x[4] == "block" for x in one) == 30
+
+
+def test_rules_of_tokens_far_behind_in_long_urls(spark):
+    """What tells blocked urls is behind forty other tokens that come together, in paths that end at different depths."""
+    r = random.Random(6)
+    deep = "/".join(f"d{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    labelled = []
+    for i in range(240):
+        some = deep if i % 3 else "/".join(deep.split("/")[: 10 + i % 20])
+        bad = i % 2 == 0
+        labelled.append((f"http://a.b.c.d.example.net/{some}{'/spam' if bad and i % 3 else ''}?x=1&{'buy' if bad else 'see'}=1&{r.choice('pq')}=2", bad))
+    df = spark.createDataFrame(labelled, "url string, block boolean")
+    got = {tuple(sorted(x.tokens)): (x.hits, x.seen) for x in ur.mined(df, 20, 0.001, 0.6).collect()}
+    assert got[("name=buy",)] == (120, 120) and got[("path30=spam",)] == (80, 80)
+    toks = {x.url: set(x.t) for x in df.select("url", ur.tokens("url").alias("t")).collect()}
+    assert min(map(len, toks.values())) > 16
+    for s, (hits, seen) in got.items():
+        assert (hits, seen) == (sum(b for u, b in labelled if set(s) <= toks[u]), sum(set(s) <= toks[u] for u, _ in labelled))
+        parts = [p for k in range(1, len(s)) for p in itertools.combinations(s, k)]
+        assert hits >= 0.6 * seen and not any(sum(b for u, b in labelled if set(p) <= toks[u]) * seen >= hits * sum(set(p) <= toks[u] for u, _ in labelled) for p in parts)
