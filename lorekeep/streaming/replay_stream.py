@@ -9,6 +9,7 @@ A session that runs these streams needs the RocksDB state store (``STATE_STORE``
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -18,19 +19,24 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 #: The setting that these streams need.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _DAY = 86_400_000_000
+#: Waiting rows in one entry of a key's state.
+CHUNK = 10_000
 
 
 class _Replay(StatefulProcessor):
-    """Rows (at, number) of a key wait for the watermark; ``step`` is given those that it has passed, in order."""
+    """Rows (at, number) of a key wait for the watermark; ``step`` is given those that it has passed, in order.
+
+    They wait in chunks, one entry of the state each, which are read only when the timer tells that some are due."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, number bigint")
+        self.waiting = handle.getListState("chunks", "rows binary")
         self.due = handle.getValueState("due", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r.at, r.number) for r in rows])
-        self._wake(min(x[0] for x in self.waiting.get()) // 1000 + 1)
+        new = [(r[2], r[3]) for r in rows]  # key, ts, at, number
+        self.waiting.appendList(_chunks(new))
+        self._wake(min(at for at, _ in new) // 1000 + 1)  # those that wait already have their timer
         return iter(())
 
     def _wake(self, at: int) -> None:
@@ -45,11 +51,11 @@ class _Replay(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        every = sorted(self.waiting.get())
+        every = sorted(x for c in self.waiting.get() for x in pickle.loads(c[0]))
         ready, rest = [x for x in every if x[0] <= mark], [x for x in every if x[0] > mark]
         self.due.clear()
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put(_chunks(rest))
         else:
             self.waiting.clear()
         out, forget = self.step(key, ready, mark)
@@ -64,6 +70,10 @@ class _Replay(StatefulProcessor):
         raise NotImplementedError
 
 
+def _chunks(rows: list[tuple[int, int]]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[lo : lo + CHUNK]),) for lo in range(0, len(rows), CHUNK)]
+
+
 class Admission(_Replay):
     """A request passes if, for every (seconds, most), fewer than ``most`` admitted ones lie in the last ``seconds``."""
 
@@ -77,12 +87,12 @@ class Admission(_Replay):
     def step(self, key, rows, mark):
         longest = max(s for s, _ in self.limits)
         log = [x[0] for x in self.admitted.get()]
-        out = []
+        out, answer = [], Row("event_id", "identity", "allowed")
         for at, number in rows:
             ok = all(sum(at - t < s for t in log) < n for s, n in self.limits)
             if ok:
                 log = [t for t in log if at - t < longest] + [at]
-            out.append(Row(event_id=number, identity=key[0], allowed=ok))
+            out.append(answer(number, key[0], ok))
         log = [t for t in log if mark - t < longest]
         if log:
             self.admitted.put([(t,) for t in log])

@@ -149,3 +149,63 @@ def test_export_round_trip_and_tags(spark, tmp_path):
     assert at["## 2024-01-02"] < next(k for k, x in enumerate(lines) if first.title.split("\n")[0] in x and k > at["## 2024-01-02"]) < at["## 2024-01-03"]
     X.write_snapshot(spark.range(1), str(tmp_path / "snap"))
     assert spark.read.json(str(tmp_path / "snap")).count() == 1
+
+
+def test_waiting_rows_are_a_few_entries_and_not_read_until_they_are_due():
+    """A batch of many rows of one key adds chunks to its state and reads none of those that wait; the replay is in order."""
+
+    class State:
+        def __init__(self, single):
+            self.single, self.items, self.reads, self.value = single, [], 0, None
+
+        def appendList(self, new):
+            self.items += new
+
+        def put(self, new):
+            self.items = list(new)
+
+        def get(self):
+            self.reads += 1
+            return self.value if self.single else iter(self.items)
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.items, self.value = [], None
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getListState(self, name, schema):
+            return State(False)
+
+        def getValueState(self, name, schema):
+            return State(True)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    processor, handle = Z.Admission(((10, 2),)), Handle()
+    processor.init(handle)
+    rows = [(i * 1_000_000, i) for i in range(25_000)]
+    random.Random(1).shuffle(rows)
+    for part in (rows[:15_000], rows[15_000:]):
+        list(processor.handleInputRows((7,), iter([(7, None, at, n) for at, n in part]), Times(0)))
+    assert len(processor.waiting.items) <= 4 and processor.waiting.reads == 0 and handle.timers == {1}
+    got = list(processor.handleExpiredTimer((7,), Times(20_000_000), None))
+    assert [r.event_id for r in got] == list(range(20_001)) and [r.event_id for r in got if r.allowed][:6] == [0, 1, 10, 11, 20, 21]
+    assert len(processor.waiting.items) == 1 and max(handle.timers) == 20_001_001
+    got = list(processor.handleExpiredTimer((7,), Times(25_000_000), None))
+    assert [r.event_id for r in got] == list(range(20_001, 25_000)) and not processor.waiting.items
