@@ -40,23 +40,34 @@ def similar_across_time(anchors: DataFrame, candidates: DataFrame, edges: DataFr
     return not_linked(pairs, edges, "id", "c_id").withColumn("weight", F.greatest(F.lit(0.3), (1 - F.col("dist")) * 0.5 + F.col("cos") * 0.5))
 
 
-def consolidated(memories: DataFrame, vectors: DataFrame, edges: DataFrame, first: int, size: int = 500, anchors: int = 50, candidates: int = 20, most: int = 200) -> DataFrame:
+def consolidated(memories: DataFrame, vectors: DataFrame, edges: DataFrame, first: int, size: int = 500, anchors: int = 50, candidates: int = 20, most: int = 200, ranked: DataFrame | None = None) -> DataFrame:
     """One batch of ``memories`` (durable, with date, emotions and ``batch`` rank): anchors of the batch against random candidates of
-    other dates, the new edges in a fixed order, ``most`` at most."""
+    other dates, the new edges in a fixed order, ``most`` at most.
+
+    ``ranked`` is what ``candidates_by_date`` makes of the memories, where many batches are to be linked. Anchors and candidates are few
+    for each emotion, so that vectors and edges are cut to theirs where they are read."""
     rows = memories.withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
     batch = rows.where((F.col("batch") >= first) & (F.col("batch") < first + size))
-    a = T.top_per(batch, ["emotion"], ["id"], anchors)
+    keep = ["id", "emotion", "date", "created_at", "emotions"]
+    a = T.pinned(T.top_per(batch, ["emotion"], ["id"], anchors).select(keep))  # ``anchors`` an emotion
     dates = batch.groupBy("emotion").agg(F.collect_set("date").alias("dates"))  # a batch has ``size`` rows
-    pool = rows.join(F.broadcast(dates), "emotion").where(~F.array_contains("dates", F.col("date")))
-    order = shuffled_order()
-    c = T.top_per(pool, ["emotion"], [order, F.col("id")], candidates)
+    pool = (rows if ranked is None else ranked).join(F.broadcast(dates), "emotion").where(~F.array_contains("dates", F.col("date")))
+    c = T.pinned(T.top_per(pool, ["emotion"], [shuffled_order(), F.col("id")], candidates).select(keep))  # ``candidates`` an emotion
     some = a.select("id").union(c.select("id")).distinct().withColumnRenamed("id", "memory_id")
-    v = vectors.join(some, "memory_id", "left_semi").withColumnRenamed("memory_id", "id")
-    keep = ["id", "emotion", "date", "created_at", "emotions"]
-    new = similar_across_time(a.select(keep).join(v, "id"), c.select(keep).join(v, "id"), edges)
+    v = vectors.join(F.broadcast(some), "memory_id", "left_semi").withColumnRenamed("memory_id", "id")
+    ids = [r.id for r in a.select("id").distinct().collect()]
+    near = edges.where(F.col("from_id").isin(ids) | F.col("to_id").isin(ids))  # an end of every pair is an anchor
+    new = similar_across_time(a.join(v, "id"), c.join(v, "id"), near)
     return new.orderBy("emotion", "id", "c_id").limit(most)
 
 
+def candidates_by_date(memories: DataFrame, candidates: int = 20) -> DataFrame:
+    """The first ``candidates`` of each emotion and date in the random order: as batches leave out whole dates, the candidates of every
+    batch are among them."""
+    rows = memories.withColumn("emotion", A.dominant("emotions")).where("emotion IS NOT NULL")
+    return T.top_per(rows, ["emotion", "date"], [shuffled_order(), F.col("id")], candidates)
+
+
 def neighbour_band(memories: DataFrame, edges: DataFrame, band: int = 4, far: float = 0.3) -> DataFrame:
     """Pairs up to ``band`` ranks apart within an emotion (newest first), a day apart or more, nearer than ``far``."""
     w = Window.partitionBy("emotion").orderBy(F.col("created_at").desc(), "id")  # over the newest rows, capped by the caller

@@ -86,9 +86,9 @@ def run_cycles(spark: SparkSession, home: str, jobs: dict[str, tuple[int, Callab
     return log(spark, home)
 
 
-def consolidation(memories: DataFrame, vectors: DataFrame, edges: DataFrame, size: int = 500) -> Callable[[Cycle], dict[str, int]]:
+def consolidation(memories: DataFrame, vectors: DataFrame, edges: DataFrame, size: int = 500, ranked: DataFrame | None = None) -> Callable[[Cycle], dict[str, int]]:
     """The linking job: one batch of ``memories`` (durable, numbered) from the cursor on, which wraps at their end, against the given
-    edges and all that committed cycles added."""
+    edges and all that committed cycles added. ``ranked``: ``graph.candidates_by_date`` of the memories, made once for all cycles."""
     total = memories.count()
 
     def job(now: Cycle) -> dict[str, int]:
@@ -96,7 +96,7 @@ def consolidation(memories: DataFrame, vectors: DataFrame, edges: DataFrame, siz
             return {"edges": 0}
         first = 0 if now.cursor >= total else now.cursor
         every = edges.select("from_id", "to_id").union(now.written("edges", "from_id bigint, to_id bigint"))
-        new = G.consolidated(memories, vectors, every, first, size)
+        new = G.consolidated(memories, vectors, every, first, size, ranked=ranked)
         made = now.write(new.select(F.col("id").alias("from_id"), F.col("c_id").alias("to_id")), "edges")
         return {"edges": made.count(), "next": first + size}
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import affect as A
+from ..operators import graph as G
 from ..operators import maintenance as M
 from ..operators import orchestrator as O
 from ..operators import retrieval as R
@@ -56,12 +57,16 @@ _MINED = dict(affected=Y._ROWS, daily=Y._DAILY, sums=Y._SUMS, dominant=Y._DOMINA
               patterns=_PATTERNS, ten="SELECT * FROM patterns ORDER BY round(confidence, 6) DESC, pattern_type, description LIMIT 10")
 
 
-def mined(spark, sf_dir, edges=None):
-    """The ten surest patterns of three miners (T8), over the table's edges or given ones."""
-    from ..operators import graph as G
-
+def _sequences(spark, sf_dir):
+    """Patterns of two miners that don't look at edges: bigrams and runs."""
     big = D.bigrams(Y.dominants(spark, sf_dir)).select(F.lit("bigram").alias("pattern_type"), F.concat("first", F.lit(" then "), "second").alias("description"), "confidence")
     run = Y.runs(spark, sf_dir).select(F.lit("run").alias("pattern_type"), F.concat(F.when(F.col("rising"), "rising").otherwise("falling"), F.lit(" from "), F.col("start").cast("string")).alias("description"), "confidence")
+    return big, run
+
+
+def mined(spark, sf_dir, edges=None, sequences=None):
+    """The ten surest patterns of three miners (T8), over the table's edges or given ones; ``sequences`` where those are made already."""
+    big, run = sequences or _sequences(spark, sf_dir)
     hub = G.hubs(B.edges(spark, sf_dir) if edges is None else edges).select(F.lit("hub").alias("pattern_type"), F.concat(F.lit("hub "), F.col("hub").cast("string")).alias("description"), F.least(F.lit(0.85), 0.4 + 0.03 * F.col("neighbours")).alias("confidence"))
     return M.capped_patterns(big, run, hub)
 
@@ -180,20 +185,21 @@ def cycle_jobs(spark, sf_dir, home):
     """The jobs of the orchestrator over the driver's tables, by how often they run: links and expiry, insights, the self-model."""
     memories, edges = B.memories(spark, sf_dir), B.edges(spark, sf_dir)
     keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{home}/base/{name}"), spark.read.schema(df.schema).parquet(f"{home}/base/{name}"))[1]
-    durable, vectors = keep(P.durable(spark, sf_dir), "durable"), keep(B.embeddings(spark, sf_dir), "vectors")
-    link = O.consolidation(durable, vectors, edges)
+    durable = keep(P.durable(spark, sf_dir).select("id", "date", "created_at", "emotions", "batch"), "durable")
+    link = O.consolidation(durable, B.embeddings(spark, sf_dir), edges, ranked=keep(G.candidates_by_date(durable), "candidates"))
+    sequences = [keep(x, name) for x, name in zip(_sequences(spark, sf_dir), ("bigrams", "runs"), strict=True)]
 
     def sleep(now):
         at = as_of() - F.make_dt_interval(mins=F.lit(30 * (CYCLES - now.number)))
         gone = now.written("expired", "id bigint")
-        due = M.expired_by_ttl(memories, at).where("status = 'expired'").join(memories.where("status = 'expired'").select("id"), "id", "left_anti").select("id")
+        due = M.expired_by_ttl(memories.where("status = 'provisional'"), at).where("status = 'expired'").select("id")
         expired = now.write(due.join(gone, "id", "left_anti"), "expired")
         return link(now) | {"expired": expired.count()}
 
     def insight(now):
         every = edges.select("from_id", "to_id").union(now.written("edges", "from_id bigint, to_id bigint")).union(spark.read.parquet(f"{home}/work/cycle={now.number}/edges"))
         known = now.written("insights", "pattern_type string, description string, confidence double, occurrences bigint, first_seen timestamp_ntz, last_seen timestamp_ntz", newest=True)
-        after = M.merged_insights(known.withColumn("status", F.lit("active")), mined(spark, sf_dir, every), as_of())
+        after = M.merged_insights(known.withColumn("status", F.lit("active")), mined(spark, sf_dir, every, sequences), as_of())
         return {"insights": now.write(after, "insights").count()}
 
     def self_model(now):

@@ -74,3 +74,17 @@ def test_cycles_over_the_tables_with_a_crash(spark, sf, tmp_path):
     assert got == rows(O.run_cycles(spark, other, {"sleep": straight["sleep"], "insight": straight["insight"]}, 6))
     assert [r[3:5] for r in got] == [(0, 500), (500, 1000), (1000, 500), (500, 1000), (1000, 500), (500, 1000)]
     assert got[0][5] > 0 and got[2][5] == 0  # the first batch comes again and is linked already
+
+
+def test_candidates_ranked_once_give_the_batches_links(spark, sf):
+    """What is ranked by emotion and date holds the candidates of every batch, and is a bounded part of the memories."""
+    from lorekeep.operators import graph as G
+    from lorekeep.plans import graph as P
+    from lorekeep.sources import bridge as B
+    from lorekeep.workspace import written
+
+    durable = written(P.durable(spark, sf).select("id", "date", "created_at", "emotions", "batch"), "durable")
+    ranked, vectors, edges = written(G.candidates_by_date(durable, 5), "ranked"), B.embeddings(spark, sf), B.edges(spark, sf)
+    assert 0 < ranked.groupBy("emotion", "date").count().agg(F.max("count")).first()[0] <= 5
+    links = lambda **more: [tuple(r) for r in G.consolidated(durable, vectors, edges, 0, 100, candidates=5, **more).select("emotion", "id", "c_id").collect()]
+    assert links() == links(ranked=ranked) != []
