@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +31,36 @@ _PLAIN = 0x130  # below it, the case of a character doesn't depend on its neighb
 _workers: dict = {}
 
 
+class _Words(dict):
+    """Ids of words as bytes. A word that isn't known yet is cut by the file's own pattern, and each new piece goes to the library's model.
+
+    Words have no white space, are lowered and end before ``_PLAIN``, where the pattern's classes are spelt out.
+    """
+
+    def __init__(self, whole):
+        import re
+
+        near, pieces = [chr(c) for c in range(_PLAIN)], whole.pre_tokenizer.pre_tokenize_str
+        pattern = json.loads(whole.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for name in "LN":
+            pattern = pattern.replace(f"\\p{{{name}}}", "".join(c for c in near if unicodedata.category(c)[0] == name))
+        self.cut, self.model = re.compile(pattern).findall, whole.model
+        self.as_bytes = {ord(c): "".join(p for p, _ in pieces(c)) for c in near}  # what stands for a character's bytes
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.cut(word)
+        if len(parts) > 1:
+            ids = b"".join([self[p] for p in parts])
+        else:
+            ids = array("I", [t.id for p in parts for t in self.model.tokenize(p.translate(self.as_bytes))]).tobytes()
+        if len(self) >= _WORDS:  # the words met first are mostly the common ones
+            first = dict(itertools.islice(self.items(), _WORDS // 2))
+            self.clear()
+            self.update(first)
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of a ``tokenizers`` file that lowers, drops white space and merges within words, with a memory of words.
 
@@ -43,21 +75,19 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.other = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]|[\\x1c-\\x1f]|<\\|").search
-        self.known: dict[str, bytes] = {}
+        self.far = re.compile(f"[^\\x00-{chr(_PLAIN - 1)}]").search
+        self.known = _Words(self.whole)
+
+    def other(self, text: str) -> bool:
+        """Whether the words of a text can't be encoded one by one."""
+        if any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
+            return True
+        return not text.isascii() and (self.far(text) is not None or not unicodedata.is_normalized("NFC", text))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.other(text) or not unicodedata.is_normalized("NFC", text):
+        if self.other(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        words = text.lower().split()
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > _WORDS:  # the words met first are mostly the common ones
-                self.known = dict(itertools.islice(self.known.items(), _WORDS // 2))
-                new = list(set(words).difference(self.known))
-            for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), "<u4")
 
 
 def tokenizer(path: str) -> WordTokenizer:

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +95,19 @@ def test_known_words_are_bounded(monkeypatch):
         assert tok.ids(text).tolist() == whole_ids(text) and len(tok.known) <= 20
 
 
+def test_each_piece_is_encoded_once():
+    """Words are cut into pieces by the file's pattern; a piece goes to the model once, and texts with known words not at all."""
+    tok, calls = packing.WordTokenizer(PATH), []
+    model = tok.known.model
+    tok.known.model = SimpleNamespace(tokenize=lambda p: (calls.append(p), model.tokenize(p))[1])
+    texts = ["Over the hill, over", "hill hill, the-over", "it's ''s 'start O'Leary's 'RE we'll", "x2y 2x é2É, été. ½ª\x00\x7f²", "été ½x it's,"]
+    for t in texts:
+        assert tok.ids(t).tolist() == whole_ids(t)
+    assert calls and len(calls) == len(set(calls))
+    n = len(calls)
+    assert tok.ids(" ".join(texts)).tolist() == whole_ids(" ".join(texts)) and len(calls) == n
+
+
 def check(rows, given):
     """Against whole encodings: pieces, checksums, and sequences without gaps."""
     want = Counter()
