@@ -219,8 +219,8 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
 def representatives(docs: DataFrame, budget: int = 2, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their group, one a group, in the columns that ``docs`` has.
 
-    Groups are those of ``resemblance.near_duplicates``: pairs that the trie join finds within ``budget`` bits, and those that it
-    misses, are held to ``similarity``. Of rows that repeat a doc_id in a group one stays, by hash; of a group without any id
+    Groups are those of ``resemblance.near_duplicates``: pairs that the trie join finds within ``budget`` bits are held to ``similarity``
+    with repeats, all others to that of their sets. Of rows that repeat a doc_id in a group one stays, by hash; of a group without any id
     one of each set of shingles. Null texts count as empty and are alike; an empty table gives no rows.
     """
     from .resemblance import near_duplicates as similar
