@@ -23,3 +23,18 @@ def test_path_star_and_random(spark):
 
 def test_none(spark):
     assert components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Stars about their smallest node are components as they are; a link between two of them is not."""
+    from lorekeep.llm import components as c
+
+    rounds, star = [], c._star
+    monkeypatch.setattr(c, "_star", lambda *a: (rounds.append(1), star(*a))[1])
+    stars = [(10, 11), (12, 10), (-5, -4), (-5, 7)]
+    check(spark, stars)
+    assert not rounds
+    for more in ((7, 10), (10, -5), (11, 12)):
+        check(spark, [*stars, more])
+        assert rounds
+        rounds.clear()
